@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from detframe.operators.matching import match_default, match_group_of
-from detframe.plans.ordered import TARGET_ROWS, running_sums, suffix_max, with_cells
+from detframe.plans.ordered import TARGET_ROWS, crowded, running_sums, suffix_max, with_cells
 from detframe.session import cut_lineage
 
 EPS = 2.220446049250313e-16  # double machine epsilon: keeps a precision defined when nothing was counted
@@ -23,12 +23,22 @@ def precision_curve(flags: DataFrame, npos: DataFrame, by: Sequence[str], target
     """
     by = list(by)
     slim = cut_lineage(flags.select(*by, "score", "row_id", F.col("tp").cast("long"), F.col("fp").cast("long")))
+    counted = npos.where("num_gts > 0")
+
+    def rated(df: DataFrame) -> DataFrame:
+        return (df.join(counted, by).withColumn("recall", F.col("ctp") / F.col("num_gts"))
+                .withColumn("precision", F.col("ctp") / F.greatest(F.col("ctp") + F.col("cfp"), F.lit(EPS))))
+
+    if not crowded(slim, by, target):
+        down = Window.partitionBy(*by).orderBy(F.col("score").desc(), "row_id").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        up = Window.partitionBy(*by).orderBy("score", F.col("row_id").desc()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        cum = slim.withColumn("ctp", F.sum("tp").over(down)).withColumn("cfp", F.sum("fp").over(down))
+        return rated(cum).withColumn("envelope", F.max("precision").over(up))
     celled = with_cells(slim, by, "score", "row_id", target=target)
     cum = running_sums(celled, by, "score", "row_id", {"ctp": "tp", "cfp": "fp"}, keep_cells=True)
-    curve = (cum.join(npos.where("num_gts > 0"), by)
-             .withColumn("recall", F.col("ctp") / F.col("num_gts"))
-             .withColumn("precision", F.col("ctp") / F.greatest(F.col("ctp") + F.col("cfp"), F.lit(EPS))))
-    return suffix_max(curve, by, "score", "row_id", "precision", "envelope", target=target)
+    return suffix_max(rated(cum), by, "score", "row_id", "precision", "envelope", target=target)
 
 
 def average_precision(flags: DataFrame, npos: DataFrame, by: Sequence[str], mode: str = "area",
@@ -113,9 +123,9 @@ def per_image_map(det: DataFrame, gt: DataFrame, iou_thrs: Sequence[float]) -> D
                .withColumn("tp", F.when(real & (F.col("_first") == 1), 1).otherwise(0))
                .withColumn("fp", F.when(hit & (F.col("gt_ignore") | (F.col("_first") == 1)), 0).otherwise(1)))
     key = ["image_id", "category_id", "iou_thr"]
-    order = Window.partitionBy(*key).orderBy(F.col("score").desc(), "det_id")
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = (Window.unboundedPreceding, Window.currentRow)
+    run = Window.partitionBy(*key).orderBy(F.col("score").desc(), "det_id").rowsBetween(*whole)
+    rest = Window.partitionBy(*key).orderBy("score", F.col("det_id").desc()).rowsBetween(*whole)
     npos = count_boxes(gt, ["image_id", "category_id"]).where("num_gts > 0")
     curve = (flagged.withColumn("ctp", F.sum("tp").over(run)).withColumn("cfp", F.sum("fp").over(run))
              .withColumn("precision", F.col("ctp") / F.greatest(F.col("ctp") + F.col("cfp"), F.lit(EPS)))

@@ -60,8 +60,20 @@ def with_cells(df: DataFrame, by: Sequence[str], score: str, ident: str, descend
             .drop("_n", "_lo", "_hi", "_ilo", "_ihi"))
 
 
-def _order(score: str, ident: str, descending: bool):
-    return [F.col(score).desc() if descending else F.col(score).asc(), F.col(ident).asc()]
+def crowded(df: DataFrame, by: Sequence[str], target: int = TARGET_ROWS) -> bool:
+    """Whether some key exceeds ``target`` rows. One partial count; call it on a stored frame."""
+    return df.groupBy(*by).count().where(F.col("count") > target).limit(1).count() > 0
+
+
+def without_cells(df: DataFrame) -> DataFrame:
+    """One cell per key: the plain window, right when no key is crowded."""
+    return df.withColumn("_cell", F.lit(0)).withColumn("_sub", F.lit(0))
+
+
+def _order(score: str, ident: str, descending: bool, reverse: bool = False):
+    down = descending != reverse
+    return [F.col(score).desc() if down else F.col(score).asc(),
+            F.col(ident).desc() if reverse else F.col(ident).asc()]
 
 
 def running_sums(df: DataFrame, by: Sequence[str], score: str, ident: str, sums: Mapping[str, Column | str],
@@ -91,11 +103,12 @@ def suffix_max(df: DataFrame, by: Sequence[str], score: str, ident: str, value:
     """``max(value)`` over the current and all later rows of the key: the precision envelope."""
     by = list(by)
     celled = df if "_cell" in df.columns else with_cells(df, by, score, ident, descending, target)
-    window = (Window.partitionBy(*by, *_CELL).orderBy(*_order(score, ident, descending))
-              .rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # reversed order: Spark re-scans the rest of the partition for each row of an unbounded-following frame
+    window = (Window.partitionBy(*by, *_CELL).orderBy(*_order(score, ident, descending, reverse=True))
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     totals = celled.groupBy(*by, *_CELL).agg(F.max(value).alias("_m"))
     after = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    after = after.orderBy(*_CELL).rowsBetween(1, Window.unboundedFollowing)
+    after = (after.orderBy(*[F.col(c).desc() for c in _CELL]).rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*by, *_CELL, F.max("_m").over(after).alias("_o"))
     ranked = celled.withColumn("_l", F.max(value).over(window))
     out = ranked.join(offsets, [*by, *_CELL], "inner")
