@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from detframe.queries import detection
+from detframe.queries import detection, greedy, suppression
 
-MODULES = (detection,)
+MODULES = (detection, greedy, suppression)
 
 
 def queries() -> dict:
