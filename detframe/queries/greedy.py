@@ -78,12 +78,12 @@ CROWD_SQL = CALTECH + """,
  cum AS (SELECT row_number() OVER w AS i, CAST(sum(tp) OVER w AS DOUBLE) AS ctp, CAST(sum(fp) OVER w AS DOUBLE) AS cfp
    FROM cflags WHERE tp + fp > 0 WINDOW w AS (ORDER BY score DESC, det_id ROWS UNBOUNDED PRECEDING)),
  c AS (SELECT i, num_gts, num_images, ctp / num_gts AS rec, ctp / (ctp + cfp) AS prec, cfp / num_images AS fppi FROM cum, tot),
- l AS (SELECT *, lag(rec) OVER (ORDER BY i) AS r0, lag(prec) OVER (ORDER BY i) AS p0, max(i) OVER () AS n FROM c),
+ steps AS (SELECT *, lag(rec) OVER (ORDER BY i) AS r0, lag(prec) OVER (ORDER BY i) AS p0, 1 AS one FROM c),
  ref AS (SELECT unnest([0.0100, 0.0178, 0.03160, 0.0562, 0.1000, 0.1778, 0.3162, 0.5623, 1.000]) AS p),
- at AS (SELECT p, coalesce(min(CASE WHEN fppi >= CAST(p AS DOUBLE) THEN i END), max(i)) AS i FROM ref, c GROUP BY p),
- m AS (SELECT exp(avg(ln(1 - rec))) AS mr FROM at JOIN c USING (i))
+ reads AS (SELECT p, coalesce(min(CASE WHEN fppi >= CAST(p AS DOUBLE) THEN i END), max(i)) AS i FROM ref, c GROUP BY p),
+ m AS (SELECT exp(avg(ln(1 - rec))) AS mr FROM reads JOIN c USING (i))
  SELECT num_gts, num_images, round(sum((rec - r0) * (prec + p0) / 2), 6) AS ap, round(max(mr), 6) AS mr
- FROM l, m GROUP BY num_gts, num_images"""
+ FROM steps, m GROUP BY num_gts, num_images"""
 
 
 def max_matching_index(spark, sf):

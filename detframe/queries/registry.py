@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from detframe.queries import detection, greedy, suppression
+from detframe.queries import detection, greedy, metrics, suppression
 
-MODULES = (detection, greedy, suppression)
+MODULES = (detection, greedy, suppression, metrics)
 
 
 def queries() -> dict:

@@ -122,3 +122,46 @@ def with_tables(*names: str) -> str:
     """``WITH`` header defining the named derived tables (and what they need)."""
     parts = [SQL["g"], *[SQL[n] for n in names]]
     return "WITH " + ",\n ".join(parts)
+
+
+# ---- pixel runs: each row of an image owns fifty pixels; three rows make a segment ---------------------
+
+def gt_runs(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("k")
+    return _boxes(spark, sf).select(
+        "image_id", F.floor((k - 1) / 3).cast("long").alias("segment_id"), ((k - 1) * 50).alias("start"),
+        (F.lit(40) + F.col("qty") % 11).alias("length"), F.col("category_id").alias("label"))
+
+
+def pred_runs(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("k")
+    return _boxes(spark, sf).where("disc > 0").select(
+        "image_id", F.when(F.col("l_suppkey") % 9 == 0, F.floor(k / 3)).otherwise(F.floor((k - 1) / 3)).cast("long").alias("segment_id"),
+        ((k - 1) * 50 + F.col("l_partkey") % 5).alias("start"), (F.lit(30) + F.col("l_suppkey") % 15).cast("long").alias("length"),
+        F.when(F.col("disc") == 7, (F.col("category_id") + 1) % 5).otherwise(F.col("category_id")).alias("label"))
+
+
+def gt_segments(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("segment_id")
+    return gt_runs(spark, sf).select("image_id", "segment_id").distinct().select(
+        "image_id", "segment_id", ((F.col("image_id") + s * 7) % 5).alias("category_id"),
+        F.when((F.col("image_id") + s) % 11 == 0, 1).otherwise(0).alias("iscrowd"))
+
+
+def pred_segments(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("segment_id")
+    return pred_runs(spark, sf).select("image_id", "segment_id").distinct().select(
+        "image_id", "segment_id", ((F.col("image_id") + s * 7 + F.when((F.col("image_id") + s) % 6 == 0, 1).otherwise(0)) % 5).alias("category_id"))
+
+
+SQL.update({
+    "gt_runs": """gt_runs AS (SELECT image_id, (k - 1) // 3 AS segment_id, (k - 1) * 50 AS start, 40 + qty % 11 AS length,
+         category_id AS label FROM g)""",
+    "pred_runs": """pred_runs AS (SELECT image_id, CASE WHEN l_suppkey % 9 = 0 THEN k // 3 ELSE (k - 1) // 3 END AS segment_id,
+         (k - 1) * 50 + l_partkey % 5 AS start, 30 + l_suppkey % 15 AS length,
+         CASE WHEN disc = 7 THEN (category_id + 1) % 5 ELSE category_id END AS label FROM g WHERE disc > 0)""",
+    "gt_segments": """gt_segments AS (SELECT DISTINCT image_id, segment_id, (image_id + segment_id * 7) % 5 AS category_id,
+         CASE WHEN (image_id + segment_id) % 11 = 0 THEN 1 ELSE 0 END AS iscrowd FROM gt_runs)""",
+    "pred_segments": """pred_segments AS (SELECT DISTINCT image_id, segment_id,
+         (image_id + segment_id * 7 + CASE WHEN (image_id + segment_id) % 6 = 0 THEN 1 ELSE 0 END) % 5 AS category_id FROM pred_runs)""",
+})
