@@ -35,7 +35,7 @@ def text_key(seed: int, *keys: Column) -> Column:
 
 def hash_key_sql(seed: int, *keys: str) -> str:
     """The same key as plain SQL text, for checks in another engine."""
-    state = str((seed * 7919 + 17) % _MIX)
+    state = f"CAST({(seed * 7919 + 17) % _MIX} AS BIGINT)"
     for key in keys:
         state = f"((({state}) * 48271 + CAST({key} AS BIGINT) % {_MIX}) % {_MIX})"
         state = f"((({state}) * 69621 + 12345) % {_MIX})"

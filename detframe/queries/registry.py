@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from detframe.queries import detection, greedy, metrics, suppression
+from detframe.queries import augment, detection, greedy, metrics, sampling, suppression
 
-MODULES = (detection, greedy, suppression, metrics)
+MODULES = (detection, greedy, suppression, metrics, sampling, augment)
 
 
 def queries() -> dict:
