@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from detframe.queries import augment, detection, greedy, metrics, sampling, suppression
+from detframe.queries import augment, detection, greedy, metrics, records, sampling, suppression
 
-MODULES = (detection, greedy, suppression, metrics, sampling, augment)
+MODULES = (detection, greedy, suppression, metrics, records, sampling, augment)
 
 
 def queries() -> dict:
