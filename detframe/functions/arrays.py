@@ -61,18 +61,19 @@ def assign_min_cost(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def assign_limited(cost: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """Assignment where leaving a pair open costs ``limit``: pairs dearer than that stay unmatched."""
-    n, m = cost.shape
-    if n == 0 or m == 0:
+    """Assignment where leaving a pair open costs ``limit``: only pairs below it are worth matching.
+
+    Minimising the sum of (cost - limit) over matched pairs is a plain assignment with positive gains set to
+    0, and rows or columns without any pair below the limit can be left out.
+    """
+    gain = np.minimum(cost - limit, 0)
+    rows, cols = np.flatnonzero((gain < 0).any(axis=1)), np.flatnonzero((gain < 0).any(axis=0))
+    if not len(rows) or not len(cols):
         return np.empty(0, int), np.empty(0, int)
-    padded = np.full((n + m, n + m), limit / 2.0)
-    padded[n:, m:] = 0.0
-    padded[:n, :m] = cost
-    rows, cols = assign_min_cost(padded)
-    keep = (rows < n) & (cols < m)
-    rows, cols = rows[keep], cols[keep]
-    keep = cost[rows, cols] <= limit
-    return rows[keep], cols[keep]
+    i, j = assign_min_cost(gain[np.ix_(rows, cols)])
+    i, j = rows[i], cols[j]
+    keep = gain[i, j] < 0
+    return i[keep], j[keep]
 
 
 def max_matching_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from detframe.queries import augment, detection, greedy, metrics, records, sampling, suppression
+from detframe.queries import augment, detection, greedy, metrics, records, sampling, suppression, tracking
 
-MODULES = (detection, greedy, suppression, metrics, records, sampling, augment)
+MODULES = (detection, greedy, suppression, metrics, records, sampling, augment, tracking)
 
 
 def queries() -> dict:

@@ -165,3 +165,43 @@ SQL.update({
     "pred_segments": """pred_segments AS (SELECT DISTINCT image_id, segment_id,
          (image_id + segment_id * 7 + CASE WHEN (image_id + segment_id) % 6 = 0 THEN 1 ELSE 0 END) % 5 AS category_id FROM pred_runs)""",
 })
+
+
+# ---- tracks: ten images make a video; positions follow straight lines -----------------------------------
+
+def _track_rows(spark: SparkSession, sf: str) -> DataFrame:
+    video, frame = F.floor(F.col("image_id") / 10).cast("long"), F.col("image_id") % 10
+    gx, gy = (video * 31 + F.col("k") * 37) % 400, (video * 17 + F.col("k") * 53) % 300
+    x, y = gx + frame * (F.col("k") % 5 - 2) * 3, gy + frame * (F.col("k") % 3 - 1) * 2
+    return _boxes(spark, sf).select(
+        video.alias("video_id"), frame.alias("frame_id"), F.col("k").alias("track_id"), (F.col("k") % 3).alias("category_id"),
+        x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 30 + F.col("k") % 20).cast("double").alias("x2"),
+        (y + 40 + F.col("k") % 10).cast("double").alias("y2"), "disc", "qty", "l_partkey", "l_suppkey", "ann_id")
+
+
+def gt_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    return _track_rows(spark, sf).where("qty % 9 <> 0").select("video_id", "frame_id", "track_id", "category_id", "x1", "y1", "x2", "y2")
+
+
+def pred_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Shaken copies with some missing; in odd videos neighbouring ids swap after the fifth frame."""
+    dx, dy = F.col("l_suppkey") % 5 - 2, F.col("l_partkey") % 5 - 2
+    k = F.col("track_id")
+    swapped = F.when((F.col("video_id") % 2 == 1) & (F.col("frame_id") > 5) & (F.floor(k / 2) % 3 == 0), k + F.when(k % 2 == 0, 1).otherwise(-1)).otherwise(k)
+    return _track_rows(spark, sf).where("disc > 0").select(
+        "video_id", "frame_id", (swapped + 500).alias("track_id"), "category_id", (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"),
+        (F.col("x2") + dx).alias("x2"), (F.col("y2") + dy).alias("y2"),
+        (((F.col("ann_id") * 611953) % 1000003) / F.lit(1000003.0)).alias("score"), F.col("ann_id").alias("det_id"))
+
+
+SQL.update({
+    "tr": """tr AS (SELECT image_id // 10 AS video_id, image_id % 10 AS frame_id, k AS track_id, k % 3 AS category_id,
+         CAST((image_id // 10 * 31 + k * 37) % 400 + image_id % 10 * (k % 5 - 2) * 3 AS DOUBLE) AS x1,
+         CAST((image_id // 10 * 17 + k * 53) % 300 + image_id % 10 * (k % 3 - 1) * 2 AS DOUBLE) AS y1,
+         k % 20 + 30 AS w, k % 10 + 40 AS h, disc, qty, l_partkey, l_suppkey, ann_id FROM g)""",
+    "gt_tracks": "gt_tracks AS (SELECT video_id, frame_id, track_id, category_id, x1, y1, x1 + w AS x2, y1 + h AS y2 FROM tr WHERE qty % 9 <> 0)",
+    "pred_tracks": """pred_tracks AS (SELECT video_id, frame_id, 500 + CASE WHEN video_id % 2 = 1 AND frame_id > 5 AND track_id // 2 % 3 = 0
+           THEN track_id + CASE WHEN track_id % 2 = 0 THEN 1 ELSE -1 END ELSE track_id END AS track_id, category_id,
+         x1 + l_suppkey % 5 - 2 AS x1, y1 + l_partkey % 5 - 2 AS y1, x1 + w + l_suppkey % 5 - 2 AS x2, y1 + h + l_partkey % 5 - 2 AS y2,
+         ((ann_id * 611953) % 1000003) / CAST(1000003 AS DOUBLE) AS score, ann_id AS det_id FROM tr WHERE disc > 0)""",
+})
