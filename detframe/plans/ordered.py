@@ -42,22 +42,22 @@ def with_cells(df: DataFrame, by: Sequence[str], score: str, ident: str, descend
     by = list(by)
     sized = df.withColumn("_cell", _coarse(F.col(score), descending))
     stats = sized.groupBy(*by, "_cell").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(F.col(score).cast("double")).alias("_lo"), F.max(F.col(score).cast("double")).alias("_hi"),
-        F.min(F.col(ident).cast("double")).alias("_ilo"), F.max(F.col(ident).cast("double")).alias("_ihi"),
+        F.count(F.lit(1)).alias("_cell_n"),
+        F.min(F.col(score).cast("double")).alias("_cell_lo"), F.max(F.col(score).cast("double")).alias("_cell_hi"),
+        F.min(F.col(ident).cast("double")).alias("_cell_ilo"), F.max(F.col(ident).cast("double")).alias("_cell_ihi"),
     )
     # at most CELLS rows per key reach this window
-    total = F.sum("_n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    hot = stats.withColumn("_total", total).where(F.col("_total") > target).drop("_total")
+    total = F.sum("_cell_n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
+    hot = stats.withColumn("_cell_total", total).where(F.col("_cell_total") > target).drop("_cell_total")
     joined = sized.join(hot, [*by, "_cell"], "left")
-    fine = _linear(F.col(score).cast("double"), F.col("_lo"), F.col("_hi"), SUBCELLS)
+    fine = _linear(F.col(score).cast("double"), F.col("_cell_lo"), F.col("_cell_hi"), SUBCELLS)
     fine = -fine if descending else fine
-    tied = _linear(F.col(ident).cast("double"), F.col("_ilo"), F.col("_ihi"), SUBCELLS)
-    sub = (F.when(F.col("_n").isNull() | (F.col("_n") <= target), F.lit(0))
-           .when(F.col("_lo") == F.col("_hi"), tied).otherwise(fine))
-    cell = F.when(F.col("_n").isNull(), F.lit(0)).otherwise(F.col("_cell"))
+    tied = _linear(F.col(ident).cast("double"), F.col("_cell_ilo"), F.col("_cell_ihi"), SUBCELLS)
+    sub = (F.when(F.col("_cell_n").isNull() | (F.col("_cell_n") <= target), F.lit(0))
+           .when(F.col("_cell_lo") == F.col("_cell_hi"), tied).otherwise(fine))
+    cell = F.when(F.col("_cell_n").isNull(), F.lit(0)).otherwise(F.col("_cell"))
     return (joined.withColumn("_sub", sub).withColumn("_cell", cell)
-            .drop("_n", "_lo", "_hi", "_ilo", "_ihi"))
+            .drop("_cell_n", "_cell_lo", "_cell_hi", "_cell_ilo", "_cell_ihi"))
 
 
 def crowded(df: DataFrame, by: Sequence[str], target: int = TARGET_ROWS) -> bool:
