@@ -12,11 +12,18 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` mentions it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def points(flat: Column) -> Column:
     """``array<struct<x, y>>`` of a flat polygon; an odd tail value is left out."""
-    n = F.floor(F.size(flat) / 2).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(flat, 2 * i).alias("x"), F.get(flat, 2 * i + 1).alias("y")))).otherwise(
-        F.array().cast("array<struct<x: double, y: double>>"))
+    def pair(f: Column) -> Column:
+        n = F.floor(F.size(f) / 2).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(f, 2 * i).alias("x"), F.get(f, 2 * i + 1).alias("y")))).otherwise(
+            F.array().cast("array<struct<x: double, y: double>>"))
+    return _let(flat, pair)
 
 
 def flatten(pts: Column) -> Column:
@@ -29,9 +36,10 @@ def _next(arr: Column) -> Column:
 
 def area(flat: Column) -> Column:
     """Shoelace area."""
-    pts = points(flat)
-    terms = F.zip_with(pts, _next(pts), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)) / 2
+    def shoelace(pts: Column) -> Column:
+        terms = F.zip_with(pts, _next(pts), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+        return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)) / 2
+    return _let(points(flat), shoelace)
 
 
 def parts_area(parts: Column) -> Column:
@@ -83,9 +91,12 @@ def crop(flat: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column
             none = F.array().cast("array<struct<x: double, y: double>>")
             return (F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(edge)).when(inside(b), F.array(edge, b)).otherwise(none))
 
-        pts = F.flatten(F.zip_with(pts, _next(pts), cut))
-    moved = F.transform(pts, lambda p: F.struct((p["x"] - x1).alias("x"), (p["y"] - y1).alias("y")))
-    return F.when(F.size(pts) >= 3, flatten(moved)).otherwise(F.array(*[F.lit(0.0)] * 6))
+        pts = _let(pts, lambda p: F.flatten(F.zip_with(p, _next(p), cut)))
+
+    def placed(p: Column) -> Column:
+        moved = F.transform(p, lambda v: F.struct((v["x"] - x1).alias("x"), (v["y"] - y1).alias("y")))
+        return F.when(F.size(p) >= 3, flatten(moved)).otherwise(F.array(*[F.lit(0.0)] * 6))
+    return _let(pts, placed)
 
 
 def split_parts(flat: Column, lengths: Column) -> Column:

@@ -220,7 +220,8 @@ POLYGON_SQL = with_tables("gt") + """,
  cols AS (SELECT ann_id, (x2 - x1) * (y2 - y1) * 0.75 AS area, (x2 - x1) * (y2 - y1) * 0.75 * 1 * (1 + 0.125) AS turned, ax, ay, x1, y1, x2, y2, q, m,
    greatest(x1, 50) AS ca, least(x2, 150) AS cb FROM w),
  brk AS (SELECT ann_id, x1, y1, x2, y2, q, m, ca, cb, list_sort(list_distinct(list_filter([ca, cb, x1 + q, x2 - q,
-     x1 + q * (m - 40) / (m - y1), x2 - q * (m - 40) / (m - y1), x1 + q * (120 - m) / (y2 - m), x2 - q * (120 - m) / (y2 - m)], lambda z: z >= ca AND z <= cb))) AS zs FROM cols WHERE ca < cb),
+     x1 + q * (m - 40) / (m - y1), x2 - q * (m - 40) / (m - y1), x1 + q * (120 - m) / (y2 - m), x2 - q * (120 - m) / (y2 - m),
+     x1 + q * (40 - m) / (y2 - m), x2 - q * (40 - m) / (y2 - m), x1 + q * (m - 120) / (m - y1), x2 - q * (m - 120) / (m - y1)], lambda z: z >= ca AND z <= cb))) AS zs FROM cols WHERE ca < cb),
  seg AS (SELECT *, zs[i] AS z0, zs[i + 1] AS z1 FROM (SELECT *, unnest(range(1, len(zs))) AS i FROM brk) s),
  hts AS (SELECT ann_id, z1 - z0 AS dz, [z0, z1] AS ends, x1, y1, x2, y2, q, m FROM seg),
  tops AS (SELECT ann_id, dz, list_transform(ends, lambda z: greatest(40, CASE WHEN z < x1 + q THEN m - (m - y1) * (z - x1) / q WHEN z > x2 - q THEN m - (m - y1) * (x2 - z) / q ELSE y1 END)) AS t,
