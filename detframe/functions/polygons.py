@@ -150,41 +150,63 @@ def runs_to_counts(runs: DataFrame, by: Sequence[str], size: str = "size") -> Da
     return out.select(*by, F.when(F.col("_s") > F.col("_e"), F.concat(body, F.array(F.col("_s") - F.col("_e")))).otherwise(body).alias("counts"))
 
 
-def _read_code(text: str) -> list[int]:
-    out: list[int] = []
-    value = shift = 0
-    for byte in text.encode():
-        c = byte - 48
-        value |= (c & 31) << shift
-        shift += 5
-        if not c & 32:
-            if c & 16:
-                value -= 1 << shift
-            out.append(value + (out[-2] if len(out) > 2 else 0))
-            value = shift = 0
+def _decode_batch(texts: pd.Series) -> list[np.ndarray]:
+    """Six-bit groups, low part first: five bits of value and one that says more follow; counts from the
+    fourth on are differences to the count two before."""
+    raw = texts.str.encode("ascii")
+    c = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64) - 48
+    if not len(c):
+        return [np.empty(0, np.int64) for _ in raw]
+    last = np.flatnonzero((c & 32) == 0)
+    first = np.r_[0, last[:-1] + 1]
+    size = last - first + 1
+    shift = 5 * (np.arange(len(c)) - np.repeat(first, size))
+    value = np.add.reduceat((c & 31) << shift, first)
+    value = np.where(c[last] & 16, value - (np.int64(1) << (5 * size)), value)
+    ends = np.searchsorted(last, np.cumsum([len(t) for t in raw]))
+    out, start = [], 0
+    for end in ends:
+        v = value[start:end].copy()
+        v[1::2] = np.cumsum(v[1::2])
+        v[2::2] = np.cumsum(v[2::2])
+        out.append(v)
+        start = end
     return out
 
 
-def _write_code(counts: Sequence[int]) -> str:
-    out = []
-    for i, n in enumerate(counts):
-        x = int(n) - (int(counts[i - 2]) if i > 2 else 0)
-        more = True
-        while more:
-            c = x & 31
-            x >>= 5
-            more = x != (-1 if c & 16 else 0)
-            out.append(chr((c | 32 if more else c) + 48))
-    return "".join(out)
+def _encode_batch(lists: pd.Series) -> list[str]:
+    """Inverse of :func:`_decode_batch`."""
+    sizes = np.array([len(v) for v in lists])
+    if not sizes.sum():
+        return ["" for _ in lists]
+    parts = []
+    for v in lists:
+        v = np.asarray(v, dtype=np.int64)
+        d = v.copy()
+        d[3:] -= v[1:-2]
+        parts.append(d)
+    x = np.concatenate(parts)
+    chars, used, active = [], [], np.ones(len(x), dtype=bool)
+    while active.any():
+        c = x & 31
+        x = x >> 5
+        more = np.where(c & 16, x != -1, x != 0)
+        chars.append((c + np.where(more, 32, 0) + 48).astype(np.uint8))
+        used.append(active)
+        active = active & more
+    table, mask = np.stack(chars, axis=1), np.stack(used, axis=1)
+    text = table[mask].tobytes().decode("ascii")
+    stops = np.cumsum(np.r_[0, mask.sum(axis=1)])[np.cumsum(np.r_[0, sizes])]
+    return [text[a:b] for a, b in zip(stops[:-1], stops[1:])]
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def decode_rle(text: pd.Series) -> pd.Series:
     """Counts of a compressed run-length string."""
-    return text.map(_read_code)
+    return pd.Series(_decode_batch(text))
 
 
 @F.pandas_udf(T.StringType())
 def encode_rle(counts: pd.Series) -> pd.Series:
     """Compressed string of alternating counts."""
-    return counts.map(lambda c: _write_code(np.asarray(c)))
+    return pd.Series(_encode_batch(counts))

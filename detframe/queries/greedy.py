@@ -11,7 +11,8 @@ from detframe.operators.average_precision import average_precision, count_boxes
 from detframe.queries import tables as T
 from detframe.queries.detection import NPOS, _gt, ap_sql
 from detframe.queries.suppression import _recursive
-from detframe.queries.tables import iou_sql, inter_sql, area_sql, with_tables
+from detframe.queries.tables import area_sql, inter_sql, iou_sql, with_tables
+from detframe.session import cut_lineage
 
 
 def size_threshold_ap(spark, sf):
@@ -157,7 +158,7 @@ REFERRING_SUMMARY_SQL = REFERRING + """
 
 def _coco(spark, sf):
     det, gt = T.det(spark, sf), T.gt(spark, sf)
-    return C.coco_match(det, gt), C.count_real(gt)
+    return cut_lineage(C.coco_match(det, gt)), C.count_real(gt)  # read by both tables
 
 
 def coco_match(spark, sf):

@@ -20,9 +20,9 @@ from detframe.streaming.tracking import track_stream
 def live_curves(spark, sf):
     """Hourly means per event type, from the event table read as a stream."""
     schema = T.read(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     out = M.drain(M.metric_curves(stream, "event_type", "value"), spark)
-    return out.select("start", "metric", "n", F.round("mean", 6).alias("mean"), "low", "high")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "metric", "n", F.round("mean", 6).alias("mean"), "low", "high")
 
 
 LIVE_CURVES_SQL = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS metric, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high
@@ -33,9 +33,9 @@ def live_issues(spark, sf):
     """Events as boxes: faulty when their value leaves the frame."""
     schema = T.read(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").select(
-        "ts", (F.col("user_id") % 50).alias("x"), F.lit(1).alias("y"), F.col("value").alias("w"), F.lit(10).alias("h"), F.lit(100).alias("width"), F.lit(50).alias("height"))
+        F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 50).alias("x"), F.lit(1).alias("y"), F.col("value").alias("w"), F.lit(10).alias("h"), F.lit(100).alias("width"), F.lit(50).alias("height"))
     out = M.drain(M.issue_rates(stream), spark)
-    return out.select("start", "boxes", "faulty", F.round("rate", 9).alias("rate"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "boxes", "faulty", F.round("rate", 9).alias("rate"))
 
 
 LIVE_ISSUES_SQL = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS boxes, count(*) FILTER (value <= 0 OR user_id % 50 + value > 100) AS faulty,

@@ -289,7 +289,7 @@ def _log(spark, sf):
     """Events as log lines: users are runs; purchases state the epoch that starts."""
     return T.read(spark, sf, "events").select(
         (F.col("user_id") % 20).alias("run"), F.col("event_id").alias("line_no"), F.col("value").alias("time"),
-        F.when(F.col("event_type") == "error", F.floor(F.unix_timestamp("ts") / 86400) % 1000).cast("long").alias("epoch"))
+        F.when(F.col("event_type") == "error", F.datediff("ts", F.lit("1970-01-01").cast("date")) % 1000).cast("long").alias("epoch"))
 
 
 _LOG_SQL = """WITH l AS (SELECT user_id % 20 AS run, event_id AS line_no, value AS time,
