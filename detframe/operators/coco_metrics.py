@@ -151,11 +151,12 @@ def precision_table(matches: DataFrame, npos: DataFrame, iou_thrs: Sequence[floa
     else:
         down = Window.partitionBy(*by).orderBy(F.col("score").desc(), "det_id").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
-        cum = slim.select(*by, *[F.sum(e).over(down).alias(n) for n, e in sums.items()])
-    spread = cum.select(*by, F.explode(F.array(*[F.struct(
-        F.lit(a).alias("area"), F.lit(t).alias("iou_thr"), F.col(f"tp{i}").alias("tp"), F.col(f"n{i}").alias("n"))
-        for i, a, t in combos])).alias("c")).select(*by, "c.*")
-    # curve points repeat for rows that change nothing in a cell; the map-side maximum absorbs them
+        cum = slim.select(*by, "tp_mask", *[F.sum(e).over(down).alias(n) for n, e in sums.items()])
+    # precision peaks at true positives, so a row only speaks for the cells in which it is one
+    cells = F.array(*[F.struct(
+        F.lit(a).alias("area"), F.lit(t).alias("iou_thr"), F.col(f"tp{i}").alias("tp"), F.col(f"n{i}").alias("n"),
+        F.shiftrightunsigned("tp_mask", i).bitwiseAND(F.lit(1).cast("long")).alias("hit")) for i, a, t in combos])
+    spread = cum.where("tp_mask <> 0").select(*by, F.explode(F.filter(cells, lambda c: c["hit"] == 1)).alias("c")).select(*by, "c.*")
     rated = (spread.where("n > 0 AND tp > 0").join(npos, [*by, "area"])
              .withColumn("point", F.floor((F.col("tp") * 100) / F.col("npos")).cast("int"))
              .groupBy(*by, "area", "iou_thr", "point", "npos")
