@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from detframe.llm import simhash
+from detframe.llm import langid, mixing, simhash, slots, templates
 from detframe.llm.common import documents
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op5_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.sharded(documents(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).drop("key")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {"op7_simhash_multi_index": op7_simhash}
+def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {"op3_language_ppm": op3_language, "op5_virtual_slots": op5_slots, "op6_pivotal_mixing": op6_mixing,
+           "op7_simhash_multi_index": op7_simhash, "op10_template_decontamination": op10_templates}
 ORACLES: dict[str, str] = {}
