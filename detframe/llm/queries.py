@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from detframe.llm import langid, mixing, simhash, slots, templates
+from detframe.llm import langid, mixing, quality, simhash, slots, templates, tokenfiles, urllists
 from detframe.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_files(documents(spark, sf_dir))
+
+
 def op5_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.sharded(documents(spark, sf_dir))
 
@@ -24,10 +28,27 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urllists.judged(urllists.dated_captures(pages), urllists.derived_lists(pages))
+
+
 def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {"op3_language_ppm": op3_language, "op5_virtual_slots": op5_slots, "op6_pivotal_mixing": op6_mixing,
-           "op7_simhash_multi_index": op7_simhash, "op10_template_decontamination": op10_templates}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op3_language_ppm": op3_language,
+    "op4_ranked_token_files": op4_token_files,
+    "op5_virtual_slots": op5_slots,
+    "op6_pivotal_mixing": op6_mixing,
+    "op7_simhash_multi_index": op7_simhash,
+    "op8_risk_controlled_quality": op8_quality,
+    "op9_temporal_url_lists": op9_url_lists,
+    "op10_template_decontamination": op10_templates,
+}
+ORACLES: dict[str, str] = {"op9_temporal_url_lists": urllists.ORACLE}
