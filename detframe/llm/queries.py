@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from detframe.llm import langid, mixing, quality, simhash, slots, substrings, templates, tokenfiles, urllists
+from detframe.llm import langid, lmscore, mixing, quality, simhash, slots, substrings, templates, tokenfiles, urllists
 from detframe.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(documents(spark, sf_dir))
 
 
+def op2_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scored(documents(spark, sf_dir))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_fm_index": op1_substrings,
+    "op2_attention_scores": op2_attention,
     "op3_language_ppm": op3_language,
     "op4_ranked_token_files": op4_token_files,
     "op5_virtual_slots": op5_slots,
