@@ -37,6 +37,13 @@ def raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few of them are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def word_pieces(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """All words of ``data`` in order, in lists from about ``size`` bytes each, so that one long text stays bounded."""
     start, end = 0, len(data)
