@@ -34,7 +34,7 @@ def _sizes(boxes: DataFrame) -> DataFrame:
 def kmeans_anchors(boxes: DataFrame, k: int, seed: int = 0, rounds: int = 50) -> tuple[list[Shape], float]:
     """(shapes by area, mean best overlap). A cluster's centre is the mean shape; an empty one becomes (0, 0).
 
-    Stops when the centres no longer change.
+    Stops when the centres no longer change, or after ``rounds``.
     """
     data = cut_lineage(_sizes(boxes))
     first = data.orderBy(hash_key(seed, F.col("ann_id")), "ann_id").limit(k).collect()  # k rows

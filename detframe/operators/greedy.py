@@ -21,12 +21,14 @@ from detframe.session import cut_lineage
 
 
 def match_by_score(pairs: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame:
-    """In score order each detection takes its best box still free: ``(det_id, ann_id, value)``.
+    """In score order each detection takes its best box still free: ``(keys.., det_id, ann_id, value)``.
 
     Ties on value go to the lowest ``ann_id``.
     """
     slim = pairs.select(*keys, "det_id", "score", "ann_id", "value")
     small, large = split_by_size(slim, keys, limit)
+    kinds = dict(slim.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", det_id long, ann_id long, value double"
 
     def walk(rows):
         taken: set[int] = set()
@@ -41,25 +43,26 @@ def match_by_score(pairs: DataFrame, keys: Sequence[str], limit: int = GROUP_LIM
         return {"det_id": det[chosen], "ann_id": ann[chosen], "value": value[chosen]}
 
     out = scan_groups(small, keys, [F.col("score").desc(), "det_id", F.col("value").desc(), "ann_id"], walk,
-                      "det_id long, ann_id long, value double")
-    return out if large is None else out.unionByName(score_rounds(large))
+                      schema)
+    return out if large is None else out.unionByName(score_rounds(large, keys))
 
 
-def score_rounds(pairs: DataFrame) -> DataFrame:
+def score_rounds(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """:func:`match_by_score` as rounds of proposals.
 
     Each detection proposes to its best box that has not refused it; each box keeps its best-scored
     proposer and refuses the others for good. With one common preference over detections the stable
     outcome is unique and equals the sequential one.
     """
-    open_pairs = cut_lineage(pairs.select("det_id", "score", "ann_id", "value"))
+    both = [*keys, "det_id", "ann_id"]
+    open_pairs = cut_lineage(pairs.select(*both, "score", "value"))
     while True:
-        proposals = first_rows(open_pairs, ["det_id"], [-F.col("value"), F.col("ann_id")], ["ann_id", "value", "score"])
-        held = first_rows(proposals, ["ann_id"], [-F.col("score"), F.col("det_id")], ["det_id"])
-        refused = cut_lineage(proposals.join(held, ["det_id", "ann_id"], "left_anti").select("det_id", "ann_id"))
+        proposals = first_rows(open_pairs, [*keys, "det_id"], [-F.col("value"), F.col("ann_id")], ["ann_id", "value", "score"])
+        held = first_rows(proposals, [*keys, "ann_id"], [-F.col("score"), F.col("det_id")], ["det_id"])
+        refused = cut_lineage(proposals.join(held, both, "left_anti").select(*both))
         if refused.limit(1).count() == 0:
-            return proposals.select("det_id", "ann_id", "value")
-        open_pairs = cut_lineage(open_pairs.join(refused, ["det_id", "ann_id"], "left_anti"))
+            return proposals.select(*both, "value")
+        open_pairs = cut_lineage(open_pairs.join(refused, both, "left_anti"))
 
 
 def match_by_value(pairs: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame:

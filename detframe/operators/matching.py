@@ -36,9 +36,9 @@ def best_box(det: DataFrame, gt: DataFrame, keys: Sequence[str] = KEYS, legacy:
     g = gt.select(*keys, *GT_COLS)
     pairs = overlap_pairs(d, g, keys, "d_", "g_", mode=mode, legacy=legacy)
     best = first_rows(
-        pairs.withColumnRenamed("d_det_id", "det_id"), ["det_id"],
+        pairs.withColumnRenamed("d_det_id", "det_id"), [*keys, "det_id"],
         [-F.col("iou"), F.col("g_ignore").cast("int"), F.col("g_ann_id")], ["g_ann_id", "g_ignore", "iou"])
-    return (det.join(best, "det_id", "left")
+    return (det.join(best, [*keys, "det_id"], "left").select(*det.columns, *(c for c in best.columns if c not in (*keys, "det_id")))
             .withColumnsRenamed({"g_ann_id": "ann_id", "g_ignore": "gt_ignore"})
             .withColumn("iou", F.coalesce("iou", F.lit(0.0))))
 
@@ -62,10 +62,10 @@ def match_default(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, legacy: b
     tied = best_box(det, marked, keys, legacy)
     hit = F.coalesce(F.col("iou") >= F.lit(float(iou_thr)), F.lit(False)) & F.col("ann_id").isNotNull()
     tied = tied.withColumn("_hit", hit)
-    winners = (first_rows(tied.where(F.col("_hit") & ~F.col("gt_ignore")), ["ann_id"],
+    winners = (first_rows(tied.where(F.col("_hit") & ~F.col("gt_ignore")), [*keys, "ann_id"],
                           [-F.col("score"), F.col("det_id")], ["det_id"])
-               .select("det_id", F.lit(True).alias("_won")))
-    flagged = tied.join(winners, "det_id", "left")
+               .select(*keys, "det_id", F.lit(True).alias("_won")))
+    flagged = tied.join(winners, [*keys, "det_id"], "left").select(*tied.columns, "_won")
     tp = F.coalesce(F.col("_won"), F.lit(False))
     fp = F.when(F.col("_hit"), ~F.col("gt_ignore") & ~tp).otherwise(_area_in(measured(B.box()), area_range))
     return (flagged.withColumn("tp", tp.cast("int")).withColumn("fp", fp.cast("int"))
@@ -86,11 +86,11 @@ def match_group_of(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, ioa_thr:
     stage1 = match_default(det, single, iou_thr)
     left_over = stage1.where(F.col("fp") == 1)
     inside = best_box(left_over.drop("ann_id", "iou", "tp", "fp"), groups, mode="iof")
-    grouped = inside.where(F.col("iou") >= F.lit(float(ioa_thr))).select("det_id", "ann_id", "score")
-    best = grouped.groupBy("ann_id").agg(F.max("score").alias("_best"))
-    kept = stage1.join(grouped.select("det_id"), "det_id", "left_anti")
+    grouped = inside.where(F.col("iou") >= F.lit(float(ioa_thr))).select(*KEYS, "det_id", "ann_id", "score")
+    best = grouped.groupBy(*KEYS, "ann_id").agg(F.max("score").alias("_best"))
+    kept = stage1.join(grouped.select(*KEYS, "det_id"), [*KEYS, "det_id"], "left_anti")
     cols = ["image_id", "category_id"]
-    group_rows = groups.join(best, "ann_id", "left").select(
+    group_rows = groups.join(best, [*KEYS, "ann_id"], "left").select(
         *cols, (-F.col("ann_id")).alias("row_id"), F.coalesce("_best", F.lit(0.0)).alias("score"),
         F.col("_best").isNotNull().cast("int").alias("tp"), F.col("_best").isNull().cast("int").alias("fp"))
     return kept.select(*cols, F.col("det_id").alias("row_id"), "score", "tp", "fp").unionByName(group_rows)

@@ -384,9 +384,9 @@ def run_tracker(det: DataFrame, make: Callable[[], Tracker], keys: tuple[str, ..
 def sweep(det: DataFrame, settings: DataFrame, make: Callable[[dict], Tracker]) -> DataFrame:
     """Run a tracker for every row of ``settings(setting_id, ..)``: key = (setting, video).
 
-    The settings table is a handful of rows; each run sees its own copy of the detections.
+    The settings table is a handful of rows, all of them used; each run sees its own copy of the detections.
     """
-    options = {r["setting_id"]: {k: v for k, v in r.asDict().items() if k != "setting_id"} for r in settings.limit(10_000).collect()}
+    options = {r["setting_id"]: {k: v for k, v in r.asDict().items() if k != "setting_id"} for r in settings.collect()}
     each = det.withColumn("setting_id", F.explode(F.array(*[F.lit(s) for s in options])))
 
     def start():

@@ -19,6 +19,15 @@ TARGET_ROWS = 2_000_000
 _CELL = ["_cell", "_sub"]
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet; the key columns are the left ones."""
+    named = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    meet = F.lit(True)
+    for c in on:
+        meet = meet & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    return left.join(named, meet, how).drop(*[f"_on_{c}" for c in on])
+
+
 def _coarse(score: Column, descending: bool) -> Column:
     clipped = F.least(F.greatest(score.cast("double"), F.lit(0.0)), F.lit(1.0))
     cell = F.floor(clipped * F.lit(CELLS)).cast("int")
@@ -49,7 +58,7 @@ def with_cells(df: DataFrame, by: Sequence[str], score: str, ident: str, descend
     # at most CELLS rows per key reach this window
     total = F.sum("_cell_n").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
     hot = stats.withColumn("_cell_total", total).where(F.col("_cell_total") > target).drop("_cell_total")
-    joined = sized.join(hot, [*by, "_cell"], "left")
+    joined = null_safe_join(sized, hot, [*by, "_cell"], "left")
     fine = _linear(F.col(score).cast("double"), F.col("_cell_lo"), F.col("_cell_hi"), SUBCELLS)
     fine = -fine if descending else fine
     tied = _linear(F.col(ident).cast("double"), F.col("_cell_ilo"), F.col("_cell_ihi"), SUBCELLS)
@@ -93,7 +102,7 @@ def running_sums(df: DataFrame, by: Sequence[str], score: str, ident: str, sums:
         *by, *_CELL, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
     ranked = local.select(
         *celled.columns, *[F.sum(f"_x_{n}").over(window).alias(f"_l_{n}") for n in sums])
-    out = ranked.join(offsets, [*by, *_CELL], "inner")
+    out = null_safe_join(ranked, offsets, [*by, *_CELL])
     kept = [c for c in celled.columns if keep_cells or c not in _CELL]
     return out.select(*kept, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
@@ -111,7 +120,7 @@ def suffix_max(df: DataFrame, by: Sequence[str], score: str, ident: str, value:
     after = (after.orderBy(*[F.col(c).desc() for c in _CELL]).rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*by, *_CELL, F.max("_m").over(after).alias("_o"))
     ranked = celled.withColumn("_l", F.max(value).over(window))
-    out = ranked.join(offsets, [*by, *_CELL], "inner")
+    out = null_safe_join(ranked, offsets, [*by, *_CELL])
     kept = [c for c in celled.columns if c not in _CELL]
     return out.select(*kept, F.greatest("_l", "_o").alias(name))
 

@@ -165,24 +165,47 @@ def group_of_ap(spark, sf):
     return AP.eval_group_of_map(T.det(spark, sf), gt).withColumn("ap", F.round("ap", 6))
 
 
-GROUP_OF_SQL = with_tables("gt", "det") + f""",
- pairs AS (SELECT d.det_id, g.ann_id, {iou_sql('d', 'g')} AS iou FROM det d JOIN gt g
+def _group_of_sql(extra: str = "", det: str = "det", gt: str = "gt") -> str:
+    return with_tables("gt", "det") + extra + f""",
+ pairs AS (SELECT d.det_id, g.ann_id, {iou_sql('d', 'g')} AS iou FROM {det} d JOIN {gt} g
    ON d.image_id = g.image_id AND d.category_id = g.category_id AND g.iscrowd = 0),
- tied AS (SELECT d.*, p.ann_id, coalesce(p.iou, 0) AS iou FROM det d LEFT JOIN (SELECT *, row_number() OVER
+ tied AS (SELECT d.*, p.ann_id, coalesce(p.iou, 0) AS iou FROM {det} d LEFT JOIN (SELECT *, row_number() OVER
      (PARTITION BY det_id ORDER BY iou DESC, ann_id) AS r FROM pairs WHERE iou > 0) p ON d.det_id = p.det_id AND p.r = 1),
  st AS (SELECT *, CASE WHEN iou >= 0.5 AND row_number() OVER (PARTITION BY CASE WHEN iou >= 0.5 THEN ann_id ELSE -det_id END
      ORDER BY score DESC, det_id) = 1 THEN 1 ELSE 0 END AS tp FROM tied),
  ins AS (SELECT * FROM (SELECT s.det_id, s.score, g.ann_id, row_number() OVER (PARTITION BY s.det_id ORDER BY
      ({inter_sql('s', 'g')}) / {area_sql('s')} DESC, g.ann_id) AS r, ({inter_sql('s', 'g')}) / {area_sql('s')} AS f
-   FROM st s JOIN gt g ON s.image_id = g.image_id AND s.category_id = g.category_id AND g.iscrowd = 1 WHERE tp = 0) x
+   FROM st s JOIN {gt} g ON s.image_id = g.image_id AND s.category_id = g.category_id AND g.iscrowd = 1 WHERE tp = 0) x
    WHERE r = 1 AND f >= 0.5),
  flags AS (SELECT det_id, category_id, score, tp, 1 - tp AS fp FROM st WHERE det_id NOT IN (SELECT det_id FROM ins)
    UNION ALL SELECT -g.ann_id, g.category_id, coalesce(b.s, 0), CASE WHEN b.s IS NULL THEN 0 ELSE 1 END, CASE WHEN b.s IS NULL THEN 1 ELSE 0 END
-   FROM gt g LEFT JOIN (SELECT ann_id, max(score) AS s FROM ins GROUP BY ann_id) b USING (ann_id) WHERE g.iscrowd = 1),
- npos AS (SELECT category_id, count(*) AS num_gts FROM gt GROUP BY category_id)""" + ap_sql() + """
+   FROM {gt} g LEFT JOIN (SELECT ann_id, max(score) AS s FROM ins GROUP BY ann_id) b USING (ann_id) WHERE g.iscrowd = 1),
+ npos AS (SELECT category_id, count(*) AS num_gts FROM {gt} GROUP BY category_id)""" + ap_sql() + """
  SELECT category_id, num_gts, num_dets, round(ap, 6) AS ap FROM aps"""
 
 
+GROUP_OF_SQL = _group_of_sql()
+
+
+def open_images_ap(spark, sf):
+    """Classes 1..4 are children of class 0: truth and predictions count for their ancestors too, predictions only where
+    the image allows the class (class 0 on images with an even id); then AP with group boxes."""
+    from detframe.operators.suppression import expand_hierarchy
+
+    closure = T.categories(spark, sf).select(F.col("category_id").alias("child"), F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), "category_id"))).alias("ancestor"))
+    allowed = T.images(spark, sf).select("image_id", F.explode(F.sequence(F.when(F.col("image_id") % 2 == 0, 0).otherwise(1).cast("long"), F.lit(4).cast("long"))).alias("category_id"))
+    gt = T.gt(spark, sf).withColumn("is_group_of", F.col("iscrowd") == 1).withColumn("ignore", F.lit(False))
+    det = expand_hierarchy(T.det(spark, sf), closure, allowed, "det_id")
+    return AP.eval_group_of_map(det, expand_hierarchy(gt, closure, None, "ann_id")).withColumn("ap", F.round("ap", 6))
+
+
+OPEN_IMAGES_SQL = _group_of_sql(""",
+ gx AS (SELECT ann_id * 8 + category_id AS ann_id, image_id, category_id, iscrowd, x1, y1, x2, y2 FROM gt
+   UNION ALL SELECT ann_id * 8, image_id, 0, iscrowd, x1, y1, x2, y2 FROM gt WHERE category_id <> 0),
+ dx AS (SELECT det_id * 8 + category_id AS det_id, image_id, category_id, x1, y1, x2, y2, score FROM det WHERE category_id <> 0 OR image_id % 2 = 0
+   UNION ALL SELECT det_id * 8, image_id, 0, x1, y1, x2, y2, score FROM det WHERE category_id <> 0 AND image_id % 2 = 0)""", "dx", "gx")
+
+
 def reusable_match(spark, sf):
     out = M.match_reusable(T.det(spark, sf), _gt(spark, sf), 0.5)
     return out.select("det_id", F.col("tp").cast("long").alias("tp"))
@@ -287,6 +310,7 @@ QUERIES = {
     "voc_area_range": voc_area_range,
     "mean_average_precision": mean_average_precision,
     "group_of_ap": group_of_ap,
+    "open_images_ap": open_images_ap,
     "reusable_match": reusable_match,
     "anchor_coverage": anchor_coverage,
     "nearest_center_match": nearest_center_match,
@@ -304,6 +328,7 @@ ORACLES = {
     "voc_area_range": VOC_AREA_SQL,
     "mean_average_precision": MEAN_AP_SQL,
     "group_of_ap": GROUP_OF_SQL,
+    "open_images_ap": OPEN_IMAGES_SQL,
     "reusable_match": REUSABLE_SQL,
     "anchor_coverage": ANCHOR_COVERAGE_SQL,
     "nearest_center_match": NEAREST_CENTER_SQL,

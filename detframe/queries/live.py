@@ -21,12 +21,12 @@ def live_curves(spark, sf):
     """Hourly means per event type, from the event table read as a stream."""
     schema = T.read(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = M.drain(M.metric_curves(stream, "event_type", "value"), spark)
+    out = M.drain_windows(M.metric_curves(stream, "event_type", "value"), spark, ["start", "metric"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "metric", "n", F.round("mean", 6).alias("mean"), "low", "high")
 
 
 LIVE_CURVES_SQL = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS metric, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high
- FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+ FROM events GROUP BY 1, 2"""
 
 
 def live_issues(spark, sf):
@@ -34,20 +34,20 @@ def live_issues(spark, sf):
     schema = T.read(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").select(
         F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 50).alias("x"), F.lit(1).alias("y"), F.col("value").alias("w"), F.lit(10).alias("h"), F.lit(100).alias("width"), F.lit(50).alias("height"))
-    out = M.drain(M.issue_rates(stream), spark)
+    out = M.drain_windows(M.issue_rates(stream), spark, ["start"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "boxes", "faulty", F.round("rate", 9).alias("rate"))
 
 
 LIVE_ISSUES_SQL = """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS boxes, count(*) FILTER (value <= 0 OR user_id % 50 + value > 100) AS faulty,
  round(count(*) FILTER (value <= 0 OR user_id % 50 + value > 100) / CAST(count(*) AS DOUBLE), 9) AS rate
- FROM events GROUP BY 1 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"""
+ FROM events GROUP BY 1"""
 
 
 def live_tracks(spark, sf):
     """The derived detections land as files and are tracked as a stream."""
     landed = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
     rows = T.pred_tracks(spark, sf).select("video_id", "frame_id", "det_id", "x1", "y1", "x2", "y2", "score", "category_id",
-                                          F.timestamp_seconds(F.col("frame_id") * 10).alias("ts"))
+                                          F.timestamp_seconds(F.col("frame_id") * 10 + 1000).alias("ts"))
     rows.write.parquet(landed)
     stream = spark.readStream.schema(rows.schema).parquet(landed)
     return M.drain(track_stream(stream, TR.SortTracker), spark)

@@ -113,14 +113,14 @@ def video_average_precision(spark, sf):
     from detframe.operators.greedy import match_by_score
 
     gt, pred = T.gt_tracks(spark, sf), T.pred_tracks(spark, sf)
-    results = K.track_results(pred).select("video_id", "track_id", "score", "category_id", (F.col("video_id") * 100000 + F.col("track_id")).alias("row_id"))
+    results = K.track_results(pred).select("video_id", "track_id", "score", "category_id", F.shiftleft("video_id", 32).bitwiseOR(F.col("track_id")).alias("row_id"))
     truth = gt.select("video_id", "track_id", "category_id").distinct()
     tubes = (K.tube_overlaps(gt, pred).where("iou >= 0.5")
              .join(truth.select("video_id", F.col("track_id").alias("gt_track"), F.col("category_id").alias("g_cat")), ["video_id", "gt_track"])
              .join(results.withColumnRenamed("track_id", "pred_track"), ["video_id", "pred_track"]).where("g_cat = category_id"))
-    pairs = tubes.select("video_id", "category_id", F.col("row_id").alias("det_id"), "score", F.col("gt_track").alias("ann_id"), F.col("iou").alias("value"))
-    got = match_by_score(pairs, ["video_id", "category_id"]).select(F.col("det_id").alias("row_id"), F.lit(1).alias("tp"))
-    flags = results.join(got, "row_id", "left").withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("fp", 1 - F.col("tp"))
+    pairs = tubes.select("video_id", "category_id", F.col("pred_track").alias("det_id"), "score", F.col("gt_track").alias("ann_id"), F.col("iou").alias("value"))
+    got = match_by_score(pairs, ["video_id", "category_id"]).select("video_id", "category_id", F.col("det_id").alias("track_id"), F.lit(1).alias("tp"))
+    flags = results.join(got, ["video_id", "category_id", "track_id"], "left").withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("fp", 1 - F.col("tp"))
     npos = truth.groupBy("category_id").agg(F.count(F.lit(1)).alias("num_gts"))
     return average_precision(flags, npos, ["category_id"]).withColumn("ap", F.round("ap", 6))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 
 from detframe.functions import boxes as B
 from detframe.functions.hashing import hash_key
-from detframe.plans.ordered import dense_ids, ordered_rank
+from detframe.plans.ordered import dense_ids, running_sums
 from detframe.plans.sized import broadcast_if_small
 
 
@@ -180,7 +180,6 @@ def global_instances(tracks: DataFrame) -> DataFrame:
     order = Window.partitionBy("video_id").orderBy("_f", "track_id")
     local = first.withColumn("_r", F.row_number().over(order))
     sizes = local.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
-    from detframe.plans.ordered import running_sums
     span = running_sums(sizes.withColumn("_u", F.lit(0.0)), [], "_u", "video_id", {"_c": F.col("_n")}, descending=False)
     return local.join(span.select("video_id", (F.col("_c") - F.col("_n")).alias("_o")), "video_id").select("video_id", "track_id", (F.col("_o") + F.col("_r") - 1).alias("instance_id"))
 
@@ -195,8 +194,12 @@ def identity_crops(boxes: DataFrame, visibility_thr: float, val_share: float, le
     key = Window.partitionBy("video_id", "track_id")
     rank = F.row_number().over(key.orderBy(hash_key(seed, F.col("ann_id")), "ann_id"))
     drawn = kept.withColumn("_n", F.count(F.lit(1)).over(key)).where(F.col("_n") >= least).withColumn("_r", rank).where(F.col("_r") <= most)
-    people = drawn.select("video_id", "track_id").distinct().withColumn("_key", F.col("video_id") * F.lit(1_000_000) + F.col("track_id"))
-    people = ordered_rank(people.withColumn("_u", F.lit(0.0)), [], "_u", "_key", "person", descending=False)
+    people = drawn.select("video_id", "track_id").distinct()
+    # identities by video, then track: places within a video behind the identities of earlier videos
+    local = people.withColumn("_r", F.row_number().over(Window.partitionBy("video_id").orderBy("track_id")))
+    sizes = local.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_u", F.lit(0.0))
+    before = running_sums(sizes, [], "_u", "video_id", {"_c": F.col("_n")}, descending=False).select("video_id", (F.col("_c") - F.col("_n")).alias("_o"))
+    people = local.join(before, "video_id").select("video_id", "track_id", (F.col("_o") + F.col("_r")).alias("person"))
     total = people.count()
     part = F.when(F.col("person") <= int((1 - val_share) * total), "train").otherwise("val")
     return drawn.join(people.select("video_id", "track_id", (F.col("person") - 1).alias("person"), part.alias("part")), ["video_id", "track_id"]).drop("_n", "_r")

@@ -25,6 +25,7 @@ _ANNOTATION = ("struct<id: long, image_id: long, category_id: long, bbox: array<
                f"tokens_positive: array<array<long>>, segmentation: string, segments_info: array<{_SEGMENT}>, file_name: string>")
 _CATEGORY = "struct<id: long, name: string, supercategory: string, frequency: string, isthing: long>"
 COCO_SCHEMA = (f"images array<{_IMAGE}>, annotations array<{_ANNOTATION}>, categories array<{_CATEGORY}>, videos array<struct<id: long, name: string, width: long, height: long, fps: double>>")
+from detframe.session import cut_lineage
 
 
 def xywh(col: Column) -> B.Box:
@@ -208,14 +209,17 @@ def read_image_labels(spark: SparkSession, path: str, labels: DataFrame) -> Data
         broadcast_if_small(labels.select("mid", "label")), "mid").drop("mid")
 
 
-def hierarchy_edges(spark: SparkSession, path: str, depth: int = 12) -> DataFrame:
-    """``(child, parent)`` of a nested Subcategory tree, one JSON level per step; the root has no pairs of its own."""
+def hierarchy_edges(spark: SparkSession, path: str) -> DataFrame:
+    """``(child, parent)`` of a nested Subcategory tree of any depth, one JSON level per step; the root has no pairs of its own."""
     level = spark.read.text(path, wholetext=True).select(F.col("value").alias("node"))
     root = level.select(F.get_json_object("node", "$.LabelName").alias("root"))
     edges = None
-    for _ in range(depth):
+    while True:
         child = level.select(F.get_json_object("node", "$.LabelName").alias("parent"), F.explode_outer(F.from_json(
             F.get_json_object("node", "$.Subcategory"), "array<string>")).alias("node")).where("node IS NOT NULL")
+        child = cut_lineage(child)
+        if edges is not None and child.isEmpty():
+            break
         step = child.select(F.get_json_object("node", "$.LabelName").alias("child"), "parent")
         edges = step if edges is None else edges.unionByName(step)
         level = child.select("node")
@@ -223,15 +227,18 @@ def hierarchy_edges(spark: SparkSession, path: str, depth: int = 12) -> DataFram
         edges.join(root.withColumnRenamed("root", "parent"), "parent", "left_semi").select("child", F.lit(None).cast("string").alias("parent")))
 
 
-def closure(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """``(child, ancestor)`` of ``edges(child, parent)``, each class with itself; rows with a NULL parent only name a class."""
-    return edges.sparkSession.sql("""
-        WITH RECURSIVE walk(child, ancestor, depth) AS (
-          SELECT DISTINCT child, child, 0 FROM {edges}
-          UNION ALL
-          SELECT w.child, e.parent, w.depth + 1 FROM walk w JOIN {edges} e ON w.ancestor = e.child
-          WHERE e.parent IS NOT NULL AND w.depth < {rounds})
-        SELECT DISTINCT child, ancestor FROM walk""", edges=edges, rounds=rounds)
+def closure(edges: DataFrame) -> DataFrame:
+    """``(child, ancestor)`` of ``edges(child, parent)``, each class with itself; rows with a NULL parent only name a class.
+
+    Paths are doubled until no pair is new, so any depth is covered and a cycle ends too.
+    """
+    known = edges.select("child", F.col("child").alias("ancestor")).unionByName(edges.where("parent IS NOT NULL").select("child", F.col("parent").alias("ancestor")))
+    pairs, n = cut_lineage(known.distinct()), 0
+    while (now := pairs.count()) != n:
+        n = now
+        onward = pairs.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_next"))
+        pairs = cut_lineage(pairs.unionByName(pairs.join(onward, "ancestor").select("child", F.col("_next").alias("ancestor"))).distinct())
+    return pairs
 
 
 def read_dsdl(spark: SparkSession, path: str, classes: Sequence[str]) -> DataFrame:

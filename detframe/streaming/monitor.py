@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from detframe.session import shared_dir
 
@@ -26,6 +27,20 @@ def issue_rates(boxes: DataFrame, ts: str = "ts", width: str = "1 hour", delay:
             .select(F.col("window.start").alias("start"), "boxes", "faulty", (F.col("faulty") / F.col("boxes")).alias("rate")))
 
 
+def drain_windows(stream: DataFrame, spark: SparkSession, keys: list[str]) -> DataFrame:
+    """Run windowed aggregates over what has arrived so far; windows still open are in the result, each as last updated."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+    query = (stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/log").outputMode("update").trigger(availableNow=True).start())
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
+    rest = [c for c in stream.columns if c not in keys]
+    last = spark.read.schema(schema).parquet(f"{base}/out").groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("last"))
+    return last.select(*keys, "last.*").select(*stream.columns)
+
+
 def drain(stream: DataFrame, spark: SparkSession) -> DataFrame:
     """Run a stream over what has arrived so far and read its result back from files in the shared folder."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
