@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from detframe.functions.hashing import hash_key, uniform
-from detframe.plans.ordered import ordered_rank
+from detframe.plans.ordered import dense_ids, ordered_rank
 
 
 def shuffled(df: DataFrame, ident: str, seed: int, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -216,19 +216,30 @@ def label_prompts(images_by_class: DataFrame, categories: DataFrame, negatives:
     """``(image_id, category_id, positive, label)``: all positive labels, then drawn negatives, within a token budget.
 
     A label costs its words plus one separator; the list is cut before the label that would exceed the
-    budget; ``label`` renumbers what is left. The vocabulary is a dimension table.
+    budget; ``label`` renumbers what is left. Negatives are drawn without replacement by their place in the
+    vocabulary: a draw is a number below what is left, moved up past each place already in use. So an image
+    costs its own labels and draws, whatever the size of the vocabulary.
     """
-    words = categories.select("category_id", (F.size(F.split("name", " ")) + 1).alias("cost"))
-    vocabulary = categories.agg(F.collect_set("category_id").alias("all_ids"))  # one row, a bounded list
-    images = images_by_class.select("image_id").distinct().join(F.broadcast(vocabulary))
-    every = images.select("image_id", F.explode("all_ids").alias("category_id"))
-    marked = every.join(images_by_class.withColumn("positive", F.lit(True)), ["image_id", "category_id"], "left").withColumn(
-        "positive", F.coalesce("positive", F.lit(False)))
-    drawn = Window.partitionBy("image_id", "positive").orderBy(hash_key(seed, F.col("image_id"), F.col("category_id")), "category_id")
-    kept = marked.withColumn("_r", F.row_number().over(drawn)).where(F.col("positive") | (F.col("_r") <= negatives))
+    words = dense_ids(categories.select("category_id", (F.size(F.split("name", " ")) + 1).alias("cost")), "category_id", "_place", start=0)
+    total = categories.count()
+    own = images_by_class.select("image_id", "category_id").join(words, "category_id")
+    key = hash_key(seed, F.col("image_id"), F.col("category_id"))
+    positive = own.select("image_id", "category_id", "cost", F.lit(True).alias("positive"), F.row_number().over(
+        Window.partitionBy("image_id").orderBy(key, "category_id")).cast("long").alias("_r"))
+    used = own.groupBy("image_id").agg(F.array_sort(F.collect_list(F.col("_place").cast("long"))).alias("used"))  # labels of one image
+    left = F.lit(total) - F.size("used")
+    count = F.least(F.lit(negatives), left)
+    draws = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda j: hash_key(seed + 1, F.col("image_id"), j) % (left - j + 1))
+
+    def take(taken, draw):
+        place = F.aggregate(taken["used"], draw, lambda x, u: F.when(u <= x, x + 1).otherwise(x))
+        return F.struct(F.array_sort(F.concat(taken["used"], F.array(place))).alias("used"), F.concat(taken["drawn"], F.array(place)).alias("drawn"))
+    start = F.struct(F.col("used"), F.array().cast("array<bigint>").alias("drawn"))
+    drawn = (used.where(count > 0).select("image_id", F.posexplode(F.aggregate(draws, start, take)["drawn"]).alias("_r", "_place"))
+             .join(words, "_place").select("image_id", "category_id", "cost", F.lit(False).alias("positive"), F.col("_r").cast("long").alias("_r")))
     order = Window.partitionBy("image_id").orderBy(F.col("positive").desc(), "_r")
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = kept.join(words, "category_id").withColumn("_t", F.sum("cost").over(run)).where(F.col("_t") <= max_tokens)
+    out = positive.unionByName(drawn).withColumn("_t", F.sum("cost").over(run)).where(F.col("_t") <= max_tokens)
     return out.withColumn("label", F.row_number().over(order) - 1).select("image_id", "category_id", "positive", "label")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -147,15 +148,28 @@ def rollup_means(df: DataFrame, group: str, counts: Sequence[str], metrics: Sequ
     return per.withColumn(group, F.col(group).cast("string")).unionByName(total)
 
 
-def retrieval_scores(vectors: DataFrame, top_ks: Sequence[int] = (1, 5, 10), block_rows: int = 1024) -> DataFrame:
+#: Query rows whose differences to a block are held at once.
+_QUERY_ROWS = 16
+
+
+def _distances(queries: pd.Series, block: np.ndarray):
+    """(offset, squared distances) of a few queries at a time to all rows of a block."""
+    x = np.stack(queries.to_numpy())
+    for at in range(0, len(x), _QUERY_ROWS):
+        yield at, ((block[None] - x[at:at + _QUERY_ROWS, None]) ** 2).sum(axis=2)
+
+
+def retrieval_scores(vectors: DataFrame, top_ks: Sequence[int] = (1, 5, 10), block_rows: int = 4096) -> DataFrame:
     """Retrieval of ``vectors(id, label, embedding)`` against each other: one row with ``map`` and ``r<k>``.
 
     The gallery is ranked by squared distance without the query itself; queries without a positive are left
     out. Precision is only needed at positives, and a positive's rank is the number of closer rows. So
     vectors are cut into blocks and block pairs meet in one task: a first pass emits the distances of
-    positives, a second one counts closer rows. The full ranking is never built.
+    positives, a second one counts closer rows. The full ranking is never built. A block has ``block_rows`` rows, or
+    the root of all rows if that is more, so a vector is copied at most that root often.
     """
-    blocks = max(1, -(-vectors.count() // block_rows))
+    n = vectors.count()
+    blocks = max(1, -(-n // max(block_rows, math.isqrt(n))))
     placed = vectors.select("id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"),
                             F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -163,17 +177,14 @@ def retrieval_scores(vectors: DataFrame, top_ks: Sequence[int] = (1, 5, 10), blo
     gallery = placed.select(other.alias("qb"), F.col("_b").alias("gb"), F.col("id").alias("g"),
                             F.col("label").alias("g_label"), F.col("e").alias("g_e"))
 
-    def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return ((y - x) ** 2).sum(axis=1)
-
     def positives(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(a) and len(b):
             y, ids, labels = np.stack(b["g_e"].to_numpy()), b["g"].to_numpy(), b["g_label"].to_numpy()
-            for q, label, e in zip(a["id"], a["label"], a["e"]):
-                same = np.flatnonzero((labels == label) & (ids != q))
-                if len(same):
-                    parts.append(pd.DataFrame({"q": q, "p": ids[same], "d": distances(e, y[same])}))
+            own, mine = a["id"].to_numpy(), a["label"].to_numpy()
+            for at, d in _distances(a["e"], y):
+                q, g = np.nonzero((mine[at:at + len(d), None] == labels) & (own[at:at + len(d), None] != ids))
+                parts.append(pd.DataFrame({"q": own[at + q], "p": ids[g], "d": d[q, g]}))
         return pd.concat(parts) if parts else pd.DataFrame({"q": [], "p": [], "d": []}).astype({"q": "int64", "p": "int64"})
 
     pairs = (queries.groupBy("qb", "gb").cogroup(gallery.groupBy("qb", "gb"))
@@ -185,10 +196,11 @@ def retrieval_scores(vectors: DataFrame, top_ks: Sequence[int] = (1, 5, 10), blo
     def closer(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            y, ids = np.stack(b["g_e"].to_numpy()), b["g"].to_numpy()
-            for q, e, d in zip(a["q"], a["q_e"], a["d"]):
-                far = np.sort(distances(e, y)[ids != q])
-                out.append((q, np.searchsorted(far, d, side="left").astype(np.int64)))
+            y, ids, own = np.stack(b["g_e"].to_numpy()), b["g"].to_numpy(), a["q"].to_numpy()
+            for at, d in _distances(a["q_e"], y):
+                d[own[at:at + len(d), None] == ids] = np.inf
+                d.sort(axis=1)
+                out += [(q, np.searchsorted(far, hits, side="left").astype(np.int64)) for q, far, hits in zip(own[at:], d, a["d"][at:at + len(d)])]
         return pd.DataFrame(out, columns=["q", "n"])
 
     counts = (asked.groupBy("qb", "gb").cogroup(gallery.groupBy("qb", "gb")).applyInPandas(closer, "q long, n array<long>")

@@ -167,13 +167,18 @@ def label_prompts(spark, sf):
     return out.select("image_id", "category_id", "positive", F.col("label").cast("long").alias("label"))
 
 
-# the region with key 4 has a name of two words
+# the region with key 4 has a name of two words; a draw moves up past each place in use
 PROMPTS_SQL = with_tables("gt", "categories") + f""",
  bc AS (SELECT DISTINCT category_id, image_id FROM gt WHERE (image_id + category_id) % 3 <> 0),
- ev AS (SELECT i.image_id, c.category_id, b.image_id IS NOT NULL AS positive, (len(string_split(name, ' '))) * (c.category_id + 1) + 1 AS cost
-   FROM (SELECT DISTINCT image_id FROM bc) i CROSS JOIN categories c LEFT JOIN bc b ON b.image_id = i.image_id AND b.category_id = c.category_id),
- rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, positive ORDER BY {hash_key_sql(31, 'image_id', 'category_id')}, category_id) AS r FROM ev),
- k AS (SELECT *, sum(cost) OVER (PARTITION BY image_id ORDER BY positive DESC, r ROWS UNBOUNDED PRECEDING) AS t FROM rk WHERE positive OR r <= 2)
+ w AS (SELECT category_id, (len(string_split(name, ' '))) * (category_id + 1) + 1 AS cost, row_number() OVER (ORDER BY category_id) - 1 AS place FROM categories),
+ po AS (SELECT image_id, category_id, cost, true AS positive, row_number() OVER (PARTITION BY image_id ORDER BY {hash_key_sql(31, 'image_id', 'category_id')}, category_id) AS r
+   FROM bc JOIN w USING (category_id)),
+ us AS (SELECT image_id, list_sort(list(place)) AS used, (SELECT count(*) FROM w) - count(*) AS rest FROM bc JOIN w USING (category_id) GROUP BY image_id),
+ d1 AS (SELECT *, list_reduce(list_prepend({hash_key_sql(32, 'image_id', '1')} % rest, used), lambda x, u: CASE WHEN u <= x THEN x + 1 ELSE x END) AS a FROM us WHERE rest >= 1),
+ d2 AS (SELECT *, list_reduce(list_prepend({hash_key_sql(32, 'image_id', '2')} % (rest - 1), list_sort(list_append(used, a))), lambda x, u: CASE WHEN u <= x THEN x + 1 ELSE x END) AS b
+   FROM d1 WHERE rest >= 2),
+ al AS (SELECT * FROM po UNION ALL SELECT image_id, category_id, cost, false, 0 FROM d1 JOIN w ON w.place = a UNION ALL SELECT image_id, category_id, cost, false, 1 FROM d2 JOIN w ON w.place = b),
+ k AS (SELECT *, sum(cost) OVER (PARTITION BY image_id ORDER BY positive DESC, r ROWS UNBOUNDED PRECEDING) AS t FROM al)
  SELECT image_id, category_id, positive, row_number() OVER (PARTITION BY image_id ORDER BY positive DESC, r) - 1 AS label FROM k WHERE t <= 14"""
 
 
