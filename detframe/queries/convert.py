@@ -107,30 +107,32 @@ def clean_captions(spark, sf):
     return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-CLEAN_SQL = """WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[<>|*\\[\\]{}#]', '', 'g'), ' ') AS t FROM documents)
- SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM c WHERE len(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+')) < 240 AND NOT regexp_matches(t, '[^\\x00-\\x7F]') AND length(t) > 0"""
+CLEAN_SQL = """WITH c AS (SELECT doc_id, text, regexp_replace(text, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS t FROM documents),
+ b AS (SELECT *, substring(t, 1, greatest(length(t) - 1, 0)) AS body FROM c)
+ SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM b
+ WHERE len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) < 240 AND NOT contains(body, '↙️') AND NOT contains(body, '[CLS]') AND NOT contains(body, '[SEP]')"""
 
 
 def caption_phrases(spark, sf):
-    """Three spans per document, the first of each phrase cut out of the whole text."""
-    base = F.col("doc_id") % 17
-    spans = F.array(*[F.array(F.array((base + i * 9).cast("long"), (base + i * 9 + 6).cast("long"))) for i in range(3)])
+    """Three spans per document, spread over the whole text, the first of each phrase cut out of it."""
+    base, third = F.col("doc_id") % 17, F.floor(F.length("text") / 3)
+    spans = F.array(*[F.array(F.array((base + third * i).cast("long"), (base + third * i + 6).cast("long"))) for i in range(3)])
     rows = T.read(spark, sf, "documents").select("doc_id", "text", spans.alias("tokens"))
     return phrase_spans(rows).select("doc_id", F.col("nth").cast("long").alias("nth"), "phrase")
 
 
-PHRASES_SQL = """SELECT doc_id, i AS nth, substring(text, CAST(doc_id % 17 + i * 9 + 1 AS BIGINT), 6) AS phrase FROM documents, (SELECT unnest(range(3)) AS i) t"""
+PHRASES_SQL = """SELECT doc_id, i AS nth, substring(text, CAST(doc_id % 17 + i * (length(text) // 3) + 1 AS BIGINT), 6) AS phrase FROM documents, (SELECT unnest(range(3)) AS i) t"""
 
 
 def merged_spans(spark, sf):
     """Neighbouring spans joined, and their text joined by blanks."""
-    d = F.col("doc_id")
-    spans = F.array(*[F.array(F.lit(i * 8).cast("long"), (F.lit(i * 8 + 5) + (d + i) % 4).cast("long")) for i in (2, 0, 1)])
+    d, third = F.col("doc_id"), F.floor(F.length("text") / 3)
+    spans = F.array(*[F.array((third * i).cast("long"), (third * (i + 1) - 3 + (d + i) % 4).cast("long")) for i in (2, 0, 1)])
     rows = T.read(spark, sf, "documents").select("doc_id", "text", C.merged_spans(spans).alias("s"))
     return rows.select("doc_id", F.size("s").cast("long").alias("spans"), C.span_text(F.col("text"), F.col("s")).alias("phrase"))
 
 
-MERGED_SQL = """WITH s AS (SELECT doc_id, text, i, i * 8 AS a, i * 8 + 5 + (doc_id + i) % 4 AS b FROM documents, (SELECT unnest(range(3)) AS i) t),
+MERGED_SQL = """WITH s AS (SELECT doc_id, text, i, i * (length(text) // 3) AS a, (i + 1) * (length(text) // 3) - 3 + (doc_id + i) % 4 AS b FROM documents, (SELECT unnest(range(3)) AS i) t),
  m AS (SELECT *, CASE WHEN a <= lag(b) OVER w + 1 THEN 0 ELSE 1 END AS nw FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
  g AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM m),
  j AS (SELECT doc_id, text, grp, min(a) AS a, max(b) AS b FROM g GROUP BY ALL)

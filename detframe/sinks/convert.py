@@ -148,15 +148,22 @@ def goldg_regions(annotations: DataFrame, captions: DataFrame) -> DataFrame:
     return rows.join(good, "image_id", "left_semi").groupBy("image_id", "phrase", "spans").agg(boxes.alias("_b")).select("image_id", "phrase", "spans", F.col("_b.b").alias("boxes"))
 
 
-# fixed values: marks that captions lose, and the longest caption kept, in tokens
-CAPTION_MARKS = r"[<>|*\[\]{}#]"
+# fixed values: marks that a caption must not hold before its last character, and the tokens from which on it is too long
+CAPTION_MARKS = ("↙️", "[CLS]", "[SEP]")
 MAX_TOKENS = 240
 
 
 def clean_captions(captions: DataFrame, text: str = "text") -> DataFrame:
-    """Special marks removed; captions that are too long or hold anything but ASCII are dropped. Tokens are words."""
-    out = captions.withColumn(text, F.trim(F.regexp_replace(text, CAPTION_MARKS, "")))
-    return out.where((F.size(F.split(text, r"\s+")) < MAX_TOKENS) & ~F.col(text).rlike(r"[^\x00-\x7F]") & (F.length(text) > 0))
+    """Captions without a special mark and of less than ``MAX_TOKENS`` tokens, unchanged; null captions are dropped.
+
+    The last character of the trimmed caption ends it and is not searched. Tokens are words.
+    """
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    body = F.substring(trimmed, F.lit(1), F.greatest(F.length(trimmed) - 1, F.lit(0)))
+    marked = F.lit(False)
+    for mark in CAPTION_MARKS:
+        marked = marked | body.contains(mark)
+    return captions.where(~marked & (F.regexp_count(text, F.lit(r"\S+")) < MAX_TOKENS))
 
 
 def merged_shards(stats: DataFrame, group: str, counts: Sequence[str]) -> DataFrame:
