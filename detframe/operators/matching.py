@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from detframe.functions import boxes as B
 from detframe.operators.overlap import overlap_pairs
 from detframe.plans.ordered import first_rows
+from detframe.session import cut_lineage
 
 KEYS = ("image_id", "category_id")
 GT_COLS = ["ann_id", "x1", "y1", "x2", "y2", "ignore"]
@@ -80,20 +81,28 @@ def match_group_of(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, ioa_thr:
     a true positive with the best of their scores, or, when nothing fell into it, a false positive with
     score 0. ``row_id`` is unique (negative for group rows).
     """
-    single = gt.where(~F.col("is_group_of").cast("boolean")).drop("is_group_of")
-    groups = (gt.where(F.col("is_group_of").cast("boolean")).drop("is_group_of")
-              .withColumn("ignore", F.lit(False)))
-    stage1 = match_default(det, single, iou_thr)
-    left_over = stage1.where(F.col("fp") == 1)
-    inside = best_box(left_over.drop("ann_id", "iou", "tp", "fp"), groups, mode="iof")
-    grouped = inside.where(F.col("iou") >= F.lit(float(ioa_thr))).select(*KEYS, "det_id", "ann_id", "score")
-    best = grouped.groupBy(*KEYS, "ann_id").agg(F.max("score").alias("_best"))
-    kept = stage1.join(grouped.select(*KEYS, "det_id"), [*KEYS, "det_id"], "left_anti")
-    cols = ["image_id", "category_id"]
-    group_rows = groups.join(best, [*KEYS, "ann_id"], "left").select(
+    cols = list(KEYS)
+    marked = gt.select(*cols, "ann_id", "x1", "y1", "x2", "y2", F.col("ignore").cast("boolean").alias("ignore"), F.col("is_group_of").cast("boolean").alias("grp"))
+    pairs = overlap_pairs(det.select(*cols, "det_id", "x1", "y1", "x2", "y2"), marked, cols, "d_", "g_")
+    inside = B.iou(B.box("d_"), B.box("g_"), "iof")
+    # both ties of a detection, to a single box and to a group box, come from one join and one aggregation
+    best = pairs.groupBy(*cols, F.col("d_det_id").alias("det_id")).agg(
+        F.min(F.when(~F.col("g_grp"), F.struct((-F.col("iou")).alias("far"), F.col("g_ignore").cast("int").alias("ignore"), F.col("g_ann_id").alias("ann_id")))).alias("one"),
+        F.min(F.when(F.col("g_grp"), F.struct((-inside).alias("far"), F.col("g_ann_id").alias("ann_id")))).alias("group"))
+    tied = cut_lineage(det.select(*cols, "det_id", "score").join(best, [*cols, "det_id"], "left")
+                       .withColumn("hit", F.coalesce(-F.col("one.far") >= F.lit(float(iou_thr)), F.lit(False)))
+                       .withColumn("real", F.col("hit") & (F.col("one.ignore") == 0)))
+    winners = first_rows(tied.where("real").select(*cols, "det_id", "score", F.col("one.ann_id").alias("ann_id")), [*cols, "ann_id"],
+                         [-F.col("score"), F.col("det_id")], ["det_id"]).select(*cols, "det_id", F.lit(True).alias("won"))
+    flagged = tied.join(winners, [*cols, "det_id"], "left").withColumn("won", F.coalesce("won", F.lit(False)))
+    flagged = flagged.withColumn("fp", F.when(F.col("hit"), F.col("real") & ~F.col("won")).otherwise(F.lit(True)))
+    grouped = F.col("fp") & F.coalesce(-F.col("group.far") >= F.lit(float(ioa_thr)), F.lit(False))
+    scores = flagged.where(grouped).groupBy(*cols, F.col("group.ann_id").alias("ann_id")).agg(F.max("score").alias("_best"))
+    group_rows = marked.where("grp").join(scores, [*cols, "ann_id"], "left").select(
         *cols, (-F.col("ann_id")).alias("row_id"), F.coalesce("_best", F.lit(0.0)).alias("score"),
         F.col("_best").isNotNull().cast("int").alias("tp"), F.col("_best").isNull().cast("int").alias("fp"))
-    return kept.select(*cols, F.col("det_id").alias("row_id"), "score", "tp", "fp").unionByName(group_rows)
+    kept = flagged.where(~grouped).select(*cols, F.col("det_id").alias("row_id"), "score", F.col("won").cast("int").alias("tp"), F.col("fp").cast("int").alias("fp"))
+    return kept.unionByName(group_rows)
 
 
 def match_reusable(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5,
