@@ -45,7 +45,7 @@ def read_video_coco(spark: SparkSession, path: str, visibility_thr: float | None
     frames = doc.select(F.posexplode("images").alias("_p", "i")).select("_p", F.col("i.id").alias("image_id"), F.col("i.video_id").alias("video_id"),
                                                                        F.col("i.frame_id").alias("frame_id"), F.col("i.file_name").alias("file_name"), F.col("i.width").alias("width"), F.col("i.height").alias("height"))
     alone = F.col("video_id").isNull()
-    frames = frames.withColumn("video_id", F.coalesce("video_id", F.lit(100001) + F.col("_p"))).withColumn("frame_id", F.when(alone, F.lit(0)).otherwise(F.col("frame_id"))).drop("_p")
+    frames = frames.withColumns({"video_id": F.coalesce("video_id", F.lit(100001) + F.col("_p")), "frame_id": F.when(alone, F.lit(0)).otherwise(F.col("frame_id"))}).drop("_p")
     length = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("video_length"))
     ann = doc.select(F.posexplode("annotations").alias("_p", "a")).select("_p", "a.*").withColumnRenamed("id", "ann_id")
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy("_p")) - 1
