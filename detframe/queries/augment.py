@@ -84,14 +84,14 @@ RANDOM_CROP_SQL = GT + f""",
 
 
 def min_iou_crop(spark, sf):
-    """Six trials of windows with at least seven tenths of each side, and low overlap limits."""
-    out = A.min_iou_crop(_boxes(spark, sf), T.images(spark, sf), (0.01, 0.02), 21, 6, 0.7)
+    """Fifty trials of windows with at least seven tenths of each side, and low overlap limits."""
+    out = A.min_iou_crop(_boxes(spark, sf), T.images(spark, sf), (0.01, 0.02), 21, 50, 0.7)
     return _show(out, "width", "height")
 
 
 MIN_IOU_SQL = with_tables("gt", "images") + f""",
  md AS (SELECT image_id, [1.0, 0.01, 0.02, 0.0][{hash_key_sql(21, 'image_id')} % 4 + 1] AS mode FROM images),
- tr AS (SELECT image_id, mode, unnest(range(1, 7)) AS trial FROM md WHERE mode < 1),
+ tr AS (SELECT image_id, mode, unnest(range(1, 51)) AS trial FROM md WHERE mode < 1),
  sz AS (SELECT *, 300 * (0.7 + {uniform_sql(22, 'image_id', 'trial')} * CAST(0.3 AS DOUBLE)) AS nw, 250 * (0.7 + {uniform_sql(23, 'image_id', 'trial')} * CAST(0.3 AS DOUBLE)) AS nh FROM tr),
  ps AS (SELECT *, floor({uniform_sql(24, 'image_id', 'trial')} * (300 - nw)) AS px, floor({uniform_sql(25, 'image_id', 'trial')} * (250 - nh)) AS py FROM sz WHERE nh / nw BETWEEN 0.5 AND 2),
  wd AS (SELECT image_id, mode, trial, px, py, floor(px + nw) AS qx, floor(py + nh) AS qy FROM ps),

@@ -25,12 +25,14 @@ def coco_results(spark, sf):
 
 def coco_dataset(spark, sf):
     """New ids are contiguous although image and annotation ids are not."""
-    _, rows = C.coco_dataset(T.images(spark, sf).where("image_id % 3 <> 1"), T.gt(spark, sf))
+    def spread(df):
+        return df.withColumn("image_id", F.col("image_id") * 3 + 1)
+    _, rows = C.coco_dataset(spread(T.images(spark, sf)), spread(T.gt(spark, sf)))
     return rows.select("ann_id", "new_id", "new_image_id", "area")
 
 
 COCO_DATASET_SQL = with_tables("gt", "images") + """,
- im AS (SELECT image_id, row_number() OVER (ORDER BY image_id) AS new_image_id FROM images WHERE image_id % 3 <> 1)
+ im AS (SELECT image_id, row_number() OVER (ORDER BY image_id) AS new_image_id FROM images)
  SELECT ann_id, row_number() OVER (ORDER BY ann_id) AS new_id, new_image_id, (x2 - x1) * (y2 - y1) AS area FROM gt JOIN im USING (image_id)"""
 
 

@@ -54,12 +54,12 @@ def live_tracks(spark, sf):
 
 
 def anchor_clusters(spark, sf):
-    shapes, quality = A.kmeans_anchors(T.gt(spark, sf), 6, seed=1, rounds=15)
+    shapes, quality = A.kmeans_anchors(T.gt(spark, sf), 6, seed=1)
     return spark.createDataFrame([(i, float(w), float(h), float(quality)) for i, (w, h) in enumerate(shapes)], "anchor int, w double, h double, mean_iou double")
 
 
 def anchor_evolution(spark, sf):
-    shapes, quality = A.evolve_anchors(T.gt(spark, sf), 4, generations=5, population=8, seed=1)
+    shapes, quality = A.evolve_anchors(T.gt(spark, sf), 4, seed=1)
     return spark.createDataFrame([(i, float(w), float(h), float(quality)) for i, (w, h) in enumerate(shapes)], "anchor int, w double, h double, mean_iou double")
 
 
@@ -99,7 +99,7 @@ def offline_evaluation(spark, sf):
     """Even and odd images as two datasets, all metrics in one table."""
     det, gt = T.det(spark, sf), T.gt(spark, sf)
     parts = {n: (det.where(F.col("image_id") % 2 == p), gt.where(F.col("image_id") % 2 == p)) for p, n in enumerate(("even", "odd"))}
-    return evaluate(parts, ("voc", "recall")).withColumn("value", F.round("value", 6))
+    return evaluate(parts, ("voc", "coco", "recall")).withColumn("value", F.round("value", 6))
 
 
 QUERIES = {f.__name__: f for f in (live_curves, live_issues, live_tracks, anchor_clusters, anchor_evolution, composed_steps, user_records, user_metric,

@@ -173,9 +173,10 @@ def observation_tracks(spark, sf):
 
 
 def _embedded(spark, sf):
-    """Detections carry the stored vector of their track number."""
+    """Detections carry a stored vector that follows from their video and track number; all vectors are dealt out."""
     vectors = T.read(spark, sf, "embeddings").select(F.col("vec_id"), "embedding")
-    both = T.pred_tracks(spark, sf).withColumn("vec_id", F.col("track_id") % 150).join(vectors, "vec_id")
+    place = (F.col("video_id") * 37 + F.col("track_id")) % vectors.count()
+    both = T.pred_tracks(spark, sf).withColumn("vec_id", place).join(vectors, "vec_id")
     return both.select("video_id", "frame_id", "det_id", *COORDS, "score", "category_id", "embedding")
 
 
