@@ -20,6 +20,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of an Arrow batch: whole texts are long, and a batch lies in memory on both sides.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to BATCH_ROWS rows if they are larger."""
+    settings = df.sparkSession.conf
+    if not 0 < int(settings.get(_BATCH_SETTING, "10000")) <= BATCH_ROWS:
+        settings.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def land(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later readers neither recompute nor lose it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from detframe.llm.common import remainder
+from detframe.llm.common import remainder, small_batches
 
 ORDER = 4
 UNDETERMINED = "und"
@@ -211,7 +211,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 for i, b in zip(at, best):
                     names[i] = model.languages[b]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
-    docs = docs.drop("lang_pred", "score")
+    docs = small_batches(docs).drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 

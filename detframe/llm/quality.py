@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detframe.llm.common import land, raw
+from detframe.llm.common import land, raw, small_batches
 
 #: At most so many good documents of a stratum are rejected, except with the probability ERROR.
 RISK, ERROR = 0.01, 0.05
@@ -90,7 +90,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """``doc_id, stratum`` and all measures of every row; the stratum is the language."""
-    narrow = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("stratum"), F.col("text").cast("string"))
+    narrow = small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("stratum"), F.col("text").cast("string"))
     return narrow.mapInArrow(_measure, "doc_id long, stratum string, " + ", ".join(f"{m} long" for m in _MEASURES))
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detframe.llm.common import land, raw, word_pieces
+from detframe.llm.common import land, raw, small_batches, word_pieces
 from detframe.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = [fingerprint(t) for t in raw(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _half(fp: Column, segment: int) -> Column:

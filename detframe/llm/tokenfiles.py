@@ -7,26 +7,30 @@ data bytes are stored apart, so that a table of 256 control bytes gives all leng
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from detframe.llm.common import raw
+from detframe.llm.common import raw, sliced, small_batches
 from detframe.session import shared_dir
 
 TOKENIZER, END = "word_bpe_49k.json", 1
 #: Ids after which a block is closed (a document is never split), and words whose ids a worker remembers.
-BLOCK_IDS, REMEMBERED = 1 << 17, 1 << 20
+BLOCK_IDS, REMEMBERED = 1 << 17, 1 << 18
 GROUP_BYTES = 1 << 22
 
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -61,44 +65,122 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return ranks
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes for themselves, the others
+    by the letters from U+0100 on, in order."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or (0xA1 <= b <= 0xFF and b != 0xAD)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(own)))}
+
+
+class Numbers(dict):
+    """Numbers of keys in order of first sight."""
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        return number
+
+    def of(self, keys, n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, n)
+
+
+class _Pieces(dict):
+    """As above; a new piece is handed to ``learn``."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.learn(piece)
+        return number
+
+
+def ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all members of slices that begin at ``first`` and have ``sizes`` members."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
+
+
 class WordIds:
-    """Ids of texts, put together from the ids of their words. ASCII spaces part pre-tokens and never join with a
-    neighbour in normalisation, so this equals the encoding of the whole text; each distinct word is encoded once."""
+    """Ids of texts, put together from the ids of their distinct words. ASCII spaces part pre-tokens and never join with a
+    neighbour in normalisation, so this equals the encoding of the whole text.
+
+    Words of printable ASCII and Latin-1 letters are lower-cased and cut by the tokenizer's own pattern, and each distinct
+    piece goes to its BPE model once; any other word takes the whole tokenizer.
+    """
+
+    _plain = regex.compile("[\x21-\x7e\u00c0-\u00ff]*")
+    _plain_lines = regex.compile("[\n\x21-\x7e\u00c0-\u00ff]*")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        cut = (steps.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        names = [n.get("type") for n in (steps.get("normalizer") or {}).get("normalizers", [])]
+        fits = names == ["NFC", "Replace", "Lowercase"] and [c.get("type") for c in cut] == ["Split", "ByteLevel"] and cut[0].get("invert")
+        fits = fits and not cut[1].get("use_regex") and not cut[1].get("add_prefix_space")
+        self.pattern = regex.compile(cut[0]["pattern"]["Regex"] + "|\n") if fits else None
+        self.specials = [t["content"] for t in steps.get("added_tokens", [])]
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
+        self.pieces = _Pieces(self._learn)
+        self.first, self.flat = array("q", [0]), array("I")
+        self.pieces["\n"]  # the end of a word, without ids
+
+    def _learn(self, piece: str) -> None:
+        if piece != "\n":
+            mapped = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+            self.flat.extend(t.id for t in self.model.tokenize(mapped))
+        self.first.append(len(self.flat))
+
+    def words(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        if len(self.pieces) > REMEMBERED:
             self.forget()
-        new = list(set(words).difference(self.known))
-        if not new:
-            return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        base = len(self.known)
-        self.known.update(zip(new, range(base, base + len(new))))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        texts = [w.decode("utf-8", "replace") for w in vocabulary]
+        if self.pattern and self._plain_lines.fullmatch("\n".join(texts)):
+            plain = np.ones(len(texts), bool)
+        else:
+            plain = np.array([self.pattern is not None and self._plain.fullmatch(t) is not None for t in texts], bool)
+        for special in self.specials:
+            if special in "\n".join(texts):
+                plain &= np.array([special not in t for t in texts])
+        sizes = np.zeros(len(texts), np.int64)
+        easy = np.flatnonzero(plain)
+        found = self.pattern.findall("".join(texts[i] + "\n" for i in easy).lower()) if len(easy) else []
+        at = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        first, flat = np.array(self.first), np.array(self.flat, np.uint32)
+        n = first[at + 1] - first[at]
+        if len(easy):
+            ends = np.flatnonzero(at == 0)
+            total = np.cumsum(n)
+            sizes[easy] = np.diff(np.r_[0, total[ends]])
+        hard = {int(i): self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in np.flatnonzero(~plain)}
+        for i, ids in hard.items():
+            sizes[i] = len(ids)
+        ids = np.empty(int(sizes.sum()), np.uint32)
+        starts = np.cumsum(sizes) - sizes
+        ids[ragged(starts[easy], sizes[easy])] = flat[ragged(first[at], n)]
+        for i, own in hard.items():
+            ids[starts[i]:starts[i] + len(own)] = own
+        return ids, sizes
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
+        known = Numbers()
         split = [(t or b"").split() for t in texts]
-        words = [w for s in split for w in s]
-        self.learn(words)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sizes = self.first[at + 1] - self.first[at]
-        ends = np.cumsum(sizes)
-        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[at] - (ends - sizes), sizes)
-        bounds = np.r_[0, np.cumsum([len(s) for s in split])].astype(np.int64)
-        total = np.r_[0, ends]
-        return self.flat[place], np.diff(total[bounds])
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = known.of(itertools.chain.from_iterable(split), int(counts.sum()))
+        flat, sizes = self.words(list(known))
+        n = sizes[at]
+        total = np.r_[0, np.cumsum(n)]
+        return flat[ragged((np.cumsum(sizes) - sizes)[at], n)], np.diff(total[np.r_[0, np.cumsum(counts)]])
 
 
 _encoders: dict[str, WordIds] = {}
@@ -122,19 +204,21 @@ def grouped(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-_BLOCK = "part int, block int, doc_ids array<long>, sizes array<int>, ids binary"
+_PLACE = "part int, block int, before long, n long, doc_ids array<long>, sizes array<int>, "
+_BLOCK, _CODED = _PLACE + "ids binary", _PLACE + "control binary, data binary"
 
 
 def _blocks(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, before = TaskContext.get().partitionId(), 0, 0
         held, docs, sizes, n = [], [], [], 0
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([docs], pa.list_(pa.int64())),
-                                               pa.array([sizes], pa.list_(pa.int32())), pa.array([np.concatenate(held).astype("<u4").tobytes()], pa.binary())],
-                                              ["part", "block", "doc_ids", "sizes", "ids"])
-        for batch in batches:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()),
+                                               pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
+                                               pa.array([np.concatenate(held).astype("<u4").tobytes()], pa.binary())],
+                                              ["part", "block", "before", "n", "doc_ids", "sizes", "ids"])
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_pylist(), raw(batch.column(1))
             for start, stop in grouped([len(t or b"") for t in texts], GROUP_BYTES):
                 found, counts = word_ids(path).encode(texts[start:stop])
@@ -145,7 +229,7 @@ def _blocks(path: str, end: int):
                     n += sizes[-1]
                     if n >= BLOCK_IDS:
                         yield close()
-                        block, held, docs, sizes, n = block + 1, [], [], [], 0
+                        block, before, held, docs, sizes, n = block + 1, before + n, [], [], [], 0
         if docs:
             yield close()
     return run
@@ -172,7 +256,7 @@ def ranked_ids(blocks: DataFrame) -> np.ndarray:
 def write_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END) -> None:
     """Encode ``docs`` (``doc_id``, ``text``) into ``path``: ``ranks`` and ``blocks``, in ascending doc_id order (null first)."""
     spark, model = docs.sparkSession, public_tokenizers.path(tokenizer)
-    ordered = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id")
+    ordered = (small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id")
                .sortWithinPartitions("doc_id", F.xxhash64("text")))
     ordered.mapInArrow(_blocks(model, end), _BLOCK).write.parquet(f"{path}/ids")
     blocks = spark.read.schema(_BLOCK).parquet(f"{path}/ids")
@@ -184,23 +268,19 @@ def write_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = shared.value
         for batch in batches:
-            coded = [encode(rank_of[np.frombuffer(ids, "<u4")]) for ids in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                                             ["part", "block", "doc_ids", "sizes", "control", "data"])
+            coded = [encode(rank_of[np.frombuffer(ids, "<u4")]) for ids in batch.column(6).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                                             [*batch.schema.names[:6], "control", "data"])
     spark.createDataFrame([(i, int(t)) for i, t in enumerate(by_rank)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
-    blocks.mapInArrow(pack, _BLOCK.replace("ids binary", "control binary, data binary")).write.parquet(f"{path}/blocks")
+    blocks.mapInArrow(pack, _CODED).write.parquet(f"{path}/blocks")
 
 
 def read_files(spark, path: str, digest: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens`` and the ids (or, with ``digest``, ``ids_crc32``) of every document in the files."""
-    blocks = spark.read.schema(_BLOCK.replace("ids binary", "control binary, data binary")).parquet(f"{path}/blocks")
-    sized = blocks.select("part", "block", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    parts = sized.groupBy("part").agg(F.sum("n").alias("n"))  # one row per written partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_start"))
-    within = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.select("part", "block", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("block_start")).join(parts, "part")
-    placed = starts.select("part", "block", (F.col("part_start") + F.col("block_start")).alias("start"))
+    blocks = spark.read.schema(_CODED).parquet(f"{path}/blocks")
+    parts = blocks.groupBy("part").agg(F.sum("n").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_start"))  # one row per written partition
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()["id"].to_numpy(np.uint32)
     shared = spark.sparkContext.broadcast(ranks)
 
@@ -216,7 +296,8 @@ def read_files(spark, path: str, digest: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - counts), pa.array(counts), last],
                                                  ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
     last = "ids_crc32 long" if digest else "ids binary"
-    return blocks.join(placed, ["part", "block"]).select("doc_ids", "sizes", "control", "data", "start").mapInArrow(
+    placed = blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("part_start") + F.col("before"))
+    return placed.select("doc_ids", "sizes", "control", "data", "start").mapInArrow(
         unpack, f"doc_id long, start long, n_tokens long, {last}")
 
 
