@@ -8,6 +8,7 @@ from detframe.operators import trackers as TR
 from detframe.operators import tracks as K
 from detframe.operators.logs import parameter_grid
 from detframe.queries import tables as T
+from detframe.queries.detection import ap_sql
 from detframe.queries.tables import area_sql, inter_sql, iou_sql, with_tables
 
 COORDS = ("x1", "y1", "x2", "y2")
@@ -156,6 +157,37 @@ def linked_tracks(spark, sf):
     return K.link_tracks(cut, cost, 25.0)
 
 
+LINKED_SQL = LINK_SQL.replace("WITH", "WITH RECURSIVE", 1).replace(" SELECT z.video_id, z.track_id", ", cd AS (SELECT z.video_id, z.track_id", 1).replace(
+    "round(sqrt(power(a.cx - z.cx, 2) + power(a.cy - z.cy, 2)), 6) AS dist", "sqrt(power(a.cx - z.cx, 2) + power(a.cy - z.cy, 2)) AS dist") + """),
+ k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY dist, next_id, track_id) AS r FROM cd),
+ w AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS t, CAST([] AS BIGINT[]) AS n FROM k
+   UNION ALL SELECT w.video_id, k.r, CASE WHEN list_contains(t, k.track_id) OR list_contains(n, k.next_id) THEN t ELSE list_append(t, k.track_id) END,
+     CASE WHEN list_contains(t, k.track_id) OR list_contains(n, k.next_id) THEN n ELSE list_append(n, k.next_id) END FROM w JOIN k ON k.video_id = w.video_id AND k.r = w.r + 1),
+ f AS (SELECT w.video_id, unnest(t) AS prev, unnest(n) AS track_id FROM w JOIN (SELECT video_id, max(r) AS r FROM k GROUP BY video_id) e ON e.video_id = w.video_id AND e.r = w.r),
+ ch AS (SELECT DISTINCT video_id, track_id, track_id AS root_id FROM c
+   UNION ALL SELECT ch.video_id, ch.track_id, f.prev FROM ch JOIN f ON f.video_id = ch.video_id AND f.track_id = ch.root_id)
+ SELECT video_id, track_id, root_id FROM ch ANTI JOIN f ON f.video_id = ch.video_id AND f.track_id = ch.root_id"""
+
+
+VIDEO_AP_SQL = TUBE_SQL.replace("WITH", "WITH RECURSIVE", 1).replace(" SELECT video_id, gt_track, pred_track, round(i / (a + b - i), 6) AS iou FROM i", ", tu AS (SELECT video_id, gt_track, pred_track, i / (a + b - i) AS iou FROM i") + """),
+ v AS (SELECT video_id, track_id, category_id, count(*) AS n, sum(score) AS s FROM pred_tracks GROUP BY ALL),
+ re AS (SELECT video_id, track_id, sum(s) / sum(n) AS score, first(category_id ORDER BY n DESC, category_id) AS category_id FROM v GROUP BY ALL),
+ truth AS (SELECT DISTINCT video_id, track_id, category_id FROM gt_tracks),
+ pr AS (SELECT tu.video_id, re.category_id, re.track_id, re.score, list(tu.gt_track ORDER BY tu.iou DESC, tu.gt_track) AS cands
+   FROM tu JOIN re ON re.video_id = tu.video_id AND re.track_id = tu.pred_track
+   JOIN truth ON truth.video_id = tu.video_id AND truth.track_id = tu.gt_track AND truth.category_id = re.category_id WHERE tu.iou >= 0.5 GROUP BY ALL),
+ k AS (SELECT *, row_number() OVER (PARTITION BY video_id, category_id ORDER BY score DESC, track_id) AS r FROM pr),
+ w AS (SELECT DISTINCT video_id, category_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS track_id, false AS hit FROM k
+   UNION ALL SELECT k.video_id, k.category_id, k.r, CASE WHEN len(list_filter(k.cands, lambda x: NOT list_contains(w.used, x))) > 0
+       THEN list_append(w.used, list_filter(k.cands, lambda x: NOT list_contains(w.used, x))[1]) ELSE w.used END,
+     k.track_id, len(list_filter(k.cands, lambda x: NOT list_contains(w.used, x))) > 0
+   FROM w JOIN k ON k.video_id = w.video_id AND k.category_id = w.category_id AND k.r = w.r + 1),
+ flags AS (SELECT re.category_id, re.score, re.video_id * 4294967296 + re.track_id AS det_id, CASE WHEN w.hit THEN 1 ELSE 0 END AS tp, CASE WHEN w.hit THEN 0 ELSE 1 END AS fp
+   FROM re LEFT JOIN w ON w.video_id = re.video_id AND w.category_id = re.category_id AND w.track_id = re.track_id),
+ npos AS (SELECT category_id, count(*) AS num_gts FROM truth GROUP BY category_id)""" + ap_sql() + """
+ SELECT category_id, num_gts, num_dets, round(ap, 6) AS ap FROM aps"""
+
+
 def _dets(spark, sf):
     return T.pred_tracks(spark, sf).select("video_id", "frame_id", "det_id", *COORDS, "score", "category_id")
 
@@ -207,4 +239,6 @@ ORACLES = {
     "tube_overlaps": TUBE_SQL,
     "track_results": TRACK_RESULTS_SQL,
     "link_candidates": LINK_SQL,
+    "linked_tracks": LINKED_SQL,
+    "video_average_precision": VIDEO_AP_SQL,
 }
