@@ -9,7 +9,6 @@ its passages are streamed against it by backward search, which reports the windo
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detframe.llm.common import land, raw, word_pieces
+from detframe.llm.common import land, raw, sliced, small_batches, word_pieces
 from detframe.llm.fmindex import FMIndex, earlier_windows
 
 WINDOW, GRAM = 50, 6
 #: Words of passages in one index, about; anchors with more of them are split into blocks.
-SHARD_WORDS = 400_000
-PIECE_WORDS, GROUP_BYTES, REMEMBERED = 1 << 18, 1 << 22, 1 << 20
+SHARD_WORDS = 200_000
+PIECE_WORDS, REMEMBERED = 1 << 17, 1 << 17
 #: Documents are told apart by a bitmap of this fixed number of bits before their texts are moved; joins decide.
 FILTER_BITS = 23
 
@@ -33,21 +32,17 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _POSITION = np.uint64((1 << 20) - 1)
 
 
-class WordCodes:
+class WordCodes(dict):
     """64-bit codes of words, each distinct word hashed once."""
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-        self.codes = array("Q")
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = xxhash.xxh64_intdigest(word, seed=11)
+        return code
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.__init__()
-        known = self.known
-        for word in set(words).difference(known):
-            known[word] = len(self.codes)
-            self.codes.append(xxhash.xxh64_intdigest(word, seed=11))
-        return np.array(self.codes, np.uint64)[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 _codes = WordCodes()
@@ -59,7 +54,7 @@ def _powers(n: int, of: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-_POWER = _powers(PIECE_WORDS + (GROUP_BYTES >> 1) + 1, int(_ODD))
+_POWER = _powers(3 * PIECE_WORDS + 2 * WINDOW, int(_ODD))  # a group, and one more piece of two-byte words
 _INVERSE = _powers(len(_POWER), pow(int(_ODD), -1, 1 << 64))
 
 
@@ -116,7 +111,7 @@ def _slices(texts: list[bytes | None]) -> Iterator[list[tuple[int, int, list[byt
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), raw(batch.column(1))
         for group in _slices(texts):
             sizes = [len(w) for _, _, w in group]
@@ -161,7 +156,7 @@ def _pack_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the passages listed with each document."""
-    for batch in batches:
+    for batch in sliced(batches, 200):
         texts = raw(batch.column(1))
         out = {k: [] for k in ("anchor", "content", "least", "shard", "indexed", "words")}
         for doc, text, mark, listed in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
@@ -195,7 +190,7 @@ def _search(table: pa.Table) -> pa.Table:
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 200):
         ids, texts = batch.column(0), raw(batch.column(1))
         listed = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(texts)
         total, removed, digests = [], [], []
@@ -274,7 +269,7 @@ def deduplicated(docs: DataFrame, shard_words: int = SHARD_WORDS, filter_bits: i
     own text, and never against one another; a null doc_id is neither judged nor held against others. Other columns are
     not read; an empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spans = land(repeated_spans(docs, shard_words, filter_bits))
     near, far = _filter_docs(docs, spans, filter_bits)
     listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("mark", "first", "last")).alias("spans"))  # spans of one document
