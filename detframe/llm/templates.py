@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detframe.llm.common import land, raw
+from detframe.llm.common import land, raw, sliced, small_batches
 
 #: Tokens of a window; items shorter than that are matched whole, from SHORTEST tokens on.
 WINDOW, SHORTEST = 13, 6
@@ -26,7 +26,7 @@ LITERAL_SHARE = 0.5
 #: The prefilter is a bitmap of this many bits whatever the benchmark's size; the join decides.
 FILTER_BITS = 22
 #: Bytes of text that are canonicalised together, and words a worker remembers.
-GROUP_BYTES, REMEMBERED = 1 << 22, 1 << 20
+GROUP_BYTES, REMEMBERED = 1 << 22, 1 << 18
 
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 # Unit words that become a placeholder behind a number.
@@ -50,11 +50,22 @@ def _code(literal: str) -> int:
 _PLACEHOLDER = np.array([0, _code("<number>"), _code("<unit>"), _code("<name>")], np.uint64)  # no word keeps its angle brackets
 
 
+class _Known(dict):
+    """Word numbers; a new word is added to its lexicon."""
+
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
+
+    def __missing__(self, word: bytes) -> int:
+        return self.add(word)
+
+
 class Lexicon:
     """Tokens of distinct words, worked out once; word numbers index flat arrays."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = _Known(self.add)
         self.first, self.count, self.ends = array("q"), array("b"), array("b")
         self.codes, self.kinds, self.values = array("Q"), array("b"), []
 
@@ -82,10 +93,7 @@ class Lexicon:
         return number
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        for word in set(words).difference(known):
-            self.add(word)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def table(self, name: str, kind: type) -> np.ndarray:
         """A copy, since the array behind it may grow."""
@@ -145,7 +153,7 @@ _lexicon = Lexicon()
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], Tokens]]:
     global _lexicon
-    for batch in batches:
+    for batch in sliced(batches):
         ids, texts, start = batch.column(0).to_pylist(), raw(batch.column(1)), 0
         while start < len(ids):
             stop, size = start, 0
@@ -188,7 +196,7 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 def matched_windows(docs: DataFrame, items: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Windows that a document and an item share: ``doc_id, item_id, doc_at, item_at, doc_slots, item_slots``."""
-    wanted = land(item_windows(items))
+    wanted = land(item_windows(small_batches(items)))
     place = F.shiftrightunsigned("h", 64 - filter_bits)
     places = wanted.select(place.alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)  # at most one per bit
     bitmap = np.zeros(1 << filter_bits, bool)
