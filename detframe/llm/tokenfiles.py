@@ -29,7 +29,7 @@ from detframe.llm.common import raw, sliced, small_batches
 from detframe.session import shared_dir
 
 TOKENIZER, END = "word_bpe_49k.json", 1
-#: Ids after which a block is closed (a document is never split), and words whose ids a worker remembers.
+#: Ids after which a block is closed (a document is never split), and pieces whose ids a worker remembers.
 BLOCK_IDS, REMEMBERED = 1 << 17, 1 << 18
 GROUP_BYTES = 1 << 22
 
@@ -113,7 +113,8 @@ class WordIds:
     _plain = regex.compile("[\x21-\x7e\u00c0-\u00ff]*")
     _plain_lines = regex.compile("[\n\x21-\x7e\u00c0-\u00ff]*")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
@@ -141,7 +142,7 @@ class WordIds:
 
     def words(self, vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
-        if len(self.pieces) > REMEMBERED:
+        if len(self.pieces) > self.remembered:
             self.forget()
         texts = [w.decode("utf-8", "replace") for w in vocabulary]
         if self.pattern and self._plain_lines.fullmatch("\n".join(texts)):
@@ -183,13 +184,14 @@ class WordIds:
         return flat[ragged((np.cumsum(sizes) - sizes)[at], n)], np.diff(total[np.r_[0, np.cumsum(counts)]])
 
 
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _encoders:
-        _encoders[path] = WordIds(path)
-    return _encoders[path]
+def word_ids(path: str, remembered: int = REMEMBERED) -> WordIds:
+    """One encoder per worker, kept over tasks."""
+    if (path, remembered) not in _encoders:
+        _encoders[path, remembered] = WordIds(path, remembered)
+    return _encoders[path, remembered]
 
 
 def grouped(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
