@@ -3,7 +3,8 @@
 Windows find their shard by content: the least hash of the short word grams of a window (its anchor) is the same wherever
 the window stands. All windows of one anchor occurrence are one passage. Passages whose anchor stands in two documents
 or more go to the shard of their anchor, equal passages behind one row with their least doc_id. A shard is one FM-index;
-its passages are streamed against it by backward search, which reports the windows that a smaller doc_id holds.
+its passages are streamed against it by backward search, which reports the windows that a smaller doc_id holds. Passages
+of an anchor that would fill a shard alone are matched by hashes of their windows instead, so no task holds them all.
 """
 
 from __future__ import annotations
@@ -158,31 +159,57 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the passages listed with each document."""
     for batch in sliced(batches, 200):
         texts = raw(batch.column(1))
-        out = {k: [] for k in ("anchor", "content", "least", "shard", "indexed", "words")}
+        out = {k: [] for k in ("anchor", "content", "least", "shard", "words")}
         for doc, text, mark, listed in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             if xxhash.xxh64_intdigest(text or b"", seed=42) != mark & (1 << 64) - 1:
                 continue  # another row with this doc_id
             words = (text or b"").split()
             for p in listed:
-                for name, value in (("anchor", p["anchor"]), ("content", p["content"]), ("least", doc), ("shard", p["shard"]), ("indexed", p["indexed"]),
+                for name, value in (("anchor", p["anchor"]), ("content", p["content"]), ("least", doc), ("shard", p["shard"]),
                                     ("words", b" ".join(words[p["start"]:p["start"] + p["n"]]))):
                     out[name].append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out["anchor"], pa.int64()), pa.array(out["content"], pa.int64()), pa.array(out["least"], pa.int64()),
-                                          pa.array(out["shard"], pa.string()), pa.array(out["indexed"], pa.bool_()), pa.array(out["words"], pa.binary())], list(out))
+                                          pa.array(out["shard"], pa.int64()), pa.array(out["words"], pa.binary())], list(out))
+
+
+def _window_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of passages, by a hash of 128 bits."""
+    for batch in sliced(batches, 200):
+        out = {k: [] for k in ("anchor", "content", "least", "at", "w")}
+        for anchor, content, least, text in zip(*(batch.column(k).to_pylist() for k in ("anchor", "content", "least", "words"))):
+            words = text.split()
+            for at in range(len(words) - WINDOW + 1):
+                for name, value in zip(out, (anchor, content, least, at, xxhash.xxh3_128_digest(b" ".join(words[at:at + WINDOW])))):
+                    out[name].append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
+
+
+def _crowded_runs(passages: DataFrame) -> DataFrame:
+    """What ``_search`` reports, for passages whose anchor has too many: only equal windows meet, and as aggregates."""
+    windows = land(passages.mapInArrow(_window_marks, "anchor long, content long, least long, at int, w binary"))
+    first = windows.groupBy("w").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").select("w", "low")
+    hit = windows.join(first, "w").where("low < least")
+    hits = hit.groupBy("anchor", "content", "least").agg(F.sort_array(F.collect_set("at")).alias("ats"))  # the windows of one passage
+    edges = f"""zip_with(filter(ats, x -> not array_contains(ats, x - 1)), filter(ats, x -> not array_contains(ats, x + 1)),
+                         (a, b) -> struct(a as first, b + {WINDOW} as last))"""
+    hits = hits.select("anchor", "content", "least", F.expr(edges).alias("runs"))
+    # a passage without a hit stays, since its copies go
+    whole = passages.select("anchor", "content", "least", F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("runs"))
+    return whole.unionByName(hits)
 
 
 def _search(table: pa.Table) -> pa.Table:
-    """One shard: index its passages, stream all that were sent to it, report runs of windows found under a smaller doc_id."""
+    """One shard: index its passages, stream them, report runs of windows found under a smaller doc_id."""
     words = [w.split() for w in table.column("words").to_pylist()]
-    least, indexed = table.column("least").to_numpy(), np.array(table.column("indexed").to_pylist(), bool)
+    least = table.column("least").to_numpy()
     number: dict[bytes, int] = {}
-    symbols = [np.fromiter((number.setdefault(w, len(number) + 1) for w in words[i]), np.int64, len(words[i])) for i in np.flatnonzero(indexed)]
+    symbols = [np.fromiter((number.setdefault(w, len(number) + 1) for w in ws), np.int64, len(ws)) for ws in words]
     owners = np.unique(least, return_inverse=True)[1]
     runs = [[] for _ in words]
     if symbols:
-        index = FMIndex(symbols, owners[indexed], len(number) + 1)
-        patterns = [np.fromiter((number.get(w, -1) for w in ws), np.int64, len(ws)) for ws in words]
-        for i, hit in enumerate(earlier_windows(index, patterns, owners, WINDOW)):
+        index = FMIndex(symbols, owners, len(number) + 1)
+        for i, hit in enumerate(earlier_windows(index, symbols, owners, WINDOW)):
             edges = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
             runs[i] = [{"first": int(a), "last": int(b) + WINDOW - 1} for a, b in zip(edges[0::2], edges[1::2])]
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -241,19 +268,21 @@ def repeated_spans(docs: DataFrame, shard_words: int = SHARD_WORDS, filter_bits:
     crowded = contents.groupBy("anchor").agg(F.sum("n").alias("words"))
     words = crowded.agg(F.sum("words")).first()[0] or 0
     shards = max(1, -(-words // shard_words))
-    crowded = crowded.where(F.col("words") > shard_words).select("anchor", F.ceil(F.col("words") / shard_words).cast("int").alias("blocks"))
-    # a crowded anchor is split into blocks: a passage is indexed in one of them and streamed against all
-    block = F.pmod(F.col("content"), F.col("blocks"))
-    dealt = contents.join(crowded, "anchor", "left").withColumn("own", block).withColumn(
-        "b", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    shard = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("string")).otherwise(
-        F.concat_ws("/", F.col("anchor").cast("string"), F.col("b").cast("string")))
-    listed = (dealt.select("doc_id", "mark", F.struct("anchor", "content", "start", "n", shard.alias("shard"), (F.col("blocks").isNull() | (F.col("own") == F.col("b"))).alias("indexed")).alias("p"))
-              .groupBy("doc_id", "mark").agg(F.collect_list("p").alias("listed")))  # passages of one document
-    near, _ = _filter_docs(docs, contents, filter_bits)
-    texts = near.join(listed, "doc_id").select("doc_id", "text", "mark", "listed").mapInArrow(
-        _cut, "anchor long, content long, least long, shard string, indexed boolean, words binary")
-    runs = texts.groupBy("shard").applyInArrow(_search, "anchor long, content long, least long, runs array<struct<first:int,last:int>>")
+    crowded = land(crowded.where(F.col("words") > shard_words).select("anchor"))
+
+    def cut(some: DataFrame) -> DataFrame:
+        near, _ = _filter_docs(docs, some, filter_bits)
+        passage = F.struct("anchor", "content", "start", "n", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+        listed = some.groupBy("doc_id", "mark").agg(F.collect_list(passage).alias("listed"))  # passages of one document
+        return near.join(listed, "doc_id").select("doc_id", "text", "mark", "listed").mapInArrow(
+            _cut, "anchor long, content long, least long, shard long, words binary")
+
+    # a crowded anchor's passages would fill a shard: their windows are matched by hash
+    many = not crowded.isEmpty()
+    runs = (cut(land(contents.join(crowded, "anchor", "left_anti")) if many else contents).groupBy("shard")
+            .applyInArrow(_search, "anchor long, content long, least long, runs array<struct<first:int,last:int>>"))
+    if many:
+        runs = runs.unionByName(_crowded_runs(land(cut(land(contents.join(crowded, "anchor", "left_semi"))))))
     runs = land(runs.groupBy("anchor", "content").agg(F.min("least").alias("least"), F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs")))
     everything = F.array(F.struct(F.lit(0).cast("int").alias("first"), F.col("n").alias("last")))
     span = F.explode(F.when(F.col("doc_id") > F.col("least"), everything).otherwise(F.col("runs"))).alias("s")
