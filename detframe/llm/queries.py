@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from detframe.llm import langid, lmscore, mixing, quality, simhash, slots, substrings, templates, tokenfiles, urllists
+from detframe.llm import langid, lmscore, mixing, quality, runs, simhash, slots, substrings, templates, tokenfiles, urllists
 from detframe.llm.common import documents
 
 
@@ -49,6 +49,10 @@ def op10_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_substring_fm_index": op1_substrings,
     "op2_attention_scores": op2_attention,
@@ -60,5 +64,6 @@ QUERIES = {
     "op8_risk_controlled_quality": op8_quality,
     "op9_temporal_url_lists": op9_url_lists,
     "op10_template_decontamination": op10_templates,
+    "op11_periodic_runs": op11_runs,
 }
 ORACLES: dict[str, str] = {"op9_temporal_url_lists": urllists.ORACLE}
