@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from detframe.llm import conversations, langid, lmscore, mixing, quality, runs, simhash, slots, substrings, templates, tokenfiles, urllists
+from detframe.llm import conversations, langid, linecrf, lmscore, mixing, quality, runs, simhash, slots, substrings, templates, tokenfiles, urllists
 from detframe.llm.common import documents
 
 
@@ -53,6 +53,10 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(documents(spark, sf_dir))
 
 
+def op12_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linecrf.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op9_temporal_url_lists": op9_url_lists,
     "op10_template_decontamination": op10_templates,
     "op11_periodic_runs": op11_runs,
+    "op12_line_crf_quality": op12_line_crf,
     "op13_conversation_repair": op13_conversations,
 }
 ORACLES: dict[str, str] = {"op9_temporal_url_lists": urllists.ORACLE}
