@@ -45,6 +45,17 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % divisor
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until no column (in any case) is named so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """Strings as their UTF-8 bytes, without decoding."""
     return column.cast(pa.binary()).to_pylist()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from detframe.llm.common import WORD, land
+from detframe.llm.common import WORD, land, unused
 
 #: A document is taken at most so often.
 MOST = 3
@@ -49,7 +49,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def _draw(seed: int, level: int, a: Column, b: Column) -> Column:
     """A number in [0, 1) from two rows."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), a["doc_id"], a["key"], b["doc_id"], b["key"]), 11) / float(1 << 53)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(level), a["doc_id"], a["key"], a["copy"], b["doc_id"], b["key"], b["copy"]), 11) / float(1 << 53)
 
 
 def _let(value: Column, then) -> Column:
@@ -90,17 +90,20 @@ def round_copies(rows: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFram
     """``rows`` (``source, doc_id, key, size, p, base``; size above 0, p in (0, 1)) with ``p`` rounded to 0.0 or 1.0.
 
     Per source the sum of size times p changes by less than one size. The last fractional document of a source is
-    rounded to the nearer side. A block is a hash bucket of about ``block`` rows, whatever the size of its source.
+    rounded to the nearer side. A block is a hash bucket of about ``block`` rows, whatever the size of its source; equal rows
+    are counted and numbered, so that they fall into different blocks.
     """
-    item = "struct<doc_id:bigint,key:bigint,size:bigint,base:int,p:double>"
-    fields = F.struct("doc_id", "key", "size", "base", "p").cast(item)
+    item = "struct<doc_id:bigint,key:bigint,copy:bigint,size:bigint,base:int,p:double>"
+    fields = F.struct("doc_id", "key", "copy", "size", "base", "p").cast(item)
+    counted = rows.groupBy("source", "doc_id", "key", "size", "base", "p").agg(F.count(F.lit(1)).alias("n"))
+    rows = land(counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n"))
     level, current, done = 0, rows, None
     groups = land(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("level")))  # one row per source
     largest = groups.agg(F.max("n")).first()[0] or 0
     while largest:
         blocks = F.ceil(F.col("n") / F.lit(float(block) ** (level + 1))).cast("long")
         dealt = current.join(groups.select(F.col("source").alias("named"), "n"), F.col("source").eqNullSafe(F.col("named")), "inner")
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 17 * level), "doc_id", "key"), blocks))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 17 * level), "doc_id", "key", "copy"), blocks))
         folded = (dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(fields)).alias("items"))
                   .select("source", F.aggregate("items", F.struct(F.lit(None).cast(item).alias("carry"), F.array().cast(f"array<{item}>").alias("done")),
                                                 _settle(seed, level)).alias("state")))
@@ -146,11 +149,12 @@ def mixed(docs: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with every row as often as the mix takes it (0 to 3 times); columns as given."""
     same = ["doc_id", "source", "key"]
+    doc_id, source, key, at, copies, text_key, place, again = unused(docs.columns, "_doc_id", "_source", "_key", "_at", "_copies", "_text_key", "_place", "_again")
     numbered = mixed(docs).withColumn("at", F.row_number().over(Window.partitionBy(*same).orderBy("copies"))).where("copies > 0")
-    numbered = numbered.select(*(F.col(c).alias(f"_{c}") for c in [*same, "at", "copies"]))
-    own = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
-    order = Window.partitionBy("doc_id", "source", "_text_key").orderBy(F.xxhash64(*docs.columns))
-    own = own.withColumn("_place", F.row_number().over(order))
-    meet = (F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
-            & (F.col("_text_key") == F.col("_key")) & (F.col("_place") == F.col("_at")))
-    return (own.join(numbered, meet).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns))
+    numbered = numbered.select(*(F.col(c).alias(name) for c, name in zip([*same, "at", "copies"], (doc_id, source, key, at, copies))))
+    own = docs.withColumn(text_key, F.xxhash64(F.col("text").cast("string")))
+    order = Window.partitionBy("doc_id", "source", text_key).orderBy(F.xxhash64(*docs.columns))
+    own = own.withColumn(place, F.row_number().over(order))
+    meet = (F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source))
+            & (F.col(text_key) == F.col(key)) & (F.col(place) == F.col(at)))
+    return own.join(numbered, meet).withColumn(again, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)

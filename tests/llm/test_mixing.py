@@ -82,3 +82,11 @@ def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mixed(empty).count() == 0 and mixing.mix(empty).columns == empty.columns
     assert mixing.mix(empty).count() == 0
+
+
+def test_many_equal_rows(spark):
+    rows = spark.range(100_000).select(F.lit("x").alias("p"), F.lit(5).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.lit("a").alias("source"), F.lit("_at").alias("_at"))
+    docs = rows.unionByName(spark.createDataFrame([("x", i, "w " * 50, "b", "y") for i in range(100, 500)], "p string, doc_id long, text string, source string, _at string"))
+    taken = mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("goal"), F.count("*").alias("rows")).collect()
+    assert {r.source: r.rows for r in taken} == {"a": 100_000, "b": 400} and all(abs(r.n - r.goal) <= 50 for r in taken)
+    assert mixing.mix(docs).columns == docs.columns
