@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from detframe.llm.common import remainder, small_batches
+from detframe.llm.common import remainder, small_batches, unused
 
 ORDER = 4
 UNDETERMINED = "und"
@@ -193,8 +193,8 @@ def train(labelled: DataFrame, documents: int = SAMPLE_DOCUMENTS, max_bytes: int
                  counts["n"].to_numpy(np.float64))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred, score`` (columns already so named are replaced)."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` and two more, which ``names`` names and ``docs`` must not have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,18 +202,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             clear = [bool(model.languages) and t is not None and _letter.search(t) is not None for t in texts]
-            names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            found, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             if any(clear):
                 at = [i for i, c in enumerate(clear) if c]
                 bits = code_lengths(model, [normal(texts[i]) for i in at])
                 best = bits.argmin(axis=1)
                 scores[at] = 1 / np.exp2(np.clip(bits.min(axis=1)[:, None] - bits, -1000, 0)).sum(axis=1)
                 for i, b in zip(at, best):
-                    names[i] = model.languages[b]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
-    docs = small_batches(docs).drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+                    found[i] = model.languages[b]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], [*batch.schema.names, *names])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def held_out() -> Column:
@@ -235,5 +234,5 @@ def identify(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
 def drop_undetermined(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that are rejected: those whose text is null, has no letter or fits no language."""
     model = train(docs.where(remainder("doc_id", 4) != 2))
-    found = predict(docs, model)
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(docs.columns)
+    names = unused(docs.columns, "lang_pred", "score")
+    return predict(docs, model, tuple(names)).where(F.col(names[0]) != UNDETERMINED).select(docs.columns)

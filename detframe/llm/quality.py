@@ -149,7 +149,9 @@ def calibrate(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: flo
     """Level of each stratum from the good labelled rows among ``rows`` that pass the base rules. What reaches the driver
     are counts by stratum and level."""
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    counts = rows.where(~base_failed()).join(good, "doc_id", "left_semi").groupBy("stratum", trigger_level().alias("level")).count().collect()
+    # One trial per labelled document: rows that share an id count once, by the strictest of their rows.
+    trials = rows.where(~base_failed()).join(good, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(trigger_level().alias("level"), "stratum")).alias("x"))
+    counts = trials.groupBy("x.stratum", "x.level").count().collect()
     strata = sorted({r.stratum for r in counts})
     out = {}
     for s in strata:

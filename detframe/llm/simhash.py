@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detframe.llm.common import land, raw, small_batches, word_pieces
+from detframe.llm.common import land, raw, small_batches, unused, word_pieces
 from detframe.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -167,6 +167,14 @@ def near_links(points: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame
     return links.unionByName(_hot_links(points, crowded)) if hot else links
 
 
+def _same_id(fps: DataFrame, points: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the nodes of different fingerprints that one doc_id has."""
+    several = fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("hub"), F.max("fp").alias("most")).where("hub <> most")
+    pairs = fps.join(several, "doc_id").where("fp <> hub").select("fp", "hub").distinct()
+    named = pairs.join(points.select("fp", F.col("node").alias("a")), "fp")
+    return named.join(points.select(F.col("fp").alias("hub"), F.col("node").alias("b")), "hub").select("a", "b").where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs`` (``doc_id``, ``text``; other columns are not read).
 
@@ -178,15 +186,22 @@ def near_duplicates(docs: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFr
     """
     fps = land(fingerprints(docs))
     points = land(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    links = near_links(points.where("node is not null"), bucket_limit)
+    links = near_links(points.where("node is not null"), bucket_limit).unionByName(_same_id(fps, points))
     roots = connected_components(links)
     named = points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document (the smallest doc_id) of each group; columns as given. Rows without a doc_id stay."""
+    """``docs`` with one document (the smallest doc_id) of each group; columns as given. Rows without a doc_id stay.
+
+    Of rows that share a doc_id the one with the least hash over its columns stays."""
     groups = near_duplicates(docs)
     gone = groups.where("doc_id > component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    h, least, same = unused(docs.columns, "_hash", "_least", "_id")
+    known = docs.where("doc_id is not null").withColumn(h, F.xxhash64(*docs.columns))
+    shared = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias(least)).where("n > 1").select(F.col("doc_id").alias(same), least)
+    kept = known.join(gone, "doc_id", "left_anti").join(shared, F.col("doc_id") == F.col(same), "left")
+    alone = kept.where(F.col(least).isNull()).select(docs.columns)
+    first = kept.where(F.col(least) == F.col(h)).select(docs.columns).dropDuplicates(["doc_id"])
+    return alone.unionByName(first).unionByName(docs.where("doc_id is null"))

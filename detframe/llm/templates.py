@@ -298,6 +298,12 @@ def contaminated(docs: DataFrame, items: DataFrame, filter_bits: int = FILTER_BI
                                               F.max("changed").cast("long").alias("n_changed"), (F.min("changed") == 0).alias("verbatim")))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; columns as given. Rows without a doc_id stay."""
+#: An item must have so many letters and digits before a document is dropped for it; shorter ones are common phrases.
+LEAST_CHARACTERS = 16
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_CHARACTERS) -> DataFrame:
+    """``docs`` without the documents that hold a window of an item with at least ``least`` letters and digits; columns as given.
+    Rows without a doc_id stay."""
+    items = items.where(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]")) >= least)
     return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

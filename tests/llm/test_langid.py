@@ -79,3 +79,11 @@ def test_held_out_accuracy(spark, sf):
     docs = documents(spark, sf)
     got = langid.identify(docs).join(docs, "doc_id").where("held_out").select("lang", "lang_pred", "score").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_columns_named_like_predictions_stay(spark):
+    rows = [(77.0, i, "abc abd abc" if i % 2 else "xyz xyy", "aa" if i % 2 else "bb", "mine") for i in range(8)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("source", "Lang_Pred")
+    df = df.withColumnRenamed(df.columns[0], "score")
+    kept = langid.drop_undetermined(df)
+    assert kept.columns == df.columns and {(r.score, r.Lang_Pred) for r in kept.collect()} == {(77.0, "mine")}

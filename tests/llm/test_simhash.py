@@ -79,3 +79,12 @@ def test_long_texts_go_in_pieces():
     hashes = [xxhash.xxh64_intdigest(b" ".join(words[i:i + 3]), seed=42) for i in range(len(words) - 2)]
     want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
     assert simhash.fingerprint(text.encode()) & (2**64 - 1) == want
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b = "one two three four five six", "other words stand in this one here"
+    df = spark.createDataFrame([("c", 5, a, "x"), ("c", 5, b, "x"), ("c", 3, b, "y"), ("c", 9, a, "z"), ("c", 8, "nothing like the rest of it at all", "z")], SCHEMA)
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(3, 3), (5, 3), (5, 3), (8, 8), (9, 3)]
+    again = spark.createDataFrame([("c", 2, a, "x"), ("c", 2, b, "x"), ("c", 2, b, "x")], SCHEMA)
+    kept = [simhash.drop_near_duplicates(x).collect() for x in (again, again.repartition(5))]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
