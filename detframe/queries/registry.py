@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from detframe.queries import augment, convert, detection, greedy, live, metrics, records, sampling, suppression, tracking
+from detframe.queries import augment, convert, detection, greedy, instances, live, metrics, records, sampling, suppression, tracking
 
-MODULES = (detection, greedy, suppression, metrics, records, sampling, augment, tracking, convert, live)
+MODULES = (detection, greedy, suppression, metrics, instances, records, sampling, augment, tracking, convert, live)
 
 
 def queries() -> dict:
