@@ -198,10 +198,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of rows that share a doc_id the one with the least hash over its columns stays."""
     groups = near_duplicates(docs)
     gone = groups.where("doc_id > component_id").select("doc_id").distinct()
-    h, least, same = unused(docs.columns, "_hash", "_least", "_id")
-    known = docs.where("doc_id is not null").withColumn(h, F.xxhash64(*docs.columns))
-    shared = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias(least)).where("n > 1").select(F.col("doc_id").alias(same), least)
-    kept = known.join(gone, "doc_id", "left_anti").join(shared, F.col("doc_id") == F.col(same), "left")
-    alone = kept.where(F.col(least).isNull()).select(docs.columns)
-    first = kept.where(F.col(least) == F.col(h)).select(docs.columns).dropDuplicates(["doc_id"])
-    return alone.unionByName(first).unionByName(docs.where("doc_id is null"))
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
+    shared = land(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if not shared.isEmpty():
+        h, least, same = unused(docs.columns, "_hash", "_least", "_id")
+        several = kept.join(shared, "doc_id", "left_semi").select(*docs.columns, F.xxhash64(*docs.columns).alias(h))
+        first = several.groupBy(F.col("doc_id").alias(same)).agg(F.min(h).alias(least))
+        chosen = several.join(first, (F.col("doc_id") == F.col(same)) & (F.col(h) == F.col(least)), "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(shared, "doc_id", "left_anti").select(docs.columns).unionByName(chosen.select(docs.columns))
+    return kept.unionByName(docs.where("doc_id is null"))
