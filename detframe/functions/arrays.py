@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -101,3 +103,68 @@ def max_matching_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray,
             node = came[end]
             owner[end], matched[node], end = node, end, matched[node]
     return lefts[matched >= 0], rights[matched[matched >= 0]]
+
+
+def assign_sparse(left: np.ndarray, right: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Edges of a one-to-one assignment of greatest total gain over the edge list; nodes may stay free, at gain 0.
+
+    Left nodes enter one by one along a best augmenting path (Dijkstra over reduced gains), so memory is that of the edges.
+    """
+    use = np.flatnonzero(gain > 0)
+    lefts, li = np.unique(left[use], return_inverse=True)
+    rights, ri = np.unique(right[use], return_inverse=True)
+    out: list[list[tuple[int, float, int]]] = [[] for _ in lefts]
+    for e, (a, b) in enumerate(zip(li.tolist(), ri.tolist())):
+        out[a].append((b, float(gain[use[e]]), e))
+    n = len(lefts)
+    mine = [-1] * n             # edge of each left node
+    owner = [-1] * len(rights)  # left node of each right node
+    # Prices: profit[a] + price[b] >= gain everywhere, with equality on taken edges.
+    profit, price = [max(g for _, g, _ in edges) for edges in out], [0.0] * len(rights)
+    for start in range(n):
+        distance, came, settled = {start: 0.0}, {}, set()
+        reach: dict[int, float] = {}
+        heap = [(0.0, start)]
+        best, end, end_left = profit[start], -1, start  # staying free, or freeing the last left node on the path
+        while heap:
+            d, a = heapq.heappop(heap)
+            if a in settled:
+                continue
+            if d >= best:
+                break
+            settled.add(a)
+            if d + profit[a] < best:
+                best, end, end_left = d + profit[a], -1, a
+            for b, g, e in out[a]:
+                step = d + profit[a] + price[b] - g
+                if owner[b] == a or owner[b] in settled or (b in reach and reach[b] <= step):
+                    continue
+                reach[b] = step
+                came[b] = (a, e)
+                holder = owner[b]
+                if holder < 0:
+                    if step < best:
+                        best, end = step, b
+                elif holder not in distance or step < distance[holder]:
+                    distance[holder] = step
+                    heapq.heappush(heap, (step, holder))
+        for a, d in distance.items():
+            if d < best:
+                profit[a] -= best - d
+        for b, d in reach.items():
+            if d < best:
+                price[b] += best - d
+        if end < 0:
+            node = end_left
+            if node == start:
+                continue
+            end = ri[mine[node]]
+            mine[node] = -1
+        while True:
+            a, e = came[int(end)]
+            previous = mine[a]
+            mine[a], owner[int(end)] = e, a
+            if a == start:
+                break
+            end = ri[previous]
+    return use[np.array([e for e in mine if e >= 0], dtype=int)]
