@@ -5,10 +5,11 @@ The driver holds the few candidate shapes; every step is one aggregation over al
 
 from __future__ import annotations
 
-import random
-from collections.abc import Sequence
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from detframe.functions.hashing import hash_key
@@ -17,69 +18,92 @@ from detframe.session import cut_lineage
 Shape = tuple[float, float]
 
 
-def shape_iou(w: float, h: float) -> Column:
-    """Overlap of the row's box with a shape, both centred at the origin."""
-    inter = F.least(F.col("w"), F.lit(w)) * F.least(F.col("h"), F.lit(h))
-    return inter / (F.col("w") * F.col("h") + F.lit(w * h) - inter)
-
+def _sizes(boxes: DataFrame) -> DataFrame:
+    """Distinct shapes with their number of boxes: rounds read these only."""
+    sizes = boxes.select((F.col("x2") - F.col("x1")).cast("double").alias("w"), (F.col("y2") - F.col("y1")).cast("double").alias("h")).where("w > 0 AND h > 0")
+    return cut_lineage(sizes.groupBy("w", "h").agg(F.count(F.lit(1)).alias("n")))
 
-def _best(shapes: Sequence[Shape]) -> Column:
-    return F.greatest(*[shape_iou(w, h) for w, h in shapes]) if len(shapes) > 1 else shape_iou(*shapes[0])
 
+def _overlaps(rows: pd.DataFrame, shapes: np.ndarray) -> np.ndarray:
+    """Overlap of every row with every shape (.., 2), both centred at the origin; an empty shape has 0."""
+    w, h = rows["w"].to_numpy(), rows["h"].to_numpy()
+    flat = shapes.reshape(-1, 2)
+    inter = np.minimum(w[:, None], flat[None, :, 0]) * np.minimum(h[:, None], flat[None, :, 1])
+    return (inter / ((w * h)[:, None] + (flat[:, 0] * flat[:, 1])[None] - inter)).reshape(len(rows), *shapes.shape[:-1])
 
-def _sizes(boxes: DataFrame) -> DataFrame:
-    return boxes.select("ann_id", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h")).where("w > 0 AND h > 0")
 
-
-def kmeans_anchors(boxes: DataFrame, k: int, seed: int = 0, rounds: int = 50) -> tuple[list[Shape], float]:
+def kmeans_anchors(boxes: DataFrame, k: int, seed: int = 0, rounds: int = 1000) -> tuple[list[Shape], float]:
     """(shapes by area, mean best overlap). A cluster's centre is the mean shape; an empty one becomes (0, 0).
 
-    Stops when the centres no longer change, or after ``rounds``.
+    Runs until the centres no longer change; ``rounds`` is a ceiling that raises. A round is one aggregation over the distinct shapes.
     """
-    data = cut_lineage(_sizes(boxes))
-    first = data.orderBy(hash_key(seed, F.col("ann_id")), "ann_id").limit(k).collect()  # k rows
-    shapes = [(r["w"], r["h"]) for r in first]
+    data = _sizes(boxes)
+    first = boxes.where("x2 > x1 AND y2 > y1").orderBy(hash_key(seed, F.col("ann_id")), "ann_id").limit(k).collect()  # k rows
+    shapes = np.zeros((k, 2))
+    shapes[:len(first)] = [(r["x2"] - r["x1"], r["y2"] - r["y1"]) for r in first]
+
+    def sums(now: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                over = _overlaps(rows, now)
+                found = pd.DataFrame({"c": over.argmax(axis=1), "n": rows["n"], "w": rows["w"] * rows["n"], "h": rows["h"] * rows["n"], "best": over.max(axis=1) * rows["n"]})
+                yield found.groupby("c", as_index=False).sum()
+        return data.mapInPandas(run, "c long, n long, w double, h double, best double").groupBy("c").agg(*[F.sum(x).alias(x) for x in ("n", "w", "h", "best")]).collect()  # at most k rows
+
     for _ in range(rounds):
-        scores = F.array(*[shape_iou(w, h) if w * h > 0 else F.lit(0.0) for w, h in shapes])
-        rows = data.groupBy(F.array_position(scores, F.array_max(scores)).alias("c")).agg(F.avg("w").alias("w"), F.avg("h").alias("h")).collect()
-        found = {r["c"] - 1: (r["w"], r["h"]) for r in rows}  # at most k rows
-        new = [found.get(i, (0.0, 0.0)) for i in range(k)]
-        if new == shapes:
-            break
+        rows = sums(shapes)
+        new = np.zeros((k, 2))
+        for r in rows:
+            new[r["c"]] = r["w"] / r["n"], r["h"] / r["n"]
+        if np.allclose(new, shapes, rtol=1e-12, atol=0):
+            total = sum(r["n"] for r in rows)
+            return sorted(map(tuple, new.tolist()), key=lambda s: s[0] * s[1]), sum(r["best"] for r in rows) / total if total else 0.0
         shapes = new
-    real = [s for s in shapes if s[0] * s[1] > 0]
-    return sorted(shapes, key=lambda s: s[0] * s[1]), data.agg(F.avg(_best(real))).first()[0]
+    raise RuntimeError(f"centres still move after {rounds} rounds")
 
 
-def evolve_anchors(boxes: DataFrame, k: int, generations: int = 20, population: int = 16, seed: int = 0, mix: float = 0.7,
-                   strength: tuple[float, float] = (0.5, 1.0)) -> tuple[list[Shape], float]:
-    """Differential evolution of ``k`` shapes for the mean best overlap.
+def evolve_anchors(boxes: DataFrame, k: int, generations: int = 1000, population: int = 15, seed: int = 0, mix: float = 0.7,
+                   strength: tuple[float, float] = (0.5, 1.0), tolerance: float = 1e-4) -> tuple[list[Shape], float]:
+    """Differential evolution of ``k`` shapes for the mean best overlap, with ``population`` members per parameter.
 
-    All trial vectors of a generation are scored in one pass over the boxes.
+    Runs until the spread of the members' overlaps is at most ``tolerance`` of their mean; ``generations`` is a ceiling.
+    All trial vectors of a generation are scored in one pass over the distinct shapes.
     """
-    data = cut_lineage(_sizes(boxes))
-    top = data.agg(F.max("w").alias("w"), F.max("h").alias("h")).first()
-    draw = random.Random(seed)
-    bounds = [top["w"], top["h"]] * k
-
-    def score(members: Sequence[Sequence[float]]) -> list[float]:
-        cols = [F.avg(_best(list(zip(m[0::2], m[1::2])))).alias(f"m{i}") for i, m in enumerate(members)]
-        return list(data.agg(*cols).first())
-
-    def clipped(v: float, top_: float) -> float:
-        return min(max(v, 1e-3), top_)
-
-    members = [[draw.uniform(1e-3, b) for b in bounds] for _ in range(population)]
+    data = _sizes(boxes)
+    top = data.agg(F.max("w").alias("w"), F.max("h").alias("h"), F.sum("n").alias("n")).first()
+    if not top["n"]:
+        return [], 0.0
+    draw = np.random.default_rng(seed)
+    bounds, size = np.array([top["w"], top["h"]] * k), population * 2 * k
+
+    def score(members: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(size)
+            for rows in batches:
+                for at in range(0, len(rows), 4096):
+                    part = rows.iloc[at:at + 4096]
+                    total += part["n"].to_numpy() @ _overlaps(part, members.reshape(size, k, 2)).max(axis=2)
+            yield pd.DataFrame({"m": np.arange(size), "s": total})
+        rows = data.mapInPandas(run, "m long, s double").groupBy("m").agg(F.sum("s").alias("s")).collect()  # one row per member
+        out = np.zeros(size)
+        for r in rows:
+            out[r["m"]] = r["s"] / top["n"]
+        return out
+
+    members = draw.uniform(1e-3, bounds, (size, 2 * k))
     fitness = score(members)
     for _ in range(generations):
-        best = members[max(range(population), key=fitness.__getitem__)]
-        trials = []
-        for m in members:
-            a, b = draw.sample(members, 2)
-            f, must = draw.uniform(*strength), draw.randrange(2 * k)
-            trials.append([clipped(best[j] + f * (a[j] - b[j]), bounds[j]) if draw.random() < mix or j == must else m[j] for j in range(2 * k)])
-        for i, value in enumerate(score(trials)):
-            if value > fitness[i]:
-                members[i], fitness[i] = trials[i], value
-    at = max(range(population), key=fitness.__getitem__)
-    return sorted(zip(members[at][0::2], members[at][1::2]), key=lambda s: s[0] * s[1]), fitness[at]
+        if fitness.std() <= tolerance * abs(fitness.mean()):
+            break
+        pick = np.array([draw.choice(size, 2, replace=False) for _ in range(size)])
+        mutant = members[fitness.argmax()] + draw.uniform(*strength) * (members[pick[:, 0]] - members[pick[:, 1]])
+        cross = draw.random((size, 2 * k)) < mix
+        cross[np.arange(size), draw.integers(2 * k, size=size)] = True
+        # What leaves the bounds is drawn anew.
+        mutant = np.where((mutant < 1e-3) | (mutant > bounds), draw.uniform(1e-3, bounds, mutant.shape), mutant)
+        trials = np.where(cross, mutant, members)
+        got = score(trials)
+        better = got > fitness
+        members[better], fitness[better] = trials[better], got[better]
+    best = members[fitness.argmax()].reshape(k, 2)
+    return sorted(map(tuple, best.tolist()), key=lambda s: s[0] * s[1]), float(fitness.max())

@@ -299,6 +299,33 @@ def copy_paste(df: DataFrame, runs: DataFrame, pasted: DataFrame, area_thr: floa
     return left.where(F.col("area") > area_thr).select(*by, "area")
 
 
+def pasted_objects(runs: DataFrame, pasted: DataFrame, box_shift: float = 10.0, area_thr: float = 300.0, height: str = "height") -> DataFrame:
+    """Objects of images after others were pasted over them: ``image_id, ann_id, pasted, x1, y1, x2, y2, area``.
+
+    ``runs`` and ``pasted`` are masks ``(image_id, ann_id, start, length, height)``, the second already under the image they are pasted
+    on. A covered object keeps what is left of its mask and the box of that; it stays if no side of its box moved by more than
+    ``box_shift`` or if more than ``area_thr`` pixels are left, and goes if nothing is left. Pasted objects are whole.
+    """
+    from detframe.operators.segments import run_boxes, run_intersections, subtract_runs, union_runs
+
+    by = ["image_id", "ann_id"]
+    cover = union_runs(pasted, ["image_id"])
+    hidden = run_intersections(runs, cover, ["ann_id"])
+    touched = hidden.select(*by).distinct()
+    whole = run_boxes(runs, by, height)
+    rest = subtract_runs(runs.join(touched, by, "left_semi"), hidden, by)
+    size = runs.groupBy("image_id").agg(F.max(height).alias(height))
+    after = run_boxes(rest.join(size, "image_id"), by, height)
+    before = whole.join(touched, by, "left_semi").select(*by, *[F.col(c).alias(f"_{c}") for c in B.COORDS])
+    near = F.lit(True)
+    for c in B.COORDS:
+        near = near & (F.abs(F.col(c) - F.col(f"_{c}")) <= box_shift)
+    columns = [*by, *B.COORDS, "area"]
+    left = after.join(before, by).where(near | (F.col("area") > area_thr)).select(*columns)
+    kept = whole.join(touched, by, "left_anti").select(*columns).unionByName(left).withColumn("pasted", F.lit(False))
+    return kept.unionByName(run_boxes(pasted, by, height).select(*columns).withColumn("pasted", F.lit(True)))
+
+
 def random_choice(df: DataFrame, policies: Sequence[Callable[[DataFrame], DataFrame]], seed: int, weights: Sequence[float] | None = None) -> DataFrame:
     """Each image goes through one policy; adds ``policy``. Branches are narrow, so the union is one pass per policy."""
     weights = list(weights or [1.0] * len(policies))

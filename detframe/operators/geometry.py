@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detframe.functions.boxes import angle_mod60
+from detframe.operators.assignment import least_cost_pairs
 from detframe.plans.grouped import scan_groups
 
 
@@ -155,23 +156,9 @@ def largest(stats: DataFrame, n: int, by: Sequence[str], value: str, ident: str)
 def match_instances(truth: DataFrame, pred: DataFrame, cost: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """One-to-one pairs of least total cost per image over ``cost(keys.., a_id, b_id, cost)``.
 
-    The candidate list is sparse: pairs that are not listed are never matched. Images are bounded groups.
+    The candidate list is sparse: pairs that are not listed are never matched. As many pairs as possible are taken.
     """
-    from detframe.functions.arrays import assign_min_cost
-
-    kinds = dict(cost.dtypes)
-
-    def assign(rows):
-        a, ai = np.unique(rows["a_id"], return_inverse=True)
-        b, bi = np.unique(rows["b_id"], return_inverse=True)
-        matrix = np.full((len(a), len(b)), 1e9)
-        matrix[ai, bi] = rows["cost"]
-        i, j = assign_min_cost(matrix)
-        ok = matrix[i, j] < 1e9
-        return {"a_id": a[i[ok]], "b_id": b[j[ok]], "cost": matrix[i[ok], j[ok]]}
-
-    found = scan_groups(cost.select(*keys, "a_id", "b_id", "cost"), list(keys), ["a_id", "b_id"], assign,
-                        ", ".join(f"{k} {kinds[k]}" for k in keys) + ", a_id long, b_id long, cost double")
+    found = least_cost_pairs(cost, keys)
     return found.join(truth.select("a_id"), "a_id", "left_semi").join(pred.select("b_id"), "b_id", "left_semi")
 
 

@@ -292,3 +292,13 @@ def remap_labels(runs: DataFrame, table: DataFrame, default: int | None = None)
     out = runs.join(table, runs.label == table.old, "left").drop("old", "label")
     fill = F.col("new") if default is None else F.coalesce("new", F.lit(default).cast("long"))
     return out.withColumn("label", fill).drop("new")
+
+
+def run_intersections(a: DataFrame, b: DataFrame, left: Sequence[str], keys: Sequence[str] = ("image_id",), block: int = BLOCK) -> DataFrame:
+    """Common pixels as runs ``(keys.., left.., start, length)``; runs of ``b`` must not overlap each other inside a key."""
+    keys = list(keys)
+    x = _blocked(a, block).select(*keys, "_b", *left, F.col("start").alias("_s1"), (F.col("start") + F.col("length")).alias("_e1"))
+    y = _blocked(b, block).select(*keys, "_b", F.col("start").alias("_s2"), (F.col("start") + F.col("length")).alias("_e2"))
+    base = F.col("_b") * F.lit(block)
+    low, high = F.greatest("_s1", "_s2", base), F.least("_e1", "_e2", base + F.lit(block))
+    return x.join(y, [*keys, "_b"]).where("_s1 < _e2 AND _s2 < _e1").where(low < high).select(*keys, *left, low.alias("start"), (high - low).alias("length"))

@@ -52,21 +52,32 @@ def velocity(tracks: DataFrame, steps: int = 3) -> DataFrame:
     return tracks.withColumn("vx", dx / norm).withColumn("vy", dy / norm)
 
 
-def smooth_tracks(tracks: DataFrame, tau: float = 10.0) -> DataFrame:
+def smooth_tracks(tracks: DataFrame, tau: float = 10.0, window: int = 512, halo: int = 128) -> DataFrame:
     """Gaussian-process smoothing of each coordinate over time, with a fixed length scale set by track length.
 
-    One track is one group: its kernel matrix is solved in numpy.
+    The scale shrinks with the rows of a track and stays at ``1 / tau`` from ``tau ** 3`` rows on. A kernel that narrow is
+    near the identity and its inverse falls off within a few frames, so longer tracks are solved in windows of ``window`` rows
+    that see ``halo`` rows on either side. No solve takes more than ``max(tau ** 3, window + 2 * halo)`` rows.
     """
+    longest = max(tau ** 3, window)
+    track, order = Window.partitionBy(*TRACK), Window.partitionBy(*TRACK).orderBy("frame_id")
+    rows = tracks.select(*TRACK, "frame_id", *B.COORDS, "score").withColumn("_n", F.count(F.lit(1)).over(track)).withColumn("_k", F.row_number().over(order) - 1)
+    mine, place = F.floor(F.col("_k") / window), F.col("_k") % window
+    near = F.array_compact(F.array(mine, F.when((place < halo) & (mine > 0), mine - 1),
+                                   F.when((place >= window - halo) & ((mine + 1) * window < F.col("_n")), mine + 1)))
+    cut = rows.withColumn("_own", F.when(F.col("_n") > longest, mine).otherwise(0)).withColumn(
+        "_w", F.explode(F.when(F.col("_n") > longest, near).otherwise(F.array(F.lit(0).cast("long")))))
 
     def smooth(rows):
         t = rows["frame_id"].astype(float)
-        scale = np.clip(tau * np.log(tau ** 3 / len(t)), 1 / tau, tau ** 2)
+        scale = np.clip(tau * np.log(tau ** 3 / rows["_n"][0]), 1 / tau, tau ** 2)
         kernel = np.exp(-0.5 * ((t[:, None] - t[None]) / scale) ** 2)
         fit = kernel @ np.linalg.solve(kernel + 1e-10 * np.eye(len(t)), np.stack([rows[c] for c in B.COORDS], axis=1))
-        return {"frame_id": rows["frame_id"], **{c: fit[:, i] for i, c in enumerate(B.COORDS)}, "score": rows["score"]}
+        own = rows["_own"] == rows["_w"]
+        return {"frame_id": rows["frame_id"][own], **{c: fit[own, i] for i, c in enumerate(B.COORDS)}, "score": rows["score"][own]}
 
-    return scan_groups(tracks.select(*TRACK, "frame_id", *B.COORDS, "score"), TRACK, ["frame_id"], smooth,
-                       "video_id long, track_id long, frame_id long, x1 double, y1 double, x2 double, y2 double, score double")
+    return scan_groups(cut.drop("_k"), [*TRACK, "_w"], ["frame_id"], smooth,
+                       "video_id long, track_id long, _w long, frame_id long, x1 double, y1 double, x2 double, y2 double, score double").drop("_w")
 
 
 def frame_pairs(gt: DataFrame, pred: DataFrame, min_overlap: float = 0.0) -> DataFrame:
@@ -269,15 +280,21 @@ def link_candidates(tracks: DataFrame, max_gap: int, max_dist: float) -> DataFra
     return near.select("video_id", "track_id", "next_id", "gap", "dist")
 
 
-def link_tracks(tracks: DataFrame, scored: DataFrame, limit: float) -> DataFrame:
-    """``(video_id, track_id, root_id)``: tracks joined one to one by ascending user-given ``scored.cost``.
+def link_tracks(tracks: DataFrame, scored: DataFrame, limit: float, least_cost: bool = False) -> DataFrame:
+    """``(video_id, track_id, root_id)``: tracks joined one to one, by ascending user-given ``scored.cost`` or, with
+    ``least_cost``, so that the summed cost with ``limit`` for every track left open is least.
 
     ``scored(video_id, track_id, next_id, cost)``. Chains are followed by joins that double in reach each round.
     """
+    from detframe.operators.assignment import least_cost_pairs
     from detframe.operators.greedy import match_by_value
 
-    pairs = scored.where(F.col("cost") <= limit).select("video_id", F.col("track_id").alias("det_id"), F.col("next_id").alias("ann_id"), (-F.col("cost")).alias("value"))
-    got = match_by_value(pairs, ["video_id"]).select("video_id", F.col("ann_id").alias("track_id"), F.col("det_id").alias("prev"))
+    if least_cost:
+        cost = scored.select("video_id", F.col("track_id").alias("a_id"), F.col("next_id").alias("b_id"), "cost")
+        got = least_cost_pairs(cost, ["video_id"], limit).select("video_id", F.col("b_id").alias("track_id"), F.col("a_id").alias("prev"))
+    else:
+        pairs = scored.where(F.col("cost") <= limit).select("video_id", F.col("track_id").alias("det_id"), F.col("next_id").alias("ann_id"), (-F.col("cost")).alias("value"))
+        got = match_by_value(pairs, ["video_id"]).select("video_id", F.col("ann_id").alias("track_id"), F.col("det_id").alias("prev"))
     jump = cut_lineage(got)
     while True:
         further = jump.alias("a").join(jump.alias("b"), (F.col("a.video_id") == F.col("b.video_id")) & (F.col("a.prev") == F.col("b.track_id")), "left").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from detframe.functions.hashing import hash_key_sql, uniform_sql
+from detframe.functions.hashing import hash_key_sql, uniform, uniform_sql
 from detframe.operators import augment as A
 from detframe.operators.segments import box_runs
 from detframe.queries import tables as T
@@ -238,6 +238,25 @@ COPY_PASTE_SQL = GT + """,
  GROUP BY image_id, ann_id HAVING count(*) > 300"""
 
 
+def pasted_objects(spark, sf):
+    """About half of the next image's boxes are pasted over those of each image."""
+    runs = box_runs(_boxes(spark, sf)).select("image_id", "ann_id", "start", "length", "height")
+    pasted = runs.where(uniform(271, F.col("ann_id")) < 0.5).withColumn("image_id", F.col("image_id") - 1)
+    out = A.pasted_objects(runs, pasted.join(runs.select("image_id").distinct(), "image_id", "left_semi"))
+    return out.select("image_id", "ann_id", "pasted", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], "area")
+
+
+PASTED_SQL = GT + f""",
+ px AS (SELECT image_id, ann_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (SELECT *, unnest(range(CAST(y1 AS BIGINT), CAST(y2 AS BIGINT))) AS y FROM (
+   SELECT image_id, ann_id, y1, y2, unnest(range(CAST(x1 AS BIGINT), CAST(x2 AS BIGINT))) AS x FROM gt) t) u),
+ src AS (SELECT image_id - 1 AS image_id, ann_id, x1, y1, x2, y2 FROM gt WHERE {uniform_sql(271, 'ann_id')} < 0.5 AND image_id - 1 IN (SELECT image_id FROM gt)),
+ top AS (SELECT DISTINCT s.image_id, x, y FROM src s JOIN px USING (ann_id)),
+ rest AS (SELECT image_id, ann_id, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2, count(*) AS area FROM px ANTI JOIN top USING (image_id, x, y) GROUP BY ALL)
+ SELECT r.image_id, r.ann_id, false AS pasted, r.x1, r.y1, r.x2, r.y2, r.area FROM rest r JOIN gt g USING (ann_id)
+ WHERE r.area > 300 OR (abs(r.x1 - g.x1) <= 10 AND abs(r.y1 - g.y1) <= 10 AND abs(r.x2 - g.x2) <= 10 AND abs(r.y2 - g.y2) <= 10)
+ UNION ALL SELECT image_id, ann_id, true, x1, y1, x2, y2, CAST((x2 - x1) * (y2 - y1) AS BIGINT) FROM src"""
+
+
 def random_policy(spark, sf):
     """Half of the images are shifted, half are padded onto a canvas."""
     out = A.random_choice(_boxes(spark, sf), [lambda d: A.translate(d, 0.3, "y", 53), lambda d: A.expand(d, 1.0, 4.0, 0.5, 31)], 111)
@@ -270,7 +289,7 @@ EXPANSION_SQL = _warp_sql(GT + f""",
 
 QUERIES = {f.__name__: f for f in (
     random_flip, random_rotate, random_crop, min_iou_crop, expanded_canvas, random_shift, resized_boxes, sheared_boxes,
-    translated_boxes, random_affine, mosaic, mixup, erased_boxes, center_crop_pad, copy_paste, random_policy, multi_branch,
+    translated_boxes, random_affine, mosaic, mixup, erased_boxes, center_crop_pad, copy_paste, pasted_objects, random_policy, multi_branch,
     dataset_expansion)}
 
 
@@ -295,6 +314,7 @@ ORACLES = {
     "erased_boxes": ERASE_SQL,
     "center_crop_pad": CENTER_CROP_SQL,
     "copy_paste": COPY_PASTE_SQL,
+    "pasted_objects": PASTED_SQL,
     "random_policy": "WITH " + _sub("moved", TRANSLATE_SQL) + ", " + _sub("padded", EXPAND_SQL) + f"""
  SELECT image_id, ann_id, x1, y1, x2, y2, CAST(0 AS BIGINT) AS policy FROM moved WHERE {uniform_sql(111, 'image_id')} < 0.5
  UNION ALL SELECT image_id, ann_id, x1, y1, x2, y2, 1 FROM padded WHERE {uniform_sql(111, 'image_id')} >= 0.5""",

@@ -35,24 +35,28 @@ def _by_class(spark, sf):
 
 
 def class_aware_sample(spark, sf):
-    return S.class_aware(_by_class(spark, sf).where("category_id <> 3 OR image_id % 4 = 0"), 4000, 2, 5)
+    """Class 3 is spread over four classes, which are small enough to start over."""
+    spread = F.when(F.col("category_id") == 3, 3 + 5 * (F.col("image_id") % 4)).otherwise(F.col("category_id"))
+    return S.class_aware(_by_class(spark, sf).withColumn("category_id", spread), 4000, 2, 5)
 
 
 CLASS_AWARE_SQL = with_tables("gt") + f""",
- bc AS (SELECT DISTINCT category_id, image_id FROM gt WHERE category_id <> 3 OR image_id % 4 = 0),
+ bc AS (SELECT DISTINCT CASE WHEN category_id = 3 THEN 3 + 5 * (image_id % 4) ELSE category_id END AS category_id, image_id FROM gt),
  rk AS (SELECT *, {_rank(5, 'image_id', 'category_id')} AS rank, count(*) OVER (PARTITION BY category_id) AS size FROM bc),
  cl AS (SELECT category_id, size, row_number() OVER (ORDER BY {hash_key_sql(6, 'category_id')}, category_id) - 1 AS turn FROM (SELECT DISTINCT category_id, size FROM rk)),
- dr AS (SELECT position, position // 2 % 5 AS turn, position // 10 * 2 + position % 2 AS nth FROM (SELECT unnest(range(4000)) AS position))
+ dr AS (SELECT position, position // 2 % 8 AS turn, position // 16 * 2 + position % 2 AS nth FROM (SELECT unnest(range(4000)) AS position))
  SELECT position, rk.category_id, image_id FROM dr JOIN cl USING (turn) JOIN rk ON rk.category_id = cl.category_id AND rk.rank = nth % cl.size + 1"""
 
 
 def repeat_factors(spark, sf):
-    rare = _by_class(spark, sf).where("category_id < 2 OR image_id % (category_id * 10) = 0")
+    """Classes 2 to 4 are spread over 20, 30 and 40 classes each, which are rare."""
+    c = F.col("category_id")
+    rare = _by_class(spark, sf).withColumn("category_id", F.when(c >= 2, c + 5 * (F.col("image_id") % (c * 10))).otherwise(c))
     return S.repeat_factors(rare, 0.2, 9).withColumn("factor", F.round("factor", 9))
 
 
 REPEAT_SQL = with_tables("gt") + f""",
- bc AS (SELECT DISTINCT category_id, image_id FROM gt WHERE category_id < 2 OR image_id % (category_id * 10) = 0),
+ bc AS (SELECT DISTINCT CASE WHEN category_id >= 2 THEN category_id + 5 * (image_id % (category_id * 10)) ELSE category_id END AS category_id, image_id FROM gt),
  f AS (SELECT category_id, greatest(1, sqrt(0.2 / (count(*) / CAST((SELECT count(DISTINCT image_id) FROM bc) AS DOUBLE)))) AS r FROM bc GROUP BY 1),
  im AS (SELECT image_id, max(r) AS factor FROM bc JOIN f USING (category_id) GROUP BY 1)
  SELECT image_id, round(factor, 9) AS factor, unnest(range(1, CAST(floor(factor) AS BIGINT) + 1 + CASE WHEN {uniform_sql(9, 'image_id')} < factor - floor(factor) THEN 1 ELSE 0 END)) AS copy FROM im"""
@@ -162,14 +166,16 @@ REFERENCE_SQL = IMG + f""",
 
 
 def label_prompts(spark, sf):
-    some = _by_class(spark, sf).where("(image_id + category_id) % 3 <> 0")
+    """On even images classes 1 and 3 are taken for the one below, which leaves classes that are absent."""
+    c = F.col("category_id")
+    some = _by_class(spark, sf).withColumn("category_id", F.when(F.col("image_id") % 2 == 0, c - c % 2).otherwise(c)).distinct()
     out = S.label_prompts(some, T.categories(spark, sf).withColumn("name", F.expr("trim(repeat(concat(name, ' '), cast(category_id + 1 as int)))")), 2, 14, 31)
     return out.select("image_id", "category_id", "positive", F.col("label").cast("long").alias("label"))
 
 
 # the region with key 4 has a name of two words; a draw moves up past each place in use
 PROMPTS_SQL = with_tables("gt", "categories") + f""",
- bc AS (SELECT DISTINCT category_id, image_id FROM gt WHERE (image_id + category_id) % 3 <> 0),
+ bc AS (SELECT DISTINCT CASE WHEN image_id % 2 = 0 THEN category_id - category_id % 2 ELSE category_id END AS category_id, image_id FROM gt),
  w AS (SELECT category_id, (len(string_split(name, ' '))) * (category_id + 1) + 1 AS cost, row_number() OVER (ORDER BY category_id) - 1 AS place FROM categories),
  po AS (SELECT image_id, category_id, cost, true AS positive, row_number() OVER (PARTITION BY image_id ORDER BY {hash_key_sql(31, 'image_id', 'category_id')}, category_id) AS r
    FROM bc JOIN w USING (category_id)),

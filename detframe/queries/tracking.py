@@ -157,6 +157,12 @@ def linked_tracks(spark, sf):
     return K.link_tracks(cut, cost, 25.0)
 
 
+def least_cost_tracks(spark, sf):
+    cut = T.gt_tracks(spark, sf).withColumn("track_id", F.col("track_id") * 2 + (F.col("frame_id") >= 5).cast("long"))
+    cost = K.link_candidates(cut, 4, 25.0).withColumn("cost", F.col("dist") + 2 * F.col("gap"))
+    return K.link_tracks(cut, cost, 25.0, least_cost=True)
+
+
 LINKED_SQL = LINK_SQL.replace("WITH", "WITH RECURSIVE", 1).replace(" SELECT z.video_id, z.track_id", ", cd AS (SELECT z.video_id, z.track_id", 1).replace(
     "round(sqrt(power(a.cx - z.cx, 2) + power(a.cy - z.cy, 2)), 6) AS dist", "sqrt(power(a.cx - z.cx, 2) + power(a.cy - z.cy, 2)) AS dist") + """),
  k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY dist, next_id, track_id) AS r FROM cd),
@@ -228,7 +234,7 @@ def tracker_sweep(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     interpolated_tracks, track_gaps, track_velocity, smoothed_tracks, shared_frames, track_alignment, tracking_errors, clear_summary,
-    identity_summary, hota, tube_overlaps, video_average_precision, track_results, link_candidates, linked_tracks, byte_tracks, sort_tracks,
+    identity_summary, hota, tube_overlaps, video_average_precision, track_results, link_candidates, linked_tracks, least_cost_tracks, byte_tracks, sort_tracks,
     observation_tracks, appearance_tracks, similarity_tracks, tracker_sweep)}
 ORACLES = {
     "interpolated_tracks": INTERPOLATED_SQL,

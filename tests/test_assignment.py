@@ -77,3 +77,37 @@ def test_components_match_a_walk(spark):
     got = pair_components(spark.createDataFrame(rows, "k long, a long, b long"), ["k"], "a", "b").select("k", "a", "component").distinct().collect()
     assert {(r.k, r.a): r.component for r in got} == want
     assert pair_components(spark.createDataFrame([], "k long, a long, b long"), ["k"], "a", "b").agg(F.count("*")).first()[0] == 0
+
+
+def test_matching_index_equals_a_dense_twin(spark):
+    from detframe.functions.arrays import pairwise_iou
+    from detframe.operators.greedy import max_matching_index
+
+    rng = np.random.default_rng(7)
+    gt, det = [], []
+    for im in range(6):
+        for k in range(8):
+            x, y = rng.integers(0, 40, 2)
+            gt.append((im * 100 + k, im, float(x), float(y), float(x + 20), float(y + 20), int(k > 5)))
+        for k in range(9):
+            x, y = np.array(gt[im * 8 + int(rng.integers(8))][2:4]) + rng.integers(-5, 6, 2)
+            det.append((im * 100 + k, im, float(x), float(y), float(x + 20), float(y + 20), float(rng.random())))
+    g = spark.createDataFrame(gt, "ann_id long, image_id long, x1 double, y1 double, x2 double, y2 double, ignore int")
+    d = spark.createDataFrame(det, "det_id long, image_id long, x1 double, y1 double, x2 double, y2 double, score double")
+    got = {r.score_thr: r.ji for r in max_matching_index(d, g, [0.0, 0.4]).collect()}
+    for thr in (0.0, 0.4):
+        values = []
+        for im in range(6):
+            real = np.array([r[2:6] for r in gt if r[1] == im and not r[6]])
+            void = np.array([r[2:6] for r in gt if r[1] == im and r[6]])
+            mine = np.array([r[2:6] for r in det if r[1] == im and r[6] > thr])
+            excused = [(pairwise_iou(x, void, "iof") > 0.5).any(axis=1).astype(float) for x in (mine, real)]
+            over = pairwise_iou(mine, real) >= 0.5
+            i, j = assign_min_cost(np.where(over, excused[0][:, None] + excused[1][None] - 1000, 0))
+            hit = over[i, j]
+            k = int(hit.sum())
+            n = int((1 - excused[0]).sum() + excused[0][i[hit]].sum())
+            m = int((1 - excused[1]).sum() + excused[1][j[hit]].sum())
+            if m or n:
+                values.append(k / (m + n - k + 1e-6))
+        assert got[thr] == pytest.approx(np.mean(values), abs=1e-9)

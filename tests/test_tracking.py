@@ -64,3 +64,36 @@ def test_retrieval_against_full_ranking(spark):
         firsts.append(hits[0])
     assert out["map"] == pytest.approx(np.mean(aps))
     assert out.r1 == pytest.approx(np.mean([f <= 1 for f in firsts]))
+
+
+def dense_smoothing(rows, tau):
+    t = np.array([r[0] for r in rows], float)
+    y = np.array([r[1:] for r in rows], float)
+    scale = np.clip(tau * np.log(tau ** 3 / len(t)), 1 / tau, tau ** 2)
+    kernel = np.exp(-0.5 * ((t[:, None] - t[None]) / scale) ** 2)
+    return kernel @ np.linalg.solve(kernel + 1e-10 * np.eye(len(t)), y)
+
+
+def test_smoothing_in_windows_equals_the_dense_solve(spark):
+    rng = np.random.default_rng(6)
+    rows, tracks = [], {}
+    for track, n in ((1, 700), (2, 5), (3, 129)):
+        frames = np.cumsum(rng.integers(1, 3, n))
+        boxes = np.cumsum(rng.normal(size=(n, 4)), axis=0) + 50
+        tracks[track] = [(int(f), *map(float, b)) for f, b in zip(frames, boxes)]
+        rows += [(0, f, track, *b, 0.5) for f, *b in tracks[track]]
+    frame = spark.createDataFrame(rows, "video_id long, frame_id long, track_id long, x1 double, y1 double, x2 double, y2 double, score double")
+    got = K.smooth_tracks(frame, tau=2.0, window=100, halo=45).orderBy("track_id", "frame_id").collect()
+    assert len(got) == len(rows)
+    for track, known in tracks.items():
+        mine = [[r.x1, r.y1, r.x2, r.y2] for r in got if r.track_id == track]
+        assert np.abs(np.array(mine) - dense_smoothing(known, 2.0)).max() < 1e-9
+
+
+def test_tracks_are_linked_at_least_cost(spark):
+    tracks = spark.createDataFrame([(0, t) for t in range(5)], "video_id long, track_id long")
+    scored = spark.createDataFrame([(0, 0, 2, 1.0), (0, 0, 3, 2.0), (0, 1, 2, 1.5), (0, 1, 3, 9.0), (0, 3, 4, 1.0)], "video_id long, track_id long, next_id long, cost double")
+    roots = {r.track_id: r.root_id for r in K.link_tracks(tracks, scored, 5.0, least_cost=True).collect()}
+    assert roots == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0}
+    greedy = {r.track_id: r.root_id for r in K.link_tracks(tracks, scored, 5.0).collect()}
+    assert greedy[2] == 0 and greedy[3] == 3
