@@ -37,10 +37,6 @@ def coco_match(det: DataFrame, gt: DataFrame, iou_thrs: Sequence[float] = IOU_TH
     makes boxes of other classes act as crowd boxes: those with an equal value in that column, or all
     of them for ``"any"``.
     """
-    spans = list(areas.values())
-    bits = len(spans) * len(iou_thrs)
-    if bits > 63:
-        raise ValueError("at most 63 combinations of area range and threshold fit one mask")
     keys = ["image_id", "category_id"] if use_category else ["image_id"]
     order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "det_id")
     if "area" not in det.columns:
@@ -64,18 +60,30 @@ def coco_match(det: DataFrame, gt: DataFrame, iou_thrs: Sequence[float] = IOU_TH
         other = F.col("d_category_id") != F.col("g_category_id")
         pairs = (pairs.withColumn("g_crowd", F.when(other, 1).otherwise(F.col("g_crowd")))
                  .withColumnRenamed("d_category_id", "category_id"))
-    low = min(min(iou_thrs), 1 - 1e-10)
     value = F.when(F.col("g_crowd") == 1, B.iou(B.box("d_"), B.box("g_"), "iof")).otherwise(F.col("iou"))
+    listed = pairs.select(*keys, F.col("d_det_id").alias("det_id"), F.col("d_det_rank").alias("det_rank"), F.col("g_ann_id").alias("ann_id"),
+                          value.alias("value"), F.col("g_crowd").alias("crowd"), F.col("g_area").alias("area"))
+    return match_masks(top, listed, keys, iou_thrs, areas, max_det)
+
+
+def match_masks(top: DataFrame, pairs: DataFrame, keys: Sequence[str], iou_thrs: Sequence[float] = IOU_THRS,
+                areas: dict[str, tuple[float, float]] = AREAS, max_det: int = 100) -> DataFrame:
+    """``coco_match`` on given overlaps: ``top(det_id, image_id, category_id, score, area, det_rank)`` and
+    ``pairs(keys.., det_id, det_rank, ann_id, value, crowd, area)`` with the area of the truth."""
+    spans = list(areas.values())
+    bits = len(spans) * len(iou_thrs)
+    if bits > 63:
+        raise ValueError("at most 63 combinations of area range and threshold fit one mask")
+    low = min(min(iou_thrs), 1 - 1e-10)
     # boxes with equal behaviour in every range: crowd, or the set of ranges that hold their area
-    kind = F.when(F.col("g_crowd") == 1, F.lit(-1))
+    kind = F.when(F.col("crowd") == 1, F.lit(-1))
     member = F.lit(0)
     for i, (a, b) in enumerate(spans):
-        member = member + F.when((F.col("g_area") >= float(a)) & (F.col("g_area") <= float(b)), 1 << i).otherwise(0)
-    fit = pairs.withColumn("value", value).where(F.col("value") >= low).withColumn("kind", kind.otherwise(member))
-    best = Window.partitionBy("d_det_id", "kind").orderBy(F.col("value").desc(), F.col("g_ann_id").desc())
+        member = member + F.when((F.col("area") >= float(a)) & (F.col("area") <= float(b)), 1 << i).otherwise(0)
+    fit = pairs.where(F.col("value") >= low).withColumn("kind", kind.otherwise(member))
+    best = Window.partitionBy("det_id", "kind").orderBy(F.col("value").desc(), F.col("ann_id").desc())
     cand = (fit.withColumn("_c", F.row_number().over(best)).where(F.col("_c") <= max_det)
-            .select(*keys, F.col("d_det_id").alias("det_id"), F.col("d_det_rank").alias("det_rank"),
-                    F.col("g_ann_id").alias("ann_id"), "value", "kind"))
+            .select(*keys, "det_id", "det_rank", "ann_id", "value", "kind"))
     thr = np.minimum(np.array(iou_thrs), 1 - 1e-10)
     n_thr, n_area = len(iou_thrs), len(spans)
     weight = 1 << np.arange(bits, dtype=np.int64).reshape(n_area, n_thr)

@@ -245,6 +245,39 @@ def tube_overlaps(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return both.select("video_id", "gt_track", "pred_track", (F.col("_i") / (F.col("_g") + F.col("_p") - F.col("_i"))).alias("iou"))
 
 
+#: Fixed values of the video protocol: ranges of a tube's mean area.
+TUBE_AREAS = {"all": (0.0, 1e10), "small": (0.0, 16384.0), "medium": (16384.0, 65536.0), "large": (65536.0, 1e10)}
+
+
+def tube_table(tracks: DataFrame, ident: str) -> DataFrame:
+    """Tracks as the boxes of their video: ``image_id, category_id, score, area`` (mean over frames) and a packed id ``ident``.
+
+    Scores are means, rounded to nine digits so that their order does not hang on the order of summation."""
+    size = tracks.groupBy(*TRACK).agg(F.avg(B.area(B.box())).alias("area"))
+    scored = tracks if "score" in tracks.columns else tracks.withColumn("score", F.lit(1.0))
+    packed = F.shiftleft(F.col("video_id"), 32).bitwiseOR(F.col("track_id")).alias(ident)
+    return track_results(scored).join(size, TRACK).select(packed, F.col("video_id").alias("image_id"), "track_id", "category_id", F.round("score", 9).alias("score"), "area")
+
+
+def video_matches(gt: DataFrame, pred: DataFrame, areas: dict[str, tuple[float, float]] = TUBE_AREAS, max_det: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(matches of the detection protocol on whole tubes, truths per class and area range): what its AP and recall tables read.
+
+    A video stands for an image and a track for a box; overlap is spatio-temporal, area the mean over a tube's frames. All
+    thresholds and ranges of a tube travel in its two bit masks.
+    """
+    from detframe.operators.coco_metrics import count_real, match_masks
+
+    truth, found = tube_table(gt, "ann_id"), tube_table(pred, "det_id")
+    order = Window.partitionBy("image_id", "category_id").orderBy(F.col("score").desc(), "det_id")
+    top = cut_lineage(found.withColumn("det_rank", F.row_number().over(order).cast("int")).where(F.col("det_rank") <= max_det))
+    pairs = (tube_overlaps(gt, pred).withColumnRenamed("video_id", "image_id")
+             .join(truth.select("image_id", F.col("track_id").alias("gt_track"), "ann_id", F.col("category_id").alias("_c"), "area"), ["image_id", "gt_track"])
+             .join(top.select("image_id", F.col("track_id").alias("pred_track"), "det_id", "det_rank", "category_id"), ["image_id", "pred_track"]).where("_c = category_id"))
+    keys = ["image_id", "category_id"]
+    listed = pairs.select(*keys, "det_id", "det_rank", "ann_id", F.col("iou").alias("value"), F.lit(0).alias("crowd"), "area")
+    return cut_lineage(match_masks(top, listed, keys, areas=areas, max_det=max_det)), count_real(truth.withColumn("iscrowd", F.lit(0)), areas)
+
+
 def track_results(tracks: DataFrame) -> DataFrame:
     """Per (video, track): mean score, majority label (ties to the lowest), frames covered."""
     votes = tracks.groupBy(*TRACK, "category_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))

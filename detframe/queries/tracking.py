@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from detframe.operators import coco_metrics as C
 from detframe.operators import trackers as TR
 from detframe.operators import tracks as K
 from detframe.operators.logs import parameter_grid
 from detframe.queries import tables as T
 from detframe.queries.detection import ap_sql
+from detframe.queries.greedy import COCO_TABLES, _recursive
 from detframe.queries.tables import area_sql, inter_sql, iou_sql, with_tables
 
 COORDS = ("x1", "y1", "x2", "y2")
@@ -126,6 +128,49 @@ def video_average_precision(spark, sf):
     return average_precision(flags, npos, ["category_id"]).withColumn("ap", F.round("ap", 6))
 
 
+_RANGES = {"all": (0.0, 1e10), "small": (0.0, 1650.0), "medium": (1650.0, 1900.0), "large": (1900.0, 1e10)}
+
+
+def video_precision(spark, sf):
+    """AP of tubes at ten thresholds in four ranges of mean area."""
+    matches, npos = K.video_matches(T.gt_tracks(spark, sf), T.pred_tracks(spark, sf), _RANGES)
+    return C.precision_table(matches, npos, areas=_RANGES).select("category_id", "area", "iou_thr", F.round("ap", 6).alias("ap"))
+
+
+def video_recall(spark, sf):
+    matches, npos = K.video_matches(T.gt_tracks(spark, sf), T.pred_tracks(spark, sf), _RANGES)
+    out = C.recall_table(matches, npos, areas=_RANGES)
+    return out.select("category_id", "area", F.col("max_det").cast("long").alias("max_det"), F.round("ar", 6).alias("ar"))
+
+
+def _video_tables() -> str:
+    """The detection protocol's SQL with tubes for boxes."""
+    tables = COCO_TABLES
+    head, rest = tables.index(" cells AS"), tables.index(" pr AS (")
+    after = tables.index(" cs AS (")
+    tubes = _recursive(BOTH) + f""",
+ v AS (SELECT video_id, track_id, category_id, count(*) AS n, sum(score) AS s FROM pred_tracks GROUP BY ALL),
+ re AS (SELECT video_id, track_id, sum(s) / sum(n) AS score, first(category_id ORDER BY n DESC, category_id) AS category_id FROM v GROUP BY ALL),
+ det AS (SELECT re.video_id AS image_id, re.track_id, re.video_id * 4294967296 + re.track_id AS det_id, re.category_id, round(re.score, 9) AS score, a AS area FROM re
+   JOIN (SELECT video_id, track_id, avg({area_sql('pred_tracks')}) AS a FROM pred_tracks GROUP BY ALL) x USING (video_id, track_id)),
+ gt AS (SELECT video_id AS image_id, track_id, video_id * 4294967296 + track_id AS ann_id, category_id, 0 AS iscrowd, avg({area_sql('gt_tracks')}) AS area FROM gt_tracks GROUP BY ALL),
+ ti AS (SELECT g.video_id, g.track_id AS gt_track, p.track_id AS pred_track, sum({inter_sql('g', 'p')}) AS i FROM gt_tracks g JOIN pred_tracks p
+   ON g.video_id = p.video_id AND g.frame_id = p.frame_id GROUP BY ALL),
+ ta AS (SELECT video_id, track_id, sum({area_sql('gt_tracks')}) AS a FROM gt_tracks GROUP BY ALL), tb AS (SELECT video_id, track_id, sum({area_sql('pred_tracks')}) AS b FROM pred_tracks GROUP BY ALL),
+ tu AS (SELECT ti.video_id, gt_track, pred_track, i / (a + b - i) AS v FROM ti JOIN ta ON ta.video_id = ti.video_id AND ta.track_id = gt_track
+   JOIN tb ON tb.video_id = ti.video_id AND tb.track_id = pred_track WHERE i > 0),"""
+    pairs = """ pr AS (SELECT d.det_id, g.ann_id, 0 AS c, g.area AS ga, tu.v FROM top d JOIN tu ON tu.video_id = d.image_id AND tu.pred_track = d.track_id
+   JOIN gt g ON g.image_id = tu.video_id AND g.track_id = tu.gt_track AND g.category_id = d.category_id WHERE tu.v >= 0.5),
+"""
+    text = tubes + "\n" + tables[head:rest] + pairs + tables[after:]
+    text = text.replace(area_sql("t"), "t.area").replace(area_sql("g"), "g.area")
+    return text.replace("'hi': 1024.0", "'hi': 1650.0").replace("'lo': 1024.0", "'lo': 1650.0").replace("'hi': 9216.0", "'hi': 1900.0").replace("'lo': 9216.0", "'lo': 1900.0")
+
+
+VIDEO_PRECISION_SQL = _video_tables() + " SELECT category_id, area, iou_thr, round(ap, 6) AS ap FROM aps"
+VIDEO_RECALL_SQL = _video_tables() + " SELECT category_id, area, CAST(max_det AS BIGINT) AS max_det, round(ar, 6) AS ar FROM ars"
+
+
 def track_results(spark, sf):
     out = K.track_results(T.pred_tracks(spark, sf))
     return out.withColumn("score", F.round("score", 6))
@@ -234,7 +279,7 @@ def tracker_sweep(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     interpolated_tracks, track_gaps, track_velocity, smoothed_tracks, shared_frames, track_alignment, tracking_errors, clear_summary,
-    identity_summary, hota, tube_overlaps, video_average_precision, track_results, link_candidates, linked_tracks, least_cost_tracks, byte_tracks, sort_tracks,
+    identity_summary, hota, tube_overlaps, video_average_precision, video_precision, video_recall, track_results, link_candidates, linked_tracks, least_cost_tracks, byte_tracks, sort_tracks,
     observation_tracks, appearance_tracks, similarity_tracks, tracker_sweep)}
 ORACLES = {
     "interpolated_tracks": INTERPOLATED_SQL,
@@ -247,4 +292,6 @@ ORACLES = {
     "link_candidates": LINK_SQL,
     "linked_tracks": LINKED_SQL,
     "video_average_precision": VIDEO_AP_SQL,
+    "video_precision": VIDEO_PRECISION_SQL,
+    "video_recall": VIDEO_RECALL_SQL,
 }
