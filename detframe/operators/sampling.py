@@ -272,6 +272,22 @@ def balanced_by_overlap(rows: DataFrame, quota: int, low: float, high: float, bi
     return marked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= quota).drop("_r", "_n", "_first")
 
 
+def balanced_by_instance(rows: DataFrame, quota: int, seed: int) -> DataFrame:
+    """Positives spread over the instances they are assigned to: ``rows(image_id, row_id, instance_id)`` that are taken.
+
+    An image with more than ``quota`` rows gives each of its instances round(quota / instances) + 1 drawn rows at most. If that
+    is too few, drawn rows of all instances fill up; if too many, drawn rows among them stay. The windows hold one image; shares
+    come from a count per (image, instance) that combines before the shuffle.
+    """
+    key = hash_key(seed, F.col("row_id"))
+    shares = (rows.groupBy("image_id", "instance_id").agg(F.count(F.lit(1)).alias("_c")).groupBy("image_id")
+              .agg((F.bround(F.lit(float(quota)) / F.count(F.lit(1))) + 1).alias("_each"), F.sum("_c").alias("_all")))
+    ranked = rows.join(shares, "image_id").withColumn("_r", F.row_number().over(Window.partitionBy("image_id", "instance_id").orderBy(key, "row_id")))
+    first = ranked.withColumn("_first", (F.col("_all") <= quota) | (F.col("_r") <= F.col("_each")))
+    order = Window.partitionBy("image_id").orderBy(F.col("_first").desc(), key, "row_id")
+    return first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= quota).select(rows.columns)
+
+
 def draw_partners(images: DataFrame, slots: int, seed: int) -> DataFrame:
     """``(image_id, slot, partner_id)``: each image draws ``slots`` partners evenly from all images."""
     n = images.count()

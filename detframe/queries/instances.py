@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from detframe.operators import instance_ap as I
+from detframe.operators.outlines import outline_rings, ring_measures
 from detframe.queries import tables as T
 from detframe.queries.tables import with_tables
 
@@ -29,6 +30,20 @@ def instance_ap_summary(spark, sf):
     return out.select(F.round("ap", 6).alias("ap"), F.round("ap50", 6).alias("ap50"), "classes")
 
 
+def mask_outlines(spark, sf):
+    """Rings of every truth segment: their number of sides' length and the area they enclose."""
+    runs = T.gt_runs(spark, sf).select("image_id", "segment_id", "start", "length", F.lit(250).cast("long").alias("height"))
+    out = ring_measures(outline_rings(runs, ["image_id", "segment_id"]), ["image_id", "segment_id"])
+    return out.select("image_id", "segment_id", "area", "perimeter")
+
+
+OUTLINE_SQL = with_tables("gt_runs") + """,
+ px AS (SELECT image_id, segment_id, q // 250 AS x, q % 250 AS y FROM (SELECT image_id, segment_id, unnest(range(start, start + length)) AS q FROM gt_runs) t),
+ nb AS (SELECT a.image_id, a.segment_id, a.x + d.dx AS x, a.y + d.dy AS y FROM px a CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy)),
+ pe AS (SELECT image_id, segment_id, count(*) AS perimeter FROM nb ANTI JOIN px USING (image_id, segment_id, x, y) GROUP BY ALL)
+ SELECT image_id, segment_id, (SELECT count(*) FROM px WHERE px.image_id = pe.image_id AND px.segment_id = pe.segment_id) AS area, perimeter FROM pe"""
+
+
 INSTANCE = with_tables("gt_runs", "pred_runs", "gt_segments", "pred_segments") + """,
  th AS (SELECT k AS level, round(0.5 + 0.05 * k, 2) AS t FROM range(10) r(k)),
  vr AS (SELECT * FROM gt_runs WHERE (image_id + segment_id) % 13 = 5),
@@ -61,5 +76,6 @@ INSTANCE = with_tables("gt_runs", "pred_runs", "gt_segments", "pred_segments") +
 INSTANCE_AP_SQL = INSTANCE + " SELECT category_id, num_gts, round(ap, 6) AS ap, round(ap50, 6) AS ap50 FROM pc"
 INSTANCE_SUMMARY_SQL = INSTANCE + " SELECT round(avg(ap), 6) AS ap, round(avg(ap50), 6) AS ap50, count(*) AS classes FROM pc"
 
-QUERIES = {f.__name__: f for f in (instance_average_precision, instance_ap_summary)}
-ORACLES = {"instance_average_precision": INSTANCE_AP_SQL, "instance_ap_summary": INSTANCE_SUMMARY_SQL}
+QUERIES = {f.__name__: f for f in (instance_average_precision, instance_ap_summary, mask_outlines)}
+ORACLES = {"instance_average_precision": INSTANCE_AP_SQL, "instance_ap_summary": INSTANCE_SUMMARY_SQL,
+           "mask_outlines": OUTLINE_SQL}

@@ -214,6 +214,19 @@ BALANCED_SQL = with_tables("det") + f""",
  SELECT image_id, row_id, bin FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY f DESC, h, row_id) AS nn FROM rk) t WHERE nn <= 9"""
 
 
+def balanced_by_instance(spark, sf):
+    """A detection's class stands in for the instance it is assigned to."""
+    rows = T.det(spark, sf).select("image_id", F.col("det_id").alias("row_id"), F.col("category_id").alias("instance_id"))
+    return S.balanced_by_instance(rows, 12, 47)
+
+
+INSTANCE_SQL = with_tables("det") + f""",
+ s AS (SELECT image_id, det_id AS row_id, category_id AS instance_id, {hash_key_sql(47, 'det_id')} AS h FROM det),
+ sh AS (SELECT image_id, round_even(CAST(12 AS DOUBLE) / count(DISTINCT instance_id), 0) + 1 AS each, count(*) AS total FROM s GROUP BY image_id),
+ rk AS (SELECT s.*, total <= 12 OR row_number() OVER (PARTITION BY image_id, instance_id ORDER BY h, row_id) <= each AS f FROM s JOIN sh USING (image_id))
+ SELECT image_id, row_id, instance_id FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY f DESC, h, row_id) AS nn FROM rk) t WHERE nn <= 12"""
+
+
 def draw_partners(spark, sf):
     return S.draw_partners(T.images(spark, sf), 3, 43).select("image_id", F.col("slot").cast("long").alias("slot"), "partner_id")
 
@@ -227,8 +240,9 @@ PARTNERS_SQL = IMG + f""",
 QUERIES = {f.__name__: f for f in (
     labeled_split, labeled_split_replace, mini_dataset, class_aware_sample, repeat_factors, multi_source_batches,
     grouped_source_batches, weighted_draws, sized_sources, aspect_batches, video_chunks, triplets, reference_frames,
-    label_prompts, quota_rows, balanced_by_overlap, draw_partners)}
+    label_prompts, quota_rows, balanced_by_overlap, balanced_by_instance, draw_partners)}
 ORACLES = {
+    "balanced_by_instance": INSTANCE_SQL,
     "labeled_split": IMG + f" SELECT image_id, {_rank(7, 'image_id')} <= (SELECT count(*) // 10 FROM images) AS labeled FROM images",
     "labeled_split_replace": IMG + f""", rk AS (SELECT image_id, {_rank(7, 'image_id')} AS rank, count(*) OVER () AS total FROM images),
  dr AS (SELECT DISTINCT {hash_key_sql(8, 'i')} % total + 1 AS rank FROM (SELECT total, unnest(range(total // 10)) AS i FROM (SELECT count(*) AS total FROM images)))

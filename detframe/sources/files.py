@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from detframe.sources.headers import ImageHeaders
+
 
 def list_files(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """``(path, file_name, length, modified)`` of all files below a folder; contents are not read."""
@@ -27,30 +26,11 @@ def segmentation_pairs(listing: DataFrame, image_suffix: str, map_suffix: str, i
     return out.select(F.col("path").alias("img_path"), target.alias("seg_map_path"))
 
 
-def _size(head: bytes) -> tuple[int, int]:
-    """(width, height) from the header of a PNG or JPEG file, (-1, -1) for anything else."""
-    if head[:8] == b"\x89PNG\r\n\x1a\n":
-        return struct.unpack(">II", head[16:24])
-    if head[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 < len(head) and head[at] == 0xFF:
-            kind, length = head[at + 1], struct.unpack(">H", head[at + 2:at + 4])[0]
-            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                h, w = struct.unpack(">HH", head[at + 5:at + 9])
-                return w, h
-            at += 2 + length
-    return -1, -1
-
-
-@F.pandas_udf(T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())]))
-def header_size(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_size(bytes(c)) for c in content], columns=["width", "height"])
-
-
-def image_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_name, width, height)`` read from image headers."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return raw.select(F.regexp_extract("path", r"[^/]+$", 0).alias("file_name"), header_size("content").alias("s")).select("file_name", "s.*")
+def image_sizes(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
+    """``(file_name, width, height)`` read from image headers; ``names`` is a text or CSV file that lists the images."""
+    spark.dataSource.register(ImageHeaders)
+    reader = spark.read.format("image_headers")
+    return (reader.option("names", names) if names else reader).load(path).select("file_name", "width", "height")
 
 
 def read_train_logs(spark: SparkSession, path: str, metrics: Sequence[str] = ("loss", "lr", "time", "memory")) -> DataFrame:
