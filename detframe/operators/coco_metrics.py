@@ -16,7 +16,7 @@ from pyspark.sql import Window
 
 from detframe.functions import boxes as B
 from detframe.operators.overlap import overlap_pairs
-from detframe.plans.grouped import scan_groups
+from detframe.plans.grouped import scan_groups, scan_states
 from detframe.plans.ordered import TARGET_ROWS, crowded, running_sums, with_cells
 from detframe.session import cut_lineage
 
@@ -137,6 +137,27 @@ def count_real(gt: DataFrame, areas: dict[str, tuple[float, float]] = AREAS, by:
             .agg(F.count(F.lit(1)).alias("npos")))
 
 
+def _running_hits(slim: DataFrame, by: Sequence[str], combos: int) -> DataFrame:
+    """``by.., combo, tp, n``: at every hit of a combination, hits and counted detections down to it in score order.
+
+    A key's rows stream through in order; two counters per combination are all that is kept.
+    """
+    kinds = dict(slim.dtypes)
+    shifts = np.arange(combos, dtype=np.int64)
+
+    def step(state, rows):
+        hit = (rows["tp_mask"][:, None] >> shifts) & 1
+        tp = state["tp"] + np.cumsum(hit, axis=0)
+        n = state["n"] + np.cumsum(1 - ((rows["ignore_mask"][:, None] >> shifts) & 1), axis=0)
+        state["tp"], state["n"] = tp[-1], n[-1]
+        at, combo = np.nonzero(hit)
+        return {"combo": combo.astype(np.int32), "tp": tp[at, combo], "n": n[at, combo]}
+
+    zero = np.zeros(combos, np.int64)
+    return scan_states(slim, by, [], [F.col("score").desc(), "det_id"], lambda: {"tp": zero, "n": zero}, step,
+                       ", ".join(f"{c} {kinds[c]}" for c in by) + ", combo int, tp long, n long")
+
+
 def precision_table(matches: DataFrame, npos: DataFrame, iou_thrs: Sequence[float] = IOU_THRS,
                     areas: dict = AREAS, by: Sequence[str] = ("category_id",), target: int = TARGET_ROWS) -> DataFrame:
     """``(by.., area, iou_thr, ap, reach)``: mean over 101 recall points of the best precision at or beyond
@@ -148,23 +169,17 @@ def precision_table(matches: DataFrame, npos: DataFrame, iou_thrs: Sequence[floa
     by = list(by)
     combos = _combos(iou_thrs, areas)
     slim = cut_lineage(matches.select(*by, "det_id", "score", "tp_mask", "ignore_mask"))
-    sums = {}
-    for i, _, _ in combos:
-        tp = F.shiftrightunsigned("tp_mask", i).bitwiseAND(F.lit(1).cast("long"))
-        skip = F.shiftrightunsigned("ignore_mask", i).bitwiseAND(F.lit(1).cast("long"))
-        sums[f"tp{i}"] = tp
-        sums[f"n{i}"] = F.lit(1).cast("long") - skip
+    # precision peaks at true positives, so a row only speaks for the cells in which it is one
     if crowded(slim, by, target):
+        bit = lambda mask, i: F.shiftrightunsigned(mask, i).bitwiseAND(F.lit(1).cast("long"))
+        sums = {f"tp{i}": bit("tp_mask", i) for i, _, _ in combos} | {f"n{i}": F.lit(1).cast("long") - bit("ignore_mask", i) for i, _, _ in combos}
         cum = running_sums(with_cells(slim, by, "score", "det_id", target=target), by, "score", "det_id", sums)
+        cells = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(t).alias("iou_thr"), F.col(f"tp{i}").alias("tp"), F.col(f"n{i}").alias("n"),
+                                   bit("tp_mask", i).alias("hit")) for i, a, t in combos])
+        spread = cum.where("tp_mask <> 0").select(*by, F.explode(F.filter(cells, lambda c: c["hit"] == 1)).alias("c")).select(*by, "c.*")
     else:
-        down = Window.partitionBy(*by).orderBy(F.col("score").desc(), "det_id").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        cum = slim.select(*by, "tp_mask", *[F.sum(e).over(down).alias(n) for n, e in sums.items()])
-    # precision peaks at true positives, so a row only speaks for the cells in which it is one
-    cells = F.array(*[F.struct(
-        F.lit(a).alias("area"), F.lit(t).alias("iou_thr"), F.col(f"tp{i}").alias("tp"), F.col(f"n{i}").alias("n"),
-        F.shiftrightunsigned("tp_mask", i).bitwiseAND(F.lit(1).cast("long")).alias("hit")) for i, a, t in combos])
-    spread = cum.where("tp_mask <> 0").select(*by, F.explode(F.filter(cells, lambda c: c["hit"] == 1)).alias("c")).select(*by, "c.*")
+        places = F.create_map(*[v for i, a, t in combos for v in (F.lit(i), F.struct(F.lit(a).alias("area"), F.lit(t).alias("iou_thr")))])
+        spread = _running_hits(slim, by, len(combos)).withColumn("_c", F.element_at(places, F.col("combo"))).select(*by, "_c.*", "tp", "n")
     rated = (spread.where("n > 0 AND tp > 0").join(npos, [*by, "area"])
              .withColumn("point", F.floor((F.col("tp") * 100) / F.col("npos")).cast("int"))
              .groupBy(*by, "area", "iou_thr", "point", "npos")

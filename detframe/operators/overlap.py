@@ -18,8 +18,19 @@ from detframe.functions import boxes as B
 TILE = 512.0
 
 
+#: Tiles are even up to so many from the origin; farther out each is twice as wide as the one before.
+EVEN_TILES = 64
+
+
+def _tile_of(value: Column, tile: float) -> Column:
+    """Number of the tile that holds ``value``: never falls as values rise, and a box of any extent touches few tiles per axis."""
+    q = value / F.lit(tile)
+    far = F.lit(EVEN_TILES) + F.floor(F.least(F.log2(F.abs(q) / EVEN_TILES), F.lit(1100.0)))
+    return F.when(F.abs(q) < EVEN_TILES, F.floor(q)).when(q > 0, far).otherwise(-far - 1)
+
+
 def _tiles(low: Column, high: Column, tile: float) -> Column:
-    return F.sequence(F.floor(low / F.lit(tile)), F.floor(high / F.lit(tile)))
+    return F.sequence(_tile_of(low, tile), _tile_of(high, tile))
 
 
 def _tiled(df: DataFrame, tile: float, grow: float) -> DataFrame:
@@ -45,7 +56,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], left: str = "a_
              .join(prefixed(_tiled(b, tile, grow), right, keys), keys, "inner"))
     pa, pb = B.box(left), B.box(right)
     touching = (B.intersection(pa, pb, grow) > 0) & (
-        (F.floor(F.greatest(pa[0], pb[0]) / F.lit(tile)) == F.col("_tx"))
-        & (F.floor(F.greatest(pa[1], pb[1]) / F.lit(tile)) == F.col("_ty")))
+        (_tile_of(F.greatest(pa[0], pb[0]), tile) == F.col("_tx"))
+        & (_tile_of(F.greatest(pa[1], pb[1]), tile) == F.col("_ty")))
     out = pairs.where(touching).drop("_tx", "_ty").withColumn(name, B.iou(pa, pb, mode, legacy=legacy))
     return out.where(F.col(name) >= F.lit(float(min_overlap))) if min_overlap > 0 else out

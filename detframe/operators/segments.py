@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from detframe.session import cut_lineage
+
 BLOCK = 65536
 
 
@@ -143,14 +145,16 @@ def panoptic_stats(gt_runs: DataFrame, pred_runs: DataFrame, gt_segments: DataFr
     Runs carry ``segment_id``; segments carry ``(image_id, segment_id, category_id)`` and, for the truth,
     ``iscrowd``. Above one half of the union (without unlabelled pixels) a match is unique.
     """
-    inter = run_overlaps(gt_runs.withColumnRenamed("segment_id", "g"), pred_runs.withColumnRenamed("segment_id", "p"), ["g"], ["p"])
+    # narrow, and read by the sizes of unlabelled parts and by the pairs
+    inter = cut_lineage(run_overlaps(gt_runs.withColumnRenamed("segment_id", "g"), pred_runs.withColumnRenamed("segment_id", "p"), ["g"], ["p"]))
     ga = run_areas(gt_runs, ["image_id", "segment_id"]).select("image_id", F.col("segment_id").alias("g"), F.col("area").alias("g_area"))
     pa = run_areas(pred_runs, ["image_id", "segment_id"]).select("image_id", F.col("segment_id").alias("p"), F.col("area").alias("p_area"))
     gs = gt_segments.select("image_id", F.col("segment_id").alias("g"), F.col("category_id").alias("g_cat"), "iscrowd").join(ga, ["image_id", "g"])
     ps = pred_segments.select("image_id", F.col("segment_id").alias("p"), F.col("category_id").alias("p_cat")).join(pa, ["image_id", "p"])
     labelled = inter.groupBy("image_id", "p").agg(F.sum("n").alias("_l"))
     ps = ps.join(labelled, ["image_id", "p"], "left").withColumn("void", F.col("p_area") - F.coalesce("_l", F.lit(0))).drop("_l")
-    pairs = inter.join(gs, ["image_id", "g"]).join(ps, ["image_id", "p"]).where("g_cat = p_cat")
+    ps = cut_lineage(ps)
+    pairs = cut_lineage(inter.join(gs, ["image_id", "g"]).join(ps, ["image_id", "p"]).where("g_cat = p_cat"))
     iou = F.col("n") / (F.col("g_area") + F.col("p_area") - F.col("n") - F.col("void"))
     tp = pairs.where("iscrowd = 0").withColumn("iou", iou).where("iou > 0.5")
     crowd = pairs.where("iscrowd = 1").groupBy("image_id", "p").agg(F.sum("n").alias("_crowd"))

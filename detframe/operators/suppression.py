@@ -187,22 +187,26 @@ def weighted_fusion(det: DataFrame, weights: Sequence[float], iou_thr: float = 0
                      F.least("x1", "x2").alias("x1"), F.least("y1", "y2").alias("y1"),
                      F.greatest("x1", "x2").alias("x2"), F.greatest("y1", "y2").alias("y2"))
              .where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))))
+
     def fresh():
-        return {"box": np.empty((0, 4)), "sum": np.empty((0, 4)), "conf": [], "n": [], "best": [], "w": [], "models": []}
+        return {"size": 0, "box": np.empty((16, 4)), "sum": np.empty((16, 4)), "conf": [], "n": [], "best": [], "w": [], "models": []}
 
     def step(state, rows):
         for i in range(len(rows["ws"])):
             box = np.array([rows[c][i] for c in B.COORDS])
             ws, w, model = rows["ws"][i], rows["w"][i], int(rows["model"][i])
             at = -1
-            if len(state["box"]):
-                ious = pairwise_iou(state["box"], box[None])[:, 0]
+            size = state["size"]
+            if size:
+                ious = pairwise_iou(state["box"][:size], box[None])[:, 0]
                 at = int(np.argmax(ious))
                 if ious[at] <= iou_thr:
                     at = -1
             if at < 0:
-                state["box"] = np.vstack([state["box"], box])
-                state["sum"] = np.vstack([state["sum"], box * ws])
+                if size == len(state["box"]):  # room doubles, so a cluster is copied a bounded number of times
+                    state["box"], state["sum"] = (np.concatenate([x, np.empty_like(x)]) for x in (state["box"], state["sum"]))
+                state["box"][size], state["sum"][size] = box, box * ws
+                state["size"] = size + 1
                 for k, v in (("conf", ws), ("n", 1), ("best", ws), ("w", w), ("models", {model: w})):
                     state[k].append(v)
             else:
@@ -230,7 +234,7 @@ def weighted_fusion(det: DataFrame, weights: Sequence[float], iou_thr: float = 0
             score = conf * n / total
         else:
             score = conf * np.minimum(count, n) / total
-        return {**{c: state["box"][:, j] for j, c in enumerate(B.COORDS)}, "score": score, "members": n.astype(np.int64)}
+        return {**{c: state["box"][:state["size"], j] for j, c in enumerate(B.COORDS)}, "score": score, "members": n.astype(np.int64)}
 
     return scan_states(
         ready, ["image_id", "category_id"], [], [F.col("ws").desc(), "det_id"], fresh, step,

@@ -118,3 +118,26 @@ def test_perfect_detections_score_one(spark):
     out = {r.metric: r.value for r in C.summarise(C.precision_table(m, npos), C.recall_table(m, npos)).collect()}
     assert out["AP"] == pytest.approx(1.0) and out["AP50"] == pytest.approx(1.0) and out["AR_100"] == pytest.approx(1.0)
     assert out["AP_large"] is None
+
+
+def test_boxes_of_any_extent_touch_few_tiles(spark):
+    from detframe.operators.overlap import _tiled, overlap_pairs
+
+    boxes = [(1, 0.0, 0.0, 10.0, 10.0), (2, -1e9, -1e9, 1e9, 1e9), (3, 70_000.0, 5.0, 200_000.0, 9.0), (4, 150_000.0, 4.0, 160_000.0, 8.0),
+             (5, -90_000.0, -3.0, -70_000.0, 7.0), (6, -80_000.0, -1e300, -75_000.0, 1e300), (7, 500.0, 500.0, 530.0, 530.0), (8, 511.0, 511.0, 513.0, 513.0)]
+    a = spark.createDataFrame([(0, *b) for b in boxes], "image_id long, box_id long, x1 double, y1 double, x2 double, y2 double")
+    assert _tiled(a, 512.0, 0.0).groupBy("box_id").count().agg({"count": "max"}).first()[0] < 50_000
+    got = {(r.a_box_id, r.b_box_id) for r in overlap_pairs(a, a, ["image_id"]).select("a_box_id", "b_box_id").collect()}
+    meet = lambda p, q: min(p[3], q[3]) > max(p[1], q[1]) and min(p[4], q[4]) > max(p[2], q[2])
+    assert got == {(p[0], q[0]) for p in boxes for q in boxes if meet(p, q)}
+
+
+def test_precision_with_and_without_score_cells(spark, sf):
+    from detframe.operators import coco_metrics as C
+    from detframe.queries import tables as T
+    from detframe.session import cut_lineage
+
+    gt = T.gt(spark, sf)
+    matches, npos = cut_lineage(C.coco_match(T.det(spark, sf), gt)), C.count_real(gt)
+    one, many = ({(r.category_id, r.area, r.iou_thr): round(r.ap, 9) for r in C.precision_table(matches, npos, target=t).collect()} for t in (10**6, 50))
+    assert one == many and len(one) > 50
