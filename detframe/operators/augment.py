@@ -16,6 +16,7 @@ from pyspark.sql import Window
 from detframe.functions import boxes as B
 from detframe.functions.hashing import hash_key, uniform
 from detframe.operators.sampling import draw_partners
+from detframe.session import cut_lineage
 
 
 def _with_box(df: DataFrame, box: B.Box) -> DataFrame:
@@ -86,31 +87,56 @@ def random_crop(df: DataFrame, low: float, high: float, seed: int, keys: Sequenc
     return clip_and_keep(sized).drop("old_area", "_cw", "_ch", "_ox", "_oy")
 
 
+def first_fit(images: DataFrame, trials: int, propose: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame],
+              first: int = 2, growth: int = 4) -> DataFrame:
+    """The window of the first fitting trial of each image that has one: ``image_id, trial`` and the window's columns.
+
+    ``propose`` adds a window to rows ``(image, trial)`` and may drop some; ``judge`` keeps the fitting ones. Trials are taken in rounds
+    that grow, and only images without a window go on, so few trials are judged where most images fit early.
+    """
+    left, found, low, size = images, None, 1, first
+    while True:
+        high = min(trials, low + size - 1)
+        tried = judge(propose(left.withColumn("trial", F.explode(F.sequence(F.lit(low), F.lit(high))))))
+        columns = [c for c in tried.columns if c not in ("image_id", "trial")]
+        got = cut_lineage(tried.groupBy("image_id").agg(F.min(F.struct("trial", *columns)).alias("_w")).select("image_id", "_w.*"))
+        found = got if found is None else found.unionByName(got)
+        low, size = high + 1, size * growth
+        if low > trials:
+            return found
+        left = cut_lineage(left.join(got, "image_id", "left_anti"))
+        if left.isEmpty():
+            return found
+
+
 def min_iou_crop(df: DataFrame, images: DataFrame, min_ious: Sequence[float], seed: int, trials: int = 50,
                  min_size: float = 0.3) -> DataFrame:
     """First of ``trials`` random windows whose every box overlaps it enough; boxes with their centre inside stay.
 
     One of ``1, min_ious.., 0`` is drawn per image: 1 keeps the image whole. Trials are rows keyed by (image,
-    trial), judged by one aggregation; images where none fits stay whole.
+    trial), judged by one aggregation per round (``first_fit``); images where none fits stay whole.
     """
     i, t = F.col("image_id"), F.col("trial")
     modes = F.array(*[F.lit(float(v)) for v in (1.0, *min_ious, 0.0)])
     mode = F.element_at(modes, (hash_key(seed, i) % (len(min_ious) + 2) + 1).cast("int"))
-    windows = (images.withColumn("mode", mode).where("mode < 1").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-               .withColumn("nw", F.col("width") * _span(seed + 1, min_size, 1.0, i, t))
-               .withColumn("nh", F.col("height") * _span(seed + 2, min_size, 1.0, i, t))
-               .where((F.col("nh") / F.col("nw")).between(0.5, 2.0))
-               .withColumn("px", F.floor(uniform(seed + 3, i, t) * (F.col("width") - F.col("nw"))))
-               .withColumn("py", F.floor(uniform(seed + 4, i, t) * (F.col("height") - F.col("nh"))))
-               .select("image_id", "mode", "trial", "px", "py", F.floor(F.col("px") + F.col("nw")).alias("qx"),
-                       F.floor(F.col("py") + F.col("nh")).alias("qy")))
+
+    def windows(rows: DataFrame) -> DataFrame:
+        return (rows.withColumn("nw", F.col("width") * _span(seed + 1, min_size, 1.0, i, t))
+                .withColumn("nh", F.col("height") * _span(seed + 2, min_size, 1.0, i, t))
+                .where((F.col("nh") / F.col("nw")).between(0.5, 2.0))
+                .withColumn("px", F.floor(uniform(seed + 3, i, t) * (F.col("width") - F.col("nw"))))
+                .withColumn("py", F.floor(uniform(seed + 4, i, t) * (F.col("height") - F.col("nh"))))
+                .select("image_id", "mode", "trial", "px", "py", F.floor(F.col("px") + F.col("nw")).alias("qx"),
+                        F.floor(F.col("py") + F.col("nh")).alias("qy")))
     win = tuple(F.col(c).cast("double") for c in ("px", "py", "qx", "qy"))
     cx, cy = B.center(B.box())
     middle = (cx > win[0]) & (cy > win[1]) & (cx < win[2]) & (cy < win[3])
-    judged = (df.select("image_id", *B.COORDS).join(windows, "image_id").groupBy("image_id", "trial", "mode", "px", "py", "qx", "qy")
-              .agg(F.min(B.iou(win, B.box())).alias("_low"), F.max(middle.cast("int")).alias("_any")))
-    chosen = (judged.where("_low >= mode AND _any = 1").groupBy("image_id")
-              .agg(F.min(F.struct("trial", "px", "py", "qx", "qy")).alias("_w")).select("image_id", "_w.*").drop("trial"))
+
+    def fitting(tried: DataFrame) -> DataFrame:
+        judged = (df.select("image_id", *B.COORDS).join(tried, "image_id").groupBy("image_id", "trial", "mode", "px", "py", "qx", "qy")
+                  .agg(F.min(B.iou(win, B.box())).alias("_low"), F.max(middle.cast("int")).alias("_any")))
+        return judged.where("_low >= mode AND _any = 1").drop("_low", "_any", "mode")
+    chosen = first_fit(images.withColumn("mode", mode).where("mode < 1"), trials, windows, fitting).drop("trial")
     placed = df.join(chosen, "image_id", "left")
     out = placed.where(F.col("px").isNull() | middle)
     x1, y1, x2, y2 = B.box()
@@ -286,6 +312,27 @@ def center_crop_pad(df: DataFrame, crop_w: int, crop_h: int, seed: int) -> DataF
     return _with_box(kept, B.clip(B.box(), F.lit(float(crop_w)), F.lit(float(crop_h)))).drop("_x", "_y")
 
 
+def center_crop_search(df: DataFrame, images: DataFrame, crop_w: int, crop_h: int, seed: int, trials: int = 50) -> DataFrame:
+    """``center_crop_pad`` around the first of ``trials`` random centres whose window holds the centre of a box; images
+    without such a window stay as they are."""
+    i, t = F.col("image_id"), F.col("trial")
+    cx, cy = B.center(B.box())
+    inside = (cx > F.col("_x")) & (cy > F.col("_y")) & (cx < F.col("_x") + crop_w) & (cy < F.col("_y") + crop_h)
+
+    def windows(rows: DataFrame) -> DataFrame:
+        return rows.select("image_id", "trial", (F.floor(uniform(seed, i, t) * F.col("width")) - crop_w / 2.0).alias("_x"),
+                           (F.floor(uniform(seed + 1, i, t) * F.col("height")) - crop_h / 2.0).alias("_y"))
+
+    def fitting(tried: DataFrame) -> DataFrame:
+        return df.select("image_id", *B.COORDS).join(tried, "image_id").where(inside).select("image_id", "trial", "_x", "_y").distinct()
+    placed = df.join(first_fit(images, trials, windows, fitting).drop("trial"), "image_id", "left")
+    whole = F.col("_x").isNull()
+    moved = B.clip(B.translate(B.box(), -F.col("_x"), -F.col("_y")), F.lit(float(crop_w)), F.lit(float(crop_h)))
+    kept = placed.where(whole | inside)
+    return (kept.withColumns({c: F.when(whole, F.col(c)).otherwise(v) for c, v in zip(B.COORDS, moved)})
+            .withColumn("width", F.when(whole, F.col("width")).otherwise(crop_w)).withColumn("height", F.when(whole, F.col("height")).otherwise(crop_h)).drop("_x", "_y"))
+
+
 def copy_paste(df: DataFrame, runs: DataFrame, pasted: DataFrame, area_thr: float, by: Sequence[str] = ("image_id", "ann_id")) -> DataFrame:
     """What pasted masks leave of each object: ``(by.., area)`` for objects with more than ``area_thr`` pixels left.
 

@@ -222,6 +222,22 @@ CENTER_CROP_SQL = GT + f""",
  o AS (SELECT image_id, ann_id, {_clip('200', '160')} FROM m WHERE (x1+x2)/2 > 0 AND (y1+y2)/2 > 0 AND (x1+x2)/2 < 200 AND (y1+y2)/2 < 160)""" + _shown("o")
 
 
+def center_crop_search(spark, sf):
+    """Windows of a size that many centres leave without a box."""
+    return _show(A.center_crop_search(_boxes(spark, sf), T.images(spark, sf), 70, 60, 103, 20), "width", "height")
+
+
+CENTER_SEARCH_SQL = with_tables("gt", "images") + f""",
+ tr AS (SELECT image_id, unnest(range(1, 21)) AS trial FROM images),
+ wd AS (SELECT *, floor({uniform_sql(103, 'image_id', 'trial')} * 300) - 35 AS ox, floor({uniform_sql(104, 'image_id', 'trial')} * 250) - 30 AS oy FROM tr),
+ ft AS (SELECT DISTINCT image_id, trial, ox, oy FROM wd JOIN gt USING (image_id) WHERE (x1+x2)/2 > ox AND (y1+y2)/2 > oy AND (x1+x2)/2 < ox + 70 AND (y1+y2)/2 < oy + 60),
+ ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY trial) AS r FROM ft) t WHERE r = 1),
+ o AS (SELECT gt.image_id, ann_id, CASE WHEN ox IS NULL THEN x1 ELSE least(greatest(x1 - ox, 0), 70) END AS x1, CASE WHEN ox IS NULL THEN y1 ELSE least(greatest(y1 - oy, 0), 60) END AS y1,
+   CASE WHEN ox IS NULL THEN x2 ELSE least(greatest(x2 - ox, 0), 70) END AS x2, CASE WHEN ox IS NULL THEN y2 ELSE least(greatest(y2 - oy, 0), 60) END AS y2,
+   CAST(CASE WHEN ox IS NULL THEN 300 ELSE 70 END AS BIGINT) AS width, CAST(CASE WHEN ox IS NULL THEN 250 ELSE 60 END AS BIGINT) AS height
+   FROM gt LEFT JOIN ch USING (image_id) WHERE ox IS NULL OR ((x1+x2)/2 > ox AND (y1+y2)/2 > oy AND (x1+x2)/2 < ox + 70 AND (y1+y2)/2 < oy + 60))""" + _shown("o", ", width, height")
+
+
 def copy_paste(spark, sf):
     """The first three boxes of each image are pasted over its other boxes."""
     runs = box_runs(_boxes(spark, sf))
@@ -289,7 +305,7 @@ EXPANSION_SQL = _warp_sql(GT + f""",
 
 QUERIES = {f.__name__: f for f in (
     random_flip, random_rotate, random_crop, min_iou_crop, expanded_canvas, random_shift, resized_boxes, sheared_boxes,
-    translated_boxes, random_affine, mosaic, mixup, erased_boxes, center_crop_pad, copy_paste, pasted_objects, random_policy, multi_branch,
+    translated_boxes, random_affine, mosaic, mixup, erased_boxes, center_crop_pad, center_crop_search, copy_paste, pasted_objects, random_policy, multi_branch,
     dataset_expansion)}
 
 
@@ -313,6 +329,7 @@ ORACLES = {
     "mixup": MIXUP_SQL,
     "erased_boxes": ERASE_SQL,
     "center_crop_pad": CENTER_CROP_SQL,
+    "center_crop_search": CENTER_SEARCH_SQL,
     "copy_paste": COPY_PASTE_SQL,
     "pasted_objects": PASTED_SQL,
     "random_policy": "WITH " + _sub("moved", TRANSLATE_SQL) + ", " + _sub("padded", EXPAND_SQL) + f"""
