@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from detframe.functions import boxes as B
+from detframe.functions import polygons as P
 from detframe.functions.hashing import hash_key, uniform
 from detframe.operators.sampling import draw_partners
 from detframe.session import cut_lineage
@@ -48,8 +49,9 @@ def copies(images: DataFrame, k: int) -> DataFrame:
     return out.withColumn("file_name", F.regexp_replace("file_name", r"(\.[^.]*)?$", "")).withColumn("file_name", F.concat("file_name", tag))
 
 
-def random_flip(df: DataFrame, probs: dict[str, float], seed: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Flip per image in one of the given directions, or not at all; adds ``flip``."""
+def random_flip(df: DataFrame, probs: dict[str, float], seed: int, keys: Sequence[str] = ("image_id",), polygon: str | None = None) -> DataFrame:
+    """Flip per image in one of the given directions, or not at all; adds ``flip``. ``polygon`` names a column of flat polygons
+    that is flipped with the boxes."""
     u = uniform(seed, *[F.col(k) for k in keys])
     bound, choice = 0.0, None
     for direction, p in probs.items():
@@ -63,25 +65,40 @@ def random_flip(df: DataFrame, probs: dict[str, float], seed: int, keys: Sequenc
         for direction in probs:
             value = F.when(F.col("flip") == direction, B.flip(B.box(), direction, w, h)[i]).otherwise(value)
         values.append(value)
+    if polygon:
+        shape = F.col(polygon)
+        for direction in probs:
+            shape = F.when(F.col("flip") == direction, P.flip(F.col(polygon), direction, w, h)).otherwise(shape)
+        marked = marked.withColumn(polygon, shape)
     return _with_box(marked, tuple(values))
 
 
-def random_rotate(df: DataFrame, max_degrees: float, seed: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Rotate about the image centre by an angle in ±max; boxes become hulls, clipped and filtered by what is left."""
+def random_rotate(df: DataFrame, max_degrees: float, seed: int, keys: Sequence[str] = ("image_id",), polygon: str | None = None) -> DataFrame:
+    """Rotate about the image centre by an angle in ±max; boxes become hulls, clipped and filtered by what is left.
+    Polygons turn by their vertices and are cut to the image."""
     angle = _span(seed, -max_degrees, max_degrees, *[F.col(k) for k in keys])
     ready = df.withColumn("angle", angle).withColumn("old_area", B.area(B.box()))
+    if polygon:
+        w, h = F.col("width").cast("double"), F.col("height").cast("double")
+        c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
+        turned = P.affine(F.col(polygon), [[c, -s, w / 2 - c * w / 2 + s * h / 2], [s, c, h / 2 - s * w / 2 - c * h / 2]])
+        ready = ready.withColumn(polygon, turned).withColumn(polygon, P.crop(F.col(polygon), F.lit(0.0), F.lit(0.0), w, h))
     turned = _with_box(ready, B.rotate(B.box(), F.col("width") / 2.0, F.col("height") / 2.0, F.col("angle")))
     return clip_and_keep(turned).drop("old_area")
 
 
-def random_crop(df: DataFrame, low: float, high: float, seed: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Crop a window of a random share of each side; boxes move to its origin and are filtered by what is left."""
+def random_crop(df: DataFrame, low: float, high: float, seed: int, keys: Sequence[str] = ("image_id",), polygon: str | None = None) -> DataFrame:
+    """Crop a window of a random share of each side; boxes and polygons move to its origin, cut to it, and boxes are
+    filtered by what is left."""
     k = [F.col(c) for c in keys]
     cw = F.floor(F.col("width") * _span(seed, low, high, *k))
     ch = F.floor(F.col("height") * _span(seed + 1, low, high, *k))
     placed = (df.withColumn("old_area", B.area(B.box())).withColumn("_cw", cw).withColumn("_ch", ch)
               .withColumn("_ox", F.floor(uniform(seed + 2, *k) * (F.col("width") - F.col("_cw") + 1)))
               .withColumn("_oy", F.floor(uniform(seed + 3, *k) * (F.col("height") - F.col("_ch") + 1))))
+    if polygon:
+        left, top = F.col("_ox").cast("double"), F.col("_oy").cast("double")
+        placed = placed.withColumn(polygon, P.crop(F.col(polygon), left, top, left + F.col("_cw"), top + F.col("_ch")))
     moved = _with_box(placed, B.translate(B.box(), -F.col("_ox"), -F.col("_oy")))
     sized = moved.withColumn("width", F.col("_cw").cast("long")).withColumn("height", F.col("_ch").cast("long"))
     return clip_and_keep(sized).drop("old_area", "_cw", "_ch", "_ox", "_oy")

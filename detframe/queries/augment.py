@@ -42,6 +42,19 @@ RANDOM_FLIP_SQL = GT + f""",
    CASE WHEN flip IN ('vertical', 'diagonal') THEN 250 - y1 ELSE y2 END AS y2 FROM f)""" + _shown("o", ", flip")
 
 
+def flipped_polygons(spark, sf):
+    """A slanted quadrangle in every box, flipped with it."""
+    made = _boxes(spark, sf).withColumn("poly", F.array("x1", "y1", "x2", F.col("y1") + 5, F.col("x2") - 3, "y2", "x1", F.col("y2") - 7))
+    out = A.random_flip(made, {"horizontal": 0.3, "vertical": 0.3, "diagonal": 0.2}, 3, polygon="poly")
+    return out.select("ann_id", "flip", *[F.get("poly", F.lit(i)).alias(f"p{i}") for i in range(8)])
+
+
+def _flipped_polygons_sql() -> str:
+    corners = ("x1", "y1", "x2", "y1 + 5", "x2 - 3", "y2", "x1", "y2 - 7")
+    turned = [f"CASE WHEN flip IN ('{'vertical' if i % 2 else 'horizontal'}', 'diagonal') THEN {250 if i % 2 else 300} - ({c}) ELSE {c} END AS p{i}" for i, c in enumerate(corners)]
+    return RANDOM_FLIP_SQL[:RANDOM_FLIP_SQL.index(" o AS (")].rstrip().rstrip(",") + f" SELECT ann_id, flip, {', '.join(turned)} FROM f"
+
+
 def _clip(w: str, h: str) -> str:
     return (f"least(greatest(x1, 0), {w}) AS x1, least(greatest(y1, 0), {h}) AS y1, least(greatest(x2, 0), {w}) AS x2, least(greatest(y2, 0), {h}) AS y2")
 
@@ -304,7 +317,7 @@ EXPANSION_SQL = _warp_sql(GT + f""",
 
 
 QUERIES = {f.__name__: f for f in (
-    random_flip, random_rotate, random_crop, min_iou_crop, expanded_canvas, random_shift, resized_boxes, sheared_boxes,
+    random_flip, flipped_polygons, random_rotate, random_crop, min_iou_crop, expanded_canvas, random_shift, resized_boxes, sheared_boxes,
     translated_boxes, random_affine, mosaic, mixup, erased_boxes, center_crop_pad, center_crop_search, copy_paste, pasted_objects, random_policy, multi_branch,
     dataset_expansion)}
 
@@ -316,6 +329,7 @@ def _sub(name: str, text: str) -> str:
 
 ORACLES = {
     "random_flip": RANDOM_FLIP_SQL,
+    "flipped_polygons": _flipped_polygons_sql(),
     "random_rotate": RANDOM_ROTATE_SQL,
     "random_crop": RANDOM_CROP_SQL,
     "min_iou_crop": MIN_IOU_SQL,
