@@ -36,7 +36,7 @@ def groups(seed, sizes, share):
 
 @pytest.mark.parametrize("pair_limit, component_limit", [(10_000, None), (5, 10_000), (5, 8)])
 def test_total_cost_equals_the_dense_solver(spark, pair_limit, component_limit):
-    rows, dense = groups(3, (5, 12, 9) if component_limit != 8 else (6, 4), 0.3)
+    rows, dense = groups(3, (5, 12, 9) if component_limit != 8 else (4, 3), 0.4)
     frame = spark.createDataFrame(rows, "image_id long, a_id long, b_id long, cost double")
     got = A.least_cost_pairs(frame, ["image_id"], limit=0.8, pair_limit=pair_limit, component_limit=component_limit, resolution=1e-3).collect()
     for g, matrix in dense.items():
