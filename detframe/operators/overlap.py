@@ -18,15 +18,13 @@ from detframe.functions import boxes as B
 TILE = 512.0
 
 
-#: Tiles are even up to so many from the origin; farther out each is twice as wide as the one before.
-EVEN_TILES = 64
+#: All that lies more tiles than this from the origin counts to the last tile, so a box of any extent touches a bounded number.
+FAR_TILES = 100
 
 
 def _tile_of(value: Column, tile: float) -> Column:
-    """Number of the tile that holds ``value``: never falls as values rise, and a box of any extent touches few tiles per axis."""
-    q = value / F.lit(tile)
-    far = F.lit(EVEN_TILES) + F.floor(F.least(F.log2(F.abs(q) / EVEN_TILES), F.lit(1100.0)))
-    return F.when(F.abs(q) < EVEN_TILES, F.floor(q)).when(q > 0, far).otherwise(-far - 1)
+    """Number of the tile that holds ``value``; it never falls as values rise."""
+    return F.floor(F.greatest(F.least(value / F.lit(tile), F.lit(float(FAR_TILES))), F.lit(-float(FAR_TILES))))
 
 
 def _tiles(low: Column, high: Column, tile: float) -> Column:
