@@ -150,22 +150,27 @@ def match_caltech(det: DataFrame, gt: DataFrame, thr: float = 0.5) -> DataFrame:
             .withColumn("fp", F.when((F.col("tp") == 0) & F.col("_neutral").isNull(), 1).otherwise(0)).drop("_neutral"))
 
 
-def proposal_recall(det: DataFrame, gt: DataFrame, proposal_nums: Sequence[int], iou_thrs: Sequence[float]) -> DataFrame:
-    """Recall per (number of proposals, IoU): boxes and proposals are paired off by descending overlap."""
-    order = Window.partitionBy("image_id").orderBy(F.col("score").desc(), "det_id")
+def proposal_recall(det: DataFrame, gt: DataFrame, proposal_nums: Sequence[int], iou_thrs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Recall per (``by``, number of proposals, IoU): boxes and proposals are paired off by descending overlap.
+
+    ``by`` are columns of both tables that an image has one value of; a value with boxes and no hit has recall 0.
+    """
+    by = list(by)
+    keys = [*by, "image_id"]
+    order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "det_id")
     best = (det.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(proposal_nums))
-            .select("det_id", "image_id", "rank", "x1", "y1", "x2", "y2"))
-    pairs = overlap_pairs(best, gt.select("ann_id", "image_id", "x1", "y1", "x2", "y2"), ["image_id"], "d_", "g_")
-    each = pairs.select("image_id", F.col("d_det_id").alias("det_id"), F.col("d_rank").alias("rank"),
-                        F.col("g_ann_id").alias("ann_id"), F.col("iou").alias("value"),
-                        F.explode(F.array(*[F.lit(int(n)) for n in proposal_nums])).alias("proposals"))
-    got = match_by_value(each.where("rank <= proposals"), ["image_id", "proposals"])
-    hits = got.groupBy("proposals").agg(*[F.sum((F.col("value") >= float(t)).cast("long")).alias(f"h{i}")
-                                          for i, t in enumerate(iou_thrs)])
-    total = gt.agg(F.count(F.lit(1)).alias("total"))  # one row
-    stacked = hits.join(F.broadcast(total)).select("proposals", "total", F.explode(F.array(*[
-        F.struct(F.lit(float(t)).alias("iou_thr"), F.col(f"h{i}").alias("hits")) for i, t in enumerate(iou_thrs)])).alias("r"))
-    return stacked.select("proposals", F.col("r.iou_thr").alias("iou_thr"), (F.col("r.hits") / F.col("total")).alias("recall"))
+            .select("det_id", *keys, "rank", "x1", "y1", "x2", "y2"))
+    pairs = overlap_pairs(best, gt.select("ann_id", *keys, "x1", "y1", "x2", "y2"), keys, "d_", "g_")
+    nums = F.explode(F.array(*[F.lit(int(n)) for n in proposal_nums])).alias("proposals")
+    each = pairs.select(*keys, F.col("d_det_id").alias("det_id"), F.col("d_rank").alias("rank"),
+                        F.col("g_ann_id").alias("ann_id"), F.col("iou").alias("value"), nums)
+    got = match_by_value(each.where("rank <= proposals"), [*keys, "proposals"])
+    hits = got.groupBy(*by, "proposals").agg(*[F.sum((F.col("value") >= float(t)).cast("long")).alias(f"h{i}")
+                                               for i, t in enumerate(iou_thrs)])
+    total = gt.groupBy(*by).agg(F.count(F.lit(1)).alias("total")).where("total > 0").select("*", nums)
+    stacked = total.join(hits, [*by, "proposals"], "left").select(*by, "proposals", "total", F.explode(F.array(*[
+        F.struct(F.lit(float(t)).alias("iou_thr"), F.coalesce(f"h{i}", F.lit(0)).alias("hits")) for i, t in enumerate(iou_thrs)])).alias("r"))
+    return stacked.select(*by, "proposals", F.col("r.iou_thr").alias("iou_thr"), (F.col("r.hits") / F.col("total")).alias("recall"))
 
 
 def referring_scores(det: DataFrame, gt: DataFrame, score_thr: float = 0.7, iou_thr: float = 0.5,

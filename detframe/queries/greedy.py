@@ -97,9 +97,11 @@ def proposal_recall(spark, sf):
     return out.select(F.col("proposals").cast("long").alias("proposals"), "iou_thr", F.round("recall", 6).alias("recall"))
 
 
-PROPOSAL_RECALL_SQL = _recursive(with_tables("gt", "det")) + f""",
+def proposal_recall_sql(nums: str, thrs: str, dataset: str = "0") -> str:
+    """Twin of the operator: recall per (dataset, number of proposals, IoU), the dataset an expression of ``image_id``."""
+    return _recursive(with_tables("gt", "det")) + f""",
  top AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, det_id) AS rank FROM det),
- nums AS (SELECT unnest([10, 30, 100]) AS n),
+ nums AS (SELECT unnest([{nums}]) AS n),
  pairs AS (SELECT n, image_id, ann_id, det_id, v, row_number() OVER (PARTITION BY n, image_id ORDER BY v DESC, ann_id, det_id) AS r
    FROM (SELECT n, t.image_id, g.ann_id, t.det_id, {iou_sql('t', 'g')} AS v
          FROM nums JOIN top t ON t.rank <= n JOIN gt g ON g.image_id = t.image_id) p WHERE v > 0),
@@ -109,10 +111,15 @@ PROPOSAL_RECALL_SQL = _recursive(with_tables("gt", "det")) + f""",
    SELECT n, image_id, r, v, hit, CASE WHEN hit THEN list_append(ga, ann_id) ELSE ga END,
      CASE WHEN hit THEN list_append(da, det_id) ELSE da END
    FROM (SELECT p.*, w.ga, w.da, NOT list_contains(w.ga, p.ann_id) AND NOT list_contains(w.da, p.det_id) AS hit
-         FROM walk w JOIN pairs p ON p.n = w.n AND p.image_id = w.image_id AND p.r = w.r + 1) s)
- SELECT CAST(n AS BIGINT) AS proposals, t AS iou_thr,
-   round(sum(CASE WHEN hit AND v >= t THEN 1 ELSE 0 END) / CAST((SELECT count(*) FROM gt) AS DOUBLE), 6) AS recall
- FROM walk, (SELECT CAST(unnest([0.5, 0.7, 0.9]) AS DOUBLE) AS t) x GROUP BY n, t"""
+         FROM walk w JOIN pairs p ON p.n = w.n AND p.image_id = w.image_id AND p.r = w.r + 1) s),
+ whole AS (SELECT {dataset} AS dataset, count(*) AS total FROM gt GROUP BY 1),
+ hits AS (SELECT {dataset} AS dataset, n, v FROM walk WHERE hit)
+ SELECT w.dataset, CAST(nums.n AS BIGINT) AS proposals, t AS iou_thr, round(count(h.v) / CAST(max(total) AS DOUBLE), 6) AS recall
+ FROM whole w CROSS JOIN nums CROSS JOIN (SELECT CAST(unnest([{thrs}]) AS DOUBLE) AS t) x
+   LEFT JOIN hits h ON h.dataset = w.dataset AND h.n = nums.n AND h.v >= t GROUP BY w.dataset, nums.n, t"""
+
+
+PROPOSAL_RECALL_SQL = f"SELECT proposals, iou_thr, recall FROM ({proposal_recall_sql('10, 30, 100', '0.5, 0.7, 0.9')}) t"
 
 
 def _targets(spark, sf):

@@ -11,6 +11,8 @@ from detframe.operators import trackers as TR
 from detframe.operators.evaluate import evaluate
 from detframe.plans import compose as CP
 from detframe.queries import tables as T
+from detframe.queries.detection import NPOS, ap_sql, match_sql
+from detframe.queries.greedy import COCO_TABLES, proposal_recall_sql
 from detframe.queries.tables import with_tables
 from detframe.session import shared_dir
 from detframe.streaming import monitor as M
@@ -102,12 +104,38 @@ def offline_evaluation(spark, sf):
     return evaluate(parts, ("voc", "coco", "recall")).withColumn("value", F.round("value", 6))
 
 
+def _offline_sql() -> str:
+    """Classes of the two datasets are kept apart as even and odd classes; every figure groups by that."""
+    def parted(sql: str) -> str:
+        for name in ("gt", "det"):
+            whole = T.SQL[name].replace(f"{name} AS", f"{name}_all AS", 1)
+            sql = sql.replace(T.SQL[name], f"{whole},\n {name} AS (SELECT * REPLACE (category_id * 2 + image_id % 2 AS category_id) FROM {name}_all)", 1)
+        return sql
+    voc = parted(with_tables("gt", "det") + match_sql(0.5, plus=True) + NPOS + ap_sql()) + """
+ SELECT category_id % 2 AS dataset, 'voc_map_50' AS metric, avg(ap) AS value FROM aps GROUP BY 1"""
+    coco = parted(COCO_TABLES) + """
+ SELECT dataset, 'coco_' || name AS metric, value FROM (
+   SELECT category_id % 2 AS dataset, unnest(['AP', 'AP50', 'AP75', 'AP_small', 'AP_medium', 'AP_large']) AS name,
+     unnest([avg(CASE WHEN area = 'all' THEN ap END), avg(CASE WHEN area = 'all' AND iou_thr = 0.5 THEN ap END),
+       avg(CASE WHEN area = 'all' AND iou_thr = 0.75 THEN ap END), avg(CASE WHEN area = 'small' THEN ap END),
+       avg(CASE WHEN area = 'medium' THEN ap END), avg(CASE WHEN area = 'large' THEN ap END)]) AS value FROM aps GROUP BY 1
+   UNION ALL SELECT category_id % 2, unnest(['AR_1', 'AR_10', 'AR_100', 'AR_small', 'AR_medium', 'AR_large']),
+     unnest([avg(CASE WHEN area = 'all' AND max_det = 1 THEN ar END), avg(CASE WHEN area = 'all' AND max_det = 10 THEN ar END),
+       avg(CASE WHEN area = 'all' AND max_det = 100 THEN ar END), avg(CASE WHEN area = 'small' AND max_det = 100 THEN ar END),
+       avg(CASE WHEN area = 'medium' AND max_det = 100 THEN ar END), avg(CASE WHEN area = 'large' AND max_det = 100 THEN ar END)]) FROM ars GROUP BY 1) s"""
+    recall = f"""SELECT dataset, printf('recall_%d@%.2f', proposals, iou_thr) AS metric, recall AS value
+ FROM ({proposal_recall_sql('100, 300', '0.5, 0.75', 'image_id % 2')}) r"""
+    return f"""SELECT CASE WHEN dataset = 0 THEN 'even' ELSE 'odd' END AS dataset, metric, round(value, 6) AS value
+ FROM (SELECT * FROM ({voc}) a UNION ALL SELECT * FROM ({coco}) b UNION ALL SELECT * FROM ({recall}) c) u"""
+
+
 QUERIES = {f.__name__: f for f in (live_curves, live_issues, live_tracks, anchor_clusters, anchor_evolution, composed_steps, user_records, user_metric,
                                    run_table, offline_evaluation)}
 ORACLES = {
     "live_curves": LIVE_CURVES_SQL,
     "live_issues": LIVE_ISSUES_SQL,
     "composed_steps": COMPOSED_SQL,
+    "offline_evaluation": _offline_sql(),
     "user_records": with_tables("gt") + " SELECT ann_id, (x2 - x1) * (y2 - y1) AS area FROM gt WHERE iscrowd = 0",
     "user_metric": with_tables("gt") + " SELECT category_id, round(avg(x2 - x1), 6) AS mean_width FROM gt GROUP BY category_id",
     "run_table": with_tables("gt") + " SELECT ann_id, CAST(x1 AS BIGINT) AS start, CAST(x2 - x1 AS BIGINT) AS length FROM gt",
