@@ -92,27 +92,34 @@ def multi_source_batches(images: DataFrame, batch: int, ratios: Sequence[float],
                          group: Column | None = None) -> DataFrame:
     """``(batch, slot, source, image_id)`` with a fixed share of each ``images.source`` (0, 1, …) per batch.
 
-    With ``group`` (portrait or landscape, say) each batch holds one group, drawn by the groups' sizes.
-    Sources start over when used up.
+    With ``group`` (a small whole number: portrait or landscape, say) each batch holds one group, drawn by the groups'
+    sizes; images without one are the group -1. Sources start over when used up; a source without images of the batch's
+    group leaves its slots empty.
     """
     spark = images.sparkSession
     quotas = source_quotas(batch, ratios)
     starts = [sum(quotas[:i]) for i in range(len(quotas))]
-    keyed = images.withColumn("grp", F.lit(0) if group is None else group.cast("int"))
+    keyed = images.withColumn("grp", F.lit(0) if group is None else F.coalesce(group.cast("int"), F.lit(-1)))
     ranked = shuffled(keyed, "image_id", seed, ["source", "grp"])
     sizes = ranked.groupBy("source", "grp").agg(F.count(F.lit(1)).alias("size"))  # sources x groups rows
     pick = spark.range(batches).withColumnRenamed("id", "batch")
     if group is None:
         pick = pick.withColumn("grp", F.lit(0)).withColumn("turn", F.col("batch"))
     else:
-        total = images.count()
         share = keyed.groupBy("grp").count().orderBy("grp").collect()  # one row per group
-        bound, chosen = 0.0, F.lit(share[-1]["grp"])
-        for row in reversed(share[:-1]):
-            bound = sum(r["count"] for r in share if r["grp"] <= row["grp"]) / total
-            chosen = F.when(uniform(seed + 1, F.col("batch")) < bound, F.lit(row["grp"])).otherwise(chosen)
-        pick = pick.withColumn("grp", chosen)
-        pick = pick.withColumn("turn", F.row_number().over(Window.partitionBy("grp").orderBy("batch")) - 1)
+        total, below = sum(r["count"] for r in share), 0
+        if not share:
+            pick = pick.where("false").withColumn("grp", F.lit(0)).withColumn("turn", F.col("batch"))
+        else:
+            u, chosen = uniform(seed + 1, F.col("batch")), None
+            for row in share[:-1]:
+                below += row["count"]
+                hit = u < below / total
+                chosen = F.when(hit, row["grp"]) if chosen is None else chosen.when(hit, row["grp"])
+            last = F.lit(share[-1]["grp"])
+            pick = pick.withColumn("grp", last if chosen is None else chosen.otherwise(last)).withColumn("_u", F.col("batch") / batches)
+            # batches of one group take turns; any number of batches is ranked without one task per group
+            pick = ordered_rank(pick, ["grp"], "_u", "batch", "turn", descending=False).drop("_u").withColumn("turn", F.col("turn") - 1)
     slots = F.explode(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(q).alias("quota"), F.lit(starts[s] + j).alias("slot"),
                                          F.lit(j).alias("j")) for s, q in enumerate(quotas) for j in range(q)]))
     wanted = pick.select("batch", "grp", "turn", slots.alias("s")).select("batch", "grp", "turn", "s.*")

@@ -90,6 +90,18 @@ def grouped_source_batches(spark, sf):
     return out.select("batch", F.col("slot").cast("long").alias("slot"), F.col("source").cast("long").alias("source"), "image_id")
 
 
+GROUPED_SQL = IMG + "," + _SRC + f""",
+ gr AS (SELECT *, CASE WHEN image_id % 3 = 0 THEN 0 ELSE 1 END AS grp FROM src),
+ rk AS (SELECT *, {_rank(11, 'image_id', 'source, grp')} AS rank, count(*) OVER (PARTITION BY source, grp) AS size FROM gr),
+ pick AS (SELECT batch, CASE WHEN {uniform_sql(12, 'batch')} < (SELECT count(*) FILTER (WHERE grp = 0) / CAST(count(*) AS DOUBLE) FROM gr) THEN 0 ELSE 1 END AS grp
+   FROM (SELECT unnest(range(200)) AS batch) b),
+ turns AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY batch) - 1 AS turn FROM pick),
+ sl AS (SELECT slot, CASE WHEN slot < 6 THEN 0 ELSE slot - 5 END AS s, CASE WHEN slot < 6 THEN 6 ELSE 1 END AS q, CASE WHEN slot < 6 THEN slot ELSE 0 END AS j
+   FROM (SELECT unnest(range(8)) AS slot) x)
+ SELECT batch, slot, CAST(s AS BIGINT) AS source, image_id
+ FROM turns t CROSS JOIN sl JOIN rk ON rk.source = sl.s AND rk.grp = t.grp AND rk.rank = (turn * q + j) % size + 1"""
+
+
 def weighted_draws(spark, sf):
     out = S.weighted_draws(_sources(spark, sf), (1.0, 2.0, 1.0), 3000, 13)
     return out.select("position", F.col("source").cast("long").alias("source"), "image_id")
@@ -252,6 +264,7 @@ ORACLES = {
     "class_aware_sample": CLASS_AWARE_SQL,
     "repeat_factors": REPEAT_SQL,
     "multi_source_batches": MULTI_SOURCE_SQL,
+    "grouped_source_batches": GROUPED_SQL,
     "weighted_draws": WEIGHTED_SQL,
     "sized_sources": SIZED_SQL,
     "aspect_batches": ASPECT_SQL,
