@@ -270,6 +270,34 @@ def translate_runs(runs: DataFrame, dx, dy, width: str = "width", height: str =
             .withColumn("length", (F.col("_b") - F.col("_t")).cast("long")).drop("_x", "_t", "_b"))
 
 
+def expand_runs(runs: DataFrame, top: Column | int, left: Column | int, to_height: Column | int, height: str = "height") -> DataFrame:
+    """Place masks on a larger canvas of ``to_height`` rows, ``top`` and ``left`` pixels from its origin; with zeros they are padded."""
+    top, left, to = (v if isinstance(v, Column) else F.lit(int(v)) for v in (top, left, to_height))
+    h = F.col(height)
+    start = (F.floor(F.col("start") / h) + left) * to + F.col("start") % h + top
+    return columns_of(runs, height).withColumn("start", start.cast("long")).withColumn(height, to.cast("long"))
+
+
+def cat_masks(parts: Sequence[DataFrame], by: Sequence[str] = ("image_id",), index: str = "mask") -> DataFrame:
+    """Masks of several tables behind each other: ``index`` (0.. per key) goes on where the table before ended.
+
+    A table's masks reach to its largest index in the key; a mask without runs behind that leaves no trace.
+    """
+    by, out, reached = list(by), None, None
+    for part in parts:
+        rows = part if reached is None else (part.join(reached, by, "left").withColumn(index, F.col(index) + F.coalesce("_end", F.lit(0))).drop("_end"))
+        ends = rows.groupBy(*by).agg((F.max(index) + 1).alias("_end"))
+        reached = ends if reached is None else reached.unionByName(ends).groupBy(*by).agg(F.max("_end").alias("_end"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def reduce_zero_label(runs: DataFrame, ignored: int = 255) -> DataFrame:
+    """Label 0 and the ignored label become the ignored one; the others move down by one."""
+    label = F.col("label")
+    return runs.withColumn("label", F.when((label == 0) | (label == ignored), ignored).otherwise(label - 1).cast("long"))
+
+
 def outline_pixels(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
     """Pixels ``(r, c)`` of an instance with a 4-neighbour outside it, in angular order about the centre."""
     by = list(by)

@@ -132,19 +132,26 @@ def ordered_rank(df: DataFrame, by: Sequence[str], score: str, ident: str, name:
             .withColumn(name, F.col(name).cast("long")))
 
 
-def dense_ids(df: DataFrame, ident: str, name: str, start: int = 1, target: int = TARGET_ROWS) -> DataFrame:
-    """Contiguous ids ``start..`` in the order of the unique numeric column ``ident``.
-
-    The column is spread over its own value range, so cells are even for any id range.
-    """
+def _over_range(df: DataFrame, ident: str) -> DataFrame:
+    """Add ``_pos``: the unique numeric column ``ident`` spread over its own value range, so cells are even for any id range."""
     span = df.agg(F.min(ident).cast("double").alias("_a"), F.max(ident).cast("double").alias("_b"))
     unit = F.when(F.col("_b") > F.col("_a"),
                   (F.col(ident).cast("double") - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(F.lit(0.0))
-    placed = df.join(F.broadcast(span)).withColumn("_pos", unit).drop("_a", "_b")  # span is one row
-    ranked = ordered_rank(placed, [], "_pos", ident, name, descending=False, target=target).drop("_pos")
+    return df.join(F.broadcast(span)).withColumn("_pos", unit).drop("_a", "_b")  # span is one row
+
+
+def dense_ids(df: DataFrame, ident: str, name: str, start: int = 1, target: int = TARGET_ROWS) -> DataFrame:
+    """Contiguous ids ``start..`` in the order of the unique numeric column ``ident``."""
+    ranked = ordered_rank(_over_range(df, ident), [], "_pos", ident, name, descending=False, target=target).drop("_pos")
     return ranked.withColumn(name, F.col(name) + F.lit(start - 1))
 
 
+def sums_before(df: DataFrame, ident: str, size: str, name: str, target: int = TARGET_ROWS) -> DataFrame:
+    """Add ``name``: the sum of ``size`` over the rows before, in the order of the unique numeric column ``ident``."""
+    summed = running_sums(_over_range(df, ident), [], "_pos", ident, {name: size}, descending=False, target=target).drop("_pos")
+    return summed.withColumn(name, F.col(name) - F.col(size))
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], carry: Sequence[str]) -> DataFrame:
     """First row per key by aggregation: partial minima combine before the shuffle, so a hot key is cheap.
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from detframe.queries import augment, convert, detection, greedy, instances, live, metrics, records, sampling, similarity, suppression, tracking
+from detframe.queries import augment, convert, detection, greedy, instances, layouts, live, metrics, records, sampling, similarity, suppression, tracking
 
-MODULES = (detection, greedy, suppression, metrics, instances, records, sampling, augment, tracking, similarity, convert, live)
+MODULES = (detection, greedy, suppression, metrics, instances, records, sampling, augment, tracking, similarity, convert, layouts, live)
 
 
 def queries() -> dict:

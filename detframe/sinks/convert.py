@@ -19,10 +19,10 @@ from detframe.plans.sized import broadcast_if_small
 
 # ---- results ------------------------------------------------------------------------------------------
 
-def coco_results(det: DataFrame, categories: DataFrame | None = None) -> DataFrame:
-    """``(image_id, category_id, bbox xywh, score)``; labels go back to category ids through ``categories(label, category_id)``."""
+def coco_results(det: DataFrame, categories: DataFrame | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """``(image_id, category_id, bbox xywh, score, extra..)``; labels go back to category ids through ``categories(label, category_id)``."""
     rows = det if categories is None else det.drop("category_id").join(broadcast_if_small(categories.select("label", "category_id")), "label")
-    return rows.select("image_id", "category_id", F.array(*B.xyxy_to_xywh(B.box())).alias("bbox"), "score")
+    return rows.select("image_id", "category_id", F.array(*B.xyxy_to_xywh(B.box())).alias("bbox"), "score", *extra)
 
 
 def coco_dataset(images: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -162,10 +162,27 @@ def read_crowdhuman(spark: SparkSession, path: str, sizes: DataFrame | None = No
     def corners(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.array(*xywh(F.col(c))))
     out = rows.select("image_id", "pos", F.when(ignored, -1).otherwise(F.element_at(labels, F.col("b.tag"))).alias("label"),
-                      ignored.cast("int").alias("ignore_flag"), *B.named(xywh(F.col("b.fbox"))), corners("b.hbox").alias("head"), corners("b.vbox").alias("visible"))
+                      ignored.cast("int").alias("ignore_flag"), *B.named(xywh(F.col("b.fbox"))), corners("b.hbox").alias("head"), corners("b.vbox").alias("visible"),
+                      F.col("b.extra.ignore").alias("extra_ignore"))
     return out if sizes is None else out.join(sizes, "image_id", "left")
 
 
+def read_occlusion_subset(spark: SparkSession, path: str, subset: str) -> DataFrame:
+    """``(subset, position, file_name, category, x1..y2, height, width, counts)`` of a list ``[[file, class, _, bbox, rle, ..], ..]``.
+
+    Boxes of the subset "occluded" are xywh, others are corners. ``counts`` is the compressed run-length text. The list is one
+    JSON document, hence one task.
+    """
+    text = spark.read.option("wholetext", True).text(path)
+    rows = text.select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("position", "r"))
+    box, mask = F.from_json(F.col("r")[3], "array<double>"), F.from_json(F.col("r")[4], "struct<size: array<long>, counts: string>")
+    read = rows.select(F.lit(subset).alias("subset"), F.col("position").cast("long").alias("position"), F.col("r")[0].alias("file_name"),
+                       F.col("r")[1].alias("category"), box.alias("b"), mask.alias("m"))
+    corners = xywh(F.col("b")) if subset == "occluded" else [F.col("b")[i] for i in range(4)]
+    return read.select("subset", "position", "file_name", "category", *B.named(corners), F.col("m.size")[0].alias("height"),
+                       F.col("m.size")[1].alias("width"), F.col("m.counts").alias("counts"))
+
+
 def read_openimages(spark: SparkSession, path: str, labels: DataFrame, sizes: DataFrame) -> DataFrame:
     """Box CSV with normalised coordinates, scaled by ``sizes(image_id, width, height)``; ``labels(mid, label)``."""
     flags = ["IsOccluded", "IsTruncated", "IsGroupOf", "IsDepiction", "IsInside"]
