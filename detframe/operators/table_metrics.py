@@ -13,8 +13,11 @@ from pyspark.sql import Window
 
 from detframe.operators.overlap import overlap_pairs
 from detframe.plans.ordered import first_rows
+from detframe.session import cut_lineage
 
 BACKGROUND = -1
+#: Distances of positives that a block of queries takes into a task.
+PACK = 4_000_000
 
 
 def confusion_matrix(det: DataFrame, gt: DataFrame, score_thr: float, iou_thr: float) -> DataFrame:
@@ -159,14 +162,15 @@ def _distances(queries: pd.Series, block: np.ndarray):
         yield at, ((block[None] - x[at:at + _QUERY_ROWS, None]) ** 2).sum(axis=2)
 
 
-def retrieval_scores(vectors: DataFrame, top_ks: Sequence[int] = (1, 5, 10), block_rows: int = 4096) -> DataFrame:
+def retrieval_scores(vectors: DataFrame, top_ks: Sequence[int] = (1, 5, 10), block_rows: int = 4096, pack: int = PACK) -> DataFrame:
     """Retrieval of ``vectors(id, label, embedding)`` against each other: one row with ``map`` and ``r<k>``.
 
-    The gallery is ranked by squared distance without the query itself; queries without a positive are left
-    out. Precision is only needed at positives, and a positive's rank is the number of closer rows. So
-    vectors are cut into blocks and block pairs meet in one task: a first pass emits the distances of
-    positives, a second one counts closer rows. The full ranking is never built. A block has ``block_rows`` rows, or
-    the root of all rows if that is more, so a vector is copied at most that root often.
+    The gallery is ranked by squared distance without the query itself; queries without a positive are left out. Precision is
+    only needed at positives, and a positive's rank follows from the number of closer rows, so the ranking is never built.
+    Vectors are cut into blocks of ``block_rows`` rows, or the root of all rows if that is more; block pairs meet in one task. A
+    first pass keeps the distances of positives, a second one counts the rows and the positives closer than each. However many
+    rows a label has, a task holds two blocks and the distances of one pack: the positives that a block of queries has in
+    neighbouring gallery blocks, cut after ``pack`` distances. Equal distances share their ranks in any order.
     """
     n = vectors.count()
     blocks = max(1, -(-n // max(block_rows, math.isqrt(n))))
@@ -177,35 +181,47 @@ def retrieval_scores(vectors: DataFrame, top_ks: Sequence[int] = (1, 5, 10), blo
     gallery = placed.select(other.alias("qb"), F.col("_b").alias("gb"), F.col("id").alias("g"),
                             F.col("label").alias("g_label"), F.col("e").alias("g_e"))
 
-    def positives(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        parts = []
+    def positives(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
         if len(a) and len(b):
             y, ids, labels = np.stack(b["g_e"].to_numpy()), b["g"].to_numpy(), b["g_label"].to_numpy()
             own, mine = a["id"].to_numpy(), a["label"].to_numpy()
             for at, d in _distances(a["e"], y):
-                q, g = np.nonzero((mine[at:at + len(d), None] == labels) & (own[at:at + len(d), None] != ids))
-                parts.append(pd.DataFrame({"q": own[at + q], "p": ids[g], "d": d[q, g]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"q": [], "p": [], "d": []}).astype({"q": "int64", "p": "int64"})
-
-    pairs = (queries.groupBy("qb", "gb").cogroup(gallery.groupBy("qb", "gb"))
-             .applyInPandas(positives, "q long, p long, d double"))
-    wanted = pairs.join(placed.select(F.col("id").alias("q"), F.col("_b").alias("qb")), "q").groupBy("q", "qb").agg(
-        F.sort_array(F.collect_list(F.struct("d", "p"))).alias("w"))
-    asked = (placed.select(F.col("id").alias("q"), "e").join(wanted, "q").select("qb", other.alias("gb"), "q", F.col("e").alias("q_e"), F.col("w.d").alias("d")))
-
-    def closer(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+                good = (mine[at:at + len(d), None] == labels) & (own[at:at + len(d), None] != ids)
+                out += [(*key, own[at + i], *np.unique(d[i, good[i]], return_counts=True)) for i in np.flatnonzero(good.any(axis=1))]
+        return pd.DataFrame(out, columns=["qb", "gb", "q", "d", "m"])
+
+    found = cut_lineage(queries.groupBy("qb", "gb").cogroup(gallery.groupBy("qb", "gb"))
+                        .applyInPandas(positives, "qb int, gb int, q long, d array<double>, m array<long>"))
+    # blocks x blocks rows, a window of blocks rows each
+    sized = found.groupBy("qb", "gb").agg(F.sum(F.size("d")).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("qb").orderBy("gb").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    packs = sized.select("qb", "gb", F.floor(before / pack).alias("pack"))
+    lists = found.join(packs, ["qb", "gb"]).groupBy("qb", "pack", "q").agg(F.collect_list(F.struct("d", "m")).alias("w"))  # within a pack
+    asked = lists.join(placed.select(F.col("id").alias("q"), "label", F.col("e").alias("q_e")), "q").select(
+        "qb", "pack", other.alias("gb"), "q", "label", "q_e", F.flatten("w.d").alias("d"), F.flatten("w.m").alias("m"))
+    met = gallery.join(packs.select("qb", F.col("pack").alias("for_pack")).distinct(), "qb")
+
+    def closer(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            y, ids, own = np.stack(b["g_e"].to_numpy()), b["g"].to_numpy(), a["q"].to_numpy()
+            y, ids, labels, own = np.stack(b["g_e"].to_numpy()), b["g"].to_numpy(), b["g_label"].to_numpy(), a["q"].to_numpy()
             for at, d in _distances(a["q_e"], y):
                 d[own[at:at + len(d), None] == ids] = np.inf
-                d.sort(axis=1)
-                out += [(q, np.searchsorted(far, hits, side="left").astype(np.int64)) for q, far, hits in zip(own[at:], d, a["d"][at:at + len(d)])]
-        return pd.DataFrame(out, columns=["q", "n"])
-
-    counts = (asked.groupBy("qb", "gb").cogroup(gallery.groupBy("qb", "gb")).applyInPandas(closer, "q long, n array<long>")
-              .select("q", F.posexplode("n").alias("hit", "n")).groupBy("q", "hit").agg(F.sum("n").alias("n")))
-    per_query = counts.groupBy("q").agg(F.avg((F.col("hit") + 1) / (F.col("n") + 1)).alias("ap"), (F.min("n") + 1).alias("first"))
+                for i, far in enumerate(d, at):
+                    hits = np.asarray(a["d"].iloc[i])
+                    alike = np.sort(far[labels == a["label"].iloc[i]])
+                    out.append((key[1], own[i], a["m"].iloc[i], np.searchsorted(np.sort(far), hits), np.searchsorted(alike, hits)))
+        return pd.DataFrame(out, columns=["pack", "q", "m", "n", "c"])
+
+    counted = asked.groupBy("qb", "pack", "gb").cogroup(met.groupBy("qb", "for_pack", "gb")).applyInPandas(
+        closer, "pack long, q long, m array<long>, n array<long>, c array<long>")
+    each = (counted.select("pack", "q", F.posexplode(F.arrays_zip("m", "n", "c")).alias("at", "x")).groupBy("pack", "q", "at")
+            .agg(F.max("x.m").alias("m"), F.sum("x.n").alias("n"), F.sum("x.c").alias("c")))
+    # a farther positive has a closer one more before it, so equal counts are equal distances
+    tied = each.groupBy("q", "n").agg(F.sum("m").alias("m"), F.max("c").alias("c"))
+    share = F.col("m") * (F.col("c") + (F.col("m") + 1) / 2) / (F.col("n") + 1)
+    per_query = tied.groupBy("q").agg((F.sum(share) / F.sum("m")).alias("ap"), (F.min("n") + 1).alias("first"))
     return per_query.agg(F.avg("ap").alias("map"),
                          *[F.avg((F.col("first") <= k).cast("double")).alias(f"r{k}") for k in top_ks])
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from detframe.operators.similarity import similar
+from detframe.operators.table_metrics import retrieval_scores
 
 
 @pytest.mark.parametrize("method", ["dot", "cosine", "softmax"])
@@ -31,3 +32,26 @@ def test_best_partners_match_the_full_matrix(spark, method, block_rows):
 def test_empty_sides(spark):
     some = spark.createDataFrame([(1, [1.0, 2.0])], "id long, embedding array<double>")
     assert similar(some, some.limit(0), 2).count() == 0 and similar(some.limit(0), some, 2, "softmax").count() == 0
+
+
+def ranked_scores(rows, top_ks):
+    """Every query against every row, sorted."""
+    aps, firsts = [], []
+    for i, label, e in rows:
+        far = sorted((sum((a - b) ** 2 for a, b in zip(e, f)), other != label) for j, other, f in rows if j != i)
+        hits = [(k, sum(d < v for d, _ in far) + 1) for k, v in enumerate((d for d, strange in far if not strange), 1)]
+        if hits:
+            aps.append(sum(k / rank for k, rank in hits) / len(hits))
+            firsts.append(hits[0][1])
+    return sum(aps) / len(aps), *[sum(f <= k for f in firsts) / len(firsts) for k in top_ks]
+
+
+def test_retrieval_of_a_hot_label_in_small_packs(spark):
+    rng = np.random.default_rng(5)
+    # two thirds share a label, whole coordinates make many ties, and some rows are equal
+    rows = [(int(i), int(rng.choice([0, 0, 1, 2, 3])) if i else 99, [float(x) for x in rng.integers(0, 3, 3)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, label long, embedding array<double>")
+    want = ranked_scores(rows, (1, 5))
+    for block_rows, pack in ((1000, 10**6), (20, 10**6), (20, 40), (13, 1)):
+        got = retrieval_scores(df, (1, 5), block_rows=block_rows, pack=pack).first()
+        assert (got["map"], got.r1, got.r5) == pytest.approx(want, abs=1e-12), (block_rows, pack)
