@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from detframe.functions.boxes import angle_mod60
 from detframe.operators.assignment import least_cost_pairs
+from detframe.operators.matching import match_nearest_center
 from detframe.plans.grouped import scan_groups
+from detframe.session import cut_lineage
 
 
 def shape_stats(points: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -162,6 +164,25 @@ def match_instances(truth: DataFrame, pred: DataFrame, cost: DataFrame, keys: Se
     return found.join(truth.select("a_id"), "a_id", "left_semi").join(pred.select("b_id"), "b_id", "left_semi")
 
 
+def match_in_steps(truth: DataFrame, pred: DataFrame, overlaps: DataFrame, max_dist: float, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """``keys.., a_id, b_id, dist, step`` of truth and predictions matched by overlap, checked by distance, else by centre.
+
+    ``truth(keys.., a_id, cx, cy)``, ``pred(keys.., b_id, cx, cy)``, ``overlaps(keys.., a_id, b_id, n)`` with the common pixels of
+    those that meet. Pairs of greatest total overlap are taken first (step "overlap"); those whose centres lie farther apart than
+    ``max_dist`` are dropped. Keys left without any pair match each truth to its nearest prediction within ``max_dist``, the
+    nearest truth of a prediction first (step "center"). Pairs without a common pixel are never taken for overlap.
+    """
+    keys = list(keys)
+    met = least_cost_pairs(overlaps.select(*keys, "a_id", "b_id", (-F.col("n")).alias("cost")), keys, limit=0.0)
+    centers = met.join(truth.select(*keys, "a_id", F.col("cx").alias("ax"), F.col("cy").alias("ay")), [*keys, "a_id"]).join(
+        pred.select(*keys, "b_id", F.col("cx").alias("bx"), F.col("cy").alias("by")), [*keys, "b_id"])
+    dist = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    near = cut_lineage(centers.select(*keys, "a_id", "b_id", dist.alias("dist")).where(F.col("dist") <= float(max_dist)))
+    done = near.select(*keys).distinct()
+    rest = match_nearest_center(truth.join(done, keys, "left_anti"), pred.join(done, keys, "left_anti"), max_dist, keys)
+    return near.withColumn("step", F.lit("overlap")).unionByName(rest.select(*near.columns).withColumn("step", F.lit("center")))
+
+
 def with_failures(images: DataFrame, metrics: DataFrame, key: str = "image_id") -> DataFrame:
     """Every image once; those without metrics keep NULLs."""
     return images.join(metrics, key, "left")

@@ -369,6 +369,23 @@ def hull_stats(spark, sf):
     return G.hull_stats(G.hull_vertices(_points(spark, sf), by), by)
 
 
+def stepwise_matches(spark, sf):
+    """Detections of odd images lie aside, so that few overlap by 0.8 and some images are matched by centre."""
+    from detframe.operators.overlap import overlap_pairs
+
+    aside = F.when(F.col("image_id") % 2 == 1, 12.0).otherwise(0.0)
+    gt, det = T.gt(spark, sf), T.det(spark, sf).withColumns({"x1": F.col("x1") + aside, "x2": F.col("x2") + aside})
+    cols = ["image_id", *COORDS]
+    pairs = overlap_pairs(gt.select("ann_id", *cols), det.select("det_id", *cols), ["image_id"], "g_", "d_", min_overlap=0.8)
+    common = (F.least("g_x2", "d_x2") - F.greatest("g_x1", "d_x1")) * (F.least("g_y2", "d_y2") - F.greatest("g_y1", "d_y1"))
+    overlaps = pairs.select("image_id", F.col("g_ann_id").alias("a_id"), F.col("d_det_id").alias("b_id"), common.alias("n"))
+
+    def placed(df, ident, name):
+        cx, cy = B.center(B.box())
+        return df.select("image_id", F.col(ident).alias(name), cx.alias("cx"), cy.alias("cy"))
+    return G.match_in_steps(placed(gt, "ann_id", "a_id"), placed(det, "det_id", "b_id"), overlaps, 20.0)
+
+
 def instance_assignment(spark, sf):
     """Truth and detections of an image paired at least total distance between centres, up to 30 pixels apart."""
     from detframe.operators.overlap import overlap_pairs
@@ -384,7 +401,7 @@ QUERIES = {f.__name__: f for f in (
     box_moves, box_deltas, box_predicates, valid_annotations, filtered_images, filtered_frames, class_split, rare_dropped, remapped_classes,
     selected_annotations, concatenated_sources, held_out_images, exploded_instances, renamed_categories, categories_per_image, dataset_check,
     duplicate_report, missing_files, split_distance, busiest_images, class_count_check, log_epochs, train_time, loss_means, shape_stats,
-    polygon_fit, hull_stats, instance_assignment)}
+    polygon_fit, hull_stats, instance_assignment, stepwise_matches)}
 ORACLES = {
     "box_moves": _moves_sql(),
     "box_deltas": _deltas_sql(),

@@ -1,9 +1,13 @@
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from detframe.functions.arrays import assign_limited, assign_min_cost, assign_sparse, max_matching_pairs
 from detframe.operators import assignment as A
+from detframe.operators.geometry import match_in_steps
 from detframe.plans.components import pair_components
 
 
@@ -111,3 +115,46 @@ def test_matching_index_equals_a_dense_twin(spark):
             if m or n:
                 values.append(k / (m + n - k + 1e-6))
         assert got[thr] == pytest.approx(np.mean(values), abs=1e-9)
+
+
+def best_total(weights, n, m):
+    """Greatest total over all partial one-to-one matchings, by trying them."""
+    best = 0
+    for take in itertools.product([None, *range(m)], repeat=n):
+        used = [j for j in take if j is not None]
+        if len(used) == len(set(used)) and all((i, j) in weights for i, j in enumerate(take) if j is not None):
+            best = max(best, sum(weights[i, j] for i, j in enumerate(take) if j is not None))
+    return best
+
+
+def test_steps_by_overlap_then_by_center(spark):
+    rng = np.random.default_rng(8)
+    truth, pred, common = [], [], {}
+    for image in range(12):
+        truth += [(image, i, *map(float, rng.integers(0, 40, 2))) for i in range(3)]
+        pred += [(image, j, *map(float, rng.integers(0, 40, 2))) for j in range(4)]
+        if image % 3:
+            common.update({(image, i, j): int(rng.integers(1, 30)) for i in range(3) for j in range(4) if rng.random() < 0.5})
+    t, p = spark.createDataFrame(truth, "image_id long, a_id long, cx double, cy double"), spark.createDataFrame(pred, "image_id long, b_id long, cx double, cy double")
+    o = spark.createDataFrame([(*k, v) for k, v in common.items()], "image_id long, a_id long, b_id long, n long")
+    at = {(k, "a", i): (x, y) for k, i, x, y in truth} | {(k, "b", j): (x, y) for k, j, x, y in pred}
+
+    def far(k, i, j):
+        return math.dist(at[k, "a", i], at[k, "b", j])
+    anywhere = [r for r in match_in_steps(t, p, o, 1000.0).collect() if r.step == "overlap"]
+    for k in range(12):
+        mine = {(i, j): n for (image, i, j), n in common.items() if image == k}
+        assert sum(mine[r.a_id, r.b_id] for r in anywhere if r.image_id == k) == best_total(mine, 3, 4)
+    got = match_in_steps(t, p, o, 15.0).collect()
+    kept = {(r.image_id, r.a_id, r.b_id) for r in anywhere if far(r.image_id, r.a_id, r.b_id) <= 15}
+    assert {(r.image_id, r.a_id, r.b_id) for r in got if r.step == "overlap"} == kept and len(kept) > 3
+    want = set()
+    for k in set(range(12)) - {k for k, *_ in kept}:
+        nearest = sorted((min((far(k, i, j), j) for j in range(4)), i) for i in range(3))
+        taken = set()
+        for (d, j), i in nearest:
+            if d <= 15 and j not in taken:
+                taken.add(j)
+                want.add((k, i, j))
+    assert {(r.image_id, r.a_id, r.b_id) for r in got if r.step == "center"} == want and len(want) > 3
+    assert match_in_steps(t.limit(0), p, o.limit(0), 15.0).count() == 0
