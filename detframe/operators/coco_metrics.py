@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from detframe.functions import boxes as B
 from detframe.operators.overlap import overlap_pairs
 from detframe.plans.grouped import scan_groups, scan_states
-from detframe.plans.ordered import TARGET_ROWS, crowded, running_sums, with_cells
+from detframe.plans.ordered import TARGET_ROWS, crowded, with_cells, without_cells
 from detframe.session import cut_lineage
 
 # fixed values of the protocol
@@ -137,25 +137,70 @@ def count_real(gt: DataFrame, areas: dict[str, tuple[float, float]] = AREAS, by:
             .agg(F.count(F.lit(1)).alias("npos")))
 
 
-def _running_hits(slim: DataFrame, by: Sequence[str], combos: int) -> DataFrame:
-    """``by.., combo, tp, n``: at every hit of a combination, hits and counted detections down to it in score order.
+def _heads(slim: DataFrame, npos: DataFrame, by: Sequence[str], combos: Sequence[tuple[int, str, float]], cells: bool) -> DataFrame:
+    """Rows to read before a (key, cell): per combination (``det_id``) the hits (``tp_mask``) and counted detections
+    (``ignore_mask``) of all cells before it, and the boxes to find (``_npos``)."""
+    by = list(by)
+    lists = npos.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("area", "npos"))).alias("_boxes"))  # one entry per area range
+    zero = F.lit(0).cast("long")
+    if cells:
+        # few pairs of masks differ inside a cell, so the bits are counted over those
+        masks = slim.groupBy(*by, "_cell", "_sub", "tp_mask", "ignore_mask").agg(F.count(F.lit(1)).alias("_k"))
+        bit = lambda mask, i: F.shiftrightunsigned(mask, i).bitwiseAND(F.lit(1).cast("long"))
+        totals = masks.groupBy(*by, "_cell", "_sub").agg(*[F.sum(bit("tp_mask", i) * F.col("_k")).alias(f"t{i}") for i, _, _ in combos],
+                                                         *[F.sum((1 - bit("ignore_mask", i)) * F.col("_k")).alias(f"n{i}") for i, _, _ in combos])
+        before = Window.partitionBy(*by).orderBy("_cell", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+        sums = totals.select(*by, "_cell", "_sub", *[F.coalesce(F.sum(f"{c}{i}").over(before), zero).alias(f"{c}{i}") for c in "tn" for i, _, _ in combos])
+    else:
+        sums = lists.select(*by, F.lit(0).alias("_cell"), F.lit(0).alias("_sub"), *[zero.alias(f"{c}{i}") for c in "tn" for i, _, _ in combos])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("det_id"), F.col(f"t{i}").alias("tp_mask"), F.col(f"n{i}").alias("ignore_mask"),
+                                        F.coalesce(F.element_at("_boxes", F.lit(a)), zero).alias("_npos")) for i, a, _ in combos])).alias("h")
+    return sums.join(lists, by).select(*by, "_cell", "_sub", rows).select(
+        *by, "_cell", "_sub", "h.det_id", F.lit(0.0).alias("score"), "h.tp_mask", "h.ignore_mask", "h._npos")
+
+
+def _best_points(slim: DataFrame, npos: DataFrame, by: Sequence[str], combos: Sequence[tuple[int, str, float]], target: int) -> DataFrame:
+    """``by.., combo, point, p``: the best precision of each combination at each recall point (hits * 100 / boxes, rounded down).
 
-    A key's rows stream through in order; two counters per combination are all that is kept.
+    Rows stream through in score order, two counters per combination are kept, and only the best of a batch per point leaves
+    it. A key above ``target`` rows is cut into score cells, which start from the counts of the cells before.
     """
-    kinds = dict(slim.dtypes)
-    shifts = np.arange(combos, dtype=np.int64)
+    kinds, by = dict(slim.dtypes), list(by)
+    shifts = np.arange(len(combos), dtype=np.int64)
+    cells = crowded(slim, by, target)
+    celled = with_cells(slim, by, "score", "det_id", target=target) if cells else without_cells(slim)
+    rows = celled.withColumn("_npos", F.lit(-1).cast("long")).unionByName(_heads(celled, npos, by, combos, cells))
+
+    def start():
+        return {c: np.zeros(len(combos), np.int64) for c in ("tp", "n", "npos")}
 
     def step(state, rows):
-        hit = (rows["tp_mask"][:, None] >> shifts) & 1
+        head = rows["_npos"] >= 0
+        if head.any():
+            at = rows["det_id"][head]
+            for name, column in (("tp", "tp_mask"), ("n", "ignore_mask"), ("npos", "_npos")):
+                state[name][at] = rows[column][head]
+        body = ~head
+        if not body.any():
+            return None
+        hit = (rows["tp_mask"][body][:, None] >> shifts) & 1
         tp = state["tp"] + np.cumsum(hit, axis=0)
-        n = state["n"] + np.cumsum(1 - ((rows["ignore_mask"][:, None] >> shifts) & 1), axis=0)
+        n = state["n"] + np.cumsum(1 - ((rows["ignore_mask"][body][:, None] >> shifts) & 1), axis=0)
         state["tp"], state["n"] = tp[-1], n[-1]
-        at, combo = np.nonzero(hit)
-        return {"combo": combo.astype(np.int32), "tp": tp[at, combo], "n": n[at, combo]}
-
-    zero = np.zeros(combos, np.int64)
-    return scan_states(slim, by, [], [F.col("score").desc(), "det_id"], lambda: {"tp": zero, "n": zero}, step,
-                       ", ".join(f"{c} {kinds[c]}" for c in by) + ", combo int, tp long, n long")
+        # precision peaks at true positives, so a row only speaks for the combinations in which it is one
+        at, combo = np.nonzero((hit == 1) & (n > 0) & (state["npos"] > 0))
+        if not len(at):
+            return None
+        hits = tp[at, combo]
+        point = np.floor(hits * 100 / state["npos"][combo]).astype(np.int64)
+        best = np.zeros((len(combos), point.max() + 1))
+        np.maximum.at(best, (combo, point), hits / n[at, combo])
+        combo, point = np.nonzero(best)
+        return {"combo": combo.astype(np.int32), "point": point.astype(np.int32), "p": best[combo, point]}
+
+    found = scan_states(rows, [*by, "_cell", "_sub"], [], [F.col("_npos") < 0, F.col("score").desc(), "det_id"], start, step,
+                        ", ".join(f"{c} {kinds[c]}" for c in by) + ", combo int, point int, p double")
+    return found.groupBy(*by, "combo", "point").agg(F.max("p").alias("p"))
 
 
 def precision_table(matches: DataFrame, npos: DataFrame, iou_thrs: Sequence[float] = IOU_THRS,
@@ -169,21 +214,8 @@ def precision_table(matches: DataFrame, npos: DataFrame, iou_thrs: Sequence[floa
     by = list(by)
     combos = _combos(iou_thrs, areas)
     slim = cut_lineage(matches.select(*by, "det_id", "score", "tp_mask", "ignore_mask"))
-    # precision peaks at true positives, so a row only speaks for the cells in which it is one
-    if crowded(slim, by, target):
-        bit = lambda mask, i: F.shiftrightunsigned(mask, i).bitwiseAND(F.lit(1).cast("long"))
-        sums = {f"tp{i}": bit("tp_mask", i) for i, _, _ in combos} | {f"n{i}": F.lit(1).cast("long") - bit("ignore_mask", i) for i, _, _ in combos}
-        cum = running_sums(with_cells(slim, by, "score", "det_id", target=target), by, "score", "det_id", sums)
-        cells = F.array(*[F.struct(F.lit(a).alias("area"), F.lit(t).alias("iou_thr"), F.col(f"tp{i}").alias("tp"), F.col(f"n{i}").alias("n"),
-                                   bit("tp_mask", i).alias("hit")) for i, a, t in combos])
-        spread = cum.where("tp_mask <> 0").select(*by, F.explode(F.filter(cells, lambda c: c["hit"] == 1)).alias("c")).select(*by, "c.*")
-    else:
-        places = F.create_map(*[v for i, a, t in combos for v in (F.lit(i), F.struct(F.lit(a).alias("area"), F.lit(t).alias("iou_thr")))])
-        spread = _running_hits(slim, by, len(combos)).withColumn("_c", F.element_at(places, F.col("combo"))).select(*by, "_c.*", "tp", "n")
-    rated = (spread.where("n > 0 AND tp > 0").join(npos, [*by, "area"])
-             .withColumn("point", F.floor((F.col("tp") * 100) / F.col("npos")).cast("int"))
-             .groupBy(*by, "area", "iou_thr", "point", "npos")
-             .agg(F.max(F.col("tp") / F.col("n")).alias("p")))
+    places = F.create_map(*[v for i, a, t in combos for v in (F.lit(i), F.struct(F.lit(a).alias("area"), F.lit(t).alias("iou_thr")))])
+    rated = _best_points(slim, npos, by, combos, target).withColumn("_c", F.element_at(places, F.col("combo"))).select(*by, "_c.*", "point", "p")
     later = (Window.partitionBy(*by, "area", "iou_thr").orderBy(F.col("point").desc())
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     lower = Window.partitionBy(*by, "area", "iou_thr").orderBy("point")

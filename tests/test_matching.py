@@ -141,3 +141,15 @@ def test_precision_with_and_without_score_cells(spark, sf):
     matches, npos = cut_lineage(C.coco_match(T.det(spark, sf), gt)), C.count_real(gt)
     one, many = ({(r.category_id, r.area, r.iou_thr): round(r.ap, 9) for r in C.precision_table(matches, npos, target=t).collect()} for t in (10**6, 50))
     assert one == many and len(one) > 50
+
+
+def test_crowded_classes_send_few_rows_on(spark, sf):
+    from detframe.operators import coco_metrics as C
+    from detframe.queries import tables as T
+    from detframe.session import cut_lineage
+
+    gt = T.gt(spark, sf)
+    matches, npos, combos = cut_lineage(C.coco_match(T.det(spark, sf), gt)), C.count_real(gt), C._combos(C.IOU_THRS, C.AREAS)
+    slim = matches.select("category_id", "det_id", "score", "tp_mask", "ignore_mask")
+    plain, cut = (C._best_points(slim, npos, ["category_id"], combos, t).collect() for t in (10**6, 50))
+    assert sorted(plain) == sorted(cut) and max(r.point for r in cut) <= 100
