@@ -16,7 +16,7 @@ from pyspark.sql import Window
 
 from detframe.functions import boxes as B
 from detframe.operators.overlap import overlap_pairs
-from detframe.plans.grouped import scan_groups, scan_states
+from detframe.plans.grouped import scan_blocks, scan_states
 from detframe.plans.ordered import TARGET_ROWS, crowded, with_cells, without_cells
 from detframe.session import cut_lineage
 
@@ -88,30 +88,40 @@ def match_masks(top: DataFrame, pairs: DataFrame, keys: Sequence[str], iou_thrs:
     n_thr, n_area = len(iou_thrs), len(spans)
     weight = 1 << np.arange(bits, dtype=np.int64).reshape(n_area, n_thr)
 
-    def match(rows):
-        anns, at = np.unique(rows["ann_id"], return_inverse=True)
+    def match(rows, cuts):
+        # Groups do not touch each other, so the first detections of all groups choose together, then the second ones, ...
+        size = len(rows["det_id"])
+        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        by_ann = np.lexsort((rows["ann_id"], group))
+        fresh = np.r_[True, (rows["ann_id"][by_ann][1:] != rows["ann_id"][by_ann][:-1]) | (group[by_ann][1:] != group[by_ann][:-1])]
+        ann = np.empty(size, np.int64)
+        ann[by_ann] = np.cumsum(fresh) - 1
         crowd = rows["kind"] == -1
-        real = np.zeros((n_area, len(at)), dtype=bool)
-        for i in range(n_area):
-            real[i] = ~crowd & ((rows["kind"] >> i) & 1 == 1)
-        taken = np.zeros((n_area, n_thr, len(anns)), dtype=bool)
-        det, value = rows["det_id"], rows["value"]
-        cuts = np.append(np.flatnonzero(np.r_[True, det[1:] != det[:-1]]), len(det))
-        ids, tps, igs = [], [], []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            # candidates of one detection come best first, so the first valid one is the choice
-            free = (value[a:b] >= thr[:, None])[None] & (crowd[a:b] | ~taken[:, :, at[a:b]])
-            on_real = free & real[:, None, a:b]
-            has_real, has_any = on_real.any(axis=2), free.any(axis=2)
-            pick = np.where(has_real, on_real.argmax(axis=2), free.argmax(axis=2))
-            hit_area, hit_thr = np.nonzero(has_any)
-            taken[hit_area, hit_thr, at[a:b][pick[hit_area, hit_thr]]] = True
-            ids.append(det[a])
-            tps.append(weight[has_real].sum())
-            igs.append(weight[has_any & ~has_real].sum())
-        return {"det_id": np.array(ids), "tp_mask": np.array(tps, dtype=np.int64), "ig_mask": np.array(igs, dtype=np.int64)}
-
-    got = scan_groups(cand, keys, ["det_rank", F.col("value").desc(), F.col("ann_id").desc()], match,
+        real = np.stack([~crowd & ((rows["kind"] >> i) & 1 == 1) for i in range(n_area)])
+        fits = rows["value"] >= thr[:, None]
+        taken = np.zeros((n_area, n_thr, ann.max() + 1), dtype=bool)
+        first = np.flatnonzero(np.r_[True, (rows["det_id"][1:] != rows["det_id"][:-1]) | (group[1:] != group[:-1])])
+        ends = np.append(first[1:], size)
+        owner = group[first]
+        turn = np.arange(len(first)) - np.searchsorted(owner, owner)
+        tps, igs = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        order = np.argsort(turn, kind="stable")
+        for chosen in np.split(order, np.cumsum(np.bincount(turn))[:-1]):
+            sizes = ends[chosen] - first[chosen]
+            starts = np.cumsum(sizes) - sizes
+            at = np.arange(sizes.sum()) + np.repeat(first[chosen] - starts, sizes)
+            # candidates of one detection come best first, so the first valid one is the choice; real ones go before ignored ones
+            free = fits[None, :, at] & (crowd[at] | ~taken[:, :, ann[at]])
+            place = np.where(free, np.where(real[:, None, at], at, at + size), 2 * size)
+            pick = np.minimum.reduceat(place, starts, axis=2)
+            has_real, has_any = pick < size, pick < 2 * size
+            hit_area, hit_thr, hit = np.nonzero(has_any)
+            taken[hit_area, hit_thr, ann[pick[hit_area, hit_thr, hit] % size]] = True
+            tps[chosen] = (has_real * weight[:, :, None]).sum(axis=(0, 1))
+            igs[chosen] = ((has_any & ~has_real) * weight[:, :, None]).sum(axis=(0, 1))
+        return {"det_id": rows["det_id"][first], "tp_mask": tps, "ig_mask": igs}
+
+    got = scan_blocks(cand, keys, ["det_rank", F.col("value").desc(), F.col("ann_id").desc()], match,
                       "det_id long, tp_mask long, ig_mask long")
     outside = F.lit(0).cast("long")
     for i, (a, b) in enumerate(spans):

@@ -153,3 +153,18 @@ def test_crowded_classes_send_few_rows_on(spark, sf):
     slim = matches.select("category_id", "det_id", "score", "tp_mask", "ignore_mask")
     plain, cut = (C._best_points(slim, npos, ["category_id"], combos, t).collect() for t in (10**6, 50))
     assert sorted(plain) == sorted(cut) and max(r.point for r in cut) <= 100
+
+
+def test_blocks_hold_many_whole_groups(spark):
+    import numpy as np
+
+    from detframe.plans.grouped import scan_blocks
+
+    rows = spark.range(30_000).selectExpr("id div 7 AS k", "id AS v").repartition(1)
+
+    def sums(arrays, cuts):
+        return {"k": arrays["k"][cuts[:-1]], "n": np.diff(cuts), "s": np.add.reduceat(arrays["v"], cuts[:-1]), "groups": np.full(len(cuts) - 1, len(cuts) - 1)}
+
+    out = scan_blocks(rows, ["k"], ["v"], sums, "k long, n long, s long, groups long").collect()
+    want = {k: sum(range(7 * k, min(7 * k + 7, 30_000))) for k in range(-(-30_000 // 7))}
+    assert {r.k: r.s for r in out} == want and len(out) == len(want) and max(r.groups for r in out) > 100
