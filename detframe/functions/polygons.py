@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,17 +128,69 @@ def fill(polygons: DataFrame, by: Sequence[str], parts: str = "parts", height: s
 
 # ---- run-length codes ---------------------------------------------------------------------------------
 
-def counts_to_runs(counts: Column) -> Column:
-    """``array<struct<start, length>>`` of the ones in alternating counts (zeros first)."""
-    empty = F.array().cast("array<struct<start: bigint, length: bigint>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("one"), empty.alias("out"))
+RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
+
+
+def _listed(sizes: np.ndarray, values: pa.Array, nulls: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values, mask=nulls)
+
+
+def _lists(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of the list of each value, lengths, values) of an array of lists; null lists are empty."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(sizes)), sizes), sizes, lists.flatten()
 
-    def add(s: Column, n: Column) -> Column:
-        run = F.array(F.struct(s["at"].alias("start"), n.cast("long").alias("length")))
-        return F.struct((s["at"] + n).alias("at"), (~s["one"]).alias("one"),
-                        F.when(s["one"] & (n > 0), F.concat(s["out"], run)).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(counts, start, add, lambda s: s["out"])
+def _run_array(start: np.ndarray, length: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(length, pa.int64())], ["start", "length"])
+
+
+def _starts_and_ends(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, start, end) of all runs that are not empty."""
+    row, _, flat = _lists(runs)
+    start, length = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in flat.flatten())
+    some = length > 0
+    return row[some], start[some], (start + length)[some]
+
+
+@F.arrow_udf(RUNS)
+def counts_to_runs(counts: pa.Array) -> pa.Array:
+    """``array<struct<start, length>>`` of the ones in alternating counts (zeros first)."""
+    row, sizes, flat = _lists(counts)
+    n = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    before = np.cumsum(n) - n
+    ones = ((np.arange(len(n)) - first) % 2 == 1) & (n > 0)
+    return _listed(np.bincount(row[ones], minlength=len(sizes)), _run_array((before - before[first])[ones], n[ones]), counts.is_null())
+
+
+@F.arrow_udf(RUNS)
+def merge_runs(runs: pa.Array) -> pa.Array:
+    """Touching neighbours of one mask's runs joined; ``runs`` are disjoint and in order."""
+    row, start, end = _starts_and_ends(runs)
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] > end[:-1])][:len(row)])
+    last = np.r_[new[1:], len(row)][:len(new)] - 1
+    return _listed(np.bincount(row[new], minlength=len(runs)), _run_array(start[new], end[last] - start[new]), runs.is_null())
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def list_to_counts(runs: pa.Array, size: pa.Array) -> pa.Array:
+    """Alternating counts of one mask of ``size`` pixels from its runs, disjoint and in order; without runs one count of zeros."""
+    row, start, end = _starts_and_ends(runs)
+    n, size = len(runs), size.to_numpy(zero_copy_only=False).astype(np.int64)
+    held = np.bincount(row, minlength=n)
+    fresh = np.r_[True, row[1:] != row[:-1]][:len(row)]
+    gap = start - np.where(fresh, 0, np.r_[0, end][:len(row)])
+    reach = np.zeros(n, np.int64)
+    reach[row] = end  # the last run of a list is written last
+    rest = size > reach
+    total = 2 * held + rest
+    out = np.empty(total.sum(), np.int64)
+    base = np.cumsum(total) - total
+    at = base[row] + 2 * (np.arange(len(row)) - (np.cumsum(held) - held)[row])
+    out[at], out[at + 1] = gap, end - start
+    out[(base + total - 1)[rest]] = (size - reach)[rest]
+    return _listed(total, pa.array(out, pa.int64()), runs.is_null())
 
 
 def runs_to_counts(runs: DataFrame, by: Sequence[str], size: str = "size") -> DataFrame:

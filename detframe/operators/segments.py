@@ -90,6 +90,14 @@ def box_runs(boxes: DataFrame, height: str = "height") -> DataFrame:
         (F.col("y2") - F.col("y1")).cast("long").alias("length"))
 
 
+def box_run_list(height: str = "height") -> Column:
+    """:func:`box_runs` of a row's box as one ``array<struct<start, length>>`` in order; empty for a box without area."""
+    first, last = F.col("x1").cast("long"), F.col("x2").cast("long") - 1
+    run = lambda c: F.struct((c * F.col(height) + F.col("y1").cast("long")).alias("start"), (F.col("y2") - F.col("y1")).cast("long").alias("length"))
+    empty = F.array().cast("array<struct<start: bigint, length: bigint>>")
+    return F.when((last >= first) & (F.col("y2") > F.col("y1")), F.transform(F.sequence(first, last), run)).otherwise(empty)
+
+
 def run_boxes(runs: DataFrame, by: Sequence[str], height: str = "height") -> DataFrame:
     """Box (last index + 1) and area of each mask from its runs."""
     h = F.col(height)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from detframe.functions import boxes as B
 from detframe.functions import polygons as P
 from detframe.functions.hashing import hash_key_sql
-from detframe.operators.segments import box_runs
+from detframe.operators.segments import box_run_list
 from detframe.queries import tables as T
 from detframe.queries.suppression import _recursive, nms_sql
 from detframe.queries.tables import with_tables
@@ -251,14 +251,12 @@ FILLED_SQL = with_tables("gt") + """,
 
 def run_length_codes(spark, sf):
     """Box masks to counts, to the compressed string and back to runs."""
-    from detframe.operators.segments import union_runs
-
-    boxes = T.gt(spark, sf).select("image_id", "ann_id", *COORDS).withColumn("height", F.lit(250))
-    runs = union_runs(box_runs(boxes), ["image_id", "ann_id"]).withColumn("size", F.lit(75000))
-    counts = P.runs_to_counts(runs, ["image_id", "ann_id"])
-    back = counts.withColumn("code", P.encode_rle("counts")).withColumn("again", P.decode_rle("code"))
-    out = back.select("ann_id", (F.col("counts") == F.col("again")).alias("same"), F.explode(P.counts_to_runs(F.col("again"))).alias("r"))
-    return out.groupBy("ann_id", "same").agg(F.sum("r.length").alias("pixels"), F.min("r.start").alias("first"), F.count(F.lit(1)).alias("runs"))
+    boxes = T.gt(spark, sf).select("ann_id", *COORDS).withColumn("height", F.lit(250)).where("x2 > x1 AND y2 > y1")
+    counts = boxes.select("ann_id", P.list_to_counts(P.merge_runs(box_run_list()), F.lit(75000)).alias("counts"))
+    back = counts.withColumn("again", P.decode_rle(P.encode_rle("counts")))
+    out = back.select("ann_id", (F.col("counts") == F.col("again")).alias("same"), P.counts_to_runs("again").alias("r"))
+    return out.select("ann_id", "same", F.aggregate("r", F.lit(0).cast("long"), lambda s, r: s + r["length"]).alias("pixels"),
+                      F.col("r")[0]["start"].alias("first"), F.size("r").cast("long").alias("runs"))
 
 
 RLE_SQL = with_tables("gt") + """ SELECT ann_id, TRUE AS same, CAST((x2 - x1) * (y2 - y1) AS BIGINT) AS pixels, CAST(x1 * 250 + y1 AS BIGINT) AS first, CAST(x2 - x1 AS BIGINT) AS runs FROM gt"""

@@ -65,15 +65,19 @@ def youtube_vis_to_coco(videos: DataFrame, tracks: DataFrame) -> tuple[DataFrame
     return images, annotations, rows.groupBy("category_id").agg(F.count(F.lit(1)).alias("objects"))
 
 
-def coco_mask_results(det: DataFrame, runs: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+def coco_mask_results(det: DataFrame, runs: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
     """:func:`coco_results` with ``segmentation(size, counts)``: height and width, and the compressed run-length string.
 
     ``det`` has ``height`` and ``width`` of the image, ``runs(det_id, start, length)`` are disjoint pixels down the columns. A
-    ``mask_score`` takes the place of the score. A detection without pixels has one count of zeros.
+    ``mask_score`` takes the place of the score. A detection without pixels has one count of zeros. Without ``runs``, ``det`` has a
+    column ``runs`` with the runs of its row in order, and no row moves.
     """
     size = F.col("height").cast("long") * F.col("width").cast("long")
-    counts = P.runs_to_counts(runs.join(det.select("det_id", size.alias("size")), "det_id"), ["det_id"])
-    whole = det.join(counts, "det_id", "left").withColumn("counts", F.coalesce("counts", F.array(size)))
+    if runs is None:
+        whole = det.withColumn("counts", P.list_to_counts(P.merge_runs("runs"), size))
+    else:
+        counts = P.runs_to_counts(runs.join(det.select("det_id", size.alias("size")), "det_id"), ["det_id"])
+        whole = det.join(counts, "det_id", "left").withColumn("counts", F.coalesce("counts", F.array(size)))
     rows = coco_results(whole, categories, extra=("det_id", "height", "width", "counts") + (("mask_score",) if "mask_score" in det.columns else ()))
     score = F.coalesce("mask_score", "score") if "mask_score" in det.columns else F.col("score")
     mask = F.struct(F.array(F.col("height").cast("long"), F.col("width").cast("long")).alias("size"), P.encode_rle("counts").alias("counts"))

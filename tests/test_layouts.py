@@ -151,3 +151,22 @@ def test_datasets_do_not_mix(spark):
         assert alone == {m: v for (d, m), v in got.items() if d == name}
     with pytest.raises(ValueError):
         evaluate(whole, ("nothing",))
+
+
+def test_run_lists_need_no_shuffle_and_equal_the_run_tables(spark):
+    from pyspark.sql import functions as F
+
+    from detframe.functions import polygons as P
+    from detframe.operators import segments as SG
+
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 10.0), (2, 2.0, 3.0, 6.0, 5.0), (3, 4.0, 4.0, 4.0, 9.0), (4, 5.0, 7.0, 8.0, 10.0)],
+                                  "ann_id long, x1 double, y1 double, x2 double, y2 double").withColumn("height", F.lit(10))
+    rows = SG.union_runs(SG.box_runs(boxes), ["ann_id"]).withColumn("size", F.lit(80))
+    want = {r.ann_id: r.counts for r in P.runs_to_counts(rows, ["ann_id"]).collect()} | {3: [80]}
+    lists = boxes.select("ann_id", P.list_to_counts(P.merge_runs(SG.box_run_list()), F.lit(80)).alias("counts"))
+    assert {r.ann_id: r.counts for r in lists.collect()} == want and want[1] == [0, 30, 50] and want[4][-1] == 3
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    back = {r.ann_id: [tuple(x) for x in r.r] for r in lists.select("ann_id", P.counts_to_runs("counts").alias("r")).collect()}
+    assert back[1] == [(0, 30)] and back[3] == [] and back[2] == [(23, 2), (33, 2), (43, 2), (53, 2)]
+    odd = spark.createDataFrame([(None,), ([],), ([0, 0, 5, 2],)], "counts array<long>").select(P.counts_to_runs("counts").alias("r")).collect()
+    assert odd[0].r is None and odd[1].r == [] and [tuple(x) for x in odd[2].r] == [(5, 2)]
