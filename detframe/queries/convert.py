@@ -135,10 +135,10 @@ def merged_spans(spark, sf):
 
 
 MERGED_SQL = """WITH s AS (SELECT doc_id, text, i, i * (length(text) // 3) AS a, (i + 1) * (length(text) // 3) - 3 + (doc_id + i) % 4 AS b FROM documents, (SELECT unnest(range(3)) AS i) t),
- m AS (SELECT *, CASE WHEN a <= lag(b) OVER w + 1 THEN 0 ELSE 1 END AS nw FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
- g AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM m),
+ m AS (SELECT *, CASE WHEN a <= max(b) OVER w + 1 THEN 0 ELSE 1 END AS nw FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY a, b, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ g AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY a, b, i ROWS UNBOUNDED PRECEDING) AS grp FROM m),
  j AS (SELECT doc_id, text, grp, min(a) AS a, max(b) AS b FROM g GROUP BY ALL)
- SELECT doc_id, count(*) AS spans, string_agg(substring(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), ' ' ORDER BY grp) AS phrase FROM j GROUP BY doc_id"""
+ SELECT doc_id, count(*) AS spans, string_agg(substring(text, CAST(a + 1 AS BIGINT), CAST(greatest(b - a, 0) AS BIGINT)), ' ' ORDER BY grp) AS phrase FROM j GROUP BY doc_id"""
 
 
 def expression_texts(spark, sf):

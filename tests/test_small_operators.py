@@ -80,3 +80,26 @@ def test_writers(spark, tmp_path):
     CV.write_metrics_csv(rows, str(tmp_path / "csv"))
     assert {(r.id, r.name) for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()} == {("1", "a"), ("2", None)}
     assert os.path.isdir(tmp_path / "csv")
+
+
+def test_shapes_without_a_main_axis_have_angle_zero(spark):
+    from detframe.operators.geometry import shape_stats
+
+    square = [(i, r + 0.0, c + 0.0) for i, at in enumerate((0, 7, 1001)) for r, c in ((at, at), (at, at + 3), (at + 3, at), (at + 3, at + 3), (at + 1, at + 1), (at + 2, at + 2), (at + 1, at + 2), (at + 2, at + 1))]
+    line = [(9, 12.0, c + 0.1 - 0.1) for c in (1.0, 5.0, 9.0, 31.0)]
+    for order in (square + line, (square + line)[::-1]):
+        points = spark.createDataFrame(order, "image_id long, r double, c double").repartition(3)
+        assert {r.orientation for r in shape_stats(points, ["image_id"]).collect()} == {0.0}
+
+
+def test_merged_spans_equal_their_sql_on_short_texts(spark, tmp_path):
+    import duckdb
+
+    from detframe.queries import convert
+
+    rows = [(4 * n + d, "abcdefghij"[:n]) for n in range(1, 10) for d in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in convert.merged_spans(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(convert.MERGED_SQL).fetchall()) and len(got) == len(rows)
