@@ -331,13 +331,14 @@ _POINTS_SQL = with_tables("gt") + """,
 
 def shape_stats(spark, sf):
     out = G.shape_stats(_points(spark, sf), ["image_id", "category_id"])
-    return out.select("image_id", "category_id", "width", "height", "area", F.round("orientation", 5).alias("orientation"))
+    # what rounds to 60 is 0 again
+    return out.select("image_id", "category_id", "width", "height", "area", (F.round("orientation", 5) % 60).alias("orientation"))
 
 
 SHAPE_SQL = _POINTS_SQL + """,
  a AS (SELECT image_id, category_id, max(c) - min(c) AS width, max(r) - min(r) AS height, count(*) AS area,
-   degrees(atan2(2 * covar_samp(c, r), var_samp(c) - var_samp(r)) / 2) AS deg FROM pts GROUP BY ALL)
- SELECT image_id, category_id, width, height, area, CASE WHEN area >= 3 THEN round(deg - 60 * floor(deg / 60), 5) ELSE 0 END AS orientation FROM a"""
+   degrees(atan2(2 * (count(*) * sum(c * r) - sum(c) * sum(r)), count(*) * sum(c * c - r * r) - (sum(c) * sum(c) - sum(r) * sum(r))) / 2) AS deg FROM pts GROUP BY ALL)
+ SELECT image_id, category_id, width, height, area, CASE WHEN area >= 3 THEN round(deg - 60 * floor(deg / 60), 5) % 60 ELSE 0 END AS orientation FROM a"""
 
 
 def polygon_fit(spark, sf):
