@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from detframe.functions import boxes as B
 from detframe.functions.arrays import assign_min_cost
 from detframe.operators.overlap import overlap_pairs
-from detframe.plans.grouped import scan_groups, scan_states
+from detframe.plans.grouped import GROUP_LIMIT, scan_groups, scan_states, split_by_size
 from detframe.session import cut_lineage
 
 TRACK = ["video_id", "track_id"]
@@ -195,39 +195,96 @@ def alignment(gt: DataFrame, pred: DataFrame) -> DataFrame:
         "video_id", "gt_track", "pred_track", (F.col("_p") / (F.col("_ng") + F.col("_np") - F.col("_p"))).alias("align"), "_ng", "_np")
 
 
-def hota(gt: DataFrame, pred: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
+def hota(gt: DataFrame, pred: DataFrame, alphas: Sequence[float] = ALPHAS, limit: int = GROUP_LIMIT) -> DataFrame:
     """``(alpha, hota, det_a, ass_a, loc_a)`` over all videos together.
 
-    Frames are assigned independently of each other by alignment times overlap, so they are small groups;
-    everything else is aggregation.
+    Frames are assigned independently of each other by alignment times overlap. The overlaps of a video of up to ``limit``
+    pairs are rated in one piece and leave it as one row per alpha; longer videos go through joins, frame by frame.
     """
+    pairs = cut_lineage(frame_pairs(gt, pred))
+    small, large = split_by_size(pairs, ["video_id"], limit)
+    parts = _video_sums(small, gt, pred, alphas)
+    if large is not None:
+        videos = large.select("video_id").distinct()
+        parts = parts.unionByName(_joined_sums(large, *[t.join(videos, "video_id", "left_semi") for t in (gt, pred)], alphas))
+    sums = parts.groupBy("alpha").agg(*[F.sum(c).alias(c) for c in ("tp", "s", "a")]).where("tp > 0")
+    sizes = gt.agg(F.count(F.lit(1)).alias("gt")).join(F.broadcast(pred.agg(F.count(F.lit(1)).alias("pred"))))  # one row
+    out = sums.join(F.broadcast(sizes))
+    det_a, ass_a = F.col("tp") / (F.col("gt") + F.col("pred") - F.col("tp")), F.col("a") / F.col("tp")
+    return out.select("alpha", F.sqrt(det_a * ass_a).alias("hota"), det_a.alias("det_a"), ass_a.alias("ass_a"), (F.col("s") / F.col("tp")).alias("loc_a"))
+
+
+def _frame_choice(align: np.ndarray, sim: np.ndarray, gi: np.ndarray, pi: np.ndarray) -> np.ndarray:
+    """Places of the pairs of one frame that are assigned at most alignment times overlap."""
+    g, gi = np.unique(gi, return_inverse=True)
+    p, pi = np.unique(pi, return_inverse=True)
+    score, place = np.zeros((len(g), len(p))), np.zeros((len(g), len(p)), dtype=np.int64)
+    score[gi, pi] = align * sim
+    place[gi, pi] = np.arange(len(sim))
+    i, j = assign_min_cost(-score)
+    return place[i, j][score[i, j] > 0]
+
+
+def _video_sums(pairs: DataFrame, gt: DataFrame, pred: DataFrame, alphas: Sequence[float]) -> DataFrame:
+    """``(alpha, tp, s, a)`` of each video from its pairs and the lengths of its tracks, which travel as rows before them."""
+    none = F.lit(-1).cast("long")
+
+    def lengths(tracks: DataFrame, kind: int) -> DataFrame:
+        ids = [F.col("track_id") if kind == k else none for k in (0, 1)]
+        counted = tracks.groupBy("video_id", "track_id").agg(F.count(F.lit(1)).cast("double").alias("sim"))
+        return counted.select("video_id", F.lit(kind).alias("kind"), none.alias("frame_id"), ids[0].alias("gt_track"), ids[1].alias("pred_track"), "sim")
+
+    rows = lengths(gt, 0).unionByName(lengths(pred, 1)).unionByName(pairs.withColumn("kind", F.lit(2)))
+    levels = np.array([float(a) for a in alphas])
+
+    def rate(rows):
+        kind, both = rows["kind"], rows["kind"] == 2
+        if not both.any():
+            return None
+        g, gi = np.unique(rows["gt_track"][both], return_inverse=True)
+        p, pi = np.unique(rows["pred_track"][both], return_inverse=True)
+        ng = rows["sim"][kind == 0][np.searchsorted(rows["gt_track"][kind == 0], g)]
+        np_ = rows["sim"][kind == 1][np.searchsorted(rows["pred_track"][kind == 1], p)]
+        frame, sim = rows["frame_id"][both], rows["sim"][both]
+        cuts = np.append(np.flatnonzero(np.r_[True, frame[1:] != frame[:-1]]), len(frame))
+        fi = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        side = []
+        for ids, count in ((gi, len(g)), (pi, len(p))):
+            at = np.unique(fi * count + ids, return_inverse=True)[1]
+            side.append(np.bincount(at, sim)[at])
+        tracks, ki = np.unique(gi * len(p) + pi, return_inverse=True)
+        size = ng[tracks // len(p)] + np_[tracks % len(p)]
+        soft = np.bincount(ki, sim / (side[0] + side[1] - sim))
+        align = (soft / (size - soft))[ki]
+        got = np.concatenate([a + _frame_choice(align[a:b], sim[a:b], gi[a:b], pi[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
+        out = {"alpha": levels, "tp": np.zeros(len(levels), np.int64), "s": np.zeros(len(levels)), "a": np.zeros(len(levels))}
+        for n, level in enumerate(levels):
+            hit = got[sim[got] >= level - 2.220446049250313e-16]
+            m = np.bincount(ki[hit], minlength=len(tracks))
+            out["tp"][n], out["s"][n], out["a"][n] = len(hit), sim[hit].sum(), (m * m / (size - m)).sum()
+        return out
+
+    return scan_groups(rows, ["video_id"], ["kind", "frame_id", "gt_track", "pred_track"], rate,
+                       "video_id long, alpha double, tp long, s double, a double").drop("video_id")
+
+
+def _joined_sums(pairs: DataFrame, gt: DataFrame, pred: DataFrame, alphas: Sequence[float]) -> DataFrame:
+    """:func:`_video_sums` of videos too long for one task, in total."""
     weights = alignment(gt, pred)
-    pairs = frame_pairs(gt, pred).join(weights.select("video_id", "gt_track", "pred_track", "align"), ["video_id", "gt_track", "pred_track"])
+    weighted = pairs.join(weights.select("video_id", "gt_track", "pred_track", "align"), ["video_id", "gt_track", "pred_track"])
 
     def assign(rows):
-        g, gi = np.unique(rows["gt_track"], return_inverse=True)
-        p, pi = np.unique(rows["pred_track"], return_inverse=True)
-        score = np.zeros((len(g), len(p)))
-        sim = np.zeros_like(score)
-        score[gi, pi] = rows["align"] * rows["sim"]
-        sim[gi, pi] = rows["sim"]
-        i, j = assign_min_cost(-score)
-        ok = score[i, j] > 0
-        i, j = i[ok], j[ok]
-        return {"gt_track": g[i], "pred_track": p[j], "sim": sim[i, j]}
+        got = _frame_choice(rows["align"], rows["sim"], rows["gt_track"], rows["pred_track"])
+        return {c: rows[c][got] for c in ("gt_track", "pred_track", "sim")}
 
-    got = scan_groups(pairs, ["video_id", "frame_id"], ["gt_track", "pred_track"], assign,
+    got = scan_groups(weighted, ["video_id", "frame_id"], ["gt_track", "pred_track"], assign,
                       "video_id long, frame_id long, gt_track long, pred_track long, sim double")
     levels = F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")
     hits = got.select("*", levels).where("sim >= alpha - 2.220446049250313e-16")
     per = hits.groupBy("alpha", "video_id", "gt_track", "pred_track").agg(F.count(F.lit(1)).alias("m"), F.sum("sim").alias("s"))
     rated = per.join(weights.select("video_id", "gt_track", "pred_track", "_ng", "_np"), ["video_id", "gt_track", "pred_track"])
-    sums = rated.groupBy("alpha").agg(F.sum("m").alias("tp"), F.sum("s").alias("s"),
+    return rated.groupBy("alpha").agg(F.sum("m").alias("tp"), F.sum("s").alias("s"),
                                       F.sum(F.col("m") * F.col("m") / (F.col("_ng") + F.col("_np") - F.col("m"))).alias("a"))
-    sizes = gt.agg(F.count(F.lit(1)).alias("gt")).join(F.broadcast(pred.agg(F.count(F.lit(1)).alias("pred"))))  # one row
-    out = sums.join(F.broadcast(sizes))
-    det_a, ass_a = F.col("tp") / (F.col("gt") + F.col("pred") - F.col("tp")), F.col("a") / F.col("tp")
-    return out.select("alpha", F.sqrt(det_a * ass_a).alias("hota"), det_a.alias("det_a"), ass_a.alias("ass_a"), (F.col("s") / F.col("tp")).alias("loc_a"))
 
 
 def tube_overlaps(gt: DataFrame, pred: DataFrame) -> DataFrame:

@@ -97,3 +97,13 @@ def test_tracks_are_linked_at_least_cost(spark):
     assert roots == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0}
     greedy = {r.track_id: r.root_id for r in K.link_tracks(tracks, scored, 5.0).collect()}
     assert greedy[2] == 0 and greedy[3] == 3
+
+
+def test_hota_of_whole_videos_equals_the_joins(spark, sf):
+    from detframe.operators import tracks as K
+    from detframe.queries import tables as T
+
+    gt, pred = T.gt_tracks(spark, sf), T.pred_tracks(spark, sf)
+    whole, joined = ({r.alpha: r for r in K.hota(gt, pred, limit=n).collect()} for n in (10 ** 6, 0))
+    assert len(whole) == 19 and set(whole) == set(joined)
+    assert all(whole[a][c] == pytest.approx(joined[a][c], abs=1e-9) for a in whole for c in ("hota", "det_a", "ass_a", "loc_a"))
