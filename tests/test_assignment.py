@@ -158,3 +158,12 @@ def test_steps_by_overlap_then_by_center(spark):
                 want.add((k, i, j))
     assert {(r.image_id, r.a_id, r.b_id) for r in got if r.step == "center"} == want and len(want) > 3
     assert match_in_steps(t.limit(0), p, o.limit(0), 15.0).count() == 0
+
+
+def test_matching_index_of_whole_images_equals_the_joins(spark, sf):
+    from detframe.operators.greedy import max_matching_index
+    from detframe.queries import tables as T
+
+    gt = T.gt(spark, sf).withColumn("ignore", F.col("iscrowd") == 1)
+    whole, joined = ({r.score_thr: r.ji for r in max_matching_index(T.det(spark, sf), gt, [0.0, 0.4, 0.9], limit=n).collect()} for n in (20_000, 0))
+    assert len(whole) == 3 and whole == pytest.approx(joined, abs=1e-12)
