@@ -350,6 +350,10 @@ def center_crop_search(df: DataFrame, images: DataFrame, crop_w: int, crop_h: in
             .withColumn("width", F.when(whole, F.col("width")).otherwise(crop_w)).withColumn("height", F.when(whole, F.col("height")).otherwise(crop_h)).drop("_x", "_y"))
 
 
+#: Pixels of the blocks in which covered and pasted masks meet: a few columns, as their runs are one column or less.
+MASK_BLOCK = 1024
+
+
 def copy_paste(df: DataFrame, runs: DataFrame, pasted: DataFrame, area_thr: float, by: Sequence[str] = ("image_id", "ann_id")) -> DataFrame:
     """What pasted masks leave of each object: ``(by.., area)`` for objects with more than ``area_thr`` pixels left.
 
@@ -357,7 +361,7 @@ def copy_paste(df: DataFrame, runs: DataFrame, pasted: DataFrame, area_thr: floa
     """
     from detframe.operators.segments import run_overlaps, union_runs
 
-    hidden = run_overlaps(runs, union_runs(pasted, ["image_id"]), [c for c in by if c != "image_id"], []).withColumnRenamed("n", "_h")
+    hidden = run_overlaps(runs, union_runs(pasted, ["image_id"]), [c for c in by if c != "image_id"], [], block=MASK_BLOCK).withColumnRenamed("n", "_h")
     whole = runs.groupBy(*by).agg(F.sum("length").alias("_a"))
     left = whole.join(hidden, list(by), "left").withColumn("area", F.col("_a") - F.coalesce("_h", F.lit(0)))
     return left.where(F.col("area") > area_thr).select(*by, "area")
@@ -374,7 +378,7 @@ def pasted_objects(runs: DataFrame, pasted: DataFrame, box_shift: float = 10.0,
 
     by = ["image_id", "ann_id"]
     cover = union_runs(pasted, ["image_id"])
-    hidden = run_intersections(runs, cover, ["ann_id"])
+    hidden = run_intersections(runs, cover, ["ann_id"], block=MASK_BLOCK)
     touched = hidden.select(*by).distinct()
     whole = run_boxes(runs, by, height)
     rest = subtract_runs(runs.join(touched, by, "left_semi"), hidden, by)
