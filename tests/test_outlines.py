@@ -44,3 +44,17 @@ def test_filling_the_outline_gives_the_runs_back(spark):
             sides = sum((x + dx, y + dy) not in px for x, y in px for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))
             assert measured[k].area == len(px) and measured[k].perimeter == sides
     assert outline_rings(frame.limit(0), ["mask"]).count() == 0
+
+
+def test_tracing_and_joining_give_the_same_rings(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(40 if k % 2 else 12) * HEIGHT + rng.randrange(HEIGHT), rng.randrange(1, 2 * HEIGHT), HEIGHT) for k in range(30) for _ in range(1 + k)]
+    frame = spark.createDataFrame(rows, "mask long, start long, length long, height long")
+    traced, joined, both = ({tuple(r) for r in outline_rings(frame, ["mask"], limit=limit).collect()} for limit in (50_000, 0, 30))
+    assert traced == joined == both and len(traced) > 300
+
+
+def test_tracing_writes_no_joins_to_disk(spark):
+    frame = spark.createDataFrame([(k, s, 3, HEIGHT) for k in range(20) for s in (0, 9, 20)], "mask long, start long, length long, height long")
+    plan = ring_measures(outline_rings(frame, ["mask"]), ["mask"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 2
