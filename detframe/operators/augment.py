@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from detframe.functions import boxes as B
 from detframe.functions import polygons as P
+from detframe.functions.arrays import islands, repeated
 from detframe.functions.hashing import hash_key, uniform
 from detframe.operators.sampling import draw_partners
+from detframe.plans.grouped import scan_blocks, split_by_size
 from detframe.session import cut_lineage
 
 
@@ -352,6 +355,8 @@ def center_crop_search(df: DataFrame, images: DataFrame, crop_w: int, crop_h: in
 
 #: Pixels of the blocks in which covered and pasted masks meet: a few columns, as their runs are one column or less.
 MASK_BLOCK = 1024
+#: Runs of the images whose masks are covered in one piece.
+IMAGE_RUNS = 200_000
 
 
 def copy_paste(df: DataFrame, runs: DataFrame, pasted: DataFrame, area_thr: float, by: Sequence[str] = ("image_id", "ann_id")) -> DataFrame:
@@ -367,13 +372,99 @@ def copy_paste(df: DataFrame, runs: DataFrame, pasted: DataFrame, area_thr: floa
     return left.where(F.col("area") > area_thr).select(*by, "area")
 
 
-def pasted_objects(runs: DataFrame, pasted: DataFrame, box_shift: float = 10.0, area_thr: float = 300.0, height: str = "height") -> DataFrame:
+def pasted_objects(masks: DataFrame, pasted: DataFrame, box_shift: float = 10.0, area_thr: float = 300.0, height: str = "height", runs: Column | None = None,
+                   limit: int = IMAGE_RUNS) -> DataFrame:
     """Objects of images after others were pasted over them: ``image_id, ann_id, pasted, x1, y1, x2, y2, area``.
 
-    ``runs`` and ``pasted`` are masks ``(image_id, ann_id, start, length, height)``, the second already under the image they are pasted
-    on. A covered object keeps what is left of its mask and the box of that; it stays if no side of its box moved by more than
-    ``box_shift`` or if more than ``area_thr`` pixels are left, and goes if nothing is left. Pasted objects are whole.
+    ``masks`` and ``pasted`` have a mask per row: ``image_id, ann_id, height`` and what ``runs`` reads, a Column of its
+    ``array<struct<start, length>>`` (default: the column ``runs``); the second already under the image they are pasted on. A covered object keeps what is
+    left of its mask and the box of that; it stays if no side of its box moved by more than ``box_shift`` or if more than
+    ``area_thr`` pixels are left, and goes if nothing is left. Pasted objects are whole.
+
+    The lists are worked out behind the shuffle. An image of more than ``limit`` runs goes through joins, spread over its pixels.
     """
+    listed = F.col("runs") if runs is None else runs
+    both = masks.withColumn("_kind", F.lit(0)).unionByName(pasted.withColumn("_kind", F.lit(1)))
+    both = both.dropna(subset=["image_id", "ann_id", height]).withColumns({"image_id": F.col("image_id").cast("long"), "ann_id": F.col("ann_id").cast("long")})
+    small, large = split_by_size(both, ["image_id"], limit, F.size(listed))
+    held = F.coalesce(listed, F.array().cast("array<struct<start: bigint, length: bigint>>"))
+
+    def cover(arrays, cuts):
+        image = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        parts = np.cumsum(np.add.reduceat(np.array([len(x) for x in arrays["start"]], np.int64), cuts[:-1])) // limit
+        found = []
+        for lot in np.split(np.arange(len(parts)), np.flatnonzero(parts[1:] != parts[:-1]) + 1):
+            at = slice(cuts[lot[0]], cuts[lot[-1] + 1])
+            found.append(_covered({c: v[at] for c, v in arrays.items()}, image[at] - lot[0], box_shift, area_thr))
+        return {c: np.concatenate([f[c] for f in found]) for c in found[0]}
+
+    schema = "image_id long, ann_id long, x1 long, y1 long, x2 long, y2 long, area long, pasted boolean"
+    late = [F.col("image_id"), F.col("ann_id"), F.col("_kind").alias("kind"), F.col(height).cast("long").alias("height"), held["start"].alias("start"), held["length"].alias("length")]
+    out = scan_blocks(small, ["image_id"], ["_kind", "ann_id"], cover, schema, late)
+    if large is None:
+        return out
+    rows = large.select("image_id", "ann_id", "_kind", height, F.explode(held).alias("_r")).select("image_id", "ann_id", "_kind", height, "_r.start", "_r.length")
+    spread = _joined_pasting(*[rows.where(F.col("_kind") == k).drop("_kind") for k in (0, 1)], box_shift, area_thr, height)
+    return out.unionByName(spread.select(*[F.col(c).cast("long").alias(c) for c in ("image_id", "ann_id", *B.COORDS, "area")], "pasted"))
+
+
+def _covered(rows: dict, image: np.ndarray, box_shift: float, area_thr: float) -> dict:
+    """:func:`pasted_objects` of images that are numbered from 0."""
+    own, _ = repeated(np.array([len(x) for x in rows["start"]], np.int64))
+    start, length = (np.concatenate(rows[c]).astype(np.int64) for c in ("start", "length"))
+    own, start, length = own[length > 0], start[length > 0], length[length > 0]
+    # a mask is named by its first row; what a mask has on further rows belongs to it
+    order = np.lexsort((rows["ann_id"], rows["kind"], image))
+    name = np.stack([image, rows["kind"], rows["ann_id"]])[:, order]
+    first = np.r_[True, (name[:, 1:] != name[:, :-1]).any(axis=0)]
+    mask = np.empty(len(image), np.int64)
+    mask[order] = np.cumsum(first) - 1
+    image, kind, ann, image_id = (x[order][first] for x in (image, rows["kind"], rows["ann_id"], rows["image_id"]))
+    own, high = mask[own], rows["height"].astype(np.int64)[own]
+    n = len(image)
+
+    def boxes(own, start, end, high) -> tuple[np.ndarray, ...]:
+        box = [np.full(n, 2**62), np.full(n, 2**62), np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64)]
+        x1, x2 = start // high, (end - 1) // high
+        crosses = x1 != x2  # a run that crosses a column border touches the first and last row
+        np.minimum.at(box[0], own, x1)
+        np.minimum.at(box[1], own, np.where(crosses, 0, start % high))
+        np.maximum.at(box[2], own, x2 + 1)
+        np.maximum.at(box[3], own, np.where(crosses, high, (end - 1) % high + 1))
+        np.add.at(box[4], own, end - start)
+        return tuple(box)
+    whole = boxes(own, start, start + length, high)
+    tall = np.zeros(n, np.int64)
+    if len(own):
+        largest = np.zeros(image[-1] + 1, np.int64)
+        real = kind[own] == 0
+        np.maximum.at(largest, image[own[real]], high[real])
+        tall = largest[image]
+    top = kind[own] == 1
+    over, above, below = islands(image[own[top]], start[top], start[top] + length[top])
+    mine, a, b = islands(own[~top], start[~top], start[~top] + length[~top])
+    # images behind each other: their covers stand in one row of runs
+    room = max(int(max(np.max(b, initial=0), np.max(below, initial=0))), 0) + 1
+    shift = image[mine] * room
+    left = np.searchsorted(over * room + below, a + shift, side="right")
+    right = np.searchsorted(over * room + above, b + shift, side="left")
+    hit = right - left
+    touched = np.zeros(n, bool)
+    touched[mine[hit > 0]] = True
+    run, place = repeated(hit + 1)
+    at = left[run] + place
+    low = np.where(place == 0, a[run], np.r_[0, below][at])
+    end = np.where(place == hit[run], b[run], np.r_[above, 0][at])
+    some = (end > low) & touched[mine[run]]
+    rest = boxes(mine[run][some], low[some], end[some], tall[mine[run][some]])
+    near = np.all([np.abs(x - y) <= box_shift for x, y in zip(rest[:4], whole[:4])], axis=0)
+    kept = (whole[4] > 0) & ((kind == 1) | ~touched | (rest[4] > 0) & (near | (rest[4] > area_thr)))
+    out = {c: np.where(touched, r, w)[kept] for c, r, w in zip((*B.COORDS, "area"), rest, whole)}
+    return {"image_id": image_id[kept], "ann_id": ann[kept], **out, "pasted": kind[kept] == 1}
+
+
+def _joined_pasting(runs: DataFrame, pasted: DataFrame, box_shift: float, area_thr: float, height: str) -> DataFrame:
+    """:func:`pasted_objects` by joins of runs ``(image_id, ann_id, start, length, height)``, for images too large for one task."""
     from detframe.operators.segments import run_boxes, run_intersections, subtract_runs, union_runs
 
     by = ["image_id", "ann_id"]

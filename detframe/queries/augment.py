@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from detframe.functions.hashing import hash_key_sql, uniform, uniform_sql
 from detframe.operators import augment as A
-from detframe.operators.segments import box_runs
+from detframe.operators.segments import box_run_list, box_runs
 from detframe.queries import tables as T
 from detframe.queries.sampling import _rank
 from detframe.queries.tables import area_sql, with_tables
@@ -269,9 +269,9 @@ COPY_PASTE_SQL = GT + """,
 
 def pasted_objects(spark, sf):
     """About half of the next image's boxes are pasted over those of each image."""
-    runs = box_runs(_boxes(spark, sf)).select("image_id", "ann_id", "start", "length", "height")
-    pasted = runs.where(uniform(271, F.col("ann_id")) < 0.5).withColumn("image_id", F.col("image_id") - 1)
-    out = A.pasted_objects(runs, pasted.join(runs.select("image_id").distinct(), "image_id", "left_semi"))
+    masks = _boxes(spark, sf).select("image_id", "ann_id", *COORDS, "height")
+    pasted = masks.where(uniform(271, F.col("ann_id")) < 0.5).withColumn("image_id", F.col("image_id") - 1)
+    out = A.pasted_objects(masks, pasted.join(masks.select("image_id").distinct(), "image_id", "left_semi"), runs=box_run_list())
     return out.select("image_id", "ann_id", "pasted", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], "area")
 
 

@@ -1,10 +1,12 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from detframe.functions import polygons as P
 from detframe.operators import augment as A
+from detframe.operators.segments import box_run_list
 
 BOXES = "image_id long, ann_id long, x1 double, y1 double, x2 double, y2 double, width long, height long, poly array<double>"
 
@@ -52,3 +54,41 @@ def test_trial_rounds_change_nothing(spark):
     want = {i: next(t for t in range(1, 31) if (i * 7 + t * 3) % 11 == 0) for i in range(40) if i % 5}
     for first, growth in ((1, 1), (2, 4), (50, 1)):
         assert {r.image_id: r.trial for r in A.first_fit(images, 30, propose, judge, first, growth).collect()} == want
+
+
+def pasting_twin(masks, pasted, box_shift, area_thr, height=20):
+    """Pixel sets, object by object."""
+    def box(px):
+        return min(p // height for p in px), min(p % height for p in px), max(p // height for p in px) + 1, max(p % height for p in px) + 1
+    out = set()
+    for image, ann, px in masks:
+        rest = px - set().union(*[q for i, _, q in pasted if i == image])
+        if rest == px or rest and (len(rest) > area_thr or all(abs(a - b) <= box_shift for a, b in zip(box(rest), box(px)))):
+            out.add((image, ann, False, *box(rest), len(rest)))
+    return out | {(i, a, True, *box(px), len(px)) for i, a, px in pasted}
+
+
+def test_pasting_by_images_and_by_joins_follows_the_pixels(spark):
+    rng = random.Random(4)
+
+    def made(n, first):
+        out = []
+        for k in range(n):
+            cuts = sorted(rng.sample(range(400), 2 * rng.randrange(1, 7)))
+            out.append((k % 6, first + k, [(s, e - s) for s, e in zip(cuts[::2], cuts[1::2])]))
+        return out
+    masks, pasted = made(40, 0), [m for m in made(14, 100) if m[0] != 3]
+    frames = [spark.createDataFrame([(i, a, r, 20) for i, a, r in rows], "image_id long, ann_id long, runs array<struct<start: long, length: long>>, height long") for rows in (masks, pasted)]
+    pixels = [[(i, a, {p for s, n in r for p in range(s, s + n)}) for i, a, r in rows] for rows in (masks, pasted)]
+    want = pasting_twin(*pixels, 2, 40)
+    for limit in (100_000, 30, 0):
+        got = A.pasted_objects(*frames, 2.0, 40.0, limit=limit).select("image_id", "ann_id", "pasted", "x1", "y1", "x2", "y2", "area")
+        assert {tuple(r) for r in got.collect()} == want, limit
+    assert any(not r[2] for r in want) and len(want) < len(masks) + len(pasted)
+
+
+def test_pasted_masks_are_not_shuffled_as_runs(spark):
+    boxes = table(spark).drop("poly").where("image_id < 8")
+    out = A.pasted_objects(boxes, boxes.withColumn("image_id", F.col("image_id") - 1), runs=box_run_list())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
