@@ -24,12 +24,12 @@ DIGITS = 9
 
 
 def _placed(vectors: DataFrame, keys: Sequence[str], blocks: int) -> DataFrame:
-    return vectors.select(*keys, F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("_e"),
+    return vectors.select(*keys, F.col("id").cast("long").alias("id"), F.col("embedding").alias("_e"),
                           F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
 
 
 def _matrix(column: pd.Series, cosine: bool) -> np.ndarray:
-    x = np.stack(column.to_numpy())
+    x = np.stack(column.to_numpy()).astype(np.float64)  # single precision travels as it is
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if cosine else x
 
 
@@ -44,8 +44,11 @@ def similar(queries: DataFrame, gallery: DataFrame, k: int = 1, method: str = "d
     if method not in ("dot", "cosine", "softmax"):
         raise ValueError(f"unknown method {method}")
     keys = list(keys)
-    queries, gallery = (x.where("id IS NOT NULL AND embedding IS NOT NULL") for x in (queries, gallery))
-    n_q, n_g = queries.count(), gallery.count()
+    kind = dict(gallery.dtypes)["embedding"]
+    kind = kind if kind == dict(queries.dtypes)["embedding"] == "array<float>" else "array<double>"
+    queries, gallery = (x.where("id IS NOT NULL AND embedding IS NOT NULL").withColumn("embedding", F.col("embedding").cast(kind)) for x in (queries, gallery))
+    # blocks are cut inside the keys: the largest key sets their number
+    n_q, n_g = (x.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0 for x in (queries, gallery))
     qb, gb = (max(1, -(-n // max(block_rows, math.isqrt(n)))) for n in (n_q, n_g))
     kinds = ", ".join(f"{c} {t}" for c, t in queries.select(*keys).dtypes)
     kinds += ", " if kinds else ""
