@@ -7,16 +7,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from detframe.operators.overlap import overlap_pairs
+from detframe.plans.grouped import scan_states
 from detframe.plans.ordered import first_rows
 from detframe.session import cut_lineage
 
 BACKGROUND = -1
-#: Distances of positives that a block of queries takes into a task.
+#: Distances of positives that a pack of queries takes into a task.
 PACK = 4_000_000
 
 
@@ -151,81 +152,165 @@ def rollup_means(df: DataFrame, group: str, counts: Sequence[str], metrics: Sequ
     return per.withColumn(group, F.col(group).cast("string")).unionByName(total)
 
 
-#: Query rows whose differences to a block are held at once.
-_QUERY_ROWS = 16
+#: Query rows whose differences to a block are held at once, rows of a vector block on its way, and rows compared in one go.
+_QUERY_ROWS, _SENT_ROWS, _MET_ROWS = 16, 64, 1024
 
 
-def _distances(queries: pd.Series, block: np.ndarray):
+def _distances(queries: np.ndarray, block: np.ndarray):
     """(offset, squared distances) of a few queries at a time to all rows of a block."""
-    x = np.stack(queries.to_numpy())
-    for at in range(0, len(x), _QUERY_ROWS):
-        yield at, ((block[None] - x[at:at + _QUERY_ROWS, None]) ** 2).sum(axis=2)
-
-
-def retrieval_scores(vectors: DataFrame, top_ks: Sequence[int] = (1, 5, 10), block_rows: int = 4096, pack: int = PACK) -> DataFrame:
+    for at in range(0, len(queries), _QUERY_ROWS):
+        yield at, ((block[None] - queries[at:at + _QUERY_ROWS, None]) ** 2).sum(axis=2)
+
+
+def _vector_blocks(rows: int):
+    """``label, part, ids, vectors``: up to ``rows`` vectors of a label as one row of packed numbers, ``part`` their least id."""
+    def run(batches):
+        for batch in batches:
+            codes, named = pd.factorize(batch["label"])
+            ids, made, order = batch["id"].to_numpy(np.int64), [], np.argsort(codes, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else ():
+                label = int(named[codes[part[0]]]) if codes[part[0]] >= 0 else None
+                made += [(label, part[k:k + rows]) for k in range(0, len(part), rows)]
+            vectors = batch["embedding"].to_numpy()
+            yield pd.DataFrame({"label": pd.array([m[0] for m in made], "Int64"), "part": [int(ids[m[1]].min()) for m in made], "ids": [ids[m[1]].tobytes() for m in made],
+                                "vectors": [np.stack(vectors[m[1]]).tobytes() for m in made]})
+    return run
+
+
+class _Pack:
+    """Queries of a pack, the distances of their positives and, for each of these, counts of what is closer."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind, self.ids, self.labels, self.vectors, self.hits, self.wait, self.held = kind, [], [], [], [], [], 0
+        self.ready = False
+
+    def rows(self, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(ids, np.int64)
+        return ids, np.frombuffer(vectors, self.kind).astype(np.float64).reshape(len(ids), -1)
+
+    def ask(self, label: int, ids: bytes, vectors: bytes) -> None:
+        ids, x = self.rows(ids, vectors)
+        self.ids, self.vectors = [*self.ids, *ids], [*self.vectors, *x]
+        self.labels, self.hits = [*self.labels, *[label] * len(ids)], [*self.hits, *[[] for _ in ids]]
+
+    def positives(self, label: int, ids: bytes, vectors: bytes, slices: int, own: int) -> None:
+        ids, y = self.rows(ids, vectors)
+        mine = np.flatnonzero(np.array(self.labels) == label)
+        chosen = _mixed(ids) % np.uint64(slices) == own
+        ids, y = ids[chosen], y[chosen]
+        for at, d in _distances(np.stack([self.vectors[i] for i in mine]), y) if len(ids) else ():
+            for q, far in zip(mine[at:at + len(d)], d):
+                self.hits[q].append(far[ids != self.ids[q]])
+
+    def count(self, labels: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        if not self.ready:
+            self.ready, self.ids, self.labels = True, np.array(self.ids), np.array(self.labels)
+            self.vectors = np.stack(self.vectors)
+            self.hits = [np.sort(np.concatenate(h)) if h else np.empty(0) for h in self.hits]
+            # at a place: rows that are closer than the positives from there on; likewise positives, and positives no farther
+            self.closer, self.alike, self.level = ([np.zeros(len(h) + 1, np.int32) for h in self.hits] for _ in range(3))
+        for at, d in _distances(self.vectors, y):
+            for q, far in enumerate(d, at):
+                hits = self.hits[q]
+                if not len(hits):
+                    continue
+                other = ids != self.ids[q]
+                place = np.searchsorted(hits, far, side="right")
+                np.add.at(self.closer[q], place[other], 1)
+                same = other & (labels == self.labels[q])
+                np.add.at(self.alike[q], place[same], 1)
+                np.add.at(self.level[q], np.searchsorted(hits, far[same], side="left"), 1)
+
+    def meet(self, label, ids: bytes, vectors: bytes) -> None:
+        ids, y = self.rows(ids, vectors)
+        self.wait.append((np.full(len(ids), np.nan if label is None or label != label else label), ids, y))
+        self.held += len(ids)
+        if self.held >= _MET_ROWS:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.wait:
+            self.count(*(np.concatenate(x) for x in zip(*self.wait)))
+            self.wait, self.held = [], 0
+
+    def result(self) -> dict | None:
+        self.flush()
+        at = [q for q, h in enumerate(self.hits) if len(h)]
+        if not self.ready or not at:
+            return None
+        shares, first = [], []
+        for q in at:
+            n, c, e = (np.cumsum(x[q][:-1]).astype(np.float64) for x in (self.closer, self.alike, self.level))
+            shares.append(((c + (e - c + 1) / 2) / (n + 1)).sum())  # tied positives in the middle of their ranks
+            first.append(int(n[0]) + 1)
+        return {"q": self.ids[at], "share": np.array(shares), "hits": np.array([len(self.hits[q]) for q in at]), "first": np.array(first)}
+
+
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed ^ (mixed >> np.uint64(31))) >> np.uint64(3)
+
+
+def retrieval_scores(vectors: DataFrame, top_ks: Sequence[int] = (1, 5, 10), block_rows: int = _SENT_ROWS, pack: int = PACK,
+                     asked: Column | None = None) -> DataFrame:
     """Retrieval of ``vectors(id, label, embedding)`` against each other: one row with ``map`` and ``r<k>``.
 
-    The gallery is ranked by squared distance without the query itself; queries without a positive are left out. Precision is
-    only needed at positives, and a positive's rank follows from the number of closer rows, so the ranking is never built.
-    Vectors are cut into blocks of ``block_rows`` rows, or the root of all rows if that is more; block pairs meet in one task. A
-    first pass keeps the distances of positives, a second one counts the rows and the positives closer than each. However many
-    rows a label has, a task holds two blocks and the distances of one pack: the positives that a block of queries has in
-    neighbouring gallery blocks, cut after ``pack`` distances. Equal distances share their ranks in any order.
+    Queries are the rows where ``asked`` holds (default: all); the gallery is every row. It is ranked by squared distance without the
+    query itself; queries without a positive are left out. Precision is only needed at positives, and a positive's rank follows from
+    the number of closer rows, so the ranking is never built. A pack of queries sees the gallery as a stream of blocks of
+    up to ``block_rows`` rows, first those of its labels for the distances of the positives, then all for counts; one sum per query leaves it.
+    However many rows a label has, a task holds a pack: queries with about ``pack`` positives in all, and of a label with more
+    rows a part of its positives. Equal distances share their ranks in any order.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // max(block_rows, math.isqrt(n))))
-    placed = vectors.select("id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"),
-                            F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = placed.select(F.col("_b").alias("qb"), other.alias("gb"), "id", "label", "e")
-    gallery = placed.select(other.alias("qb"), F.col("_b").alias("gb"), F.col("id").alias("g"),
-                            F.col("label").alias("g_label"), F.col("e").alias("g_e"))
-
-    def positives(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            y, ids, labels = np.stack(b["g_e"].to_numpy()), b["g"].to_numpy(), b["g_label"].to_numpy()
-            own, mine = a["id"].to_numpy(), a["label"].to_numpy()
-            for at, d in _distances(a["e"], y):
-                good = (mine[at:at + len(d), None] == labels) & (own[at:at + len(d), None] != ids)
-                out += [(*key, own[at + i], *np.unique(d[i, good[i]], return_counts=True)) for i in np.flatnonzero(good.any(axis=1))]
-        return pd.DataFrame(out, columns=["qb", "gb", "q", "d", "m"])
-
-    found = cut_lineage(queries.groupBy("qb", "gb").cogroup(gallery.groupBy("qb", "gb"))
-                        .applyInPandas(positives, "qb int, gb int, q long, d array<double>, m array<long>"))
-    # blocks x blocks rows, a window of blocks rows each
-    sized = found.groupBy("qb", "gb").agg(F.sum(F.size("d")).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("qb").orderBy("gb").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    packs = sized.select("qb", "gb", F.floor(before / pack).alias("pack"))
-    lists = found.join(packs, ["qb", "gb"]).groupBy("qb", "pack", "q").agg(F.collect_list(F.struct("d", "m")).alias("w"))  # within a pack
-    asked = lists.join(placed.select(F.col("id").alias("q"), "label", F.col("e").alias("q_e")), "q").select(
-        "qb", "pack", other.alias("gb"), "q", "label", "q_e", F.flatten("w.d").alias("d"), F.flatten("w.m").alias("m"))
-    met = gallery.join(packs.select("qb", F.col("pack").alias("for_pack")).distinct(), "qb")
-
-    def closer(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            y, ids, labels, own = np.stack(b["g_e"].to_numpy()), b["g"].to_numpy(), b["g_label"].to_numpy(), a["q"].to_numpy()
-            for at, d in _distances(a["q_e"], y):
-                d[own[at:at + len(d), None] == ids] = np.inf
-                for i, far in enumerate(d, at):
-                    hits = np.asarray(a["d"].iloc[i])
-                    alike = np.sort(far[labels == a["label"].iloc[i]])
-                    out.append((key[1], own[i], a["m"].iloc[i], np.searchsorted(np.sort(far), hits), np.searchsorted(alike, hits)))
-        return pd.DataFrame(out, columns=["pack", "q", "m", "n", "c"])
-
-    counted = asked.groupBy("qb", "pack", "gb").cogroup(met.groupBy("qb", "for_pack", "gb")).applyInPandas(
-        closer, "pack long, q long, m array<long>, n array<long>, c array<long>")
-    each = (counted.select("pack", "q", F.posexplode(F.arrays_zip("m", "n", "c")).alias("at", "x")).groupBy("pack", "q", "at")
-            .agg(F.max("x.m").alias("m"), F.sum("x.n").alias("n"), F.sum("x.c").alias("c")))
-    # a farther positive has a closer one more before it, so equal counts are equal distances
-    tied = each.groupBy("q", "n").agg(F.sum("m").alias("m"), F.max("c").alias("c"))
-    share = F.col("m") * (F.col("c") + (F.col("m") + 1) / 2) / (F.col("n") + 1)
-    per_query = tied.groupBy("q").agg((F.sum(share) / F.sum("m")).alias("ap"), (F.min("n") + 1).alias("first"))
+    kind = dict(vectors.dtypes)["embedding"]
+    single = kind == "array<float>"
+    rows = vectors.where("id IS NOT NULL AND embedding IS NOT NULL").select(
+        F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind if single else "array<double>").alias("embedding"))
+    queries = rows.where("label IS NOT NULL") if asked is None else rows.where("label IS NOT NULL").where(asked)
+    packed = "label long, part long, ids binary, vectors binary"
+    gallery = rows.mapInPandas(_vector_blocks(block_rows), packed)
+    # a row per label
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_p")).join(queries.groupBy("label").agg(F.count(F.lit(1)).alias("_n")), "label")
+    sizes = sizes.withColumn("slices", F.ceil(F.col("_p") / pack)).withColumn("_w", F.col("_n") * F.ceil(F.col("_p") / F.col("slices")))
+    sizes = sizes.withColumn("shared", F.col("_w") < pack).withColumn("_parts", F.ceil(F.col("_w") / pack))
+    bins = max(1, -(-int(sizes.where("shared").agg(F.sum("_w")).first()[0] or 0) // pack))
+    keys = ["shared", "own", "pack", "slice"]
+    spread = lambda column, n: F.pmod(F.xxhash64(column), n)
+    placed = (queries.join(sizes, "label").withColumn("own", F.when(F.col("shared"), 0).otherwise(F.col("label")))
+              .withColumn("pack", F.when(F.col("shared"), spread("label", F.lit(bins))).otherwise(spread("id", F.col("_parts"))))
+              .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))))
+    labels = placed.select(*keys, "slices", "label").distinct()
+    packs = labels.select(*keys).distinct()
+    size = F.lit(None).cast("long")
+    one = placed.select(*keys, "label", "id", "embedding").mapInPandas(_query_rows, "shared boolean, own long, pack long, slice long, " + packed)
+    stream = (one.select(*keys, F.lit(0).alias("kind"), "part", "label", size.alias("slices"), "ids", "vectors")
+              .unionByName(gallery.join(labels, "label").select(*keys, F.lit(1).alias("kind"), "part", "label", "slices", "ids", "vectors"))
+              .unionByName(gallery.join(F.broadcast(packs)).select(*keys, F.lit(2).alias("kind"), "part", "label", size.alias("slices"), "ids", "vectors")))
+
+    def step(state: _Pack, rows):
+        for kind, label, slices, own, ids, x in zip(*(rows[c] for c in ("kind", "label", "slices", "slice", "ids", "vectors"))):
+            if kind == 0:
+                state.ask(int(label), ids, x)
+            elif kind == 1:
+                state.positives(int(label), ids, x, int(slices), int(own))
+            else:
+                state.meet(label, ids, x)
+
+    per_pack = scan_states(stream, keys, [], ["kind", "part"], lambda: _Pack(np.dtype(np.float32 if single else np.float64)), step,
+                           "shared boolean, own long, pack long, slice long, q long, share double, hits long, first long", lambda state: state.result())
+    per_query = per_pack.groupBy("q").agg((F.sum("share") / F.sum("hits")).alias("ap"), F.min("first").alias("first"))
     return per_query.agg(F.avg("ap").alias("map"),
                          *[F.avg((F.col("first") <= k).cast("double")).alias(f"r{k}") for k in top_ks])
 
 
+def _query_rows(batches):
+    """Queries as blocks of one vector."""
+    for batch in batches:
+        out = batch.drop(columns=["id", "embedding"])
+        out["part"], out["ids"] = batch["id"], [np.int64(i).tobytes() for i in batch["id"]]
+        yield out.assign(vectors=[np.asarray(e).tobytes() for e in batch["embedding"]])
+
+
 def first_per_image(captions: DataFrame, order: str) -> DataFrame:
     """The first result of each image."""
     cols = [c for c in captions.columns if c != "image_id"]

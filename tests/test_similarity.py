@@ -1,5 +1,8 @@
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from detframe.operators.similarity import similar
 from detframe.operators.table_metrics import retrieval_scores
@@ -55,3 +58,28 @@ def test_retrieval_of_a_hot_label_in_small_packs(spark):
     for block_rows, pack in ((1000, 10**6), (20, 10**6), (20, 40), (13, 1)):
         got = retrieval_scores(df, (1, 5), block_rows=block_rows, pack=pack).first()
         assert (got["map"], got.r1, got.r5) == pytest.approx(want, abs=1e-12), (block_rows, pack)
+
+
+def test_retrieval_of_some_queries_against_all_rows(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, None if i % 7 == 3 else int(rng.choice([0, 0, 0, 1, 5])), [float(x) for x in rng.integers(0, 3, 2)]) for i in range(120)]
+    df = spark.createDataFrame([*rows, (500, 1, None)], "id long, label long, embedding array<float>")
+    scores = []
+    for i, label, e in rows:
+        if i % 5 or label is None:
+            continue
+        far = sorted((sum((a - b) ** 2 for a, b in zip(e, f)), other != label) for j, other, f in rows if j != i)
+        hits = [(k, sum(d < v for d, _ in far), sum(d <= v for d, s in far if not s), sum(d < v for d, s in far if not s)) for k, v in enumerate((d for d, s in far if not s), 1)]
+        scores.append((sum((c + (t - c + 1) / 2) / (n + 1) for _, n, t, c in hits) / len(hits), hits[0][1] < 1))
+    for pack, block_rows in ((10**6, 64), (100, 7), (1, 200)):
+        got = retrieval_scores(df, (1,), block_rows, pack, asked=F.col("id") % 5 == 0).first()
+        assert (got["map"], got.r1) == pytest.approx(tuple(np.mean(scores, axis=0)), abs=1e-12), pack
+
+
+def test_blocks_follow_the_largest_key(spark):
+    # 200 keys of 3 rows: no key needs a second block, so no vector is copied
+    rows = [(k, 3 * k + i, [float(i), 1.0]) for k in range(200) for i in range(3)]
+    df = spark.createDataFrame(rows, "g long, id long, embedding array<float>")
+    out = similar(df, df, 1, "dot", keys=["g"], block_rows=3)
+    assert out.count() == 600
+    assert not re.search(r"explode\(\[0,", out._jdf.queryExecution().optimizedPlan().toString().replace(" ", ""))
