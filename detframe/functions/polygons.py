@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from detframe.functions.arrays import repeated
+
 
 def _let(value: Column, fn) -> Column:
     """``fn`` of a value that is computed once, however often ``fn`` mentions it."""
@@ -109,21 +111,13 @@ def split_parts(flat: Column, lengths: Column) -> Column:
 def fill(polygons: DataFrame, by: Sequence[str], parts: str = "parts", height: str = "height") -> DataFrame:
     """Runs ``(by.., start, length)`` of masks of several polygons: even-odd rule at pixel centres, column by column.
 
-    Each edge yields its crossings with the pixel columns it spans; the sorted crossings of a column pair up.
+    Each edge yields its crossings with the pixel columns it spans; the sorted crossings of a column pair up. Only polygons are
+    shuffled: a mask's runs are made in its row.
     """
     by = list(by)
-    rows = polygons.select(*by, F.col(height).alias("_h"), F.explode(parts).alias("_p")).select(*by, "_h", points(F.col("_p")).alias("_p"))
-    edges = rows.select(*by, "_h", F.explode(F.zip_with("_p", _next(F.col("_p")), lambda a, b: F.struct(
-        F.when(a["x"] < b["x"], a).otherwise(b).alias("a"), F.when(a["x"] < b["x"], b).otherwise(a).alias("b")))).alias("e"))
-    first, last = F.greatest(F.ceil(F.col("e.a.x") - 0.5), F.lit(0)), F.ceil(F.col("e.b.x") - 0.5) - 1
-    spans = edges.where(last >= first).withColumn("_c", F.explode(F.sequence(first, last)))
-    y = F.col("e.a.y") + (F.col("_c") + 0.5 - F.col("e.a.x")) * (F.col("e.b.y") - F.col("e.a.y")) / (F.col("e.b.x") - F.col("e.a.x"))
-    hits = spans.select(*by, "_h", "_c", y.alias("_y"))
-    order = Window.partitionBy(*by, "_c").orderBy("_y")
-    paired = hits.withColumn("_n", F.row_number().over(order)).withColumn("_z", F.lead("_y").over(order)).where("_n % 2 = 1")
-    top = F.least(F.greatest(F.ceil(F.col("_y") - 0.5), F.lit(0)), F.col("_h"))
-    end = F.least(F.greatest(F.ceil(F.col("_z") - 0.5), F.lit(0)), F.col("_h"))
-    return paired.where(end > top).select(*by, (F.col("_c") * F.col("_h") + top).cast("long").alias("start"), (end - top).cast("long").alias("length"))
+    masks = polygons.groupBy(*by, F.col(height).alias("_h")).agg(F.flatten(F.collect_list(F.col(parts).cast("array<array<double>>"))).alias("_p"))
+    runs = masks.select(*by, F.explode(fill_runs("_p", "_h")).alias("_r"))
+    return runs.select(*by, "_r.start", "_r.length")
 
 
 # ---- run-length codes ---------------------------------------------------------------------------------
@@ -193,6 +187,55 @@ def list_to_counts(runs: pa.Array, size: pa.Array) -> pa.Array:
     return _listed(total, pa.array(out, pa.int64()), runs.is_null())
 
 
+#: Crossings of edges with pixel columns that are worked out at once.
+FILLED = 1_000_000
+
+
+def _filled(row: np.ndarray, height: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray,
+            first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, length) of the runs between the edges (a, b) of each row, by start."""
+    edge, place = repeated(last - first + 1)
+    c = first[edge] + place
+    y = ay[edge] + (c + 0.5 - ax[edge]) * (by - ay)[edge] / (bx - ax)[edge]
+    owner = row[edge]
+    order = np.lexsort((y, c, owner))
+    owner, c, y = owner[order], c[order], y[order]
+    fresh = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (c[1:] != c[:-1])][:len(c)])
+    at = np.arange(len(c)) - np.repeat(fresh, np.diff(np.r_[fresh, len(c)]))
+    inner = np.r_[at[1:], 0][:len(c)] > 0  # another crossing of the column follows
+    opens = np.flatnonzero((at % 2 == 0) & inner)
+    high = height[owner[opens]]
+    top, end = (np.clip(np.ceil(v - 0.5), 0, high).astype(np.int64) for v in (y[opens], y[opens + 1]))
+    some = end > top
+    opens, top, end, high = opens[some], top[some], end[some], high[some]
+    return owner[opens], c[opens] * high + top, end - top
+
+
+@F.arrow_udf(RUNS)
+def fill_runs(parts: pa.Array, height: pa.Array) -> pa.Array:
+    """Runs of each mask of several flat polygons, in order; see :func:`fill`."""
+    part_row, _, polygons = _lists(parts)
+    point, sizes, flat = _lists(polygons)
+    value, pairs = flat.to_numpy(zero_copy_only=False).astype(np.float64), sizes // 2
+    begin = np.cumsum(sizes) - sizes
+    poly, nth = repeated(pairs)
+    at, after = begin[poly] + 2 * nth, begin[poly] + 2 * ((nth + 1) % pairs[poly])
+    x, y, u, v = value[at], value[at + 1], value[after], value[after + 1]
+    ahead = x < u
+    ax, ay, bx, by = np.where(ahead, x, u), np.where(ahead, y, v), np.where(ahead, u, x), np.where(ahead, v, y)
+    first, last = np.maximum(np.ceil(ax - 0.5), 0), np.ceil(bx - 0.5) - 1
+    spans = last >= first
+    row, first, last = part_row[poly][spans], first[spans].astype(np.int64), last[spans].astype(np.int64)
+    edges, high = (ax[spans], ay[spans], bx[spans], by[spans]), height.to_numpy(zero_copy_only=False).astype(np.int64)
+    crossings = np.zeros(len(parts), np.int64)
+    np.add.at(crossings, row, last - first + 1)
+    lot = (np.cumsum(crossings) // FILLED)[row]
+    cuts = np.r_[0, np.flatnonzero(np.diff(lot)) + 1, len(row)]
+    found = [_filled(row[a:b], high, *(e[a:b] for e in edges), first[a:b], last[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    owner, start, length = (np.concatenate(x) for x in zip(*found))
+    return _listed(np.bincount(owner, minlength=len(parts)), _run_array(start, length), parts.is_null())
+
+
 def runs_to_counts(runs: DataFrame, by: Sequence[str], size: str = "size") -> DataFrame:
     """Alternating counts of each mask from disjoint runs; ``size`` is the number of pixels of the image."""
     order = Window.partitionBy(*by).orderBy("start")
