@@ -2,9 +2,8 @@
 
 Documents are landed once as chunks: word numbers within the chunk, the chunk's distinct words and their subword ids. Word
 counts of the corpus come from the chunks' words by shuffle and go back to each chunk for its own words only, so nothing
-that grows with the corpus is broadcast. The model is trained on one window in RATE of every training document, and on at
-least one, by workers that step on their own share and are averaged; its parameters have a fixed size. Word counts cover
-every training document.
+that grows with the corpus is broadcast. The model is trained once on every window of every training document, by workers
+that step on their own share and are averaged; its parameters have a fixed size. Word counts cover every training document too.
 """
 
 from __future__ import annotations
@@ -26,8 +25,8 @@ from detframe.llm.tokenfiles import TOKENIZER, Numbers, decode, encode, grouped,
 CHUNK_BYTES, REMEMBERED, BUCKET_WORDS = 1 << 22, 1 << 18, 500_000
 END_ID, VOCABULARY = 49407, 49408
 HELD_OUT = 10
-#: One of so many windows of a training document is trained on, dealt over the rounds; shorter documents give a window a round.
-RATE, ROUNDS, BATCH = 8, 2, 256
+#: One of so many windows of a training document is trained on (1: all), dealt over the rounds.
+RATE, ROUNDS, BATCH = 1, 2, 256
 SCORE_WINDOWS = 2048
 
 _CHUNK = ("chunk long, doc_ids array<long>, held array<boolean>, sizes binary, control binary, numbers binary, words array<binary>, trained binary, "

@@ -97,3 +97,13 @@ def test_edges(spark, monkeypatch):
     assert lmscore.scored(spark.createDataFrame([], SCHEMA)).count() == 0
     alone = lmscore.scored(spark.createDataFrame([("c", None, "x", "d")], SCHEMA)).collect()
     assert alone[0].train_tokens == 0 and alone[0].base_score == 0
+
+
+def test_every_window_of_a_document_is_trained_on_once():
+    sizes = np.array([1, 16, 17, 300, 4000])
+    windows = attention.Windows(np.zeros(sizes.sum(), np.uint8), sizes)
+    draw = lmscore.dealt(lmscore._spread(np.arange(len(sizes))), windows, lmscore.RATE * lmscore.ROUNDS)
+    assert (draw < lmscore.ROUNDS).all()
+    for owner, n in enumerate(-(-sizes // attention.SPAN)):
+        turns = np.bincount(draw[windows.owner == owner].astype(int), minlength=lmscore.ROUNDS)
+        assert turns.sum() == n and (n == 1 or turns.max() - turns.min() <= 1)
