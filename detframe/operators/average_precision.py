@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from detframe.operators.matching import match_default, match_group_of
+from detframe.operators.matching import match_default, match_group_of, match_thresholds
 from detframe.plans.ordered import TARGET_ROWS, crowded, running_sums, suffix_max, with_cells
 from detframe.session import cut_lineage
 
@@ -87,6 +87,13 @@ def eval_map(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, by: Sequence[s
     return average_precision(flags, count_boxes(gt, by), by, mode)
 
 
+def eval_maps(det: DataFrame, gt: DataFrame, iou_thrs: Sequence[float], by: Sequence[str] = ("category_id",)) -> DataFrame:
+    """:func:`eval_map` at several thresholds, with ``iou_thr``, from one match and one sorted pass."""
+    flags = match_thresholds(det, gt, iou_thrs).withColumnRenamed("det_id", "row_id")
+    npos = count_boxes(gt, by).select(F.explode(F.array(*[F.lit(float(t)) for t in iou_thrs])).alias("iou_thr"), *by, "num_gts")
+    return average_precision(flags, npos, ["iou_thr", *by])
+
+
 def eval_group_of_map(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, ioa_thr: float = 0.5) -> DataFrame:
     """AP per class where group boxes count as one object each."""
     flags = match_group_of(det, gt, iou_thr, ioa_thr)

@@ -168,3 +168,17 @@ def test_blocks_hold_many_whole_groups(spark):
     out = scan_blocks(rows, ["k"], ["v"], sums, "k long, n long, s long, groups long").collect()
     want = {k: sum(range(7 * k, min(7 * k + 7, 30_000))) for k in range(-(-30_000 // 7))}
     assert {r.k: r.s for r in out} == want and len(out) == len(want) and max(r.groups for r in out) > 100
+
+
+def test_thresholds_of_one_match_equal_a_match_each(spark, sf):
+    from detframe.operators import average_precision as AP
+    from detframe.queries import detection as D
+    from detframe.queries import tables as T
+
+    det, gt = T.det(spark, sf), D._gt(spark, sf)
+    got = {(r.iou_thr, r.category_id): r for r in AP.eval_maps(det, gt, (0.5, 0.7)).collect()}
+    for thr in (0.5, 0.7):
+        for r in AP.eval_map(det, gt, thr).collect():
+            mine = got.pop((thr, r.category_id))
+            assert (mine.num_gts, mine.num_dets) == (r.num_gts, r.num_dets) and abs(mine.ap - r.ap) < 1e-12
+    assert not got
