@@ -1,4 +1,8 @@
-"""Polygons as flat ``[x, y, x, y, …]`` arrays: Column functions, filling, and run-length codes."""
+"""Polygons as flat ``[x, y, x, y, …]`` arrays: Column functions, filling, and run-length codes.
+
+Measures and moves work on Arrow batches. Spark does not take the result of a higher-order function (``points``, ``split_parts``,
+``transform``) as their argument in the same ``select``: cut it off before, with ``plans.once``.
+"""
 
 from __future__ import annotations
 
@@ -39,40 +43,39 @@ def _next(arr: Column) -> Column:
 
 def area(flat: Column) -> Column:
     """Shoelace area."""
-    def shoelace(pts: Column) -> Column:
-        terms = F.zip_with(pts, _next(pts), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-        return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)) / 2
-    return _let(points(flat), shoelace)
+    return _areas(flat.cast("array<double>"))
 
 
 def parts_area(parts: Column) -> Column:
     """Area of a mask of several polygons."""
-    return F.aggregate(F.transform(parts, area), F.lit(0.0), lambda s, v: s + v)
+    return _parts_areas(parts.cast("array<array<double>>"))
 
 
 def bbox(flat: Column) -> tuple[Column, Column, Column, Column]:
-    xs, ys = F.filter(flat, lambda _, i: i % 2 == 0), F.filter(flat, lambda _, i: i % 2 == 1)
-    return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)
+    sides = _hulls(flat.cast("array<double>"))
+    return tuple(F.get(sides, F.lit(i)) for i in range(4))  # type: ignore[return-value]
 
 
 def affine(flat: Column, m: Sequence[Sequence[float | Column]]) -> Column:
     """Every vertex through a 2x3 (or 3x3 affine) matrix."""
-    e = [[v if isinstance(v, Column) else F.lit(float(v)) for v in row] for row in m]
-    return flatten(F.transform(points(flat), lambda p: F.struct((e[0][0] * p["x"] + e[0][1] * p["y"] + e[0][2]).alias("x"),
-                                                               (e[1][0] * p["x"] + e[1][1] * p["y"] + e[1][2]).alias("y"))))
+    return _affine(flat.cast("array<double>"), *[_number(v) for row in m[:2] for v in row])
+
+
+def _number(v: float | Column) -> Column:
+    return (v if isinstance(v, Column) else F.lit(float(v))).cast("double")
 
 
 def flip(flat: Column, direction: str, w: Column, h: Column) -> Column:
     fx, fy = direction in ("horizontal", "diagonal"), direction in ("vertical", "diagonal")
-    return F.transform(flat, lambda v, i: F.when(i % 2 == 0, w - v if fx else v).otherwise(h - v if fy else v))
+    return _stretched(flat.cast("array<double>"), *[_number(v) for v in (-1 if fx else 1, w if fx else 0, -1 if fy else 1, h if fy else 0)])
 
 
 def translate(flat: Column, dx: float | Column, dy: float | Column) -> Column:
-    return F.transform(flat, lambda v, i: v + F.when(i % 2 == 0, dx).otherwise(dy))
+    return _stretched(flat.cast("array<double>"), *[_number(v) for v in (1, dx, 1, dy)])
 
 
 def rescale(flat: Column, sx: float | Column, sy: float | Column) -> Column:
-    return F.transform(flat, lambda v, i: v * F.when(i % 2 == 0, sx).otherwise(sy))
+    return _stretched(flat.cast("array<double>"), *[_number(v) for v in (sx, 0, sy, 0)])
 
 
 def crop(flat: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -80,26 +83,7 @@ def crop(flat: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column
 
     The polygon is cut by one side after another, so a concave part stays one polygon.
     """
-    pts = points(flat)
-    for axis, bound, above in (("x", x1, True), ("x", x2, False), ("y", y1, True), ("y", y2, False)):
-        other = "y" if axis == "x" else "x"
-
-        def cut(a: Column, b: Column) -> Column:  # applied within this turn of the loop
-            def inside(p: Column) -> Column:
-                return p[axis] >= bound if above else p[axis] <= bound
-
-            t = (bound - a[axis]) / (b[axis] - a[axis])
-            cross = {axis: bound.cast("double"), other: a[other] + t * (b[other] - a[other])}
-            edge = F.struct(cross["x"].alias("x"), cross["y"].alias("y"))
-            none = F.array().cast("array<struct<x: double, y: double>>")
-            return (F.when(inside(a) & inside(b), F.array(b)).when(inside(a), F.array(edge)).when(inside(b), F.array(edge, b)).otherwise(none))
-
-        pts = _let(pts, lambda p: F.flatten(F.zip_with(p, _next(p), cut)))
-
-    def placed(p: Column) -> Column:
-        moved = F.transform(p, lambda v: F.struct((v["x"] - x1).alias("x"), (v["y"] - y1).alias("y")))
-        return F.when(F.size(p) >= 3, flatten(moved)).otherwise(F.array(*[F.lit(0.0)] * 6))
-    return _let(pts, placed)
+    return _crops(flat.cast("array<double>"), *[v.cast("double") for v in (x1, y1, x2, y2)])
 
 
 def split_parts(flat: Column, lengths: Column) -> Column:
@@ -147,6 +131,110 @@ def _starts_and_ends(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return row[some], start[some], (start + length)[some]
 
 
+def _vertices(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the polygon, x, y) of every vertex of flat polygons; an odd tail value is left out."""
+    _, sizes, flat = _lists(lists)
+    value, (poly, nth) = flat.to_numpy(zero_copy_only=False).astype(np.float64), repeated(sizes // 2)
+    at = (np.cumsum(sizes) - sizes)[poly] + 2 * nth
+    return poly, value[at], value[at + 1]
+
+
+def _after(poly: np.ndarray) -> np.ndarray:
+    """Place of the vertex that follows each vertex in its polygon."""
+    first = np.flatnonzero(np.r_[True, poly[1:] != poly[:-1]][:len(poly)])
+    out = np.arange(1, len(poly) + 1)
+    out[np.r_[first[1:], len(poly)][:len(first)] - 1] = first
+    return out
+
+
+def _shoelaces(lists: pa.Array) -> np.ndarray:
+    poly, x, y = _vertices(lists)
+    then = _after(poly)
+    return np.abs(np.bincount(poly, x * y[then] - x[then] * y, len(lists))) / 2
+
+
+def _known(values: np.ndarray) -> pa.Array:
+    """A missing coordinate gives a missing value."""
+    return pa.array(values, mask=np.isnan(values))
+
+
+@F.arrow_udf(T.DoubleType())
+def _areas(flat: pa.Array) -> pa.Array:
+    return _known(_shoelaces(flat))
+
+
+@F.arrow_udf(T.DoubleType())
+def _parts_areas(parts: pa.Array) -> pa.Array:
+    row, _, polygons = _lists(parts)
+    sums = np.bincount(row, _shoelaces(polygons), len(parts))
+    return pa.array(sums, mask=np.isnan(sums) | parts.is_null().to_numpy(zero_copy_only=False))
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _hulls(flat: pa.Array) -> pa.Array:
+    """Least x and y, greatest x and y of flat polygons."""
+    row, sizes, values = _lists(flat)
+    v = values.to_numpy(zero_copy_only=False).astype(np.float64)
+    odd = (np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]) % 2
+    out = np.full((len(flat), 4), np.nan)
+    for side, (best, which) in enumerate(((np.fmin, 0), (np.fmin, 1), (np.fmax, 0), (np.fmax, 1))):
+        r, x = row[odd == which], v[odd == which]
+        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]][:len(r)])
+        if len(first):
+            out[r[first], side] = best.reduceat(x, first)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * 4, pa.int32()), _known(out.ravel()))
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _stretched(flat: pa.Array, sx: pa.Array, dx: pa.Array, sy: pa.Array, dy: pa.Array) -> pa.Array:
+    """x * sx + dx and y * sy + dy of flat polygons; an odd tail value counts as x."""
+    row, sizes, values = _lists(flat)
+    odd = (np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]) % 2 == 1
+    sx, dx, sy, dy = (v.to_numpy(zero_copy_only=False).astype(np.float64)[row] for v in (sx, dx, sy, dy))
+    v = values.to_numpy(zero_copy_only=False).astype(np.float64)
+    return _listed(sizes, _known(v * np.where(odd, sy, sx) + np.where(odd, dy, dx)), flat.is_null())
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _affine(flat: pa.Array, *entries: pa.Array) -> pa.Array:
+    """Every vertex of flat polygons through the six entries of a 2x3 matrix, row by row."""
+    poly, x, y = _vertices(flat)
+    e = [v.to_numpy(zero_copy_only=False).astype(np.float64)[poly] for v in entries]
+    out = np.stack([e[0] * x + e[1] * y + e[2], e[3] * x + e[4] * y + e[5]], axis=1)
+    return _listed(2 * np.bincount(poly, minlength=len(flat)), _known(out.ravel()), pa.array(np.zeros(len(flat), bool)))
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _crops(flat: pa.Array, x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array) -> pa.Array:
+    """See :func:`crop`: all polygons of a batch are cut by one side after another."""
+    poly, *at = _vertices(flat)
+    left, top, right, bottom = (v.to_numpy(zero_copy_only=False).astype(np.float64) for v in (x1, y1, x2, y2))
+    for axis, bound, above in ((0, left, True), (0, right, False), (1, top, True), (1, bottom, False)):
+        then, limit = _after(poly), bound[poly]
+        inside = at[axis] >= limit if above else at[axis] <= limit
+        to, follows = [v[then] for v in at], inside[then]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (limit - at[axis]) / (to[axis] - at[axis])
+            across = at[1 - axis] + t * (to[1 - axis] - at[1 - axis])
+        crossing = [limit, across] if axis == 0 else [across, limit]
+        made = np.where(inside, 1, np.where(follows, 2, 0))
+        end = np.cumsum(made)
+        crosses = inside != follows
+        for i in (0, 1):
+            out = np.empty(end[-1] if len(end) else 0)
+            out[(end - made)[crosses]] = crossing[i][crosses]
+            out[(end - 1)[follows]] = to[i][follows]
+            at[i] = out
+        poly = np.repeat(poly, made)
+    count = np.bincount(poly, minlength=len(flat))
+    kept = count[poly] >= 3
+    sizes = np.where(count >= 3, 2 * count, 6)
+    values, owner = np.zeros(sizes.sum()), poly[kept]
+    place = (np.cumsum(sizes) - sizes)[owner] + 2 * (np.arange(len(poly)) - (np.cumsum(count) - count)[poly])[kept]
+    values[place], values[place + 1] = at[0][kept] - left[owner], at[1][kept] - top[owner]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values))
+
+
 @F.arrow_udf(RUNS)
 def counts_to_runs(counts: pa.Array) -> pa.Array:
     """``array<struct<start, length>>`` of the ones in alternating counts (zeros first)."""
