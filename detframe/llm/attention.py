@@ -13,9 +13,11 @@ import numpy as np
 CLASSES, OWN_CLASSES = 128, 112
 DIM, SPAN, WIDTH = 16, 16, 32
 START = CLASSES  # input only
-LIMIT = 50.0
+LIMIT, FAINT = 50.0, 40.0
+#: Windows of a training step that are worked on at a time; what is made of them stays in a cache.
+BLOCK = 64
 _DISTANCE = (np.arange(WIDTH - SPAN, WIDTH)[:, None] - np.arange(WIDTH)[None, :])
-_MASK = _DISTANCE < 0
+_MASK, _BEHIND = _DISTANCE < 0, np.maximum(_DISTANCE, 0)
 
 Params = dict[str, np.ndarray]
 
@@ -55,44 +57,85 @@ def shaped(vector: np.ndarray, like: Params) -> Params:
     return out
 
 
+def _tables(params: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What attention needs, by class: factors of a pair of classes and of a place in the window (0 for what lies ahead), and
+    what a class gives to later tokens, with a 1 beside it that sums the factors.
+
+    Queries, keys and values hang on the input class alone, so a weight before norming is a factor of the two classes times one
+    of their distance, and no exponential is taken per token. Factors under exp(-FAINT) of the largest count as that.
+    """
+    e, r = params["E"], params["r"]
+    near = (e @ params["Q"] / np.sqrt(np.array(DIM, e.dtype))) @ (e @ params["K"]).T
+    near = np.exp(np.maximum(near - near.max(-1, keepdims=True), -FAINT))
+    far = np.where(_MASK, 0, np.exp(np.maximum(r - r.max(), -FAINT))[_BEHIND]).astype(e.dtype)
+    return near, far, np.hstack([e @ params["V"] @ params["O"], np.ones((len(e), 1), e.dtype)])
+
+
+def _attend(near: np.ndarray, far: np.ndarray, values: np.ndarray, inputs: np.ndarray):
+    """Pairs of classes, their weights, values, the sums of weights, and what the last SPAN places take from their past."""
+    pairs = inputs[:, WIDTH - SPAN:, None] * len(near) + inputs[:, None, :]
+    a = np.take(near.ravel(), pairs, mode="clip")  # clip: no pass that checks the bounds
+    a *= far
+    v = np.take(values, inputs, axis=0)
+    o = np.matmul(a, v)
+    mass = o[..., DIM:]
+    return pairs, a, v, mass, o[..., :DIM] / mass
+
+
+def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(at.ravel(), weights=values.ravel(), minlength=size)
+
+
 def loss_and_gradient(params: Params, inputs: np.ndarray, targets: np.ndarray, weights: np.ndarray) -> tuple[float, Params]:
-    """Mean cross entropy of ``targets`` (windows x SPAN) behind ``inputs`` (windows x WIDTH), and its gradient."""
-    scale = 1 / np.sqrt(np.array(DIM, params["E"].dtype))
-    h = params["E"][inputs]
-    last = h[:, WIDTH - SPAN:]
-    q, k, v = last @ params["Q"], h @ params["K"], h @ params["V"]
-    a = q @ k.transpose(0, 2, 1) * scale + params["r"][np.maximum(_DISTANCE, 0)]
-    a[:, _MASK] = -np.inf
-    a = np.exp(a - a.max(-1, keepdims=True))
-    a /= a.sum(-1, keepdims=True)
-    o = a @ v
-    r = last + o @ params["O"]
-    z = r @ params["U"] + params["b"]
-    z -= z.max(-1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(-1, keepdims=True)
-    rows, cols = np.indices(targets.shape)
-    total = max(float(weights.sum()), 1.0)
-    loss = float(-(np.log(p[rows, cols, targets]) * weights).sum() / total)
-    dz = p
-    dz[rows, cols, targets] -= 1
-    dz *= (weights / total)[:, :, None].astype(dz.dtype)
-    wide = lambda x: x.reshape(-1, x.shape[-1])
-    grad = {"U": wide(r).T @ wide(dz), "b": wide(dz).sum(0)}
-    dr = dz @ params["U"].T
-    grad["O"] = wide(o).T @ wide(dr)
-    do = dr @ params["O"].T
-    da = do @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ do
-    da = a * (da - (da * a).sum(-1, keepdims=True))
-    grad["r"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), weights=da.sum(0).ravel(), minlength=WIDTH).astype(a.dtype)
-    dq, dk = da @ k * scale, da.transpose(0, 2, 1) @ q * scale
-    grad["Q"], grad["K"], grad["V"] = wide(last).T @ wide(dq), wide(h).T @ wide(dk), wide(h).T @ wide(dv)
-    dh = dk @ params["K"].T + dv @ params["V"].T
-    dh[:, WIDTH - SPAN:] += dr + dq @ params["Q"].T
-    grad["E"] = np.zeros_like(params["E"])
-    np.add.at(grad["E"], inputs.ravel(), wide(dh))
-    return loss, grad
+    """Mean cross entropy of ``targets`` (windows x SPAN) behind ``inputs`` (windows x WIDTH), and its gradient.
+
+    Gradients are summed by class, and by pair of classes, before they meet the matrices.
+    """
+    e, u = params["E"], params["U"]
+    real, size = e.dtype, len(e)
+    near, far, values = _tables(params)
+    to_logits, back = np.vstack([u, params["b"]]), np.vstack([u, np.ones((1, CLASSES), real)]).T
+    by_class, ones, cells = np.ascontiguousarray(u.T), np.ones(DIM, real), np.arange(size * DIM).reshape(size, DIM)
+    each = (weights / max(float(weights.sum()), 1.0)).astype(real)
+    loss, dlogits, dfar = 0.0, np.zeros((CLASSES, DIM + 1), real), np.zeros((SPAN, WIDTH), real)
+    dnear, dvalues, dlast = np.zeros(size * size), np.zeros(size * DIM), np.zeros(size * DIM)
+    for s in range(0, len(inputs), BLOCK):
+        x = inputs[s:s + BLOCK].astype(np.intp)
+        last, aim, share = x[:, WIDTH - SPAN:], targets[s:s + BLOCK].ravel(), each[s:s + BLOCK].ravel()
+        pairs, a, v, mass, o = _attend(near, far, values, x)
+        h = np.empty((len(aim), DIM + 1), real)
+        h[:, DIM] = 1
+        np.add(np.take(e, last.ravel(), axis=0), o.reshape(-1, DIM), out=h[:, :DIM])
+        z = h @ to_logits
+        if z.max() > LIMIT or z.min() < -LIMIT:
+            z -= z.max(-1, keepdims=True)
+        picked = np.arange(len(z)) * CLASSES + aim
+        chosen = np.take(z, picked)
+        np.exp(z, out=z)
+        got = z @ back
+        whole = got[:, DIM]
+        loss += float(((np.log(whole) - chosen) * share).sum(dtype=np.float64))
+        z.ravel()[picked] -= whole
+        part = (share / whole)[:, None]
+        h *= part
+        dlogits += z.T @ h
+        dh = got[:, :DIM] * part
+        dh -= np.take(by_class, aim, axis=0) * share[:, None]
+        dh = dh.reshape(o.shape)
+        down = np.empty((*o.shape[:2], DIM + 1), real)
+        np.divide(dh, mass, out=down[..., :DIM])
+        np.negative((down[..., :DIM] * o) @ ones, out=down[..., DIM])
+        da = np.matmul(down, v.transpose(0, 2, 1))
+        da *= a
+        dfar += da.sum(0)
+        dnear += _sums(pairs, da, size * size)
+        dvalues += _sums(np.take(cells, x, axis=0), np.matmul(a.transpose(0, 2, 1), down[..., :DIM]), size * DIM)
+        dlast += _sums(np.take(cells, last, axis=0), dh, size * DIM)
+    dnear, dvalues, dlast = dnear.astype(real).reshape(size, size), dvalues.astype(real).reshape(size, DIM), dlast.astype(real).reshape(size, DIM)
+    scale = 1 / np.sqrt(np.array(DIM, real))
+    dq, dk, dv = dnear @ (e @ params["K"]) * scale, dnear.T @ (e @ params["Q"]) * scale, dvalues @ params["O"].T
+    return loss, {"U": dlogits[:, :DIM].T, "b": dlogits[:, DIM], "r": _sums(_BEHIND, dfar, WIDTH).astype(real), "Q": e.T @ dq, "K": e.T @ dk, "V": e.T @ dv,
+                  "O": (e @ params["V"]).T @ dvalues, "E": dlast + dq @ params["Q"].T + dk @ params["K"].T + dv @ params["V"].T}
 
 
 class Adam:
@@ -137,28 +180,19 @@ def _bounded(x: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Scores many windows at once; queries, keys and values depend on the input class alone and are worked out beforehand."""
+    """Scores many windows at once."""
 
     def __init__(self, params: Params):
-        e = params["E"]
-        self.o, self.u, self.b = params["O"], params["U"], params["b"]
-        # one gather for what an input gives to later tokens, one for what a token needs itself
-        self.keys_values = np.hstack([e @ params["K"], e @ params["V"]])
-        self.query_self = np.hstack([e @ params["Q"] / np.float32(np.sqrt(DIM)), e])
-        # biases are factors once exponentials are taken; what lies ahead has none
-        self.weight = np.where(_MASK, 0, np.exp(params["r"][np.maximum(_DISTANCE, 0)])).astype(np.float32)
-        self.prior, self.wide = np.exp(self.b), np.ones(WIDTH, np.float32)
+        self.near, self.far, self.values = _tables(params)
+        self.e, self.u, self.b = params["E"], params["U"], params["b"]
+        # biases are factors once exponentials are taken
+        self.prior = np.exp(self.b)
 
     def log10(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         inputs = inputs.astype(np.intp)
-        later = np.take(self.keys_values, inputs, axis=0)
-        own = np.take(self.query_self, inputs[:, WIDTH - SPAN:], axis=0)
-        a = np.matmul(own[..., :DIM], later[..., :DIM].transpose(0, 2, 1))
-        a = np.exp(_bounded(a), out=a)
-        a *= self.weight
-        o = np.matmul(a, later[..., DIM:])
-        o /= (a @ self.wide)[..., None]
-        z = _bounded((own[..., DIM:].reshape(-1, DIM) + o.reshape(-1, DIM) @ self.o) @ self.u)
-        chosen = z[np.arange(len(z)), targets.ravel()] + self.b[targets.ravel()]
+        o = _attend(self.near, self.far, self.values, inputs)[-1]
+        o += np.take(self.e, inputs[:, WIDTH - SPAN:], axis=0)
+        z = _bounded(o.reshape(-1, DIM) @ self.u)
+        chosen = np.take(z, np.arange(len(z)) * CLASSES + targets.ravel()) + self.b[targets.ravel()]
         np.exp(z, out=z)
         return ((chosen - np.log(z @ self.prior)) / np.float32(np.log(10))).reshape(targets.shape)

@@ -27,7 +27,7 @@ END_ID, VOCABULARY = 49407, 49408
 HELD_OUT = 10
 #: One of so many windows of a training document is trained on (1: all), dealt over the rounds.
 RATE, ROUNDS, BATCH = 1, 2, 256
-SCORE_WINDOWS = 2048
+SCORE_WINDOWS = 128  # their logits stay in a cache
 
 _CHUNK = ("chunk long, doc_ids array<long>, held array<boolean>, sizes binary, control binary, numbers binary, words array<binary>, trained binary, "
           "piece_sizes binary, pieces binary")

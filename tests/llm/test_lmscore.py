@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -107,3 +108,33 @@ def test_every_window_of_a_document_is_trained_on_once():
     for owner, n in enumerate(-(-sizes // attention.SPAN)):
         turns = np.bincount(draw[windows.owner == owner].astype(int), minlength=lmscore.ROUNDS)
         assert turns.sum() == n and (n == 1 or turns.max() - turns.min() <= 1)
+
+
+def test_a_training_step_works_in_blocks(monkeypatch):
+    """A step of 256 windows must not lay out their logits, nor pairs of places, all at once; the blocks change nothing."""
+    rng = np.random.default_rng(3)
+    params = attention.fresh(rng.dirichlet(np.ones(attention.CLASSES)))
+    inputs, targets = rng.integers(0, attention.CLASSES + 1, (250, attention.WIDTH)), rng.integers(0, attention.CLASSES, (250, attention.SPAN))
+    weights = (rng.random((250, attention.SPAN)) < 0.9).astype(np.float32)
+    attention.loss_and_gradient(params, inputs, targets, weights)
+    tracemalloc.start()
+    loss, grad = attention.loss_and_gradient(params, inputs, targets, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    monkeypatch.setattr(attention, "BLOCK", 250)
+    whole, same = attention.loss_and_gradient(params, inputs, targets, weights)
+    assert loss == pytest.approx(whole, rel=1e-6)
+    for name in grad:
+        assert grad[name].dtype == np.float32 and np.allclose(grad[name], same[name], atol=1e-6)
+
+
+def test_far_apart_weights_stay_finite():
+    params = attention.fresh(np.full(attention.CLASSES, 1 / attention.CLASSES))
+    params["Q"] *= np.float32(300)
+    params["r"] = np.linspace(-200, 200, attention.WIDTH).astype(np.float32)
+    windows = attention.Windows(np.arange(500, dtype=np.uint8) % attention.CLASSES, np.array([500]))
+    inputs, targets, used = windows.take(np.arange(len(windows.owner)))
+    loss, grad = attention.loss_and_gradient(params, inputs, targets, used.astype(np.float32))
+    assert math.isfinite(loss) and all(np.isfinite(g).all() for g in grad.values())
+    assert np.isfinite(attention.Scorer(params).log10(inputs, targets)).all()
