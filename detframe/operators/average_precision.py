@@ -8,21 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from detframe.operators.matching import match_default, match_group_of, match_thresholds
+from detframe.operators.matching import counted_boxes, match_default, match_group_of, match_thresholds
 from detframe.plans.ordered import TARGET_ROWS, crowded, running_sums, suffix_max, with_cells
-from detframe.session import cut_lineage
+from detframe.session import land
 
 EPS = 2.220446049250313e-16  # double machine epsilon: keeps a precision defined when nothing was counted
 
 
-def precision_curve(flags: DataFrame, npos: DataFrame, by: Sequence[str], target: int = TARGET_ROWS) -> DataFrame:
+def precision_curve(flags: DataFrame, npos: DataFrame, by: Sequence[str], target: int = TARGET_ROWS, stored: bool = False) -> DataFrame:
     """``flags(by.., score, row_id, tp, fp)`` → cumulative ``ctp, cfp``, ``recall``, ``precision``, ``envelope``.
 
     ``npos(by.., num_gts)`` is small: one row per key. The narrow flag table is written once, because the
-    cells, their totals and the rows all read it.
+    cells, their totals and the rows all read it, unless the flags are ``stored`` and cheap to read.
     """
     by = list(by)
-    slim = cut_lineage(flags.select(*by, "score", "row_id", F.col("tp").cast("long"), F.col("fp").cast("long")))
+    slim = flags.select(*by, "score", "row_id", F.col("tp").cast("long"), F.col("fp").cast("long"))
+    slim = slim if stored else land(slim)
     counted = npos.where("num_gts > 0")
 
     def rated(df: DataFrame) -> DataFrame:
@@ -42,14 +43,14 @@ def precision_curve(flags: DataFrame, npos: DataFrame, by: Sequence[str], target
 
 
 def average_precision(flags: DataFrame, npos: DataFrame, by: Sequence[str], mode: str = "area",
-                      target: int = TARGET_ROWS) -> DataFrame:
+                      target: int = TARGET_ROWS, stored: bool = False) -> DataFrame:
     """``(by.., num_gts, num_dets, ap)``; a key with boxes and no detections has AP 0.
 
     ``area`` sums recall steps times the precision envelope: recall grows by 1/num_gts at each true
     positive, so only those rows contribute. ``11points`` averages the best precision at recalls 0, .1 … 1.
     """
     by = list(by)
-    curve = precision_curve(flags, npos, by, target)
+    curve = precision_curve(flags, npos, by, target, stored)
     counted = curve.groupBy(*by).agg(F.count(F.lit(1)).alias("num_dets"), *_ap_parts(mode))
     value = F.coalesce(_ap_value(mode), F.lit(0.0))
     return (npos.where("num_gts > 0").join(counted, by, "left")
@@ -96,9 +97,9 @@ def eval_maps(det: DataFrame, gt: DataFrame, iou_thrs: Sequence[float], by: Sequ
 
 def eval_group_of_map(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, ioa_thr: float = 0.5) -> DataFrame:
     """AP per class where group boxes count as one object each."""
-    flags = match_group_of(det, gt, iou_thr, ioa_thr)
-    npos = gt.groupBy("category_id").agg(F.count(F.lit(1)).alias("num_gts"))
-    return average_precision(flags, npos, ["category_id"])
+    boxes = counted_boxes(gt)
+    npos = boxes.groupBy("category_id").agg(F.sum("num_gts").alias("num_gts"))
+    return average_precision(match_group_of(det, gt, iou_thr, ioa_thr, boxes), npos, ["category_id"], stored=True)
 
 
 def mean_ap(per_class: DataFrame, by: Sequence[str] = (), value: str = "ap") -> DataFrame:

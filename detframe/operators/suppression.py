@@ -245,12 +245,16 @@ def weighted_fusion(det: DataFrame, weights: Sequence[float], iou_thr: float = 0
 def expand_hierarchy(rows: DataFrame, closure: DataFrame, allowed: DataFrame | None, ident: str) -> DataFrame:
     """Add ancestor copies of each row, where the ancestor is allowed on the image; drop classes not allowed.
 
-    ``closure(child, ancestor)`` includes each class with itself; ``allowed(image_id, category_id)`` may be None.
+    ``closure(child, ancestor)`` includes each class with itself; ``allowed(image_id, category_id)`` may be None. An ``ident``
+    belongs to one image, so copies are told apart, and allowed classes looked up, by image: rows that lie by image stay put.
     """
     grown = (rows.join(closure, rows.category_id == closure.child).drop("child", "category_id")
              .withColumnRenamed("ancestor", "category_id"))
-    out = grown.dropDuplicates([ident, "category_id"])
-    return out if allowed is None else out.join(allowed, ["image_id", "category_id"], "left_semi")
+    out = grown.dropDuplicates(["image_id", ident, "category_id"])
+    if allowed is None:
+        return out
+    classes = allowed.groupBy("image_id").agg(F.collect_set("category_id").alias("_allowed"))
+    return out.join(classes, "image_id").where(F.array_contains("_allowed", F.col("category_id"))).drop("_allowed")
 
 
 def merge_phrase_boxes(rows: DataFrame, by: Sequence[str]) -> DataFrame:

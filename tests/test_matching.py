@@ -182,3 +182,49 @@ def test_thresholds_of_one_match_equal_a_match_each(spark, sf):
             mine = got.pop((thr, r.category_id))
             assert (mine.num_gts, mine.num_dets) == (r.num_gts, r.num_dets) and abs(mine.ap - r.ap) < 1e-12
     assert not got
+
+
+def _group_tables(spark, sf):
+    from detframe.queries import tables as T
+    gt = T.gt(spark, sf).withColumn("is_group_of", F.col("iscrowd") == 1).withColumn("ignore", F.col("ann_id") % 11 == 0)
+    return T.det(spark, sf), gt
+
+
+def test_images_of_any_size_are_matched_alike_to_group_boxes(spark, sf, monkeypatch):
+    from detframe.operators import matching as M
+    det, gt = _group_tables(spark, sf)
+
+    def flags(limit):
+        monkeypatch.setattr(M, "IMAGE_LIMIT", limit)
+        return sorted(tuple(r) for r in M.match_group_of(det, gt, 0.5, 0.5).select("image_id", "category_id", "row_id", "score", "tp", "fp").collect())
+    all_by_image, all_by_tile, mixed = flags(10**9), flags(0), flags(40)
+    assert all_by_image == all_by_tile == mixed and len(all_by_image) > 5000
+    sizes = gt.groupBy("image_id").count()
+    assert sizes.where("count > 40").count() and sizes.where("count <= 40").count()
+
+
+def test_rows_that_lie_by_image_are_moved_once_for_group_boxes(spark, sf):
+    """Only the numbering of boxes by image may shuffle: once for the detections and once for the truth."""
+    from detframe.operators import matching as M
+    det, gt = _group_tables(spark, sf)
+    shuffled = []
+    land = M.land
+
+    def seen(df):
+        shuffled.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return land(df)
+    M.land = seen
+    try:
+        M.match_group_of(det, gt).count()
+    finally:
+        M.land = land
+    assert shuffled == [1, 2]
+
+
+def test_copies_of_ancestors_stay_by_image(spark):
+    rows = spark.createDataFrame([(1, 5, 1, "a"), (1, 5, 2, "a"), (2, 5, 1, "b"), (3, 6, 2, "c")], "det_id long, image_id long, category_id long, v string")
+    closure = spark.createDataFrame([(0, 0), (1, 1), (1, 0), (1, 0), (2, 2), (2, 0)], "child long, ancestor long")
+    allowed = spark.createDataFrame([(5, 0), (5, 1), (5, 1), (7, 2), (None, 2)], "image_id long, category_id long")
+    got = sorted((r.det_id, r.category_id) for r in S.expand_hierarchy(rows, closure, allowed, "det_id").collect())
+    assert got == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    assert S.expand_hierarchy(rows, closure, None, "det_id").count() == 7
