@@ -17,8 +17,8 @@ from detframe.plans.ordered import first_rows
 from detframe.session import cut_lineage
 
 BACKGROUND = -1
-#: Distances of positives that a pack of queries takes into a task.
-PACK = 4_000_000
+#: Distances of positives that a pack of queries takes into a task, at 12 bytes each.
+PACK = 8_000_000
 
 
 def confusion_matrix(det: DataFrame, gt: DataFrame, score_thr: float, iou_thr: float) -> DataFrame:
@@ -152,14 +152,21 @@ def rollup_means(df: DataFrame, group: str, counts: Sequence[str], metrics: Sequ
     return per.withColumn(group, F.col(group).cast("string")).unionByName(total)
 
 
-#: Query rows whose differences to a block are held at once, rows of a vector block on its way, and rows compared in one go.
-_QUERY_ROWS, _SENT_ROWS, _MET_ROWS = 16, 64, 1024
+#: Rows of a vector block on its way, and numbers of the vectors that are compared in one go.
+_SENT_ROWS, _MET_NUMBERS = 64, 1 << 22
+#: Numbers whose differences are held at once.
+_NEAR_NUMBERS = 1 << 16
 
 
-def _distances(queries: np.ndarray, block: np.ndarray):
-    """(offset, squared distances) of a few queries at a time to all rows of a block."""
-    for at in range(0, len(queries), _QUERY_ROWS):
-        yield at, ((block[None] - queries[at:at + _QUERY_ROWS, None]) ** 2).sum(axis=2)
+def _distances(query: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Squared distances of a query to all rows of a block."""
+    out, rows = np.empty(len(block)), max(1, _NEAR_NUMBERS // max(1, block.shape[1]))
+    held = np.empty((min(rows, len(block)), block.shape[1]))
+    for at in range(0, len(block), rows):
+        near = block[at:at + rows]
+        far = np.subtract(near, query, out=held[:len(near)])
+        np.einsum("ij,ij->i", far, far, out=out[at:at + rows])
+    return out
 
 
 def _vector_blocks(rows: int):
@@ -182,7 +189,7 @@ class _Pack:
 
     def __init__(self, kind: np.dtype):
         self.kind, self.ids, self.labels, self.vectors, self.hits, self.wait, self.held = kind, [], [], [], [], [], 0
-        self.ready = False
+        self.ready = self.parted = False
 
     def rows(self, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
         ids = np.frombuffer(ids, np.int64)
@@ -195,55 +202,62 @@ class _Pack:
 
     def positives(self, label: int, ids: bytes, vectors: bytes, slices: int, own: int) -> None:
         ids, y = self.rows(ids, vectors)
-        mine = np.flatnonzero(np.array(self.labels) == label)
+        self.parted |= slices > 1
         chosen = _mixed(ids) % np.uint64(slices) == own
-        ids, y = ids[chosen], y[chosen]
-        for at, d in _distances(np.stack([self.vectors[i] for i in mine]), y) if len(ids) else ():
-            for q, far in zip(mine[at:at + len(d)], d):
-                self.hits[q].append(far[ids != self.ids[q]])
+        self.hold(label, ids[chosen], y[chosen], self.collect)
+
+    def collect(self, labels: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
+        for q, label in enumerate(self.labels):
+            near = (labels == label) & (ids != self.ids[q])
+            if near.any():
+                self.hits[q].append(_distances(self.vectors[q], y[near]))
 
     def count(self, labels: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
-        if not self.ready:
-            self.ready, self.ids, self.labels = True, np.array(self.ids), np.array(self.labels)
-            self.vectors = np.stack(self.vectors)
-            self.hits = [np.sort(np.concatenate(h)) if h else np.empty(0) for h in self.hits]
-            # at a place: rows that are closer than the positives from there on; likewise positives, and positives no farther
-            self.closer, self.alike, self.level = ([np.zeros(len(h) + 1, np.int32) for h in self.hits] for _ in range(3))
-        for at, d in _distances(self.vectors, y):
-            for q, far in enumerate(d, at):
-                hits = self.hits[q]
-                if not len(hits):
-                    continue
-                other = ids != self.ids[q]
-                place = np.searchsorted(hits, far, side="right")
-                np.add.at(self.closer[q], place[other], 1)
-                same = other & (labels == self.labels[q])
-                np.add.at(self.alike[q], place[same], 1)
-                np.add.at(self.level[q], np.searchsorted(hits, far[same], side="left"), 1)
+        for q, hits in enumerate(self.hits):
+            if not len(hits):
+                continue
+            far, other = _distances(self.vectors[q], y), ids != self.ids[q]
+            if self.parted:
+                same = np.sort(far[other & (labels == self.labels[q])])
+                self.alike[q] += np.searchsorted(same, hits, side="left").astype(np.int32)
+                self.level[q] += np.searchsorted(same, hits, side="right").astype(np.int32)
+            self.closer[q] += np.searchsorted(np.sort(far[other]), hits, side="left").astype(np.int32)
 
     def meet(self, label, ids: bytes, vectors: bytes) -> None:
+        if not self.ready:
+            self.flush(self.collect)
+            self.ready = True
+            for q, h in enumerate(self.hits):
+                self.hits[q] = np.sort(np.concatenate(h)) if h else np.empty(0)
+            # per positive: rows that are closer; where a label comes in parts likewise positives, and positives no farther
+            self.closer, self.alike, self.level = ([np.zeros(len(h), np.int32) for h in self.hits] if of else None for of in (True, self.parted, self.parted))
         ids, y = self.rows(ids, vectors)
-        self.wait.append((np.full(len(ids), np.nan if label is None or label != label else label), ids, y))
-        self.held += len(ids)
-        if self.held >= _MET_ROWS:
-            self.flush()
+        self.hold(np.nan if label is None or label != label else label, ids, y, self.count)
+
+    def hold(self, label: float, ids: np.ndarray, y: np.ndarray, use) -> None:
+        if len(ids):
+            self.wait.append((np.full(len(ids), label), ids, y))
+            self.held += y.size
+        if self.held >= _MET_NUMBERS:
+            self.flush(use)
 
-    def flush(self) -> None:
+    def flush(self, use) -> None:
         if self.wait:
-            self.count(*(np.concatenate(x) for x in zip(*self.wait)))
+            use(*(np.concatenate(x) for x in zip(*self.wait)))
             self.wait, self.held = [], 0
 
     def result(self) -> dict | None:
-        self.flush()
+        self.flush(self.count)
         at = [q for q, h in enumerate(self.hits) if len(h)]
         if not self.ready or not at:
             return None
         shares, first = [], []
         for q in at:
-            n, c, e = (np.cumsum(x[q][:-1]).astype(np.float64) for x in (self.closer, self.alike, self.level))
+            n, hits = self.closer[q].astype(np.float64), self.hits[q]
+            c, e = (self.alike[q], self.level[q]) if self.parted else (np.searchsorted(hits, hits, side=side) for side in ("left", "right"))
             shares.append(((c + (e - c + 1) / 2) / (n + 1)).sum())  # tied positives in the middle of their ranks
             first.append(int(n[0]) + 1)
-        return {"q": self.ids[at], "share": np.array(shares), "hits": np.array([len(self.hits[q]) for q in at]), "first": np.array(first)}
+        return {"q": np.array(self.ids)[at], "share": np.array(shares), "hits": np.array([len(self.hits[q]) for q in at]), "first": np.array(first)}
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:
