@@ -26,6 +26,12 @@ def test_every_row_asks_for_cosine_partners(spark, folder):
     assert "% 50" not in similarity.COSINE_SQL
 
 
+def test_every_row_asks_for_softmax_partners(spark, folder):
+    rows = similarity.softmax_partners(spark, folder).collect()
+    assert {r.id for r in rows} == {7 * i + 3 for i in range(12)} and len(rows) == 24
+    assert "% 50" not in similarity.SOFTMAX_SQL
+
+
 @pytest.mark.parametrize("k", [1, 3, 40])
 def test_few_best_scores_of_a_tile_hold_all_ties(k):
     rng = np.random.default_rng(4)
