@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from detframe.operators.matching import counted_boxes, match_default, match_group_of, match_thresholds
-from detframe.plans.ordered import TARGET_ROWS, crowded, running_sums, suffix_max, with_cells
+from detframe.operators.matching import counted_boxes, match_default, match_group_of, threshold_masks
+from detframe.plans.grouped import scan_states
+from detframe.plans.ordered import TARGET_ROWS, crowded, running_sums, suffix_max, with_cells, without_cells
 from detframe.session import land
 
 EPS = 2.220446049250313e-16  # double machine epsilon: keeps a precision defined when nothing was counted
@@ -57,6 +59,64 @@ def average_precision(flags: DataFrame, npos: DataFrame, by: Sequence[str], mode
             .select(*by, "num_gts", F.coalesce("num_dets", F.lit(0)).alias("num_dets"), value.alias("ap")))
 
 
+def masked_precision(masks: DataFrame, npos: DataFrame, iou_thrs: Sequence[float], by: Sequence[str], target: int = TARGET_ROWS) -> DataFrame:
+    """``(iou_thr, by.., num_gts, num_dets, ap)`` as :func:`average_precision`, of ``masks(by.., score, det_id, tp, fp)`` with one bit per threshold.
+
+    Rows stream through in score order, once for all thresholds. The envelope falls in steps: of a batch only these leave, as their
+    height and their number of true positives, and get the height of later batches where that is larger. A key above ``target``
+    rows is cut into score cells, which start from the counts of the cells before.
+    """
+    by, thrs = list(by), [float(t) for t in iou_thrs]
+    kinds, shifts, zero = dict(masks.dtypes), np.arange(len(thrs), dtype=np.int64), F.lit(0).cast("long")
+    slim = land(masks.select(*by, F.col("score").cast("double").alias("score"), "det_id", "tp", "fp"))
+    cells = crowded(slim, by, target)
+    rows = (with_cells(slim, by, "score", "det_id", target=target) if cells else without_cells(slim)).withColumn("_head", F.lit(False))
+    if cells:
+        bit = lambda c, i: F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1).cast("long"))
+        names = [(c, i) for c in ("tp", "fp") for i in range(len(thrs))]
+        totals = rows.groupBy(*by, "_cell", "_sub").agg(*[F.sum(bit(c, i)).alias(f"{c}{i}") for c, i in names])
+        before = Window.partitionBy(*by).orderBy("_cell", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+        sums = totals.select(*by, "_cell", "_sub", *[F.coalesce(F.sum(f"{c}{i}").over(before), zero).alias(f"{c}{i}") for c, i in names])
+        heads = F.inline(F.array(*[F.struct(F.lit(i).cast(kinds["det_id"]).alias("det_id"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp")) for i in range(len(thrs))]))
+        rows = rows.unionByName(sums.select(*by, "_cell", "_sub", heads, F.lit(0.0).alias("score"), F.lit(True).alias("_head")))
+
+    def step(state, rows):
+        head = rows["_head"].astype(bool)
+        if head.any():
+            for c in ("tp", "fp"):
+                state[c][rows["det_id"][head].astype(np.int64)] = rows[c][head]
+        body = ~head
+        hit, miss = ((rows[c][body][:, None] >> shifts) & 1 for c in ("tp", "fp"))
+        tp, fp = state["tp"] + np.cumsum(hit, axis=0), state["fp"] + np.cumsum(miss, axis=0)
+        if len(tp):
+            state["tp"], state["fp"] = tp[-1], fp[-1]
+        made = []
+        for n in range(len(thrs)):
+            at = np.flatnonzero(hit[:, n])  # precision peaks at true positives
+            if len(at):
+                height = np.maximum.accumulate((tp[at, n] / np.maximum(tp[at, n] + fp[at, n], EPS))[::-1])[::-1]
+                ends = np.flatnonzero(np.r_[height[1:] != height[:-1], True])
+                made.append((np.full(len(ends), n, np.int32), tp[at[ends], n], np.diff(ends, prepend=-1), height[ends]))
+        return dict(zip(("combo", "place", "n", "height"), (np.concatenate(x) for x in zip(*made)))) if made else None
+
+    found = scan_states(rows, [*by, "_cell", "_sub"], [], [F.col("_head").desc(), F.col("score").desc(), "det_id"],
+                        lambda: {c: np.zeros(len(thrs), np.int64) for c in ("tp", "fp")}, step,
+                        ", ".join(f"{c} {kinds[c]}" for c in by) + ", combo int, place long, n long, height double")
+    keys = [*by, "combo"]
+    if cells:
+        counted = npos.groupBy(*by).agg(F.max("num_gts").alias("_all"))
+        spread = land(found).join(F.broadcast(counted), by).withColumn("_x", F.col("place") / F.greatest("_all", F.lit(1)))
+        best = suffix_max(spread, keys, "_x", "place", "height", "best", descending=False, target=target)
+    else:
+        best = found.withColumn("best", F.max("height").over(Window.partitionBy(*keys).orderBy(F.col("place").desc()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)))
+    area = best.groupBy(*keys).agg(F.sum(F.col("best") * F.col("n")).alias("_area"))
+    wanted = npos.where("num_gts > 0").select(*by, "num_gts", F.posexplode(F.array(*[F.lit(t) for t in thrs])).alias("combo", "iou_thr"))
+    seen = slim.groupBy(*by).agg(F.count(F.lit(1)).alias("num_dets"))
+    return wanted.join(area, keys, "left").join(seen, by, "left").select(
+        "iou_thr", *by, "num_gts", F.coalesce("num_dets", zero).alias("num_dets"), (F.coalesce("_area", F.lit(0.0)) / F.col("num_gts")).alias("ap"))
+
+
 def _ap_parts(mode: str):
     if mode == "area":
         return [F.sum(F.when(F.col("tp") == 1, F.col("envelope") / F.col("num_gts"))).alias("_ap")]
@@ -90,9 +150,7 @@ def eval_map(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, by: Sequence[s
 
 def eval_maps(det: DataFrame, gt: DataFrame, iou_thrs: Sequence[float], by: Sequence[str] = ("category_id",)) -> DataFrame:
     """:func:`eval_map` at several thresholds, with ``iou_thr``, from one match and one sorted pass."""
-    flags = match_thresholds(det, gt, iou_thrs).withColumnRenamed("det_id", "row_id")
-    npos = count_boxes(gt, by).select(F.explode(F.array(*[F.lit(float(t)) for t in iou_thrs])).alias("iou_thr"), *by, "num_gts")
-    return average_precision(flags, npos, ["iou_thr", *by])
+    return masked_precision(threshold_masks(det, gt, iou_thrs), count_boxes(gt, by), iou_thrs, by)
 
 
 def eval_group_of_map(det: DataFrame, gt: DataFrame, iou_thr: float = 0.5, ioa_thr: float = 0.5) -> DataFrame:

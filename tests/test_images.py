@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from detframe.operators import average_precision as AP
 from detframe.operators import coco_metrics as C
+from detframe.operators import matching as M
 from detframe.plans import images as I
 from detframe.queries import greedy as Q
 from detframe.queries import tables as T
@@ -52,3 +54,32 @@ def test_error_breakdown_joins_no_pairs(spark, sf, monkeypatch):
     monkeypatch.setattr(C, "overlap_pairs", no_pairs)
     assert rows(C.error_breakdown(det, gt, kinds).withColumn("ap", F.round("ap", 9))) == want
     assert Q.coco_error_breakdown(spark, sf).count() == 105
+
+
+@pytest.mark.parametrize("limit", [0, 55, 2000])
+def test_threshold_masks_by_image_equal_the_joins(spark, monkeypatch, limit):
+    monkeypatch.setattr(I, "IMAGE_ROWS", limit)
+    det, gt = crowd_of_boxes(spark)
+    gt = gt.where("iscrowd IS NOT NULL").withColumn("ignore", F.col("iscrowd") == 1)
+    got, want = (M.threshold_masks(det, gt, (0.3, 0.5), legacy=True, ordinary=ordinary) for ordinary in (True, False))
+    assert rows(got) == rows(want)
+
+
+def test_precision_of_masks_equals_that_of_flags(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 3, (3, 3000))
+    made = [(int(rng.integers(2)), i, float(rng.integers(0, 400) / 400), *(int(sum((bits[t, i] == v) << t for t in range(3))) for v in (0, 1))) for i in range(3000)]
+    masks = spark.createDataFrame(made, "category_id long, det_id long, score double, tp long, fp long")
+    npos = spark.createDataFrame([(0, 900), (1, 700), (2, 5), (3, 0)], "category_id long, num_gts long")
+    for target in (10**6, 100):
+        got = {(r.iou_thr, r.category_id): r for r in AP.masked_precision(masks, npos, (0.5, 0.6, 0.7), ["category_id"], target).collect()}
+        for t, thr in enumerate((0.5, 0.6, 0.7)):
+            flags = masks.select("category_id", F.col("det_id").alias("row_id"), "score", *[F.shiftright(c, t).bitwiseAND(F.lit(1).cast("long")).alias(c) for c in ("tp", "fp")])
+            want = {(thr, r.category_id): (r.num_dets, pytest.approx(r.ap, abs=1e-12)) for r in AP.average_precision(flags, npos, ["category_id"], target=target).collect()}
+            assert {k: (r.num_dets, r.ap) for k, r in got.items() if k[0] == thr} == want
+
+
+def test_mean_average_precision_joins_no_pairs(spark, sf, monkeypatch):
+    from detframe.queries import detection as D
+    monkeypatch.setattr(M, "overlap_pairs", no_pairs)
+    assert D.mean_average_precision(spark, sf).count() == 3
