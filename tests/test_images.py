@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from detframe.operators import average_precision as AP
 from detframe.operators import coco_metrics as C
+from detframe.operators import greedy as G
 from detframe.operators import matching as M
 from detframe.plans import images as I
 from detframe.queries import greedy as Q
@@ -83,3 +84,19 @@ def test_mean_average_precision_joins_no_pairs(spark, sf, monkeypatch):
     from detframe.queries import detection as D
     monkeypatch.setattr(M, "overlap_pairs", no_pairs)
     assert D.mean_average_precision(spark, sf).count() == 3
+
+
+@pytest.mark.parametrize("by", [[], ["half"]])
+def test_proposal_recall_by_image_equals_the_joins(spark, monkeypatch, by):
+    det, gt = (df.withColumn("half", F.col("image_id") % 2) for df in crowd_of_boxes(spark))
+    found = []
+    for limit in (0, 55, 2000):
+        monkeypatch.setattr(I, "IMAGE_ROWS", limit)
+        found.append(rows(G.proposal_recall(det, gt, (3, 10, 100), (0.3, 0.5), by)))
+    assert found[0] == found[1] == found[2]
+    assert sum(float(r[-1]) > 0 for r in found[0]) >= 6
+
+
+def test_proposal_recall_joins_no_pairs(spark, sf, monkeypatch):
+    monkeypatch.setattr(G, "overlap_pairs", no_pairs)
+    assert Q.proposal_recall(spark, sf).count() == 9
