@@ -294,16 +294,18 @@ def _best_points(slim: DataFrame, npos: DataFrame, by: Sequence[str], combos: Se
 
 
 def precision_table(matches: DataFrame, npos: DataFrame, iou_thrs: Sequence[float] = IOU_THRS,
-                    areas: dict = AREAS, by: Sequence[str] = ("category_id",), target: int = TARGET_ROWS) -> DataFrame:
+                    areas: dict = AREAS, by: Sequence[str] = ("category_id",), target: int = TARGET_ROWS,
+                    stored: bool = False) -> DataFrame:
     """``(by.., area, iou_thr, ap, reach)``: mean over 101 recall points of the best precision at or beyond
     each, and the share of points with any precision.
 
     The best precision beyond recall r is the maximum over rows with recall >= r, so rows only need their
-    recall point and precision; no per-row envelope is computed.
+    recall point and precision; no per-row envelope is computed. Matches are written once unless they are ``stored``.
     """
     by = list(by)
     combos = _combos(iou_thrs, areas)
-    slim = land(matches.select(*by, "det_id", "score", "tp_mask", "ignore_mask"))
+    slim = matches.select(*by, "det_id", "score", "tp_mask", "ignore_mask")
+    slim = slim if stored else land(slim)
     places = F.create_map(*[v for i, a, t in combos for v in (F.lit(i), F.struct(F.lit(a).alias("area"), F.lit(t).alias("iou_thr")))])
     rated = _best_points(slim, npos, by, combos, target).withColumn("_c", F.element_at(places, F.col("combo"))).select(*by, "_c.*", "point", "p")
     later = (Window.partitionBy(*by, "area", "iou_thr").orderBy(F.col("point").desc())

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from detframe.operators import coco_metrics as C
-from detframe.operators.average_precision import average_precision, count_boxes, mean_ap
+from detframe.operators.average_precision import count_boxes, masked_precision, mean_ap
 from detframe.operators.greedy import proposal_recall
-from detframe.operators.matching import match_default
-from detframe.session import cut_lineage
+from detframe.operators.matching import threshold_masks
+from detframe.session import land
 
 IDS = ("det_id", "ann_id", "image_id")
 BOXES = ("category_id", "x1", "y1", "x2", "y2")
@@ -25,16 +25,16 @@ BY = ["dataset", "category_id"]
 
 def _voc(det: DataFrame, gt: DataFrame) -> DataFrame:
     marked = gt.withColumn("ignore", F.col("iscrowd") == 1)
-    flags = match_default(det, marked, 0.5, legacy=True, keys=("dataset", "image_id", "category_id")).withColumnRenamed("det_id", "row_id")
-    means = mean_ap(average_precision(flags, count_boxes(marked, BY), BY), ["dataset"])
+    masks = threshold_masks(det, marked, (0.5,), ("dataset", "image_id", "category_id"), legacy=True)
+    means = mean_ap(masked_precision(masks, count_boxes(marked, BY), (0.5,), BY), ["dataset"])
     return means.select("dataset", F.lit("voc_map_50").alias("metric"), F.col("map").alias("value"))
 
 
 def _coco(datasets: int):
     def run(det: DataFrame, gt: DataFrame) -> DataFrame:
-        matches = cut_lineage(C.coco_match(det, gt).withColumn("dataset", F.pmod("image_id", F.lit(datasets)).cast("int")))
+        matches = land(C.coco_match(det, gt).withColumn("dataset", F.pmod("image_id", F.lit(datasets)).cast("int")))
         npos = C.count_real(gt, by=BY)
-        out = C.summarise(C.precision_table(matches, npos, by=BY), C.recall_table(matches, npos, by=BY), ["dataset"])
+        out = C.summarise(C.precision_table(matches, npos, by=BY, stored=True), C.recall_table(matches, npos, by=BY), ["dataset"])
         return out.select("dataset", F.concat(F.lit("coco_"), "metric").alias("metric"), "value")
     return run
 
@@ -66,8 +66,8 @@ def evaluate(datasets: Mapping[str, tuple[DataFrame, DataFrame]], metrics: Seque
     if unknown := sorted(set(metrics) - set(known)):
         raise ValueError(f"unknown metrics {unknown}")
     # the narrow rows are written once: every metric reads them
-    det = cut_lineage(_stacked([d for d, _ in datasets.values()], ["det_id", "image_id", *BOXES, "score"]))
-    gt = cut_lineage(_stacked([g for _, g in datasets.values()], ["ann_id", "image_id", *BOXES, "iscrowd"]))
+    det = land(_stacked([d for d, _ in datasets.values()], ["det_id", "image_id", *BOXES, "score"]))
+    gt = land(_stacked([g for _, g in datasets.values()], ["ann_id", "image_id", *BOXES, "iscrowd"]))
     names = F.array(*[F.lit(n) for n in datasets])
     out = None
     for metric in metrics:

@@ -100,3 +100,10 @@ def test_proposal_recall_by_image_equals_the_joins(spark, monkeypatch, by):
 def test_proposal_recall_joins_no_pairs(spark, sf, monkeypatch):
     monkeypatch.setattr(G, "overlap_pairs", no_pairs)
     assert Q.proposal_recall(spark, sf).count() == 9
+
+
+def test_offline_evaluation_joins_no_pairs(spark, sf, monkeypatch):
+    from detframe.queries import live
+    for module in (C, G, M):
+        monkeypatch.setattr(module, "overlap_pairs", no_pairs)
+    assert live.offline_evaluation(spark, sf).count() == 34
