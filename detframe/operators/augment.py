@@ -377,6 +377,58 @@ def copy_paste(df: DataFrame, runs: DataFrame, pasted: DataFrame, area_thr: floa
     return left.where(F.col("area") > area_thr).select(*by, "area")
 
 
+def copy_paste_masks(masks: DataFrame, pasted: Column, area_thr: float, runs: Column | None = None, size: Column | None = None,
+                     limit: int = IMAGE_RUNS) -> DataFrame:
+    """:func:`copy_paste` of masks that are lists of runs: ``(image_id, ann_id, area)``.
+
+    ``masks(image_id, ann_id, ..)`` has a mask per row and what ``runs`` reads, a Column of its ``array<struct<start, length>>``
+    (default: the column ``runs``). Where ``pasted`` holds, the mask is pasted over the others of its image. Lists are worked out where
+    the image lies, and no run becomes a row. ``size`` is the number of runs where that is known without the list. An image of more than ``limit`` runs goes through :func:`copy_paste`.
+    """
+    listed = F.col("runs") if runs is None else runs
+    both = masks.withColumn("_kind", pasted.cast("int")).dropna(subset=["image_id", "ann_id", "_kind"])
+    small, large = split_by_size(both, ["image_id"], limit, F.size(listed) if size is None else size)
+    held = F.coalesce(listed, F.array().cast("array<struct<start: bigint, length: bigint>>"))
+
+    def cover(arrays, cuts):
+        image, n = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), len(arrays["kind"])
+        own, _ = repeated(np.array([len(x) for x in arrays["start"]], np.int64))
+        start, length = (np.concatenate(arrays[c]).astype(np.int64) for c in ("start", "length"))
+        own, start, length = own[length > 0], start[length > 0], length[length > 0]
+        order = np.lexsort((arrays["ann_id"], arrays["kind"], image))
+        named = np.stack([image, arrays["kind"], np.unique(arrays["ann_id"], return_inverse=True)[1]])[:, order]
+        first = np.r_[True, (named[:, 1:] != named[:, :-1]).any(axis=0)]
+        mask = np.empty(n, np.int64)
+        mask[order] = np.cumsum(first) - 1
+        top = arrays["kind"][own] == 1
+        # images behind each other: pixels that are covered before a place, over all images
+        room = int(max((start + length).max(initial=0), 0)) - min(int(start.min(initial=0)), 0) + 1
+        shift = image[own] * room
+        _, above, below = islands(np.zeros(top.sum(), np.int64), (start + shift)[top], (start + length + shift)[top])
+        total, low = np.r_[0, np.cumsum(below - above)], np.r_[0, above]
+
+        def before(place):
+            at = np.searchsorted(above, place, side="right")
+            return np.where(at > 0, total[np.maximum(at - 1, 0)] + np.minimum(place - low[at], np.r_[0, below - above][at]), 0)
+        place = (start + shift)[~top]
+        left = length[~top] - (before(place + length[~top]) - before(place))
+        area, some = (np.zeros(int(first.sum()), np.int64) for _ in range(2))
+        np.add.at(area, mask[own[~top]], left)
+        some[mask[own[~top]]] = 1
+        rows = order[first]
+        kept = (some > 0) & (arrays["kind"][rows] == 0) & (area > area_thr)
+        return {"image_id": arrays["image_id"][rows][kept], "ann_id": arrays["ann_id"][rows][kept], "area": area[kept]}
+
+    kinds = dict(masks.dtypes)
+    late = [F.col("image_id"), F.col("ann_id"), F.col("_kind").alias("kind"), held["start"].alias("start"), held["length"].alias("length")]
+    out = scan_blocks(small, ["image_id"], ["_kind", "ann_id"], cover, f"image_id {kinds['image_id']}, ann_id {kinds['ann_id']}, area long", late, lying=True)
+    if large is None:
+        return out
+    rows = large.select("image_id", "ann_id", "_kind", F.explode(held).alias("_r")).select("image_id", "ann_id", "_kind", "_r.start", "_r.length")
+    spread = copy_paste(None, rows.where("_kind = 0").drop("_kind"), rows.where("_kind = 1").select("image_id", "start", "length"), area_thr)
+    return out.unionByName(spread)
+
+
 def pasted_objects(masks: DataFrame, pasted: DataFrame, box_shift: float = 10.0, area_thr: float = 300.0, height: str = "height", runs: Column | None = None,
                    limit: int = IMAGE_RUNS) -> DataFrame:
     """Objects of images after others were pasted over them: ``image_id, ann_id, pasted, x1, y1, x2, y2, area``.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from detframe.functions.hashing import hash_key_sql, uniform, uniform_sql
 from detframe.operators import augment as A
-from detframe.operators.segments import box_run_list, box_runs
+from detframe.operators.segments import box_run_list
 from detframe.plans.once import rounded
 from detframe.queries import tables as T
 from detframe.queries.sampling import _rank
@@ -255,10 +255,8 @@ CENTER_SEARCH_SQL = with_tables("gt", "images") + f""",
 
 def copy_paste(spark, sf):
     """The first three boxes of each image are pasted over its other boxes."""
-    runs = box_runs(_boxes(spark, sf))
-    first = F.col("ann_id") % 1000 <= 3
-    return A.copy_paste(None, runs.where(~first).select("image_id", "ann_id", "start", "length"),
-                        runs.where(first).select("image_id", "start", "length"), 300.0)
+    masks = _boxes(spark, sf).select("image_id", "ann_id", *COORDS, "height")
+    return A.copy_paste_masks(masks, F.col("ann_id") % 1000 <= 3, 300.0, box_run_list(), F.col("x2") - F.col("x1"))
 
 
 COPY_PASTE_SQL = GT + """,
