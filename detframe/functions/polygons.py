@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -334,63 +335,82 @@ def runs_to_counts(runs: DataFrame, by: Sequence[str], size: str = "size") -> Da
     return out.select(*by, F.when(F.col("_s") > F.col("_e"), F.concat(body, F.array(F.col("_s") - F.col("_e")))).otherwise(body).alias("counts"))
 
 
-def _decode_batch(texts: pd.Series) -> list[np.ndarray]:
-    """Six-bit groups, low part first: five bits of value and one that says more follow; counts from the
-    fourth on are differences to the count two before."""
-    raw = texts.str.encode("ascii")
-    c = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.int64) - 48
-    if not len(c):
-        return [np.empty(0, np.int64) for _ in raw]
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def decode_rle(text: pa.Array) -> pa.Array:
+    """Counts of a compressed run-length string.
+
+    Six-bit groups, low part first: five bits of value and one that says more follow; counts from the fourth on are differences
+    to the count two before.
+    """
+    raw = text.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+    held = raw.buffers()[2] if len(raw) else None
+    c = np.frombuffer(held, np.uint8)[ends[0]:ends[-1]].astype(np.int64) - 48 if held is not None else np.empty(0, np.int64)
     last = np.flatnonzero((c & 32) == 0)
-    first = np.r_[0, last[:-1] + 1]
+    first = np.r_[0, last[:-1] + 1][:len(last)]
     size = last - first + 1
-    shift = 5 * (np.arange(len(c)) - np.repeat(first, size))
-    value = np.add.reduceat((c & 31) << shift, first)
+    value, at, k = c[first] & 31, np.flatnonzero(size > 1), 1
+    while len(at):
+        value[at] += (c[first[at] + k] & 31) << (5 * k)
+        k += 1
+        at = at[size[at] > k]
     value = np.where(c[last] & 16, value - (np.int64(1) << (5 * size)), value)
-    ends = np.searchsorted(last, np.cumsum([len(t) for t in raw]))
-    out, start = [], 0
-    for end in ends:
-        v = value[start:end].copy()
-        v[1::2] = np.cumsum(v[1::2])
-        v[2::2] = np.cumsum(v[2::2])
-        out.append(v)
-        start = end
-    return out
-
-
-def _encode_batch(lists: pd.Series) -> list[str]:
-    """Inverse of :func:`_decode_batch`."""
-    sizes = np.array([len(v) for v in lists])
-    if not sizes.sum():
-        return ["" for _ in lists]
-    parts = []
-    for v in lists:
-        v = np.asarray(v, dtype=np.int64)
-        d = v.copy()
-        d[3:] -= v[1:-2]
-        parts.append(d)
-    x = np.concatenate(parts)
-    chars, used, active = [], [], np.ones(len(x), dtype=bool)
-    while active.any():
+    stops = np.searchsorted(last, ends - ends[0])
+    sizes = np.diff(stops)
+    start = np.repeat(stops[:-1], sizes)
+    place = np.arange(len(value)) - start
+    for odd in (True, False):
+        # sums over every other count of a row
+        mine = (place % 2 == 1) if odd else (place % 2 == 0) & (place > 0)
+        total = np.cumsum(np.where(mine, value, 0))
+        value = np.where(mine, total - np.r_[0, total][start], value)
+    return _listed(sizes, pa.array(value, pa.int64()), text.is_null())
+
+
+@F.arrow_udf(T.StringType())
+def encode_rle(counts: pa.Array) -> pa.Array:
+    """Compressed string of alternating counts, the inverse of :func:`decode_rle`."""
+    _, sizes, flat = _lists(counts)
+    v = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+    place = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    later = np.flatnonzero(place > 2)
+    x = v.copy()
+    x[later] -= v[later - 2]
+    at, size, parts = np.arange(len(x)), np.zeros(len(x), np.int64), []
+    while len(at):
         c = x & 31
         x = x >> 5
         more = np.where(c & 16, x != -1, x != 0)
-        chars.append((c + np.where(more, 32, 0) + 48).astype(np.uint8))
-        used.append(active)
-        active = active & more
-    table, mask = np.stack(chars, axis=1), np.stack(used, axis=1)
-    text = table[mask].tobytes().decode("ascii")
-    stops = np.cumsum(np.r_[0, mask.sum(axis=1)])[np.cumsum(np.r_[0, sizes])]
-    return [text[a:b] for a, b in zip(stops[:-1], stops[1:])]
-
+        parts.append((at, (c + 48 + 32 * more).astype(np.uint8)))
+        size[at] += 1
+        at, x = at[more], x[more]
+    first = np.cumsum(size) - size
+    text = np.empty(int(size.sum()), np.uint8)
+    for k, (at, c) in enumerate(parts):
+        text[first[at] + k] = c
+    ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(sizes)]].astype(np.int64)
+    made = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(text.tobytes())).cast(pa.string())
+    return pc.if_else(counts.is_null(), pa.scalar(None, pa.string()), made)
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def decode_rle(text: pd.Series) -> pd.Series:
-    """Counts of a compressed run-length string."""
-    return pd.Series(_decode_batch(text))
 
-
-@F.pandas_udf(T.StringType())
-def encode_rle(counts: pd.Series) -> pd.Series:
-    """Compressed string of alternating counts."""
-    return pd.Series(_encode_batch(counts))
+@F.arrow_udf(RUNS)
+def box_columns(x1: pa.Array, y1: pa.Array, x2: pa.Array, y2: pa.Array, height: pa.Array) -> pa.Array:
+    """One run per pixel column of a whole-numbered box, in order; empty for a box without area or with a NULL."""
+    empty = np.any([v.is_null().to_numpy(zero_copy_only=False) for v in (x1, y1, x2, y2, height)], axis=0)
+    left, top, right, bottom = (v.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for v in (x1, y1, x2, y2))
+    high = height.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, tall = left.astype(np.int64), (bottom - top).astype(np.int64)
+    row, place = repeated(np.where(empty | (bottom <= top), 0, np.maximum(right.astype(np.int64) - first, 0)))
+    start = (first[row] + place) * high[row] + top.astype(np.int64)[row]
+    return _listed(np.bincount(row, minlength=len(left)), _run_array(start, tall[row]), pa.array(np.zeros(len(left), bool)))
+
+
+@F.arrow_udf(T.StructType([T.StructField("pixels", T.LongType()), T.StructField("before", T.LongType())]))
+def run_facts(runs: pa.Array) -> pa.Array:
+    """Pixels of a mask's runs, and where the first one starts; both NULL for no list, the second without any run."""
+    _, sizes, flat = _lists(runs)
+    start, length = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "length"))
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    total, first = np.r_[0, np.cumsum(length)], np.r_[start, 0][ends[:-1]]
+    return pa.StructArray.from_arrays([pa.array(total[ends[1:]] - total[ends[:-1]], pa.int64(), mask=runs.is_null().to_numpy(zero_copy_only=False)),
+                                       pa.array(first, pa.int64(), mask=sizes == 0)], ["pixels", "before"])
