@@ -107,3 +107,17 @@ def test_offline_evaluation_joins_no_pairs(spark, sf, monkeypatch):
     for module in (C, G, M):
         monkeypatch.setattr(module, "overlap_pairs", no_pairs)
     assert live.offline_evaluation(spark, sf).count() == 34
+
+
+def test_matching_index_by_image_equals_the_joins(spark, monkeypatch):
+    det, gt = crowd_of_boxes(spark)
+    gt = gt.where("iscrowd IS NOT NULL").withColumn("ignore", F.col("iscrowd") == 1)
+    alone = spark.createDataFrame([(5000, 900, 1, 0, 0.0, 0.0, 9.0, 9.0, False), (5001, 901, 1, 0, 0.0, 0.0, 9.0, 9.0, True)], gt.schema)
+    # limits of pairs that leave no image, images of up to 56 rows, and all of them to numpy
+    found = [{r.score_thr: round(r.ji, 9) for r in G.max_matching_index(det, gt.unionByName(alone), [0.0, 0.4, 0.9], 0.3, limit=n).collect()} for n in (0, 800, 20_000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+
+
+def test_matching_index_joins_no_pairs(spark, sf, monkeypatch):
+    monkeypatch.setattr(G, "overlap_pairs", no_pairs)
+    assert Q.max_matching_index(spark, sf).count() == 10
